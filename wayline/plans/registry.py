@@ -6,11 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayline.plans import trajectories
-
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-for module in (trajectories,):
-    QUERIES |= module.QUERIES
-    ORACLES |= module.ORACLES
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with SQL for DuckDB where there is some."""
+
+    def add(f: Query) -> Query:
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+from wayline.plans import board_queries, code_queries, stats_queries, trajectories  # noqa: E402, F401  (they register their queries)
