@@ -6,9 +6,10 @@ pair. Pairs whose estimate is not far below the threshold are confirmed on the f
 no band with probability (1 - 0.8**4)**32 < 5e-8, and is estimated below the cut with probability < 1e-8.
 
 Groups are never expanded into all pairs. Documents with equal sets form a class with one representative. In each band
-group, members are first compared with one pivot, then (if still in several components) with up to 8 pivots; only what is
-then still apart is compared exhaustively, member by member of the smaller components. Components thus come out as if all
-candidate pairs had been confirmed: a pair within one component needs no comparison.
+group, members are first compared with one pivot. Groups that then still hold several components are joined into sets of
+documents that share such groups; a set is cut into blocks of bounded size, and each pair of blocks is compared inside of
+one task, which looks only at documents outside of the set's largest component and gives back only links. Components thus
+come out as if all candidate pairs had been confirmed: a pair within one component needs no comparison.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from wayline.llm.graph import components
 PERMUTATIONS, BANDS, BITS = 128, 32, 2
 #: Confirm pairs whose estimate is at least the threshold less this (six standard deviations).
 MARGIN = 0.25
-PIVOTS = 8
+#: Shingles of one block, roughly: what a task holds of a set of documents that are still apart.
+BLOCK_SHINGLES = 600_000
 
 _rng = np.random.default_rng(77)
 _MUL = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -145,6 +147,69 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int,
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
+def _linked_across(spark: SparkSession, held: DataFrame, texts: DataFrame, k: int, percent: int, cut: int) -> DataFrame:
+    """Links (u, v) between different labels of one set: held (grp, rep, label, spare, several, n, b0..b3), spare false for the largest label's members.
+
+    Every document goes to the pairs of blocks that hold its own; a pair of blocks is one group of rows, dealt to one task
+    by the pair's key, so a large set spreads over many tasks, each of bounded memory.
+    """
+    kind = held.schema["rep"].dataType.simpleString()
+    size = held.groupBy("grp").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}.0) as int)").alias("blocks"))
+    own = held.join(size, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = own.join(texts.withColumnRenamed("id", "rep"), "rep").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "spare", "several", "b0", "b1", "b2", "b3", "text")
+    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
+
+    def compare(part: list[tuple], sets: list[np.ndarray], same: bool) -> list[tuple]:
+        rep, label, spare, several, side = (np.array([x[c] for x in part], object if c < 2 else None) for c in (0, 1, 2, 3, 4))
+        bits = np.array([x[5:9] for x in part], np.int64)
+        names = {x: i for i, x in enumerate(dict.fromkeys(label.tolist()))}
+        number = np.array([names[x] for x in label.tolist()])
+        sizes = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        _, flat = np.unique(flat, return_inverse=True)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flag = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.int32)
+        found = []
+        for u in np.flatnonzero(spare):
+            apart = bits ^ bits[u]
+            agree = PERMUTATIONS - np.bitwise_count((apart | (apart >> 1)) & 0x5555555555555555).sum(axis=1, dtype=np.int64)
+            # a spare pair is looked at from one side only
+            at = np.flatnonzero((number != number[u]) & ((agree >= cut) | several | several[u]) & (same | (side != side[u])) & (~spare | (np.arange(len(part)) > u)))
+            if not len(at):
+                continue
+            mine = flat[ends[u] : ends[u + 1]]
+            flag[mine] = 1
+            spans = [flat[ends[v] : ends[v + 1]] for v in at]
+            both = np.add.reduceat(flag[np.concatenate(spans)], np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+            flag[mine] = 0
+            for v in at[100 * both >= percent * (sizes[u] + sizes[at] - both)]:
+                found.append((rep[u], rep[v]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, part, sets = None, [], []
+
+        def done() -> pa.RecordBatch | None:
+            found = compare(part, sets, group[1] == group[2]) if part else []
+            return pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["u", "v"]) if found else None
+
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            for block in common.blocks(batch.column(len(columns))):
+                for r, own_set in zip(block.rows.tolist(), row_sets(block, k), strict=True):
+                    key = tuple(c[r] for c in columns[:3])
+                    if key != group:
+                        if (out := done()) is not None:
+                            yield out
+                        group, part, sets = key, [], []
+                    part.append((columns[4][r], columns[5][r], columns[6][r], columns[7][r], columns[3][r], *(columns[8 + x][r] for x in range(4))))
+                    sets.append(own_set)
+        if (out := done()) is not None:
+            yield out
+
+    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+
+
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per input row: id_col, n_shingles, component_id (smallest id reachable over links), kept (it is that id).
 
@@ -172,37 +237,27 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     near = F.expr(f"x.several or y.several or {matches('x', 'y')} >= {cut}")
     same_id = usable.join(classes.select("mark", "rep"), "mark").where("id != rep").join(twice.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
-    def confirm(pairs: DataFrame, done: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """pairs (a, b) that pass the estimate and are not done, and the links among them."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        likely = pairs.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).where(near)
-        likely = common.stored(likely.select("a", "b", F.greatest("x.n", "y.n").alias("weight")), "pairs")
-        needed = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-        links = _confirmed(spark, likely, docs.join(needed, "id", "left_semi"), k, percent)
-        return likely.select("a", "b"), common.stored(links, "links")
-
-    done, links = confirm(cells.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), None)
-    links = links.unionByName(same_id)
+    pairs = cells.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = pairs.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).where(near)
+    likely = common.stored(likely.select("a", "b", F.greatest("x.n", "y.n").alias("weight")), "pairs")
+    # one pass over the texts for all that is compared below; merged at every size, as a list of candidates has no bound
+    wanted = cells.select(F.col("rep").alias("id")).distinct()
+    texts = common.stored(docs.join(wanted.hint("merge"), "id", "left_semi"), "texts")
+    links = common.stored(_confirmed(spark, likely, texts, k, percent), "links").unionByName(same_id)
     labels = common.stored(components(links), "labels")
-    for exhaustive in (False, True):
-        held = cells.select("cell", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", F.coalesce("component", "rep").alias("label"))
-        mixed = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("cell")
-        held = common.stored(held.join(mixed, "cell", "left_semi").join(bits, "rep"), "mixed")
-        if held.isEmpty():
-            break
-        if exhaustive:
-            sizes = held.groupBy("cell", "label").count()
-            main = sizes.groupBy("cell").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-            left = held.join(main, "cell").where("label != main")
-        else:
-            pivots = held.groupBy("cell", F.expr(f"pmod(xxhash64(rep), {PIVOTS})").alias("p")).agg(F.min("rep").alias("rep")).select("cell", "rep")
-            left = held.join(pivots, ["cell", "rep"], "left_semi")
-        apart = left.alias("x").join(held.alias("y"), (F.col("x.cell") == F.col("y.cell")) & (F.col("x.label") != F.col("y.label")) & near)
-        tried, more = confirm(apart.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), done)
-        done, links = done.unionByName(tried), links.unionByName(more)
-        labels = common.stored(components(links), "labels")
+
+    held = cells.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", "pivot", F.coalesce("component", "rep").alias("label"))
+    mixed = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("cell")
+    held = common.stored(held.join(mixed, "cell", "left_semi").select("rep", "pivot", "label").distinct(), "mixed")
+    if not held.isEmpty():
+        sets = components(held.select(F.col("rep").alias("u"), F.col("pivot").alias("v"))).withColumnsRenamed({"node": "rep", "component": "grp"})
+        held = held.select("rep", "label").distinct().join(sets, "rep").join(bits, "rep")
+        sizes = held.groupBy("grp", "label").agg(F.count("*").alias("size"))
+        main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
+        held = held.join(main, "grp").select("grp", "rep", "label", (F.col("label") != F.col("main")).alias("spare"), F.coalesce("several", F.lit(False)).alias("several"), "n", "b0", "b1", "b2", "b3")
+        more = common.stored(_linked_across(spark, held, texts, k, percent, cut), "links")
+        if not more.isEmpty():
+            labels = common.stored(components(links.unionByName(more)), "labels")
     reps = classes.select("mark", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
     out = signed.select("id", "n", "mark").join(reps, "mark", "left").select("id", "n", F.expr("case when id is null then null else coalesce(component, id) end").alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
