@@ -79,7 +79,7 @@ class _Sink:
             fs, base = _open(self.folder)
             fs.create_dir(base, recursive=True)
             self.name = f"{uuid.uuid4().hex}.warc.gz"
-            self.f, self.size = fs.open_output_stream(f"{base}/{self.name}"), 0
+            self.f, self.size = fs.open_output_stream(f"{base}/{self.name}", compression=None), 0
         at = self.size
         self.f.write(data)
         self.size += len(data)
@@ -134,7 +134,7 @@ def _files(manifest: DataFrame) -> DataFrame:
 
 def _read(folder: str, name: str) -> Iterator[tuple[int, dict[str, str], bytes]]:
     fs, base = _open(folder)
-    with fs.open_input_stream(f"{base}/{name}") as f:
+    with fs.open_input_stream(f"{base}/{name}", compression=None) as f:
         for at, raw in members(f):
             fields, body = parse_record(raw)
             yield at, fields, body
