@@ -129,9 +129,11 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source_col: str = "s
     slots = {(s, j): slot for s, j, slot, _ in table}
     horizon = min((full[s] // w * len(order) + slots[s, full[s] % w] for s, w in chosen.items()), default=0)
     schedule = spark.createDataFrame(table, "src string, turn int, slot int, w int")
-    ranked = _ranked(packed, n_rows, seed).withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("place", F.col("rank") % block_rows)
     per = F.broadcast(schedule.groupBy("src").agg(F.max("w").alias("w")))
-    ranked = ranked.join(per, "src", "left").withColumn("turn", F.when(F.col("w").isNotNull(), F.col("block") % F.col("w")).cast("int"))
+    # all sources without weight are ranked as one
+    tasks = packed.join(per, "src", "left").withColumn("src", F.when(F.col("w").isNotNull(), F.col("src")).otherwise("\u0000"))
+    ranked = _ranked(tasks, n_rows, seed).withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("place", F.col("rank") % block_rows)
+    ranked = ranked.withColumn("turn", F.when(F.col("w").isNotNull(), F.col("block") % F.col("w")).cast("int"))
     placed = ranked.join(F.broadcast(schedule.drop("w")), ["src", "turn"], "left")
     # sources without weight: after the last slot that any source with weight can need
     last = max((-(-top.get(s, 0) // block_rows) // w + 1) * len(order) for s, w in chosen.items()) if chosen else 0
