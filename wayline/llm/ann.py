@@ -73,7 +73,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(ok)
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.35, rerank: int = 400) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.75, rerank: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, its own id left out; ties to the smaller id.
 
     share: part of the lists that a query probes (at least 8 lists); rerank: rows of a list part that get exact scores
