@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from wayline.llm import common
 
-LABELLERS = ["symbol_tails", "capitals", "echoes", "few_words", "few_pairs", "pipes", "sentences", "letters"]
+LABELLERS = ["symbol_tails", "capitals", "echoes", "few_words", "few_pairs", "pipes", "bare_signs", "sentences", "letters"]
 #: Shorter texts say too little: labellers don't vote on them.
 LEAST_WORDS = 8
 #: Documents that the linear model is fitted on: those with the smallest keyed hashes of their ids.
@@ -63,6 +63,7 @@ def measures(block: common.Block) -> dict[str, np.ndarray]:
         "distinct": _share(per(fresh(h)), np.minimum(n, 400)),
         "pairs": _share(per(fresh(pair)), n),
         "pipes": _share(per((ends - starts == 1) & (last == 124)), n),
+        "bare": _share(per((ends - starts == 1) & ~common.ALNUM[last]), n),
         "stops": _share(per((last == 46) | (last == 33) | (last == 63)), n),
         "letters": _share(chars(_LETTERS), chars(common.NONSPACE) - chars(_DIGITS)),
     }
@@ -79,8 +80,9 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         pick(long & (m["distinct"] < 0.2), m["distinct"] > 0.35),
         pick(m["pairs"] < 0.4, m["pairs"] > 0.7),
         pick(m["pipes"] > 0.15, m["pipes"] < 0.02),
+        pick(m["bare"] > 0.1, m["bare"] < 0.03),
         pick(long & ((m["stops"] < 0.005) | (m["stops"] > 0.6)), (m["stops"] > 0.03) & (m["stops"] < 0.4)),
-        pick(m["letters"] < 0.75, m["letters"] > 0.92),
+        pick(m["letters"] < 0.88, m["letters"] > 0.93),
     ]
     v = np.stack(out, axis=1).astype(np.int8)
     v[m["words"] < LEAST_WORDS] = 0
