@@ -1,7 +1,7 @@
 """Every query with SQL gives DuckDB's rows; those without give some."""
 
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from wayline.plans import registry
 
