@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return add
 
 
-from wayline.plans import board_queries, code_queries, model_queries, stats_queries, stream_queries, trajectories  # noqa: E402, F401  (they register their queries)
+from wayline.plans import board_queries, code_queries, model_queries, stats_queries, stream_queries, summary_queries, trajectories  # noqa: E402, F401  (they register their queries)
