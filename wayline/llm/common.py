@@ -17,13 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step handles; a longer single text is handled alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
+#: Rows of one Arrow batch between JVM and Python: texts can be long, and a batch is held whole on both sides.
+BATCH_ROWS = 500
 
 _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give executors this package, once per application."""
+    """Give executors this package, once per application, and bound the session's Arrow batches where they have the usual bound."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
