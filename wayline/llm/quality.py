@@ -21,8 +21,8 @@ from wayline.llm import common
 LABELLERS = ["symbol_tails", "capitals", "echoes", "few_words", "few_pairs", "pipes", "bare_signs", "sentences", "letters"]
 #: Shorter texts say too little: labellers don't vote on them.
 LEAST_WORDS = 8
-#: Documents that the linear model is fitted on: those with the smallest keyed hashes of their ids.
-SAMPLE = 6_000
+#: Documents that the linear model is fitted on: those with the smallest keyed hashes of their ids. It bounds the driver's memory.
+SAMPLE = 4_000
 DIMS = 1 << 14
 STEPS = 300
 
@@ -194,9 +194,9 @@ def quality_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
         sampled = source.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(extract, f"id {kind}, c binary, v binary")
         rows, columns, values, targets = [], [], [], []
         for r in sorted(sampled.collect(), key=lambda r: (str(r["id"]), r["c"], r["v"])):
-            columns.append(np.frombuffer(r["c"], np.uint16).astype(np.int64))
-            values.append(np.frombuffer(r["v"], np.float32).astype(np.float64))
-            rows.append(np.full(len(columns[-1]), len(targets)))
+            columns.append(np.frombuffer(r["c"], np.uint16))
+            values.append(np.frombuffer(r["v"], np.float32))
+            rows.append(np.full(len(columns[-1]), len(targets), np.uint16))
             targets.append(target[r["id"]])
         weights = _train(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), np.array(targets))
 
