@@ -20,7 +20,7 @@ from wayline.llm import common
 #: Rows that centroids and codebooks are fitted on at most: those with the smallest keyed hashes of their ids.
 SAMPLE = 20_000
 #: Rows that an inverted list has, roughly, and that one task takes of it at most.
-LIST_ROWS, PART_ROWS = 256, 4_096
+LIST_ROWS, PART_ROWS = 4_096, 8_192
 SUBSPACES, CODES = 16, 64
 
 
@@ -73,7 +73,7 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(ok)
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.75, rerank: int = 64) -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.75, rerank: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, its own id left out; ties to the smaller id.
 
     share: part of the lists that a query probes (at least 8 lists); rerank: rows of a list part that get exact scores
@@ -140,8 +140,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
                 at = best[i][ids[best[i]] != qids[lo + i]]
                 score = x[at] @ q[lo + i]
                 top = at[np.lexsort((ids[at], -score))[:k]]
-                out.append(pd.DataFrame({"query_id": qids[lo + i], "vec_id": ids[top], "score": (x[top] * q[lo + i]).sum(axis=1)}))
-        return pd.concat(out)
+                out.append((np.full(len(top), qids[lo + i]), ids[top], (x[top] * q[lo + i]).sum(axis=1)))
+        return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ["list", "part", "turn"]
     found = left.select(*keys, "id", "code", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
