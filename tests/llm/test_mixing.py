@@ -34,3 +34,35 @@ def test_order(spark):
         assert all(abs(c[s] - w * t) < 10 for s, w in want.items())
     assert all(not r.mix_exact for r in out if (r.source or "") not in want)
     assert mixing.mix_sources(df.limit(0)).count() == 0
+
+
+def deviation(rows, target, block_rows):
+    """The largest distance in blocks from the target, over all prefixes of whole blocks of the exact part."""
+    at = {r.mix_block: r.source for r in rows if r.mix_exact}
+    assert sorted(at) == list(range(len(at)))
+    total, got, worst = sum(target.values()), Counter(), 0
+    for t in range(len(at)):
+        got[at[t]] += 1
+        worst = max(worst, *(abs(w * (t + 1) / total - got[s]) for s, w in target.items()))
+    return len(at), worst
+
+
+def test_long_mixture_keeps_exact_targets(spark):
+    # 0.0004 and 0.0011 aren't whole parts of 1,000
+    target = {"a": 0.9985, "b": 0.0004, "c": 0.0011}
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.expr("case when id < 40 then 'b' when id < 120 then 'c' else 'a' end").alias("source"))
+    rows = mixing.mix_sources(df, target, block_rows=1).collect()
+    n, worst = deviation(rows, target, 1)
+    assert n > 20_000 and worst < 1
+    assert len({r.mix_position for r in rows}) == 30_000
+
+
+def test_many_sources(spark):
+    # 1,500 sources of 4 rows: all of them have a share
+    df = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1500).cast("string")).alias("source"))
+    rows = mixing.mix_sources(df, block_rows=2).collect()
+    n, worst = deviation(rows, {f"s{i}": 1 for i in range(1500)}, 2)
+    assert n == 3_000 and worst < 1 and all(r.mix_exact for r in rows)
+    # with explicit weights too, small sources included, and tiny weights keep positions distinct
+    rows = mixing.mix_sources(df, {f"s{i}": 1e-30 if i == 7 else i + 1 for i in range(1500)}, block_rows=2).collect()
+    assert len({r.mix_position for r in rows}) == 6_000 and min(r.mix_position for r in rows) >= 0

@@ -1,22 +1,29 @@
 """Interleaving of sources to target weights, by Pfair scheduling.
 
-Each source is a task that gets one slot (a block of its documents) at a time. With integer weights w of sum W, block j of a
-source is released at slot floor(j * W / w) and due by slot ceil((j + 1) * W / w); among released blocks the earliest
-deadline goes first (ties: the source whose next window overlaps, then the longer run of such windows, as in PD; then the name). Up to any slot, each
-source is then less than one block away from its target. The schedule repeats every W slots, so one period, whose length
-is a parameter, tells the slot of every block; its table is the only thing that is broadcast.
+Each source is a task that gets one slot (a block of its documents) at a time. With weights w of sum W, block j of a source
+is released at slot floor(j * W / w) and due by slot ceil((j + 1) * W / w); among released blocks the earliest deadline goes
+first (ties: by name), which on one machine meets all deadlines. Up to any slot, each source is then less than one block
+away from its target. Weights are exact rationals (a float is one) and aren't rounded to a period, so this holds however
+long the mixture is. Slots are dealt on the driver up to the first one for which a source has no full block.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Slots of a period: weights are rounded to this many parts. It bounds the number of sources that can have a share.
+#: Parts that whole_weights rounds to by default; mix_sources doesn't round.
 PERIOD = 1_000
+#: Slots of the schedule that are broadcast at most; a longer one is joined by shuffle.
+BROADCAST_SLOTS = 1_000_000
 #: Rows of one order bucket, roughly: what one task ranks at once.
 BUCKET_ROWS = 20_000
 
@@ -41,42 +48,37 @@ def whole_weights(targets: dict, period: int = PERIOD) -> dict:
     return out
 
 
-def pfair_period(weights: dict) -> list:
-    """The source of each slot of one period."""
-    period = sum(weights.values())
-
-    def ceil(a: int, b: int) -> int:
-        return -(-a // b)
-
-    def entry(s: object, j: int) -> tuple:
-        w = weights[s]
-        due = ceil((j + 1) * period, w)
-        overlap = (j + 1) * period % w != 0
-        # the group deadline: where a run of windows of length 2 that overlap ends; only heavy tasks have it
-        group = 0
-        if overlap and 2 * w >= period:
-            k, at = j + 1, due
-            while k < w and ceil((k + 1) * period, w) - k * period // w == 2 and (k + 1) * period % w:
-                at = ceil((k + 1) * period, w)
-                k += 1
-            group = at
-        return (due, not overlap, -group, str(s), s, j)
-
-    future = [(0, str(s), s, 0) for s in weights]
-    heapq.heapify(future)
-    ready: list[tuple] = []
-    out = []
-    for slot in range(period):
+def exact_weights(targets: dict) -> dict:
+    """Integer weights in exactly the targets' proportions (of any sum), by name."""
+    positive = {s: Fraction(w) for s, w in targets.items() if w and w > 0}
+    scale = math.lcm(*(w.denominator for w in positive.values()))
+    return {s: int(positive[s] * scale) for s in sorted(positive, key=str)}
+
+
+def pfair_slots(weights: list[int]) -> Iterator[int]:
+    """The source (its place in weights) of each slot, without end."""
+    total = sum(weights)
+    turn = [0] * len(weights)
+    future = [(0, i) for i in range(len(weights))]
+    ready: list[tuple[int, int]] = []
+    slot = 0
+    while weights:
         while future and future[0][0] <= slot:
-            _, _, s, j = heapq.heappop(future)
-            heapq.heappush(ready, entry(s, j))
-        due, _, _, _, s, j = heapq.heappop(ready)
+            _, i = heapq.heappop(future)
+            heapq.heappush(ready, (-(-(turn[i] + 1) * total // weights[i]), i))
+        due, i = heapq.heappop(ready)
         if slot >= due:
             raise AssertionError("a block missed its deadline")
-        out.append(s)
-        if j + 1 < weights[s]:
-            heapq.heappush(future, ((j + 1) * period // weights[s], str(s), s, j + 1))
-    return out
+        yield i
+        turn[i] += 1
+        heapq.heappush(future, (turn[i] * total // weights[i], i))
+        slot += 1
+
+
+def pfair_period(weights: dict) -> list:
+    """The source of each slot of one period of integer weights."""
+    names = sorted(weights, key=str)
+    return [names[i] for i in islice(pfair_slots([weights[s] for s in names]), sum(weights.values()))]
 
 
 def max_deviation(order: list, weights: dict) -> Fraction:
@@ -104,39 +106,40 @@ def mix_sources(df: DataFrame, weights: dict | None = None, source_col: str = "s
 
     Ordering by mix_position gives the mixture. Within a source, order is by a keyed hash of the id. No row is dropped:
     mix_exact marks slots before the first source runs out of full blocks, up to where every source is less than one
-    block off its target; later slots leave out sources that are used up. weights: target by source, default the square
+    block off its target; later blocks follow in the order of the slots at which the weights release them, without those
+    of sources that are used up, so their slots have gaps. All sources take part, however many. weights: target by source, default the square
     root of each source's row count; sources without a weight (or of weight 0) come last, after all others, with
     mix_exact false. A null source is a source of its own, named "". Rows that repeat an id are rows of their own, in any
     order. Null ids come first within equal hashes. Columns of df that have the new names are replaced. An empty table
-    gives no rows.
+    gives no rows. period has no effect: weights aren't rounded. The driver holds a row per source and per exact slot.
     """
     new = ["mix_block", "mix_row", "mix_position", "mix_exact"]
     names = [c for c in df.columns if c not in new]
     packed = df.select(F.struct(*[df[c] for c in names]).alias("row"), F.coalesce(df[source_col].cast("string"), F.lit("")).alias("src"), df[id_col].alias("id"))
-    # as many rows as there are sources that can have a slot reach the driver; further ones have no weight
-    top = {r["src"]: r["count"] for r in packed.groupBy("src").count().orderBy(F.desc("count"), "src").limit(period).collect()}
-    n_rows = packed.count() if len(top) == period else sum(top.values())
-    chosen = whole_weights(weights if weights is not None else {s: n**0.5 for s, n in top.items()}, period)
-    order = pfair_period(chosen)
+    sizes = {r["src"]: r["count"] for r in packed.groupBy("src").count().collect()}
+    n_rows = sum(sizes.values())
+    chosen = exact_weights(weights if weights is not None else {s: n**0.5 for s, n in sizes.items()})
+    total, full = sum(chosen.values()), [sizes.get(s, 0) // block_rows for s in chosen]
+    order, turns, dealt = array("q"), array("q"), [0] * len(chosen)
+    for i in pfair_slots(list(chosen.values())):
+        if dealt[i] == full[i]:
+            break
+        order.append(i)
+        turns.append(dealt[i])
+        dealt[i] += 1
+    horizon = len(order)
+    # later blocks: source i has every len(chosen)-th slot from its place on; the distance of its blocks is bounded, so that positions stay 64-bit
+    bound = 2**61 // (block_rows * max(1, len(chosen)))
+    steps = [float(min(Fraction(total, w), Fraction(bound, n + 1))) for w, n in zip(chosen.values(), full, strict=True)]
+    last = horizon + max((int(x * (n + 1)) + 1 for x, n in zip(steps, full, strict=True)), default=0) * len(chosen)
     spark = df.sparkSession
-    turn: dict = dict.fromkeys(chosen, 0)
-    table = []
-    for slot, s in enumerate(order):
-        table.append((s, turn[s], slot, chosen[s]))
-        turn[s] += 1
-    # the first slot for which a source has no full block
-    full = {s: top.get(s, 0) // block_rows for s in chosen}
-    slots = {(s, j): slot for s, j, slot, _ in table}
-    horizon = min((full[s] // w * len(order) + slots[s, full[s] % w] for s, w in chosen.items()), default=0)
-    schedule = spark.createDataFrame(table, "src string, turn int, slot int, w int")
-    per = F.broadcast(schedule.groupBy("src").agg(F.max("w").alias("w")))
+    per = spark.createDataFrame(pa.table({"src": pa.array(list(map(str, chosen)), pa.string()), "i": pa.array(range(len(chosen)), pa.int64()), "step": pa.array(steps, pa.float64())}))
+    schedule = spark.createDataFrame(pa.table({"i": pa.array(order, pa.int64()), "block": pa.array(turns, pa.int64()), "slot": pa.array(range(horizon), pa.int64())}))
     # all sources without weight are ranked as one
-    tasks = packed.join(per, "src", "left").withColumn("src", F.when(F.col("w").isNotNull(), F.col("src")).otherwise("\u0000"))
+    tasks = packed.join(F.broadcast(per), "src", "left").withColumn("src", F.when(F.col("i").isNotNull(), F.col("src")).otherwise("\u0000"))
     ranked = _ranked(tasks, n_rows, seed).withColumn("block", F.floor(F.col("rank") / block_rows)).withColumn("place", F.col("rank") % block_rows)
-    ranked = ranked.withColumn("turn", F.when(F.col("w").isNotNull(), F.col("block") % F.col("w")).cast("int"))
-    placed = ranked.join(F.broadcast(schedule.drop("w")), ["src", "turn"], "left")
-    # sources without weight: after the last slot that any source with weight can need
-    last = max((-(-top.get(s, 0) // block_rows) // w + 1) * len(order) for s, w in chosen.items()) if chosen else 0
-    at = F.when(F.col("slot").isNotNull(), F.floor(F.col("block") / F.col("w")) * len(order) + F.col("slot")).otherwise(F.col("block") + last)
+    placed = ranked.join(F.broadcast(schedule) if horizon <= BROADCAST_SLOTS else schedule, ["i", "block"], "left")
+    later = F.lit(horizon) + F.floor(F.col("block") * F.col("step")) * len(chosen) + F.col("i")
+    at = F.when(F.col("slot").isNotNull(), F.col("slot")).when(F.col("i").isNotNull(), later).otherwise(F.col("block") + last)
     placed = placed.withColumn("at", at.cast("long"))
     return placed.select(*(F.col(f"row.`{c}`").alias(c) for c in names), F.col("at").alias("mix_block"), F.col("place").cast("int").alias("mix_row"), (F.col("at") * block_rows + F.col("place")).cast("long").alias("mix_position"), (F.col("at") < horizon).alias("mix_exact"))
