@@ -34,3 +34,29 @@ def test_edges(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         ann.nearest(table(spark, [(0, [1.0]), (1, [1.0, 2.0])]), df)
+
+
+def test_large_group_of_copies(spark, request):
+    # rows reach a list from several partitions, not in the order of ids
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    # 3,000 of 4,000 rows are one vector, which many others are near to; ids in no order
+    r = np.random.default_rng(1)
+    hot = r.normal(size=16).astype(np.float32)
+    x = np.where(np.arange(4000)[:, None] % 4 > 0, hot, hot + r.normal(size=(4000, 16)).astype(np.float32) / 4).astype(np.float32)
+    ids = r.permutation(4000)
+    df = table(spark, [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)])
+    got = {}
+    for row in ann.nearest(df, df.where("vec_id % 50 = 0"), k=20).collect():
+        got.setdefault(row.query_id, {})[row.rank] = row.vec_id
+    y, at, hit = x.astype(float), np.argsort(ids), 0
+    for q, found in got.items():
+        s = (y * y[at[q]]).sum(axis=1)
+        s[at[q]] = -np.inf
+        want = ids[np.lexsort((ids, -s))[:20]].tolist()
+        hit += len(set(found.values()) & set(want))
+    assert len(got) == 80 and hit / 1600 >= 0.99, hit / 1600
+    # copies alone: the smallest ids in order, but its own
+    same = table(spark, [(int(i), [1.0, 2.0]) for i in ids])
+    got = [r.vec_id for r in sorted(ann.nearest(same, same.where("vec_id = 3"), k=20).collect(), key=lambda r: r.rank)]
+    assert got == [0, 1, 2, *range(4, 21)]

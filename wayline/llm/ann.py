@@ -1,8 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Centroids and codebooks are fitted on a bounded sample; every row is indexed. A query looks into its nearest lists, ranks
-their rows by asymmetric distance tables (query against codebook), and reranks the best by exact inner product in double
-precision on the original vectors.
+Centroids and codebooks are fitted on a bounded sample; every distinct vector is indexed, with the smallest ids of its
+rows. A query looks into its nearest lists, ranks their vectors by asymmetric distance tables (query against codebook),
+reranks the best by exact inner product in double precision, and takes the ids of the best vectors.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from wayline.llm import common
 
-#: Rows that centroids and codebooks are fitted on at most: those with the smallest keyed hashes of their ids.
+#: Distinct vectors that centroids and codebooks are fitted on at most: those with the smallest keyed hashes of their ids.
 SAMPLE = 20_000
-#: Rows that an inverted list has, roughly, and that one task takes of it at most.
+#: Distinct vectors that an inverted list has, roughly, and that one task takes of it at most.
 LIST_ROWS, PART_ROWS = 4_096, 8_192
 SUBSPACES, CODES = 16, 64
 
@@ -73,11 +73,17 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(ok)
 
 
+def distinct_vectors(rows: DataFrame, n: int) -> DataFrame:
+    """(id, ids, v) per distinct v of rows (id, v): the n smallest ids in order, id the first. Each part cuts a large group first, so no task gets it whole."""
+    some = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("n") <= n)
+    return some.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.get("ids", F.lit(0)).alias("id"), "ids", "v")
+
+
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", share: float = 0.75, rerank: int = 512) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest rows by inner product, its own id left out; ties to the smaller id.
 
-    share: part of the lists that a query probes (at least 8 lists); rerank: rows of a list part that get exact scores
-    for a query. Vectors null, zero, or with null or non-finite components take no part, nor do rows without id; all
+    share: part of the lists that a query probes (at least 8 lists); rerank: distinct vectors of a list part
+    that get exact scores for a query, and all that tie with the last of them. Vectors null, zero, or with null or non-finite components take no part, nor do rows without id; all
     others must have one length, else a ValueError tells. Ids are taken as keys: of rows that repeat one, the first in
     vector order stays. Fewer candidates than k: all of them. Empty tables give no rows. Other columns aren't read.
     """
@@ -86,7 +92,8 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     schema = "query_id long, rank int, vec_id long, score double"
     rows = usable(df, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
     asks = usable(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v"))
-    rows = common.stored(rows, "vectors")
+    # a query can leave out one id of a vector, its own
+    rows = common.stored(distinct_vectors(rows, k + 1), "vectors")
     n, low, high = rows.agg(F.count("*"), F.min(F.size("v")), F.max(F.size("v"))).first()
     if not n:
         return spark.createDataFrame([], schema)
@@ -103,7 +110,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
             x = np.stack(b["v"].to_numpy())
             at = shared.value.lists_of(x)
             codes = shared.value.encode(x, at)
-            yield pd.DataFrame({"list": at, "id": b["id"], "code": [c.tobytes() for c in codes], "v": [r.tobytes() for r in x]})
+            yield pd.DataFrame({"list": at, "id": b["id"], "ids": b["ids"], "code": [c.tobytes() for c in codes], "v": [r.tobytes() for r in x]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,7 +118,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
             at = shared.value.probes(x, probes)
             yield pd.DataFrame({"list": at.ravel(), "id": np.repeat(b["id"].to_numpy(), at.shape[1]), "v": np.repeat(np.array([r.tobytes() for r in x], object), at.shape[1])})
 
-    indexed = common.stored(rows.mapInPandas(index, "list long, id long, code binary, v binary"), "inverted")
+    indexed = common.stored(rows.mapInPandas(index, "list long, id long, ids array<long>, code binary, v binary"), "inverted")
     sizes = indexed.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {PART_ROWS}) as int)").alias("parts"))
     asked = common.stored(asks.mapInPandas(ask, "list long, id long, v binary"), "asked")
     turns = asked.groupBy("list").agg(F.expr(f"cast(ceil(count(*) / {PART_ROWS}) as int)").alias("turns"))
@@ -124,6 +131,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         if not len(mine) or not len(theirs):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         ids, qids = mine["id"].to_numpy(), theirs["id"].to_numpy()
+        members = mine["ids"].to_numpy()
         codes = np.stack([np.frombuffer(c, np.uint8) for c in mine["code"]])
         x = np.stack([np.frombuffer(v, np.float64) for v in mine["v"]])
         q = np.stack([np.frombuffer(v, np.float64) for v in theirs["v"]])
@@ -135,15 +143,19 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
             for s in range(codes.shape[1]):
                 rough += table[:, s, :][:, codes[:, s]]
             m = min(rerank, len(ids))
-            best = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-            for i in range(len(best)):
-                at = best[i][ids[best[i]] != qids[lo + i]]
-                score = x[at] @ q[lo + i]
-                top = at[np.lexsort((ids[at], -score))[:k]]
-                out.append((np.full(len(top), qids[lo + i]), ids[top], (x[top] * q[lo + i]).sum(axis=1)))
+            cut = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m]
+            for i in range(len(cut)):
+                at = np.flatnonzero(rough[i] >= cut[i])
+                score = (x[at] * q[lo + i]).sum(axis=1)
+                top = np.lexsort((ids[at], -score))[: k + 1]
+                own = np.concatenate([members[j] for j in at[top]])
+                score = np.repeat(score[top], [len(members[j]) for j in at[top]])[own != qids[lo + i]]
+                own = own[own != qids[lo + i]]
+                first = np.lexsort((own, -score))[:k]
+                out.append((np.full(len(first), qids[lo + i]), own[first], score[first]))
         return pd.DataFrame({c: np.concatenate([o[j] for o in out]) for j, c in enumerate(("query_id", "vec_id", "score"))})
 
     keys = ["list", "part", "turn"]
-    found = left.select(*keys, "id", "code", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = left.select(*keys, "id", "ids", "code", "v").groupBy(*keys).cogroup(right.select(*keys, "id", "v").groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
