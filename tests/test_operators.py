@@ -219,3 +219,40 @@ def test_streams_equal_batches(spark, tmp_path):
     got = jobs.collected(jobs.stream_transitions(s), "moved", str(tmp_path / "c2"))
     want = b.groupBy("user_id").count().agg(F.sum(F.col("count") - 1)).first()[0]
     assert got.count() == want
+
+
+@pytest.fixture
+def many_points(spark, tmp_path):
+    """A folder whose embeddings have more rows than the SQL samples, and the rows."""
+    rng = np.random.default_rng(7)
+    label = rng.integers(0, 3, 900)
+    x = (rng.normal(size=(900, 64)) + label[:, None]).astype(np.float32)
+    x[3] = x[800]
+    spark.createDataFrame([(i, r.tolist(), int(k)) for i, (r, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    return str(tmp_path), x.astype(float), label
+
+
+def test_pairs_of_all_rows(spark, many_points, monkeypatch):
+    from wayline.plans import code_queries
+
+    sf, x, label = many_points
+    monkeypatch.setattr(geometry, "BLOCK_ROWS", 250)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    half = d[np.triu_indices(900, 1)]
+    got = code_queries.pairwise_distance_stats(spark, sf).first()
+    assert got.n == 900 * 899 // 2 and (got["mean"], got["std"], got.least, got.most) == pytest.approx((half.mean(), half.std(), half.min(), half.max()), abs=1e-6)
+    near = {(r.a, r.rk): r.b for r in code_queries.knn_graph(spark, sf).collect()}
+    r = np.round(d, 9)
+    np.fill_diagonal(r, np.inf)
+    want = np.argsort(r, axis=1, kind="stable")[:, :10]
+    assert near == {(a, k + 1): want[a, k] for a in range(900) for k in range(10)}
+    same = label[:, None] == label[None]
+    np.fill_diagonal(same, False)
+    own = (d * same).sum(axis=1) / same.sum(axis=1)
+    other = np.min([np.where(label == k, np.inf, d[:, label == k].mean(axis=1)) for k in range(3)], axis=0)
+    assert code_queries.silhouette(spark, sf).first().silhouette == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-6)
+    w = np.exp(-d * d / 2)
+    w = w / np.sqrt(np.outer(w.sum(axis=1), w.sum(axis=1)))
+    w = w / w.sum(axis=1, keepdims=True)
+    got = {r.a: (r.top, r.concentration) for r in code_queries.diffusion_operator(spark, sf).collect()}
+    assert len(got) == 900 and all(got[a] == pytest.approx((w[a].max(), (w[a] ** 2).sum()), abs=2e-6) for a in range(900))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Points that quadratic operators (densities, homology) take at most.
 MAX_POINTS = 5_000
+#: Rows of one block of all_pairs, roughly.
+BLOCK_ROWS = 1_024
 
 
 def sample(df: DataFrame, id_col: str, vec: str, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -23,6 +28,36 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
 
 
+def all_pairs(df: DataFrame, fold: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """fold of every pair of blocks of df (vec_id, vec, ...): its arguments are rows x, rows y in order of vec_id, their distances, and where ids differ.
+
+    Rows are dealt over blocks by hash and each block meets each, so a task holds two blocks, however many rows there are.
+    """
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        x, y = both[~both["second"]], both[both["second"]].sort_values("vec_id", kind="stable")
+        b = np.stack(y["vec"].to_numpy()).astype(float) if len(y) else None
+        out = []
+        for at in range(0, len(x) if len(y) else 0, 256):
+            some = x.iloc[at : at + 256]
+            a = np.stack(some["vec"].to_numpy()).astype(float)
+            norms = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)
+            d = norms - 2 * a @ b.T
+            # products cancel for near points: their differences are taken
+            i, j = np.nonzero(d < 1e-4 * norms)
+            for k in range(0, len(i), 10_000):
+                p, q = i[k : k + 10_000], j[k : k + 10_000]
+                d[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
+            out.append(fold(some, y, np.sqrt(d), some["vec_id"].to_numpy()[:, None] != y["vec_id"].to_numpy()))
+        return pd.concat(out) if out else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
+
+    own, every = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
+    meets = F.expr("explode(array(named_struct('second', false, 'bx', own, 'by', other), named_struct('second', true, 'bx', other, 'by', own)))")
+    dealt = df.withColumn("own", own).withColumn("other", F.explode(every)).withColumn("at", meets)
+    return dealt.select(*df.columns, "at.second", "at.bx", "at.by").groupBy("bx", "by").applyInPandas(run, schema)
+
+
 def spanning_tree(d: np.ndarray) -> np.ndarray:
     """(n - 1, 3) of i, j, length, by Prim's method, sorted by length."""
     n = len(d)

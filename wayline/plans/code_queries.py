@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import codes
+from wayline.operators import codes, geometry
 from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -242,21 +243,39 @@ _SAMPLE = f"SELECT vec_id, label, vec FROM ({TRAJ_VEC_SQL}) ORDER BY md5(CAST(ve
 _PD = f"SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(a.vec, b.vec) AS d FROM ({_SAMPLE}) a JOIN ({_SAMPLE}) b ON a.vec_id <> b.vec_id"
 
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs of a bounded sample (500 rows), the sample broadcast."""
-    s = views.traj_vec(spark, sf).select("vec_id", "label", "vec").orderBy(F.md5(F.col("vec_id").cast("string")), "vec_id").limit(500)
-    x = s.alias("a").crossJoin(F.broadcast(s.alias("b"))).where("a.vec_id != b.vec_id")
-    return x.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.col("a.label").alias("la"), F.col("b.label").alias("lb"), F.sqrt(v.squared_distance(F.col("a.vec"), F.col("b.vec"))).alias("d"))
+def _points(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows; the SQL takes 500, so it says the same only for tables of up to 500 rows."""
+    return views.traj_vec(spark, sf).select("vec_id", "label", "vec")
 
 
 @query(f"SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS least, round(max(d), 6) AS most FROM ({_PD}) WHERE a < b")
 def pairwise_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return _pairs(spark, sf).where("a < b").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.stddev_pop("d"), 6).alias("std"), F.round(F.min("d"), 6).alias("least"), F.round(F.max("d"), 6).alias("most"))
+    def fold(x, y, d, other):
+        v = d[x["vec_id"].to_numpy()[:, None] < y["vec_id"].to_numpy()]
+        m = v.mean() if len(v) else 0.0
+        return pd.DataFrame([(len(v), m, ((v - m) ** 2).sum(), v.min(), v.max())] if len(v) else [], columns=["n", "m", "m2", "least", "most"])
+
+    p = geometry.all_pairs(_points(spark, sf), fold, "n long, m double, m2 double, least double, most double")
+    t = p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("m") * F.col("m")).alias("sq"), F.min("least").alias("least"), F.max("most").alias("most"))
+    std = F.sqrt(F.greatest(F.col("sq") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
+    return t.select("n", F.round("mean", 6).alias("mean"), F.round(F.when(F.col("n") > 0, std), 6).alias("std"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
 
 
 @query(f"SELECT a, b, CAST(rk AS INTEGER) AS rk FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rk FROM ({_PD})) WHERE rk <= 10")
 def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return codes.first_per_group(_pairs(spark, sf).withColumn("r", F.round("d", 9)), "a", [F.col("r"), F.col("b")], 10).select("a", "b", "rk")
+    def fold(x, y, d, other):
+        r = np.where(other, np.round(d, 9), np.inf)
+        k = min(10, r.shape[1]) - 1
+        i, j = np.nonzero(r <= np.partition(r, k, axis=1)[:, k, None])  # of ties, smaller ids come first
+        order = np.lexsort((r[i, j], i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) <= k
+        i, j = i[first], j[first]
+        out = pd.DataFrame({"a": x["vec_id"].to_numpy()[i], "b": y["vec_id"].to_numpy()[j], "r": r[i, j]})
+        return out[np.isfinite(out["r"])]
+
+    best = geometry.all_pairs(_points(spark, sf), fold, "a long, b long, r double")
+    return codes.first_per_group(best, "a", [F.col("r"), F.col("b")], 10).select("a", "b", "rk")
 
 
 _SIL = f"SELECT a, la, lb, sum(d) AS s, count(*) AS n FROM ({_PD}) GROUP BY a, la, lb"
@@ -265,7 +284,15 @@ _SIL = f"SELECT a, la, lb, sum(d) AS s, count(*) AS n FROM ({_PD}) GROUP BY a, l
 @query(f"""WITH s AS ({_SIL}), i AS (SELECT a, max(s / n) FILTER (la = lb) AS own, min(s / n) FILTER (la <> lb) AS other FROM s GROUP BY a)
     SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM i""")
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    s = _pairs(spark, sf).groupBy("a", "la", "lb").agg(F.avg("d").alias("m"))
+    def fold(x, y, d, other):
+        code, labels = pd.factorize(y["label"])
+        each = (code[:, None] == np.arange(len(labels))).astype(float)
+        s, n = (d * other) @ each, other.astype(float) @ each
+        out = pd.DataFrame({"a": np.repeat(x["vec_id"].to_numpy(), len(labels)), "la": np.repeat(x["label"].to_numpy(), len(labels)), "lb": np.tile(np.asarray(labels), len(x)), "s": s.ravel(), "n": n.ravel()})
+        return out[out["n"] > 0]
+
+    sums = geometry.all_pairs(_points(spark, sf), fold, "a long, la long, lb long, s double, n double")
+    s = sums.groupBy("a", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("m"))
     i = s.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     return i.agg(r6(F.avg(F.coalesce((F.col("other") - F.col("own")) / F.greatest("own", "other"), F.lit(0.0)))).alias("silhouette"))
 
@@ -274,12 +301,21 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     g AS (SELECT a, sum(w) AS q FROM k GROUP BY a), m AS (SELECT k.a, k.b, w / sqrt(x.q * y.q) AS w FROM k JOIN g x ON x.a = k.a JOIN g y ON y.a = k.b)
     SELECT a, round(max(w / s), 6) AS top, round(sum((w / s) ** 2), 6) AS concentration FROM (SELECT *, sum(w) OVER (PARTITION BY a) AS s FROM m) GROUP BY a""")
 def diffusion_operator(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaussian kernel, degrees to the power -1/2, rows normalised; by row, what can be compared."""
-    p = _pairs(spark, sf)
-    k = p.select("a", "b", F.exp(-F.col("d") * F.col("d") / 2).alias("w")).unionByName(p.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("w")))
-    g = k.groupBy("a").agg(F.sum("w").alias("q"))
-    m = k.join(g, "a").join(g.select(F.col("a").alias("b"), F.col("q").alias("q2")), "b").select("a", "b", (F.col("w") / F.sqrt(F.col("q") * F.col("q2"))).alias("w"))
-    t = m.groupBy("a").agg(F.max("w").alias("mw"), F.sum(F.col("w") * F.col("w")).alias("w2"), F.sum("w").alias("s"))
+    """Gaussian kernel, degrees to the power -1/2, rows normalised; by row, what can be compared. Two passes over the pairs; a row's weight with itself is 1."""
+
+    def degree(x, y, d, other):
+        return pd.DataFrame({"a": x["vec_id"].to_numpy(), "w": (np.exp(-d * d / 2) * other).sum(axis=1)})
+
+    def row(x, y, d, other):
+        w = np.exp(-d * d / 2) * other / np.sqrt(x["q"].to_numpy()[:, None] * y["q"].to_numpy())
+        return pd.DataFrame({"a": x["vec_id"].to_numpy(), "q": x["q"].to_numpy(), "mw": w.max(axis=1), "w2": (w * w).sum(axis=1), "s": w.sum(axis=1)})
+
+    x = _points(spark, sf)
+    g = geometry.all_pairs(x, degree, "a long, w double").groupBy("a").agg((F.sum("w") + 1).alias("q"))
+    m = geometry.all_pairs(x.join(g.withColumnRenamed("a", "vec_id"), "vec_id"), row, "a long, q double, mw double, w2 double, s double")
+    own = 1 / F.col("q")
+    t = m.groupBy("a", "q").agg(F.max("mw").alias("mw"), F.sum("w2").alias("w2"), F.sum("s").alias("s"))
+    t = t.select("a", F.greatest("mw", own).alias("mw"), (F.col("w2") + own * own).alias("w2"), (F.col("s") + own).alias("s"))
     return t.select("a", F.round(F.col("mw") / F.col("s"), 6).alias("top"), F.round(F.col("w2") / (F.col("s") * F.col("s")), 6).alias("concentration"))
 
 
