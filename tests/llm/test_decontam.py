@@ -51,3 +51,12 @@ def test_empty(spark, docs):
 def test_proximity(docs):
     index = decontam.build_index(docs([(1, "red big green house"), (2, "green a a a a a a red"), (3, "red"), (4, "green")]))
     assert sorted((r.doc_id, r.position) for r in decontam.proximity_matches(index, ["red", "green"], 3).collect()) in ([(1, 0)], [(1, 2)])
+
+
+@pytest.mark.parametrize("limit", [32_000_000, 60])
+def test_repeated_items_count_once(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(decontam, "BENCHMARK_BYTES", limit)
+    items = [(7, "ab cd"), (7, "ef gh"), (7, "ab cd"), (None, "cd ef"), (None, "gh ij"), (8, "zz")]
+    found = decontam.contamination(docs([(1, "ab cd ef gh ij"), (2, "zz"), (3, "ab")]), spark.createDataFrame(items, "item_id long, text string"))
+    got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"])) for r in found.collect()}
+    assert got == {1: (5, 2, ["7", "null"]), 2: (1, 1, ["8"]), 3: (0, 0, [])}

@@ -225,9 +225,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
             part = _search(index, Windows([tuple(x) for x in some.collect()], width), True)
             part = common.stored(part if not r else part.where("n_hit > 0"), "found")
             parts = part if parts is None else parts.unionByName(part)
-        merged = parts.groupBy("block", "row").agg(F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list(F.expr("transform(sequence(0, greatest(size(places) div 2 - 1, 0)), i -> struct(get(places, 2 * i) as s, get(places, 2 * i + 1) as e))"))).alias("p"))
+        merged = parts.groupBy("block", "row").agg(F.any_value("id").alias("id"), F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list(F.expr("transform(sequence(0, greatest(size(places) div 2 - 1, 0)), i -> struct(get(places, 2 * i) as s, get(places, 2 * i + 1) as e))"))).alias("p"))
         merged = merged.withColumn("p", F.array_sort(F.expr("filter(p, x -> x.s is not null)")))
         merged = merged.withColumn("p", F.expr("aggregate(p, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) -> case when size(a) > 0 and a[size(a) - 1].e >= x.s then concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].s as s, greatest(a[size(a) - 1].e, x.e) as e))) else concat(a, array(x)) end)"))
         found = merged.withColumn("n_hit", F.expr("aggregate(p, 0L, (a, x) -> a + x.e - x.s)")).withColumn("places", F.expr("flatten(transform(p, x -> array(x.s, x.e)))"))
+    found = found.withColumn("items", F.array_distinct("items"))
     out = found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"), "places")
     return out if spans else out.drop("places")
