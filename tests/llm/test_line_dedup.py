@@ -66,3 +66,11 @@ def test_edges(docs):
     assert by[None] == [("x y", 1, 0)] and by[1] == [("z", 2, 1)] * 2 and by[2] == [(None, 0, 0)] and by[3] == [("", 0, 0)]
     assert by[5][0][1] == 30_000 and by[5][0][0] == "q\nq\n"
     assert line_dedup.dedup_lines(docs([])).count() == 0
+
+
+def test_runs_that_end_short_of_the_depth(docs):
+    # the last lines begin no run of 50 words, and end one that begins far before them
+    text = " ".join(f"w{i}" for i in range(50)) + "\n" + "\n".join(f"v{i}" for i in range(20))
+    rows = [(1, text), (2, text), (3, "x\n" + text)]
+    got = {x.doc_id: (x.text, x.n_removed) for x in line_dedup.dedup_lines(docs(rows)).collect()}
+    assert got == brute(rows, 50) and got[2] == ("", 21) and got[3] == ("x", 21)

@@ -34,7 +34,7 @@ def _minimal_runs(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.nda
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """(id, th, line, h, forward, backward) for every line of docs (id, th, text)."""
+    """(id, th, line, h, forward, backward, longest) for every line of docs (id, th, text); longest: lines of the longest minimal run that begins there, forward or backward."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,10 +56,12 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 for r in filled:
                     s = slice(first[r], first[r + 1])
                     forward[s], backward[s] = _minimal_runs(words[s], min_words)
+                longest, ending = forward.copy(), np.flatnonzero(backward)
+                np.maximum.at(longest, ending - backward[ending] + 1, backward[ending])
                 at = pa.array(owner + int(block.rows[0]))
-                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array((np.arange(len(h)) - first[owner]).astype(np.int32)), pa.array(h), pa.array(forward.astype(np.int32)), pa.array(backward.astype(np.int32))], names=["id", "th", "line", "h", "forward", "backward"])
+                yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array((np.arange(len(h)) - first[owner]).astype(np.int32)), pa.array(h), pa.array(forward.astype(np.int32)), pa.array(backward.astype(np.int32)), pa.array(longest.astype(np.int32))], names=["id", "th", "line", "h", "forward", "backward", "longest"])
 
-    return docs.mapInArrow(run, f"id {kind}, th long, line int, h long, forward int, backward int")
+    return docs.mapInArrow(run, f"id {kind}, th long, line int, h long, forward int, backward int, longest int")
 
 
 def _numbered(groups: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -82,7 +84,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     lines = common.stored(_lines(docs, min_words).dropDuplicates(["id", "th", "line"]), "lines")
     counts = lines.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     ranks = _numbered(counts, ["h"], "rank0")
-    live = common.stored(lines.join(ranks.select("h", "rank"), "h").select("id", "th", "line", "forward", "backward", "rank"), "depth1")
+    live = common.stored(lines.join(ranks.select("h", "rank"), "h").select("id", "th", "line", "longest", "rank"), "depth1")
     runs, depth, level = None, 1, 0
     while True:
         starts = lines.where(f"forward >= {depth} and forward < {2 * depth}").select("id", "th", "line", F.col("forward").alias("m"))
@@ -90,7 +92,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         here = _beside(starts, live.select("id", "th", "line", "rank"), F.lit(0)).withColumnRenamed("rank", "r1")
         here = _beside(here, live.select("id", "th", "line", "rank"), F.col("x.m") - depth).withColumnRenamed("rank", "r2").withColumn("level", F.lit(level))
         runs = here if runs is None else runs.unionByName(here)
-        if live.where(f"forward >= {2 * depth} or backward >= {2 * depth}").isEmpty():
+        # a run is named by the line it begins at, which must be live; the lines it ends with needn't be
+        if live.where(f"longest >= {2 * depth}").isEmpty():
             break
         pairs = _beside(live.withColumnRenamed("rank", "r1"), live.select("id", "th", "line", "rank"), F.lit(depth)).withColumnRenamed("rank", "r2")
         pairs = common.stored(pairs, "pairs")
