@@ -1,6 +1,7 @@
 import public_tokenizers as P
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wayline.llm import token_counts as tc
@@ -44,3 +45,28 @@ def test_rows(docs):
     got = sorted((r.doc_id or 0, r.n_bytes, r.n_tokens) for r in tc.prefix_token_counts(docs(rows)).collect())
     assert got == sorted((i or 0, len((t or "").encode()), count(t or "")) for i, t in rows)
     assert tc.prefix_token_counts(docs([])).count() == 0
+
+
+def test_texts_of_regular_build():
+    # words over two letters and their complements agree in every polynomial hash modulo 2**64
+    for pair in ("ab", "in", "a\u00e9"):
+        for n in (64, 1024, 4096):
+            a = pair[0]
+            while len(a) < n:
+                a += a.translate(str.maketrans(pair, pair[::-1]))
+            texts = [a, a.translate(str.maketrans(pair, pair[::-1]))]
+            assert [tc.prefix_count(d, n) for d in tc.counter().deltas_of(texts)] == [count(t) for t in texts]
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    counter = tc.PrefixCounter(P.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tc.common, "span_hashes", lambda data, starts, ends, lanes=1: (ends - starts).astype("uint64") % 3)
+    texts = ["the cat sat", "internationalisation zzzq", "  \n x<|endoftext|>'re"]
+    for _ in range(2):
+        assert [tc.prefix_count(d, len(t)) for d, t in zip(counter.deltas_of(texts), texts)] == [count(t) for t in texts]
+
+
+def test_clashing_names(docs):
+    df = docs([(1, "a b")]).withColumnsRenamed({"doc_id": "n_tokens"}).withColumn("n_bytes", F.lit("x"))
+    out = tc.prefix_token_counts(df, id_col="n_tokens")
+    assert out.columns == ["n_tokens", "n_bytes", "n_chars", "prefix_deltas"] and tuple(out.first())[:3] == (1, 3, 3)

@@ -5,7 +5,9 @@ Text kernels work on UTF-8 bytes of an Arrow batch with numpy: no Python object
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,6 +17,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step handles; a longer single text is handled alone.
 BLOCK_BYTES = 500_000
@@ -41,9 +44,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where unset (local tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where unset a temporary one, if all run on one machine, else an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="wayline-shared-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -70,6 +75,29 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def named(df: DataFrame, id_col: str, made: list[str]) -> DataFrame:
+    """df's column _id as id_col, then the columns made; one of these that has the id column's name is left out."""
+    return df.select(F.col("_id").alias(id_col), *(c for c in made if c != id_col))
+
+
+#: A key is hot if it has more rows than this and than one part in HOT_SHARE of all: so there are at most HOT_SHARE of them.
+HOT_ROWS, HOT_SHARE = 4_096, 1_000
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has a row per key with size, the number of rows of the key among total rows.
+
+    Rows of a hot key are dealt over several tasks by the hash of the column spread, and meet a copy of their group in
+    each. The broadcast table of hot keys has HOT_SHARE rows at most. size stays out of the result.
+    """
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    salts = F.expr(f"cast(ceil(size / {limit}.0) as int)")
+    hot = groups.where(F.col("size") > limit).select(*keys, salts.alias("_salts"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.expr(f"cast(pmod(xxhash64({spread}), coalesce(_salts, 1)) as int)")).drop("_salts")
+    copies = groups.withColumn("_salt", F.explode(F.expr(f"sequence(0, if(size > {limit}, cast(ceil(size / {limit}.0) as int), 1) - 1)"))).drop("size")
+    return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
 # ---------------------------------------------------------------- hashing
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -84,32 +112,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_RNG = np.random.default_rng(20240607)
-#: A random value for each byte, and an odd base with its inverse modulo 2**64.
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, name: str) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept and doubled."""
-    have = _powers.get(name)
-    if have is None or len(have) < n:
-        p = np.ones(1, np.uint64)
-        while len(p) < n:
-            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 2**64))])
-        _powers[name] = have = p
-    return have[:n]
-
-
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of values[start:end] for each span; values: uint64, one per byte or symbol."""
-    n = len(values)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(values * _power(_BASE, n, "up"), out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_BASE_INV, n + 1, "down")[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+#: Per lane of span_hashes: an odd factor and a start value. Spans of more than LONG_SPAN bytes are digested one by one.
+_FACTOR = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
+_START = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
+_MASK = np.array([2 ** (8 * i) - 1 for i in range(9)], np.uint64)
+LONG_SPAN = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lanes: int = 1) -> np.ndarray:
+    """A 64-bit hash of the bytes data[start:end] of each span; with two lanes 128 bits, as rows (spans, 2).
+
+    Eight bytes at a time are mixed into a state that began with the span's length. Spans of at most eight bytes and
+    equal length never share a hash; for others it is as for random values. No sum over places is formed, so texts of
+    regular build don't meet, as they do in polynomial hashes.
+    """
+    at = np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    size = ends - starts
+    out = np.empty((len(starts), lanes), np.uint64)
+    long = np.flatnonzero(size > LONG_SPAN)
+    todo = np.flatnonzero(size <= LONG_SPAN) if len(long) else np.arange(len(starts))
+    for lane in range(lanes):
+        out[:, lane] = mix64(size.astype(np.uint64) * _FACTOR[lane] + _START[lane])
+    for step in range(0, LONG_SPAN, 8):
+        todo = todo[size[todo] > step]
+        if not len(todo):
+            break
+        chunk = at[starts[todo] + step] & _MASK[np.minimum(size[todo] - step, 8)]
+        for lane in range(lanes):
+            out[todo, lane] = mix64(out[todo, lane] * _FACTOR[lane] + (chunk if not lane else (chunk << np.uint64(23)) | (chunk >> np.uint64(41))))
+    for i in long:
+        out[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8 * lanes).digest(), "<u8")
+    return out[:, 0] if lanes == 1 else out
 
 
 # ---------------------------------------------------------------- bytes of a batch
@@ -168,7 +201,7 @@ def words(block: Block, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def word_hashes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, A-Z lower-cased."""
-    return span_hashes(_BYTE[LOWER[block.data]], starts, ends)
+    return span_hashes(LOWER[block.data], starts, ends)
 
 
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -73,7 +73,8 @@ class PrefixCounter:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known pre-tokens
         self.slot = np.zeros(0, np.int64)  # their place in self.first
         self.first = np.zeros(1, np.int64)
-        self.deltas = np.zeros(0, np.int8)
+        self.chars = np.zeros(0, np.uint32)  # the known pre-tokens, one after another
+        self.deltas = np.zeros(0, np.int16)  # and their deltas
 
     def follows(self, a: int, b: int) -> bool:
         """Whether the merges keep a and b apart when their bytes stand side by side.
@@ -132,8 +133,8 @@ class PrefixCounter:
         if piece in ("'re", "'ve", "'ll"):
             # a cut contraction is split before its letter: "'r" is two pre-tokens
             d = [1, 1, counts[-1] - 2]
-        if max(d) > 127 or min(d) < -127:
-            raise ValueError("a count jumps by more than 127 at one character")
+        if max(d) > 32_767 or min(d) < -32_767:
+            raise ValueError("a count jumps by more than 32,767 at one character")
         return d
 
     def learn(self, hashes: np.ndarray, texts: list[str]) -> None:
@@ -144,13 +145,14 @@ class PrefixCounter:
             sizes.append(len(d))
         slots = np.arange(len(texts)) + len(self.first) - 1
         self.first = np.concatenate([self.first, np.cumsum(sizes) + self.first[-1]])
-        self.deltas = np.concatenate([self.deltas, np.array(new, np.int8)])
+        self.chars = np.concatenate([self.chars, np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)])
+        self.deltas = np.concatenate([self.deltas, np.array(new, np.int16)])
         order = np.argsort(hashes, kind="stable")
         at = np.searchsorted(self.keys, hashes[order])
         self.keys, self.slot = np.insert(self.keys, at, hashes[order]), np.insert(self.slot, at, slots[order])
 
     def deltas_of(self, texts: list[str]) -> list[bytes]:
-        """For each text an int8 per character: the token count's change from prefix i to prefix i + 1."""
+        """For each text an int16 per character: the token count's change from prefix i to prefix i + 1."""
         plain = [t if not self.special_at or not self.special_at.search(t) else "" for t in texts]
         sizes = np.array([len(t) for t in plain], np.int64)
         bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -165,10 +167,10 @@ class PrefixCounter:
     def _plain(self, codes: np.ndarray, bounds: np.ndarray, text: str) -> np.ndarray:
         n = len(codes)
         if not n:
-            return np.zeros(0, np.int8)
+            return np.zeros(0, np.int16)
         starts = split_starts(self.classes[codes], codes, bounds)
         ends = np.append(starts[1:], n)
-        hashes = common.span_hashes(common.mix64(codes.astype(np.uint64) + np.uint64(0x51ED27)), starts, ends)
+        hashes = common.span_hashes(codes.view(np.uint8), 4 * starts, 4 * ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_ENTRIES:
             self.reset()
@@ -178,10 +180,15 @@ class PrefixCounter:
             new = np.flatnonzero(~known)
             self.learn(distinct[new], [text[starts[where[j]] : ends[where[j]]] for j in new])
             at = np.searchsorted(self.keys, distinct)
-        slot = self.slot[at][back]
-        flat = self.deltas[np.repeat(self.first[slot] - starts, ends - starts) + np.arange(n)].astype(np.int64)
+        slot, size = self.slot[at][back], ends - starts
+        place = np.minimum(np.repeat(self.first[slot] - starts, size) + np.arange(n), len(self.chars) - 1)
+        flat = self.deltas[place].astype(np.int64)
+        # a hash only proposes: pre-tokens whose characters differ from the known one's are counted on their own
+        other = np.add.reduceat(self.chars[place] != codes, starts, dtype=np.int64) + (self.first[slot + 1] - self.first[slot] != size)
+        for j in np.flatnonzero(other):
+            flat[starts[j] : ends[j]] = self.char_deltas(text[starts[j] : ends[j]])
         self._spaces(flat, codes, bounds, text)
-        return flat.astype(np.int8)
+        return flat.astype(np.int16)
 
     def _spaces(self, flat: np.ndarray, codes: np.ndarray, bounds: np.ndarray, text: str) -> None:
         """A prefix that ends with a run of two or more white-space characters has the run as one pre-token, though the whole text splits it."""
@@ -202,18 +209,22 @@ class PrefixCounter:
             flat[e + 1] -= diff
 
     def _special(self, text: str) -> bytes:
-        """A text with special strings: each is one token; prefixes that cut one have its part as plain text."""
+        """A text with special strings: each is one token; prefixes that cut one have its part as plain text, which only the last pre-token before it can join."""
         out, at = [], 0
         for m in self.special_at.finditer(text):
             part = text[at : m.start()]
-            d = np.frombuffer(self.deltas_of([part])[0], np.int8).astype(np.int64)
+            d = np.frombuffer(self.deltas_of([part])[0], np.int16).astype(np.int64)
             out.append(d)
-            before = int(d.sum())
-            cuts = [np.frombuffer(self._no_special(part + m[0][:k]), np.int8).sum(dtype=np.int64) for k in range(1, len(m[0]))] + [before + 1]
+            before, tail = int(d.sum()), ""
+            if part:
+                codes = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+                tail = part[split_starts(self.classes[codes], codes, np.array([0, len(codes)]))[-1] :]
+            base = before - (sum(self.char_deltas(tail)) if tail else 0)
+            cuts = [base + np.frombuffer(self._no_special(tail + m[0][:k]), np.int16).sum(dtype=np.int64) for k in range(1, len(m[0]))] + [before + 1]
             out.append(np.diff([before, *cuts]))
             at = m.end()
-        out.append(np.frombuffer(self.deltas_of([text[at:]])[0], np.int8).astype(np.int64))
-        return np.concatenate(out).astype(np.int8).tobytes()
+        out.append(np.frombuffer(self.deltas_of([text[at:]])[0], np.int16).astype(np.int64))
+        return np.concatenate(out).astype(np.int16).tobytes()
 
     def _no_special(self, text: str) -> bytes:
         codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -282,13 +293,14 @@ def counter(path: str | None = None) -> PrefixCounter:
 def prefix_token_counts(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """One row per input row: id_col, n_bytes, n_chars, n_tokens and prefix_deltas.
 
-    prefix_deltas has one signed byte per character; the exact count of text[:i] is the sum of its first i bytes
-    (prefix_count, longest_within). Null text counts as empty: 0 bytes, 0 tokens, no deltas. Rows are handled one by
-    one, so repeated ids and rows, empty tables and further columns (which are not read) need no care. tokenizer: path of
+    prefix_deltas has one signed 16-bit number (little-endian) per character; the exact count of text[:i] is the sum of its
+    first i numbers (prefix_count, longest_within). A count that jumps by more than 32,767 at one character raises ValueError. Null text counts as empty: 0 bytes, 0 tokens, no deltas. Rows are handled one by
+    one, so repeated ids and rows, empty tables and further columns (which are not read) need no care; an id column that is
+    named like a result column takes its place. tokenizer: path of
     a byte-level BPE .json readable by executors; None: the public byte_bpe_50k.json of each executor.
     """
     common.ship(df.sparkSession)
-    kind = df.schema[id_col].dataType.simpleString()
+    kind, made = df.schema[id_col].dataType.simpleString(), ["n_bytes", "n_chars", "n_tokens", "prefix_deltas"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(tokenizer)
@@ -299,19 +311,20 @@ def prefix_token_counts(df: DataFrame, text_col: str = "text", id_col: str = "do
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 deltas = c.deltas_of(texts)
                 yield pa.record_batch(
-                    [ids.slice(lo, hi - lo), pa.array(np.diff(block.bounds)), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(np.frombuffer(d, np.int8).sum(dtype=np.int64)) for d in deltas], pa.int64()), pa.array(deltas, pa.binary())],
-                    names=[id_col, "n_bytes", "n_chars", "n_tokens", "prefix_deltas"],
+                    [ids.slice(lo, hi - lo), pa.array(np.diff(block.bounds)), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(np.frombuffer(d, np.int16).sum(dtype=np.int64)) for d in deltas], pa.int64()), pa.array(deltas, pa.binary())],
+                    names=["_id", *made],
                 )
 
-    return df.select(df[id_col], df[text_col]).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_chars long, n_tokens long, prefix_deltas binary")
+    out = df.select(df[id_col], df[text_col]).mapInArrow(run, f"_id {kind}, n_bytes long, n_chars long, n_tokens long, prefix_deltas binary")
+    return common.named(out, id_col, made)
 
 
 def prefix_count(deltas: bytes, n_chars: int) -> int:
     """Tokens of the first n_chars characters."""
-    return int(np.frombuffer(deltas, np.int8)[:n_chars].sum(dtype=np.int64))
+    return int(np.frombuffer(deltas, np.int16)[:n_chars].sum(dtype=np.int64))
 
 
 def longest_within(deltas: bytes, budget: int) -> int:
     """The most characters whose prefix has at most budget tokens (counts may fall again as merges form, so the last such prefix)."""
-    counts = np.cumsum(np.concatenate([[0], np.frombuffer(deltas, np.int8).astype(np.int64)]))
+    counts = np.cumsum(np.concatenate([[0], np.frombuffer(deltas, np.int16).astype(np.int64)]))
     return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
