@@ -1,6 +1,9 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wayline.llm import decontam
 
@@ -60,3 +63,29 @@ def test_repeated_items_count_once(spark, docs, monkeypatch, limit):
     found = decontam.contamination(docs([(1, "ab cd ef gh ij"), (2, "zz"), (3, "ab")]), spark.createDataFrame(items, "item_id long, text string"))
     got = {r.doc_id: (r.n_hit, r.n_items, list(r["items"])) for r in found.collect()}
     assert got == {1: (5, 2, ["7", "null"]), 2: (1, 1, ["8"]), 3: (0, 0, [])}
+
+
+def test_words_of_regular_build(spark, docs):
+    # words over two letters and their complements agree in every polynomial hash modulo 2**64
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    for n in (64, 1024, 4096):
+        items = spark.createDataFrame([(1, a[:n])], "item_id long, text string")
+        assert {r.doc_id: r.n_hit for r in decontam.contamination(docs([(1, a[:n]), (2, b[:n])]), items).collect()} == {1: 1, 2: 0}
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontam.common, "span_hashes", lambda data, starts, ends, lanes=1: (ends - starts).astype(np.uint64) % np.uint64(2))
+    block = next(decontam.common.blocks(pa.array(["ab cd ab ef a b cd"])))
+    starts, ends, _ = decontam.common.words(block, decontam.common.ALNUM)
+    order, new = decontam._terms(block.data, starts, ends, decontam.common.word_hashes(block, starts, ends))
+    assert order.tolist() == [0, 2, 1, 6, 3, 4, 5] and new.tolist() == [0, 2, 4, 5, 6]
+
+
+def test_clashing_names(spark, docs):
+    items = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    df = docs([(1, "x a b")]).withColumnsRenamed({"doc_id": "n_words"}).withColumn("n_hit", F.lit(5))
+    out = decontam.contamination(df, items, id_col="n_words")
+    assert out.columns == ["n_words", "n_hit", "n_items", "items", "contaminated"] and tuple(out.first())[:2] == (1, 2)

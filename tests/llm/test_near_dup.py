@@ -49,6 +49,7 @@ def corpus(seed):
 @pytest.mark.parametrize("k", [4, 5])
 def test_brute_force(spark, docs, monkeypatch, k):
     monkeypatch.setattr(near_dup, "BLOCK_SHINGLES", 900)  # several blocks
+    monkeypatch.setattr(near_dup.common, "HOT_ROWS", 4)  # and hot keys
     rows = corpus(k) + [(500, None), (501, ""), (502, "  \n"), (503, "one"), (504, "ONE"), (None, "one"), (505, "a b"), (505, "a b"), (506, "x y z w v u t " * 9000), (507, "x y z w v u t " * 9000)]
     want = brute(rows, k, 80)
     got = near_dup.near_duplicates(docs(rows).withColumn("n", F.lit(1)).withColumn("component_id", F.lit("c")), k=k).collect()
@@ -77,3 +78,13 @@ def test_estimate():
             agree = near_dup.PERMUTATIONS - int(np.bitwise_count((apart | (apart >> 1)) & 0x5555555555555555).sum())
             errors.append(near_dup.estimate(agree) - n / (2000 - n))
         assert abs(np.mean(errors)) < 0.03
+
+
+def test_words_of_regular_build(docs):
+    # words over two letters and their complements agree in every polynomial hash modulo 2**64
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(2 * i + j, " ".join([x[:n], "q", "r", x[:n]])) for i, n in enumerate((64, 1024, 4096)) for j, x in enumerate((a, b))]
+    assert all(r.component_id == r.doc_id for r in near_dup.near_duplicates(docs(rows), k=4).collect())

@@ -204,6 +204,16 @@ def word_hashes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return span_hashes(LOWER[block.data], starts, ends)
 
 
+def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each span of a are those of its span of b."""
+    same = a_sizes == b_sizes
+    at = np.flatnonzero(same)
+    n = a_sizes[at]
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    same[np.repeat(at, n)[a[np.repeat(a_starts[at], n) + step] != b[np.repeat(b_starts[at], n) + step]]] = False
+    return same
+
+
 def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each row's k-word shingles, in order, and each row's first shingle number; a row of 1..k-1 words has one shingle of all of them."""
     counts = np.diff(first)

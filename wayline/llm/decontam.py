@@ -1,9 +1,10 @@
 """Benchmark decontamination with a positional inverted index of the training tokens.
 
-The index is partitioned by documents: each stored row holds the postings of one block of documents, term by term, as
-ascending word positions. It doesn't depend on the benchmark and can serve several. A search takes each benchmark window
-from its rarest term in the block: that term's postings, moved back by the term's offset, are the candidates, and are
-intersected with the other terms' moved lists in order of rarity.
+The index is partitioned by documents: each stored row holds the dictionary and the postings of one block of documents,
+term by term, as ascending word positions. It doesn't depend on the benchmark and can serve several. A search looks the
+benchmark's terms up in the block's dictionary, by hash and then by their bytes, and takes each benchmark window from its
+rarest term in the block: that term's postings, moved back by the term's offset, are the candidates, and are intersected
+with the other terms' moved lists in order of rarity.
 """
 
 from __future__ import annotations
@@ -22,14 +23,35 @@ from wayline.llm import common
 #: Benchmark bytes that one search broadcasts; a larger benchmark is searched in several rounds.
 BENCHMARK_BYTES = 32_000_000
 
-_INDEX = "ids array<{kind}>, bounds binary, terms binary, firsts binary, postings binary, block string"
+_INDEX = "ids array<{kind}>, bounds binary, terms binary, firsts binary, words binary, postings binary, block string"
+
+
+def _terms(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words in order of their hashes (and of their bytes, where different words share one), and where in it each distinct word begins."""
+    order, size = np.argsort(h, kind="stable"), ends - starts
+
+    def fresh() -> tuple[np.ndarray, np.ndarray]:
+        """Where the word before has another hash, and where it has other bytes."""
+        a, b = order[1:], order[:-1]
+        hashed = h[a] != h[b]
+        new, alike = hashed.copy(), np.flatnonzero(~hashed)
+        new[alike] = ~common.equal_spans(data, starts[a[alike]], size[a[alike]], data, starts[b[alike]], size[b[alike]])
+        return hashed, new
+
+    hashed, new = fresh()
+    if (hashed != new).any():
+        spot = np.flatnonzero(np.isin(h[order], h[order[1:][hashed != new]]))
+        order[spot] = sorted(order[spot].tolist(), key=lambda j: (h[j], data[starts[j] : ends[j]].tobytes(), j))
+        _, new = fresh()
+    return order, np.flatnonzero(np.append(True, new)) if len(order) else order
 
 
 def build_index(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The stored index of df's texts: a row per block of documents with
 
-    block (its name); ids; bounds (int32, each document's first word and the end); terms (uint64, ascending word hashes); firsts (int32,
-    each term's first posting and the end); postings (zlib of int32 differences of word positions, term after term).
+    block (its name); ids; bounds (int32, each document's first word and the end); terms (uint64, ascending hashes of
+    distinct words); firsts (int32, each term's first posting and the end); words (zlib of the terms' lengths as int32 and
+    their bytes); postings (zlib of int32 differences of word positions, term after term).
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ with A-Z lower-cased. Null and empty texts have no words but are listed.
     """
     common.ship(df.sparkSession)
@@ -41,70 +63,103 @@ def build_index(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -
             for block in common.blocks(batch.column(1)):
                 number += 1
                 starts, ends, first = common.words(block, common.ALNUM)
-                h = common.word_hashes(block, starts, ends)
-                order = np.argsort(h, kind="stable").astype(np.int32)
-                sorted_h = h[order]
-                new = np.flatnonzero(np.append(True, sorted_h[1:] != sorted_h[:-1])) if len(h) else np.zeros(0, np.int64)
-                gaps = np.diff(order, prepend=np.int32(0))
-                parts = [first.astype(np.int32), sorted_h[new], np.append(new, len(h)).astype(np.int32)]
+                h, low = common.word_hashes(block, starts, ends), common.LOWER[block.data]
+                order, new = _terms(low, starts, ends, h)
+                gaps = np.diff(order.astype(np.int32), prepend=np.int32(0))
+                lead = order[new]
+                lengths = (ends - starts)[lead]
+                letters = low[_gather(starts[lead], ends[lead])]
+                parts = [first.astype(np.int32).tobytes(), h[lead].tobytes(), np.append(new, len(h)).astype(np.int32).tobytes(), zlib.compress(lengths.astype(np.int32).tobytes() + letters.tobytes(), 1), zlib.compress(gaps.tobytes(), 1)]
                 ids = batch.column(0).slice(int(block.rows[0]), len(block))
                 lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-                yield pa.record_batch([lists, *(pa.array([x.tobytes()], pa.binary()) for x in parts), pa.array([zlib.compress(gaps.tobytes(), 1)], pa.binary()), pa.array([f"{part}-{number}"])], names=["ids", "bounds", "terms", "firsts", "postings", "block"])
+                yield pa.record_batch([lists, *(pa.array([x], pa.binary()) for x in parts), pa.array([f"{part}-{number}"])], names=["ids", "bounds", "terms", "firsts", "words", "postings", "block"])
 
     return common.stored(df.select(df[id_col], df[text_col]).mapInArrow(run, _INDEX.format(kind=kind)), "index")
 
 
+class Vocabulary:
+    """Distinct words to look up in dictionaries: hashes, ascending, and bytes."""
+
+    def __init__(self, words: list[bytes]):
+        data = np.frombuffer(b"".join(words), np.uint8)
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        starts = ends - np.array([len(w) for w in words], np.int64)
+        h = common.span_hashes(data, starts, ends)
+        order = np.argsort(h, kind="stable")
+        self.data, self.starts, self.sizes, self.hashes = data, starts[order], (ends - starts)[order], h[order]
+        self.number = {words[j]: i for i, j in enumerate(order.tolist())}
+
+
+class Dictionary:
+    """The opened index of one block."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        bounds, self.terms, firsts = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in ((1, np.int32), (2, np.uint64), (3, np.int32)))
+        self.bounds, self.firsts = bounds.astype(np.int64), firsts.astype(np.int64)
+        words = np.frombuffer(zlib.decompress(batch.column(4)[i].as_py()), np.uint8)
+        self.sizes = words[: 4 * len(self.terms)].view(np.int32).astype(np.int64)
+        self.letters = words[4 * len(self.terms) :]
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.postings = np.cumsum(np.frombuffer(zlib.decompress(batch.column(5)[i].as_py()), np.int32), dtype=np.int64)
+        self.ids, self.block = batch.column(0)[i].values, batch.column(6)[i].as_py()
+
+    def lists(self, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word's posting list begins and ends; equal places for words that aren't there."""
+        at = np.searchsorted(self.terms, v.hashes)
+        found = np.full(len(at), -1, np.int64)
+        todo = np.flatnonzero(at < len(self.terms))
+        while len(todo):  # a second step only where different words share a hash
+            todo = todo[self.terms[at[todo]] == v.hashes[todo]]
+            same = common.equal_spans(self.letters, self.starts[at[todo]], self.sizes[at[todo]], v.data, v.starts[todo], v.sizes[todo])
+            found[todo[same]] = at[todo[same]]
+            at[todo] += 1
+            todo = todo[~same]
+            todo = todo[at[todo] < len(self.terms)]
+        known = found >= 0
+        return np.where(known, self.firsts[found], 0), np.where(known, self.firsts[found + 1], 0)
+
+
 class Windows:
     """The distinct word windows of some benchmark items, and the items of each."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
-        texts = pa.array([t or "" for _, t in items], pa.large_string())
         self.names = [i for i, _ in items]
-        seen: dict[bytes, int] = {}
-        rows: list[np.ndarray] = []
+        number: dict[bytes, int] = {}
+        seen: dict[tuple[int, ...], int] = {}
         owners: list[set[int]] = []
-        for block in common.blocks(texts):
+        for block in common.blocks(pa.array([t or "" for _, t in items], pa.large_string())):
             starts, ends, first = common.words(block, common.ALNUM)
-            h = common.word_hashes(block, starts, ends)
+            low = common.LOWER[block.data].tobytes()
+            w = [number.setdefault(low[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             for r, item in enumerate(block.rows.tolist()):
-                w = h[first[r] : first[r + 1]]
-                for at in range(max(1, len(w) - width + 1) if len(w) else 0):
-                    key = w[at : at + width].tobytes()
-                    if key not in seen:
-                        seen[key] = len(rows)
-                        rows.append(w[at : at + width])
+                own = w[first[r] : first[r + 1]]
+                for at in range(max(1, len(own) - width + 1) if own else 0):
+                    place = seen.setdefault(tuple(own[at : at + width]), len(seen))
+                    if place == len(owners):
                         owners.append(set())
-                    owners[seen[key]].add(item)
-        self.vocabulary = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint64)
-        self.size = np.array([len(r) for r in rows], np.int64)
-        self.terms = np.full((len(rows), width), -1, np.int64)
-        for i, r in enumerate(rows):
-            self.terms[i, : len(r)] = np.searchsorted(self.vocabulary, r)
+                    owners[place].add(item)
+        self.vocabulary = Vocabulary(list(number))
+        ours = np.array([self.vocabulary.number[x] for x in number], np.int64)
+        self.size = np.array([len(r) for r in seen], np.int64)
+        self.terms = np.full((len(seen), width), -1, np.int64)
+        for i, r in enumerate(seen):
+            self.terms[i, : len(r)] = ours[list(r)]
         self.owner_first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
         self.owners = np.array([x for o in owners for x in sorted(o)], np.int64)
 
 
-def _lists(terms: np.ndarray, firsts: np.ndarray, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each vocabulary term's posting list begins and ends."""
-    if not len(terms):
-        return np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
-    at = np.minimum(np.searchsorted(terms, vocabulary), len(terms) - 1)
-    known = terms[at] == vocabulary
-    return np.where(known, firsts[at], 0).astype(np.int64), np.where(known, firsts[at + 1], 0).astype(np.int64)
-
-
 def _gather(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """Indices lo[0]..hi[0]-1, lo[1]..hi[1]-1, and so on."""
     n = hi - lo
     return np.arange(n.sum()) + np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
 
 
-def phrase_hits(w: Windows, bounds: np.ndarray, terms: np.ndarray, firsts: np.ndarray, postings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def phrase_hits(w: Windows, d: Dictionary) -> tuple[np.ndarray, np.ndarray]:
     """(window, first word) of every occurrence in one block."""
     none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not len(w.size) or not len(postings):
+    if not len(w.size) or not len(d.postings):
         return none
-    lo, hi = _lists(terms, firsts, w.vocabulary)
+    lo, hi = d.lists(w.vocabulary)
     often = np.append(hi - lo, np.iinfo(np.int64).max)  # the last for the padding of short windows
     counts = often[w.terms]
     alive = np.flatnonzero(counts.min(axis=1) > 0)
@@ -114,56 +169,56 @@ def phrase_hits(w: Windows, bounds: np.ndarray, terms: np.ndarray, firsts: np.nd
     seed = w.terms[alive, order[:, 0]]
     window = np.repeat(alive, hi[seed] - lo[seed])
     place = np.repeat(np.arange(len(alive)), hi[seed] - lo[seed])
-    start = postings[_gather(lo[seed], hi[seed])] - order[place, 0]
-    doc = np.searchsorted(bounds, start, "right") - 1
-    ok = (start >= 0) & (start + w.size[window] <= bounds[np.minimum(doc + 1, len(bounds) - 1)])
+    start = d.postings[_gather(lo[seed], hi[seed])] - order[place, 0]
+    doc = np.searchsorted(d.bounds, start, "right") - 1
+    ok = (start >= 0) & (start + w.size[window] <= d.bounds[np.minimum(doc + 1, len(d.bounds) - 1)])
     window, place, start = window[ok], place[ok], start[ok]
-    term_at = np.full(int(bounds[-1]), -1, np.int64)  # the benchmark terms' lists, merged by position
-    term_at[postings[_gather(lo, hi)]] = np.repeat(np.arange(len(lo)), hi - lo)
+    # the lists of all terms as one ascending list of (term, position): a look-up in it is one in the term's list
+    end = int(d.bounds[-1])
+    joined = np.repeat(np.arange(len(lo)), hi - lo) * end + d.postings[_gather(lo, hi)]
     for step in range(1, w.terms.shape[1]):
+        if not len(window):
+            break
         offset = order[place, step]
         inside = offset < w.size[window]
-        same = np.ones(len(window), bool)
-        same[inside] = term_at[start[inside] + offset[inside]] == w.terms[window[inside], offset[inside]]
+        wanted = w.terms[window, np.minimum(offset, w.size[window] - 1)] * end + start + offset
+        at = np.minimum(np.searchsorted(joined, wanted), len(joined) - 1)
+        same = ~inside | (joined[at] == wanted)
         window, place, start = window[same], place[same], start[same]
     return window, start
 
 
-def proximity_hits(words: list[str], slop: int, bounds: np.ndarray, terms: np.ndarray, firsts: np.ndarray, postings: np.ndarray) -> np.ndarray:
+def proximity_hits(words: Vocabulary, slop: int, d: Dictionary) -> np.ndarray:
     """Positions of the rarest of the words in one block that have all others, in any order, at most slop words away in the same document."""
-    block = next(common.blocks(pa.array([" ".join(words)])))
-    wanted = np.unique(common.word_hashes(block, *common.words(block, common.ALNUM)[:2]))
-    lo, hi = _lists(terms, firsts, wanted)
-    order = np.argsort(hi - lo)
-    at = postings[lo[order[0]] : hi[order[0]]]
+    lo, hi = d.lists(words)
+    order = np.argsort(hi - lo, kind="stable")
+    at = d.postings[lo[order[0]] : hi[order[0]]]
     for j in order[1:]:
-        other = postings[lo[j] : hi[j]]
+        other = d.postings[lo[j] : hi[j]]
         if not len(other):
             return other[:0]
-        doc = np.searchsorted(bounds, at, "right") - 1
-        near = np.searchsorted(other, np.maximum(at - slop, bounds[doc]))
-        at = at[(near < len(other)) & (other[np.minimum(near, len(other) - 1)] <= np.minimum(at + slop, bounds[doc + 1] - 1))]
+        doc = np.searchsorted(d.bounds, at, "right") - 1
+        near = np.searchsorted(other, np.maximum(at - slop, d.bounds[doc]))
+        at = at[(near < len(other)) & (other[np.minimum(near, len(other) - 1)] <= np.minimum(at + slop, d.bounds[doc + 1] - 1))]
     return at
 
 
-def _opened(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    bounds, terms, firsts = (np.frombuffer(batch.column(j)[i].as_py(), t) for j, t in ((1, np.int32), (2, np.uint64), (3, np.int32)))
-    return bounds.astype(np.int64), terms, firsts, np.cumsum(np.frombuffer(zlib.decompress(batch.column(4)[i].as_py()), np.int32), dtype=np.int64)
-
-
 def proximity_matches(index: DataFrame, words: list[str], slop: int, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, position) of the rarest of words wherever all are within slop words of it."""
+    """(id_col, position) of the rarest of words wherever all are within slop words of it. No words, no matches."""
     kind = index.schema["ids"].dataType.elementType.simpleString()
+    block = next(common.blocks(pa.array([" ".join(words)])))
+    low = common.LOWER[block.data].tobytes()
+    wanted = Vocabulary(sorted({low[a:b] for a, b in zip(*(x.tolist() for x in common.words(block, common.ALNUM)[:2]), strict=True)}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                bounds, terms, firsts, postings = _opened(batch, i)
-                at = proximity_hits(words, slop, bounds, terms, firsts, postings)
-                doc = np.searchsorted(bounds, at, "right") - 1
-                yield pa.record_batch([batch.column(0)[i].values.take(pa.array(doc)), pa.array(at - bounds[doc])], names=[id_col, "position"])
+                d = Dictionary(batch, i)
+                at = proximity_hits(wanted, slop, d) if len(wanted.sizes) else np.zeros(0, np.int64)
+                doc = np.searchsorted(d.bounds, at, "right") - 1
+                yield pa.record_batch([d.ids.take(pa.array(doc)), pa.array(at - d.bounds[doc])], names=["_id", "position"])
 
-    return index.mapInArrow(run, f"`{id_col}` {kind}, position long")
+    return common.named(index.mapInArrow(run, f"_id {kind}, position long"), id_col, ["position"])
 
 
 def _search(index: DataFrame, windows: Windows, spans: bool) -> DataFrame:
@@ -176,8 +231,9 @@ def _search(index: DataFrame, windows: Windows, spans: bool) -> DataFrame:
         names = np.array(w.names, object)
         for batch in batches:
             for i in range(batch.num_rows):
-                bounds, terms, firsts, postings = _opened(batch, i)
-                window, start = phrase_hits(w, bounds, terms, firsts, postings)
+                d = Dictionary(batch, i)
+                bounds = d.bounds
+                window, start = phrase_hits(w, d)
                 n = len(bounds) - 1
                 edge = np.zeros(int(bounds[-1]) + 1, np.int64)
                 np.add.at(edge, start, 1)
@@ -188,17 +244,17 @@ def _search(index: DataFrame, windows: Windows, spans: bool) -> DataFrame:
                 n_own = w.owner_first[window + 1] - w.owner_first[window]
                 pairs = np.unique(np.repeat(doc, n_own) * (len(names) + 1) + w.owners[_gather(w.owner_first[window], w.owner_first[window + 1])])
                 items = [[] for _ in range(n)]
-                for d, item in zip((pairs // (len(names) + 1)).tolist(), names[pairs % (len(names) + 1)].tolist(), strict=True):
-                    items[d].append(item)
+                for at, item in zip((pairs // (len(names) + 1)).tolist(), names[pairs % (len(names) + 1)].tolist(), strict=True):
+                    items[at].append(item)
                 places = [[] for _ in range(n)]
                 if spans:
                     step = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
                     cuts = np.unique(np.concatenate([np.flatnonzero(step), bounds])).astype(np.int64)
                     for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                         if hit[s]:
-                            d = int(np.searchsorted(bounds, s, "right")) - 1
-                            places[d] += [s - int(bounds[d]), e - int(bounds[d])]
-                yield pa.record_batch([batch.column(0)[i].values, pa.array([batch.column(5)[i].as_py()] * n, pa.string()), pa.array(np.arange(n), pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))], names=["id", "block", "row", "n_words", "n_hit", "items", "places"])
+                            at = int(np.searchsorted(bounds, s, "right")) - 1
+                            places[at] += [s - int(bounds[at]), e - int(bounds[at])]
+                yield pa.record_batch([d.ids, pa.array([d.block] * n, pa.string()), pa.array(np.arange(n), pa.int64()), pa.array(np.diff(bounds), pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int64()))], names=["id", "block", "row", "n_words", "n_hit", "items", "places"])
 
     return index.mapInArrow(run, f"id {kind}, block string, row long, n_words long, n_hit long, items array<string>, places array<bigint>")
 
@@ -209,7 +265,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     A window is width consecutive words of an item, or a whole item of fewer words (of none: no window). A document's
     words inside any occurrence of a window are hit; items are those with an occurring window. Null and empty texts have
     no words. Repeated ids and rows are handled row by row; a null item id counts as the string null; items that repeat
-    count once by id. Other columns aren't read. places: starts and ends of hit word runs, flat.
+    count once by id. Other columns aren't read; an id column named like a result column takes its place. places: starts and ends of hit word runs, flat.
     """
     common.ship(df.sparkSession)
     index = build_index(df, text_col, id_col)
@@ -230,5 +286,5 @@ def contamination(df: DataFrame, benchmark: DataFrame, text_col: str = "text", i
         merged = merged.withColumn("p", F.expr("aggregate(p, cast(array() as array<struct<s:bigint,e:bigint>>), (a, x) -> case when size(a) > 0 and a[size(a) - 1].e >= x.s then concat(slice(a, 1, size(a) - 1), array(struct(a[size(a) - 1].s as s, greatest(a[size(a) - 1].e, x.e) as e))) else concat(a, array(x)) end)"))
         found = merged.withColumn("n_hit", F.expr("aggregate(p, 0L, (a, x) -> a + x.e - x.s)")).withColumn("places", F.expr("flatten(transform(p, x -> array(x.s, x.e)))"))
     found = found.withColumn("items", F.array_distinct("items"))
-    out = found.select(F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"), "places")
-    return out if spans else out.drop("places")
+    out = found.select(F.col("id").alias("_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sort_array("items").alias("items"), (F.col("n_hit") > 0).alias("contaminated"), "places")
+    return common.named(out, id_col, ["n_words", "n_hit", "n_items", "items", "contaminated", *["places"] * spans])

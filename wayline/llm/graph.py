@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from wayline.llm import common
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """edges (u, v), u != v. Minima come from a pre-aggregated group-by and a join, so a hot node is never gathered in one task."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """edges (u, v), u != v, total of them. Minima come from a pre-aggregated group-by and a join in which the edges of a hot node are dealt over several tasks."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).select("u", F.least("u", "m").alias("m"), "size")
+    joined = common.join_groups(both, least, ["u"], 2 * total, "v")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -26,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     before = mark(edges)
     while before[0]:
-        edges = common.stored(_star(_star(edges, True), False), "edges")
+        edges = common.stored(_star(_star(edges, True, before[0]), False, before[0]), "edges")
         after = mark(edges)
         if after == before:
             break

@@ -6,10 +6,12 @@ pair. Pairs whose estimate is not far below the threshold are confirmed on the f
 no band with probability (1 - 0.8**4)**32 < 5e-8, and is estimated below the cut with probability < 1e-8.
 
 Groups are never expanded into all pairs. Documents with equal sets form a class with one representative. In each band
-group, members are first compared with one pivot. Groups that then still hold several components are joined into sets of
-documents that share such groups; a set is cut into blocks of bounded size, and each pair of blocks is compared inside of
-one task, which looks only at documents outside of the set's largest component and gives back only links. Components thus
-come out as if all candidate pairs had been confirmed: a pair within one component needs no comparison.
+group, members are first compared with one pivot. Groups that then still hold several components are cut into blocks of
+bounded size, and each pair of blocks is looked at inside of one task, twice: by packed bits alone, which leaves the
+documents that have a likely partner in another component, and then with the texts of those, which gives back only
+links. A pair that shares several groups is compared in the first. Components thus come out as if all candidate pairs had
+been confirmed: a pair within one component needs no comparison. Words are compared by 64-bit hashes: two different
+shingles of a pair of documents count as one with a probability of about 5e-20.
 """
 
 from __future__ import annotations
@@ -113,8 +115,8 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int,
 
     A pivot a with many partners is split into groups of bounded weight (shingles), its text sent to each.
     """
-    wide = pairs.groupBy("a").agg(F.sum("weight").alias("total"))
-    salted = pairs.join(wide, "a").select("a", "b", F.expr("pmod(xxhash64(b), cast(ceil(total / 200000.0) as bigint))").alias("salt"))
+    wide = pairs.groupBy("a").agg(F.sum("weight").alias("total"), F.count("*").alias("size"))
+    salted = common.join_groups(pairs, wide, ["a"], pairs.count(), "b").select("a", "b", F.expr("pmod(xxhash64(b), cast(ceil(total / 200000.0) as bigint))").alias("salt"))
     own = salted.select("a", "salt").distinct().join(texts.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
     partners = salted.join(texts.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "text")
     rows = own.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -147,67 +149,103 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int,
     return rows.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def _linked_across(spark: SparkSession, held: DataFrame, texts: DataFrame, k: int, percent: int, cut: int) -> DataFrame:
-    """Links (u, v) between different labels of one set: held (grp, rep, label, spare, several, n, b0..b3), spare false for the largest label's members.
+class _Part:
+    """The rows of one group in one pair of blocks: who they are, their component, and their signatures."""
+
+    def __init__(self, batches: list[pa.RecordBatch], same: bool):
+        t = pa.Table.from_batches(batches)
+        self.rep = t["rep"].to_pylist()
+        labels = t["label"].to_pylist()
+        names = {x: i for i, x in enumerate(dict.fromkeys(labels))}
+        self.label = np.array([names[x] for x in labels])
+        self.spare, self.several, self.side = (t[c].to_numpy() for c in ("spare", "several", "own"))
+        self.bits = np.stack([t[f"b{j}"].to_numpy() for j in range(4)], axis=1)
+        self.bands = np.array(t["bands"].to_pylist(), np.int64)
+        self.band, self.same = int(t["band"][0].as_py()), same
+
+    def partners(self, cut: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each spare row with the rows to compare it with: of other components, likely or not to be judged by bits, and in no earlier group together. A spare pair is met from one side only."""
+        place = np.arange(len(self.rep))
+        for u in np.flatnonzero(self.spare):
+            at = np.flatnonzero((self.label != self.label[u]) & (self.same | (self.side != self.side[u])) & (~self.spare | (place > u)))
+            apart = self.bits[at] ^ self.bits[u]
+            agree = PERMUTATIONS - np.bitwise_count((apart | (apart >> 1)) & 0x5555555555555555).sum(axis=1, dtype=np.int64)
+            always = self.several[at] | self.several[u]
+            at = at[always | ((agree >= cut) & (np.argmax(self.bands[at] == self.bands[u], axis=1) == self.band))]
+            if len(at):
+                yield int(u), at
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal first columns (integers), each as slices of batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = np.stack([batch.column(j).to_numpy() for j in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((columns[1:] != columns[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        if held and not np.array_equal(columns[0], last):
+            yield held
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = columns[-1]
+    if held:
+        yield held
+
+
+def _linked_within(held: DataFrame, texts: DataFrame, k: int, percent: int, cut: int) -> DataFrame:
+    """Links (u, v) between different labels of one group: held (cell, band, rep, label, spare, several, n, bands, b0..b3), spare false for the most frequent label's members.
 
     Every document goes to the pairs of blocks that hold its own; a pair of blocks is one group of rows, dealt to one task
-    by the pair's key, so a large set spreads over many tasks, each of bounded memory.
+    by the pair's key, so a large group spreads over many tasks, each of bounded memory.
     """
     kind = held.schema["rep"].dataType.simpleString()
-    size = held.groupBy("grp").agg(F.expr(f"cast(ceil(sum(n) / {BLOCK_SHINGLES}.0) as int)").alias("blocks"))
-    own = held.join(size, "grp").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = own.join(texts.withColumnRenamed("id", "rep"), "rep").select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "spare", "several", "b0", "b1", "b2", "b3", "text")
-    rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-
-    def compare(part: list[tuple], sets: list[np.ndarray], same: bool) -> list[tuple]:
-        rep, label, spare, several, side = (np.array([x[c] for x in part], object if c < 2 else None) for c in (0, 1, 2, 3, 4))
-        bits = np.array([x[5:9] for x in part], np.int64)
-        names = {x: i for i, x in enumerate(dict.fromkeys(label.tolist()))}
-        number = np.array([names[x] for x in label.tolist()])
-        sizes = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
-        _, flat = np.unique(flat, return_inverse=True)
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        flag = np.zeros(int(flat.max()) + 1 if len(flat) else 1, np.int32)
-        found = []
-        for u in np.flatnonzero(spare):
-            apart = bits ^ bits[u]
-            agree = PERMUTATIONS - np.bitwise_count((apart | (apart >> 1)) & 0x5555555555555555).sum(axis=1, dtype=np.int64)
-            # a spare pair is looked at from one side only
-            at = np.flatnonzero((number != number[u]) & ((agree >= cut) | several | several[u]) & (same | (side != side[u])) & (~spare | (np.arange(len(part)) > u)))
-            if not len(at):
-                continue
-            mine = flat[ends[u] : ends[u + 1]]
-            flag[mine] = 1
-            spans = [flat[ends[v] : ends[v + 1]] for v in at]
-            both = np.add.reduceat(flag[np.concatenate(spans)], np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
-            flag[mine] = 0
-            for v in at[100 * both >= percent * (sizes[u] + sizes[at] - both)]:
-                found.append((rep[u], rep[v]))
-        return found
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, part, sets = None, [], []
-
-        def done() -> pa.RecordBatch | None:
-            found = compare(part, sets, group[1] == group[2]) if part else []
-            return pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["u", "v"]) if found else None
-
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:-1]]
-            for block in common.blocks(batch.column(len(columns))):
-                for r, own_set in zip(block.rows.tolist(), row_sets(block, k), strict=True):
-                    key = tuple(c[r] for c in columns[:3])
-                    if key != group:
-                        if (out := done()) is not None:
-                            yield out
-                        group, part, sets = key, [], []
-                    part.append((columns[4][r], columns[5][r], columns[6][r], columns[7][r], columns[3][r], *(columns[8 + x][r] for x in range(4))))
-                    sets.append(own_set)
-        if (out := done()) is not None:
-            yield out
+    weights = held.groupBy("cell").agg(F.expr(f"cast(ceil(sum(greatest(n, 100)) / {BLOCK_SHINGLES}.0) as int)").alias("blocks"), F.count("*").alias("size"))
+    own = common.join_groups(held, weights, ["cell"], held.count(), "rep").withColumn("own", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    keys, rest = ["cell", "i", "j"], ["own", "band", "rep", "label", "spare", "several", "bands", "b0", "b1", "b2", "b3"]
+    rows = own.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rest)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "rep")
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            part = _Part(group, group[0].column(1)[0].as_py() == group[0].column(2)[0].as_py())
+            some = np.zeros(len(part.rep), bool)
+            for u, at in part.partners(cut):
+                some[u] = some[at] = True
+            if some.any():
+                yield from pa.Table.from_batches(group).filter(pa.array(some)).to_batches()
+
+    active = common.stored(dealt.mapInArrow(likely, rows.schema), "likely")
+    full = active.join(texts.withColumnRenamed("id", "rep"), "rep").select(*keys, *rest, "text").repartition(*keys).sortWithinPartitions(*keys, "rep")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            part = _Part(group, group[0].column(1)[0].as_py() == group[0].column(2)[0].as_py())
+            sets = [s for batch in group for block in common.blocks(batch.column(len(keys) + len(rest))) for s in row_sets(block, k)]
+            sizes = np.array([len(x) for x in sets])
+            _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            flag = np.zeros(len(flat) + 1, np.int32)
+            found = []
+            for u, at in part.partners(cut):
+                at = at[sizes[at] > 0]
+                if not len(at):
+                    continue
+                mine = flat[ends[u] : ends[u + 1]]
+                flag[mine] = 1
+                spans = [flat[ends[v] : ends[v + 1]] for v in at]
+                both = np.add.reduceat(flag[np.concatenate(spans)], np.concatenate([[0], np.cumsum(sizes[at])[:-1]]))
+                flag[mine] = 0
+                found += [(part.rep[u], part.rep[v]) for v in at[100 * both >= percent * (sizes[u] + sizes[at] - both)]]
+            if found:
+                yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["u", "v"])
 
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    return full.mapInArrow(confirm, f"u {kind}, v {kind}")
 
 
 def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", k: int = 5, percent: int = 80) -> DataFrame:
@@ -224,21 +262,24 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     signed = common.stored(_signed(docs, "text", "id", k), "signatures")
     usable = signed.where("id is not null and mark is not null")
-    classes = common.stored(usable.groupBy("mark").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), *(F.any_value(f"b{j}").alias(f"b{j}") for j in range(4))), "classes")
-    bits = classes.groupBy("rep").agg(F.max("n").alias("n"), *(F.max_by(f"b{j}", "mark").alias(f"b{j}") for j in range(4)))
+    bits = [f"b{j}" for j in range(4)]
+    classes = common.stored(usable.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("size"), *(F.any_value(c).alias(c) for c in ("n", "bands", *bits))), "classes")
     # an id that repeats may stand for several sets: its estimate may mislead, so it is always confirmed
     twice = usable.groupBy("id").agg(F.count_distinct("mark").alias("c")).where("c > 1").select(F.col("id").alias("rep"), F.lit(True).alias("several"))
-    bits = common.stored(bits.join(twice, "rep", "left"), "bits")
-    cells = classes.select("rep", F.explode("bands").alias("cell"))
+    signs = classes.groupBy("rep").agg(F.max("n").alias("n"), *(F.max_by(c, "mark").alias(c) for c in bits))
+    signs = common.stored(signs.join(twice, "rep", "left"), "bits")
+    cells = classes.select("rep", F.posexplode("bands").alias("band", "cell"))
     shared = cells.groupBy("cell").agg(F.min("rep").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    cells = common.stored(cells.join(shared, "cell").select("cell", "rep", "pivot"), "cells")
+    total = classes.count() * BANDS
+    cells = common.stored(common.join_groups(cells, shared, ["cell"], total, "rep").select("cell", "band", "rep", "pivot"), "cells")
 
     cut = int(np.floor(PERMUTATIONS * (2.0**-BITS + (1 - 2.0**-BITS) * (percent / 100 - MARGIN))))
     near = F.expr(f"x.several or y.several or {matches('x', 'y')} >= {cut}")
     same_id = usable.join(classes.select("mark", "rep"), "mark").where("id != rep").join(twice.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v"))
 
     pairs = cells.where("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    likely = pairs.join(bits.alias("x"), F.col("a") == F.col("x.rep")).join(bits.alias("y"), F.col("b") == F.col("y.rep")).where(near)
+    pivots = pairs.groupBy("a").agg(F.count("*").alias("size")).join(signs.select(F.col("rep").alias("a"), F.struct("n", "several", *bits).alias("x")), "a")
+    likely = common.join_groups(pairs, pivots, ["a"], total, "b").join(signs.alias("y"), F.col("b") == F.col("y.rep")).where(near)
     likely = common.stored(likely.select("a", "b", F.greatest("x.n", "y.n").alias("weight")), "pairs")
     # one pass over the texts for all that is compared below; merged at every size, as a list of candidates has no bound
     wanted = cells.select(F.col("rep").alias("id")).distinct()
@@ -246,18 +287,16 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     links = common.stored(_confirmed(spark, likely, texts, k, percent), "links").unionByName(same_id)
     labels = common.stored(components(links), "labels")
 
-    held = cells.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "rep", "pivot", F.coalesce("component", "rep").alias("label"))
-    mixed = held.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("cell")
-    held = common.stored(held.join(mixed, "cell", "left_semi").select("rep", "pivot", "label").distinct(), "mixed")
+    held = cells.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("cell", "band", "rep", F.coalesce("component", "rep").alias("label"))
+    sizes = held.groupBy("cell", "label").agg(F.count("*").alias("members"))
+    mixed = sizes.groupBy("cell").agg(F.max_by("label", F.struct("members", "label")).alias("main"), F.sum("members").alias("size"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    held = common.stored(common.join_groups(held, mixed, ["cell"], total, "rep"), "mixed")
     if not held.isEmpty():
-        sets = components(held.select(F.col("rep").alias("u"), F.col("pivot").alias("v"))).withColumnsRenamed({"node": "rep", "component": "grp"})
-        held = held.select("rep", "label").distinct().join(sets, "rep").join(bits, "rep")
-        sizes = held.groupBy("grp", "label").agg(F.count("*").alias("size"))
-        main = sizes.groupBy("grp").agg(F.max_by("label", F.struct("size", "label")).alias("main"))
-        held = held.join(main, "grp").select("grp", "rep", "label", (F.col("label") != F.col("main")).alias("spare"), F.coalesce("several", F.lit(False)).alias("several"), "n", "b0", "b1", "b2", "b3")
-        more = common.stored(_linked_across(spark, held, texts, k, percent, cut), "links")
+        own = classes.groupBy("rep").agg(F.max_by("bands", "mark").alias("bands")).join(signs, "rep")
+        held = held.join(own, "rep").select("cell", "band", "rep", "label", (F.col("label") != F.col("main")).alias("spare"), F.coalesce("several", F.lit(False)).alias("several"), "n", "bands", *bits)
+        more = common.stored(_linked_within(common.stored(held, "held"), texts, k, percent, cut), "links")
         if not more.isEmpty():
             labels = common.stored(components(links.unionByName(more)), "labels")
-    reps = classes.select("mark", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("id", "n", "mark").join(reps, "mark", "left").select("id", "n", F.expr("case when id is null then null else coalesce(component, id) end").alias("component"))
+    reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", "size", F.coalesce("component", "rep").alias("component"))
+    out = common.join_groups(signed.select("id", "n", "mark"), reps, ["mark"], total, "id", "left").select("id", "n", F.expr("case when id is null then null else coalesce(component, id) end").alias("component"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
