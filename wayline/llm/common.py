@@ -87,13 +87,15 @@ HOT_ROWS, HOT_SHARE = 4_096, 1_000
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, spread: str, how: str = "inner") -> DataFrame:
     """rows joined with groups, which has a row per key with size, the number of rows of the key among total rows.
 
-    Rows of a hot key are dealt over several tasks by the hash of the column spread, and meet a copy of their group in
-    each. The broadcast table of hot keys has HOT_SHARE rows at most. size stays out of the result.
+    Rows of a hot key, and those with a null key, are dealt over several tasks by the hash of the columns spread; the
+    former meet a copy of their group in each. The broadcast table of hot keys has HOT_SHARE rows at most. size stays out
+    of the result. No group has a null key.
     """
     limit = max(HOT_ROWS, total // HOT_SHARE)
     salts = F.expr(f"cast(ceil(size / {limit}.0) as int)")
     hot = groups.where(F.col("size") > limit).select(*keys, salts.alias("_salts"))
-    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.expr(f"cast(pmod(xxhash64({spread}), coalesce(_salts, 1)) as int)")).drop("_salts")
+    missing = " or ".join(f"{k} is null" for k in keys)
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.expr(f"cast(pmod(xxhash64({spread}), if({missing}, {HOT_SHARE}, coalesce(_salts, 1))) as int)")).drop("_salts")
     copies = groups.withColumn("_salt", F.explode(F.expr(f"sequence(0, if(size > {limit}, cast(ceil(size / {limit}.0) as int), 1) - 1)"))).drop("size")
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
 

@@ -1,8 +1,9 @@
 """WARC archives: writing, reading, and revisit resolution.
 
-Payloads stay where they are: only record headers (digest, id, file, offset) are shuffled by digest to find each group's
-original. A second pass over the archives writes deduplicated ones, where copies become revisit records with fresh
-headers. Files are gzip members, one per record, so a record can be read from its offset.
+Payloads stay where they are: only record headers (digest, ids, file, offset, address, date) are shuffled by digest to find
+each group's original. A second pass over the archives writes deduplicated ones, where copies become revisit records with
+fresh headers, which name the original by its new record id, its address and its date as the format's standard has it. Files
+are gzip members, one per record, so a record can be read from its offset.
 """
 
 from __future__ import annotations
@@ -14,8 +15,10 @@ import io
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,9 @@ from wayline.llm import common
 
 #: Bytes of records after which a task begins a further file.
 FILE_BYTES = 64_000_000
-_DATE = "2024-01-01T00:00:00Z"
+#: Record ids of deduplicated archives are made from those of the source in this name space.
+_SPACE = uuid.UUID("6f1d2c1e-6c1b-5f0e-9a53-0d1f7b6f2a11")
+_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -69,22 +74,21 @@ def _open(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class _Sink:
-    """Files of one task. A file gets its name when whole, so a repeated or lost task leaves no part of one under a name that is read."""
+    """Files of one task. A file gets its name when it is whole. A task that ran again may leave whole files of its first run: the manifest names those that count."""
 
     def __init__(self, folder: str):
         self.folder, self.f, self.size = folder, None, 0
 
     def add(self, data: bytes) -> tuple[str, int]:
         if self.f is None:
-            fs, base = _open(self.folder)
-            fs.create_dir(base, recursive=True)
+            self.fs, self.base = _open(self.folder)
+            self.fs.create_dir(self.base, recursive=True)
             self.name = f"{uuid.uuid4().hex}.warc.gz"
-            self.f, self.size = fs.open_output_stream(f"{base}/{self.name}", compression=None), 0
+            self.f, self.size = self.fs.open_output_stream(f"{self.base}/{self.name}.part", compression=None), 0
         at = self.size
         self.f.write(data)
         self.size += len(data)
-        name = self.name
-        return name, at
+        return self.name, at
 
     def full(self) -> bool:
         return self.size > FILE_BYTES
@@ -92,6 +96,7 @@ class _Sink:
     def close(self) -> None:
         if self.f is not None:
             self.f.close()
+            self.fs.move(f"{self.base}/{self.name}.part", f"{self.base}/{self.name}")
             self.f = None
 
 
@@ -99,31 +104,32 @@ def _http(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + payload
 
 
-def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str | None = None) -> DataFrame:
     """Write a response record per row below folder; returns the manifest (page_id, file, offset) of the files that count.
 
-    The manifest is stored: files of tasks that ran again aren't in it. Null html: an empty payload; null url: urn:page:id.
+    Null html: an empty payload; null url: urn:page:id. date: of all records, in ISO form; None: the time of writing. The
+    page's id is kept percent-encoded in a header of our own, which a null id lacks.
     """
     common.ship(pages.sparkSession)
     kind = pages.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink = _Sink(folder)
         for b in batches:
             out = []
-            ids = b["id"].astype(object).where(b["id"].notna(), None)
-            for i, url, html in zip(ids, b["url"], b["html"], strict=True):
+            for i, url, html in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
                 payload = (html or "").encode("utf-8", "surrogatepass")
-                body = _http(payload)
-                fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", _DATE), ("WARC-Target-URI", " ".join((url or f"urn:page:{i}").split())), ("WARC-Page-ID", "" if i is None else str(i)), ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
-                out.append((None if i is None else i, *sink.add(record(fields, body))))
+                own = [] if i is None else [("WARC-Page-ID", quote(i, safe=""))]
+                when = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+                fields = [("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", when), ("WARC-Target-URI", " ".join((url or f"urn:page:{quote(i or '')}").split())), *own, ("WARC-Payload-Digest", f"sha1:{payload_digest(payload)}"), ("Content-Type", "application/http; msgtype=response")]
+                out.append(sink.add(record(fields, _http(payload))))
                 if sink.full():
                     sink.close()
-            yield pd.DataFrame(out, columns=["page_id", "file", "offset"]).astype({"page_id": object})
+            yield pa.record_batch([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["page_id", "file", "offset"])
         sink.close()
 
-    rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"), pages[html_col].alias("html"))
-    return common.stored(rows.mapInPandas(run, f"page_id {kind}, file string, offset long"), "manifest")
+    rows = pages.select(pages[id_col].alias("id"), pages[id_col].cast("string").alias("name"), pages[url_col].alias("url"), pages[html_col].alias("html"))
+    return common.stored(rows.mapInArrow(run, f"page_id {kind}, file string, offset long"), "manifest")
 
 
 def _files(manifest: DataFrame) -> DataFrame:
@@ -141,66 +147,72 @@ def _read(folder: str, name: str) -> Iterator[tuple[int, dict[str, str], bytes]]
 
 
 def read_headers(manifest: DataFrame, folder: str, kind: str) -> DataFrame:
-    """(file, offset, page_id, type, digest, payload_bytes, refers_to) of every record of the manifest's files; digests and sizes are taken from the payloads, for revisits from the headers."""
+    """(file, offset, page_id, type, digest, payload_bytes, refers_to, record_id, uri, date, refers_record) of every record of the manifest's files; digests and sizes are taken from the payloads, for revisits from the headers."""
+    text = lambda x: None if x is None else unquote(x)
+    schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("page_id", pa.string()), ("type", pa.string()), ("digest", pa.string()), ("payload_bytes", pa.int64()), *((c, pa.string()) for c in ("refers_to", "record_id", "uri", "date", "refers_record"))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for name in b["file"]:
+            for name in b.column(0).to_pylist():
                 out = []
                 for at, fields, body in _read(folder, name):
                     payload = body.partition(b"\r\n\r\n")[2]
                     revisit = fields["WARC-Type"] == "revisit"
                     digest = fields["WARC-Payload-Digest"].partition(":")[2] if revisit else payload_digest(payload)
-                    out.append((name, at, fields["WARC-Page-ID"] or None, fields["WARC-Type"], digest, -1 if revisit else len(payload), fields.get("WARC-Refers-To-Page-ID")))
+                    row = (name, at, text(fields.get("WARC-Page-ID")), fields["WARC-Type"], digest, -1 if revisit else len(payload), text(fields.get("WARC-Refers-To-Page-ID")), fields["WARC-Record-ID"], fields["WARC-Target-URI"], fields["WARC-Date"], fields.get("WARC-Refers-To"))
+                    out.append(dict(zip(schema.names, row, strict=True)))
                     if len(out) == 10_000:
-                        yield pd.DataFrame(out, columns=columns)
+                        yield pa.RecordBatch.from_pylist(out, schema)
                         out = []
-                yield pd.DataFrame(out, columns=columns)
+                yield pa.RecordBatch.from_pylist(out, schema)
 
-    columns = ["file", "offset", "page_id", "type", "digest", "payload_bytes", "refers_to"]
-    read = _files(manifest).mapInPandas(run, "file string, offset long, page_id string, type string, digest string, payload_bytes long, refers_to string")
+    read = _files(manifest).mapInArrow(run, "file string, offset long, page_id string, type string, digest string, payload_bytes long, refers_to string, record_id string, uri string, date string, refers_record string")
     return read.withColumn("page_id", F.col("page_id").cast(kind)).withColumn("refers_to", F.col("refers_to").cast(kind))
 
 
 def resolve_revisits(headers: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """headers with original: of records with equal digest and size of at least least_bytes, the smallest page_id (null: none is smaller; the first in file order stands for the rest); null for records that stay responses.
+    """(file, offset, copy, original) of headers. Of records with equal digest and size of at least least_bytes, the one of the smallest page_id (null: none is smaller; the first in file order stands for equal ones) stays a response; the others are copies, with the original's page_id, record_id, uri and date.
 
-    Originals come from a pre-aggregated group-by, and meet the headers in a join whose skewed parts Spark can split.
+    Originals come from a pre-aggregated group-by; the copies of a large group are dealt over several tasks.
     """
     keys = headers.where(F.col("payload_bytes") >= least_bytes)
-    first = keys.groupBy("digest", "payload_bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "file", "offset")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    joined = headers.join(first, ["digest", "payload_bytes"], "left")
+    names = ["page_id", "file", "offset", "record_id", "uri", "date"]
+    first = keys.groupBy("digest", "payload_bytes").agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), *names)).alias("first"), F.count("*").alias("size")).where("size > 1")
+    joined = common.join_groups(headers.select(*names, "digest", "payload_bytes"), first, ["digest", "payload_bytes"], headers.count(), "file, offset", "left")
     copy = F.col("first").isNotNull() & ~((F.col("file") == F.col("first.file")) & (F.col("offset") == F.col("first.offset")))
-    return joined.select("file", "offset", copy.alias("copy"), F.when(copy, F.col("first.page_id")).alias("original"))
+    return joined.select("file", "offset", copy.alias("copy"), F.when(copy, F.col("first")).alias("original"))
 
 
 def write_deduplicated(resolved: DataFrame, source: str, target: str) -> DataFrame:
-    """Copy the archives below source to target, with revisit records for copies; returns the new manifest. One task takes one file and the decisions for it, in offset order."""
-    decisions = resolved.select("file", "offset", "copy", F.col("original").cast("string").alias("original"))
+    """Copy the archives below source to target, with revisit records for copies; returns the new manifest (file, offset). One task takes one file and the decisions for it, in offset order."""
+    decisions = resolved.select("file", "offset", "copy", F.col("original.page_id").cast("string").alias("page"), "original.record_id", "original.uri", "original.date")
     n = resolved.sparkSession.sparkContext.defaultParallelism * 2
     decisions = decisions.repartition(n, "file").sortWithinPartitions("file", "offset")
+    fresh_id = lambda old: f"<urn:uuid:{uuid.uuid5(_SPACE, old)}>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sink, name, records = _Sink(target), None, None
         for b in batches:
             out = []
-            for file, offset, copy, original in zip(b["file"], b["offset"], b["copy"], b["original"], strict=True):
+            for file, offset, copy, page, record_id, uri, date in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if file != name:
                     name, records = file, _read(source, file)
                 at, fields, body = next(records)
                 if at != offset:
                     raise ValueError(f"{file}: a record at {at}, a decision for {offset}")
-                fresh = [(k, v) for k, v in fields.items() if k not in ("WARC-Record-ID", "WARC-Type", "Content-Length")]
-                kind = "revisit" if copy else "response"
-                fresh = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), *fresh]
+                fresh = [("WARC-Type", "revisit" if copy else "response"), ("WARC-Record-ID", fresh_id(fields["WARC-Record-ID"]))]
+                fresh += [(k, v) for k, v in fields.items() if k not in ("WARC-Record-ID", "WARC-Type", "Content-Length")]
                 if copy:
                     body = body.partition(b"\r\n\r\n")[0] + b"\r\n\r\n"
-                    fresh += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To-Page-ID", original or "")]
-                out.append((fields["WARC-Page-ID"], *sink.add(record(fresh, body))))
-            yield pd.DataFrame(out, columns=["page_id", "file", "offset"])
+                    fresh += [("WARC-Profile", _PROFILE), ("WARC-Refers-To", fresh_id(record_id)), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date)]
+                    fresh += [] if page is None else [("WARC-Refers-To-Page-ID", quote(page, safe=""))]
+                out.append(sink.add(record(fresh, body)))
+                if sink.full():
+                    sink.close()
+            yield pa.record_batch([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64())], names=["file", "offset"])
         sink.close()
 
-    return common.stored(decisions.mapInPandas(run, "page_id string, file string, offset long"), "manifest")
+    return common.stored(decisions.mapInArrow(run, "file string, offset long"), "manifest")
 
 
 def deduplicate_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -209,7 +221,7 @@ def deduplicate_pages(pages: DataFrame, folder: str | None = None, least_bytes:
     One row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, and file and offset of its record.
     Null html is an empty payload. Of equal payloads of least_bytes or more, the smallest page_id is the response; a null
     page_id is behind all others; rows that repeat page_id and payload are told apart by their place in the archive.
-    Null ids are read back as null. Other columns aren't read. An empty table gives no rows.
+    Ids are read back as they were, null ones as null. Other columns aren't read. An empty table gives no rows.
     """
     spark: SparkSession = pages.sparkSession
     kind = pages.schema[id_col].dataType.simpleString()
@@ -220,6 +232,8 @@ def deduplicate_pages(pages: DataFrame, folder: str | None = None, least_bytes:
     final = write_deduplicated(resolve_revisits(headers, least_bytes), raw, target)
     common.remove(spark, raw)
     read = common.stored(read_headers(final, target, kind), "headers")
-    sizes = read.where("type = 'response'").groupBy("digest").agg(F.max("payload_bytes").alias("full"))
-    joined = read.join(sizes, "digest", "left")
+    # a revisit's size is that of the record it refers to, found by the standard's fields
+    copies = read.where("type = 'revisit'").groupBy(F.col("refers_record").alias("record_id")).agg(F.count("*").alias("size"))
+    sizes = read.where("type = 'response'").select("record_id", "payload_bytes").join(copies, "record_id").select(F.col("record_id").alias("refers_record"), F.col("payload_bytes").alias("full"), "size")
+    joined = common.join_groups(read, sizes, ["refers_record"], read.count(), "record_id", "left")
     return joined.select("page_id", F.when(F.col("type") == "response", F.col("payload_bytes")).otherwise(F.col("full")).alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to", "file", "offset")
