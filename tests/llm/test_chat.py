@@ -3,6 +3,8 @@ import hashlib
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from wayline.llm import chat
 
 PARTS = ["<", "|", "\\", "im_start|>", "<|im_start|>", "<|im_end|>", "</s>", "[INST]", "[/INST]", "[", "\n", "a", "%0A", "%", "<<SYS>>", "<s>", "s>", "<</SYS>>"]
@@ -40,3 +42,14 @@ def test_rows(spark):
     assert got[1].n_turns == 3 and got[1].loss_chars == 2 and got[2].loss_chars == 0 and got[None].loss_chars == 1 and got[3].loss_chars == 300_000
     assert got[1].turns_sha256 == hashlib.sha256(b"user\na\nassistant\nb\nassistant\nb\n").hexdigest()
     assert chat.format_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_ids_as_they_are(spark):
+    # a null id beside others in one batch, and neighbours that are one number as floats
+    ids = [None, 2**53 + 1, 2**53 + 2, -7]
+    rows = [(i, t, "assistant", f"{i}{t}") for i in ids for t in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit(1)).withColumn("n_turns", F.lit("x")).coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(chat.format_conversations(df)).collect()}
+    assert got == {i: (2, len(f"{i}0{i}1")) for i in ids}
+    named = spark.createDataFrame([("", 0, "user", "a"), ("a ", 0, "user", "a"), ("a", 0, "user", "a")], "conv_id string, turn long, role string, text string").coalesce(1)
+    assert {r.conv_id for r in chat.format_conversations(named).collect()} == {"", "a ", "a"}

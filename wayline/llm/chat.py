@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +25,8 @@ Template = Callable[[list[Turn]], str]
 #: Control strings of usual templates (fixed values); inside texts they are escaped.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"]
 _ESCAPE = re.compile("|".join(f"(?:{re.escape(c[0])})(\\\\*)(?={re.escape(c[1:])})" for c in CONTROL))
+#: Columns of places in the output of format_conversations.
+PLACES = ["span_starts", "span_ends", "loss_starts", "loss_ends", "rewrites"]
 _OPEN, _CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
@@ -110,7 +112,7 @@ def format_conversations(df: DataFrame, template: Template = marked_turns, learn
     """One row per conversation: conv_id, n_turns, formatted, span_starts, span_ends (of turns), loss_starts, loss_ends (of the texts of role learn), rewrites (turns at which the template changed earlier output).
 
     Turns are in turn order, null first; rows of one turn by role, then text, null first, repeated rows all kept. Null
-    texts and roles are empty; rows of a null conversation are one conversation with a null id. Positions count code
+    texts and roles are empty; rows of a null conversation are one conversation with a null id; ids keep their exact values. Positions count code
     points. Other columns aren't read. An empty table gives no rows. A conversation is rendered in one task, whose memory
     holds it and no other; rendering all prefixes takes time in proportion to its turns times its length.
     """
@@ -119,12 +121,13 @@ def format_conversations(df: DataFrame, template: Template = marked_turns, learn
     rows = df.select(df[conv_col].alias("conv_id"), df[turn_col].alias("turn"), df[role_col].alias("role"), df[text_col].alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions(*(F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         began, conv, turns = False, None, []
         done: list[dict] = []
         held = 0
         for b in batches:
-            for c, r, t in zip(b["conv_id"].astype(object).where(b["conv_id"].notna(), None), b["role"], b["text"], strict=True):
+            out = pa.schema([("conv_id", b.schema.field(0).type), ("n_turns", pa.int64()), ("formatted", pa.string()), *((c, pa.list_(pa.int64())) for c in PLACES)])
+            for c, r, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if began and c != conv:
                     done.append(_row(conv, turns, template, learn))
                     held += len(done[-1]["formatted"])
@@ -132,13 +135,13 @@ def format_conversations(df: DataFrame, template: Template = marked_turns, learn
                 began, conv = True, c
                 turns.append((r or "", t or ""))
                 if held > 4_000_000:
-                    yield pd.DataFrame(done)
+                    yield pa.RecordBatch.from_pylist(done, out)
                     done, held = [], 0
         if began:
             done.append(_row(conv, turns, template, learn))
-            yield pd.DataFrame(done)
+            yield pa.RecordBatch.from_pylist(done, out)
 
-    return rows.select("conv_id", "role", "text").mapInPandas(run, f"conv_id {kind}, n_turns long, formatted string, span_starts array<bigint>, span_ends array<bigint>, loss_starts array<bigint>, loss_ends array<bigint>, rewrites array<bigint>")
+    return rows.select("conv_id", "role", "text").mapInArrow(run, f"conv_id {kind}, n_turns long, formatted string, {', '.join(c + ' array<bigint>' for c in PLACES)}")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -146,14 +149,15 @@ def digests(formatted: DataFrame) -> DataFrame:
     common.ship(formatted.sparkSession)
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, starts, ends in zip(b["formatted"], b["loss_starts"], b["loss_ends"], strict=True):
+            for text, starts, ends in zip(*(x.to_pylist() for x in b.columns[1:]), strict=True):
                 turns = parse_marked(text)
                 all_turns = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass")).hexdigest()
                 loss = "".join(unescape(text[a:z]) for a, z in zip(starts, ends, strict=True))
                 out.append((len(turns), all_turns, len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
-            yield pd.concat([b[["conv_id"]].reset_index(drop=True), pd.DataFrame(out, columns=["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])], axis=1)
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.record_batch([b.column(0), *(pa.array([x[j] for x in out], t) for j, t in enumerate(kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInPandas(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
