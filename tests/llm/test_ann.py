@@ -9,8 +9,9 @@ def table(spark, rows):
 
 
 def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "LIST_ROWS", 64)
-    monkeypatch.setattr(ann, "PART_ROWS", 50)
+    monkeypatch.setattr(ann, "SHARD_ROWS", 50)
+    monkeypatch.setattr(ann, "TURN_ROWS", 7)
+    monkeypatch.setattr(ann.common, "HOT_ROWS", 20)
     x = np.random.default_rng(0).normal(size=(3000, 32)).astype(np.float32)
     df = table(spark, [(i, r.tolist()) for i, r in enumerate(x)])
     got = {}
@@ -26,11 +27,15 @@ def test_recall(spark, monkeypatch):
     assert len(got) == 30 and hit / 300 >= 0.9
 
 
-def test_edges(spark):
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [9.0, 9.0]), (8, [float("inf"), 0.0])]
+def test_edges(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [2.0, 0.0]), (7, [1.0, 0.0]), (7, [1.0, 0.0]), (7, [0.5, 0.0]), (0, [0.25, 0.0]), (None, [9.0, 9.0]), (8, [float("inf"), 0.0])]
     df = table(spark, rows)
-    got = [(r.rank, r.vec_id, r.score) for r in sorted(ann.nearest(df, df.where("vec_id = 0"), k=20).collect(), key=lambda r: r.rank)]
-    assert got == [(1, 6, 2.0), (2, 1, 1.0), (3, 7, 1.0)]
+    monkeypatch.setattr(ann, "LIST_SAMPLE", 100)  # one list: all is found
+    got = [(r.rank, r.vec_id, r.score) for r in sorted(ann.nearest(df, df.where("vec_id = 1"), k=20).collect(), key=lambda r: r.rank)]
+    assert got == [(1, 6, 2.0), (2, 0, 1.0), (3, 7, 1.0), (4, 7, 0.5), (5, 0, 0.25)]
+    # an id with two vectors is two rows and two queries
+    got = sorted((r.rank, r.vec_id, r.score) for r in ann.nearest(df, df.where("vec_id = 0"), k=2).collect())
+    assert got == [(1, 6, 0.5), (1, 6, 2.0), (2, 0, 0.25), (2, 1, 1.0)]
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         ann.nearest(table(spark, [(0, [1.0]), (1, [1.0, 2.0])]), df)
@@ -47,7 +52,8 @@ def test_large_group_of_copies(spark, request):
     ids = r.permutation(4000)
     df = table(spark, [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)])
     got = {}
-    for row in ann.nearest(df, df.where("vec_id % 50 = 0"), k=20).collect():
+    # what is held here is the choice among copies, so lists are probed for nearly all neighbours
+    for row in ann.nearest(df, df.where("vec_id % 50 = 0"), k=20, recall=0.999).collect():
         got.setdefault(row.query_id, {})[row.rank] = row.vec_id
     y, at, hit = x.astype(float), np.argsort(ids), 0
     for q, found in got.items():
@@ -60,3 +66,32 @@ def test_large_group_of_copies(spark, request):
     same = table(spark, [(int(i), [1.0, 2.0]) for i in ids])
     got = [r.vec_id for r in sorted(ann.nearest(same, same.where("vec_id = 3"), k=20).collect(), key=lambda r: r.rank)]
     assert got == [0, 1, 2, *range(4, 21)]
+
+
+def recall_of(rows, x, k):
+    """Of found (query, id) rows, the share of the k nearest by brute force; ids are row numbers."""
+    found, hit = {}, 0
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    for q, ids in found.items():
+        s = (x * x[q]).sum(axis=1)
+        s[q] = -np.inf
+        hit += len(ids & set(np.lexsort((np.arange(len(x)), -s))[:k].tolist()))
+    return len(found), hit / len(found) / k
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_recall_of_the_query(spark, sf):
+    from wayline.llm import queries
+
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    assert [r.vec_id for r in table] == list(range(len(table)))
+    n, share = recall_of(queries.op8_ann_ivfpq(spark, f"/root/testdata/{sf}").collect(), np.array([r.embedding for r in table]), min(20, len(table) - 1))
+    assert n == -(-len(table) // 20) and share >= 0.9
+
+
+def test_clustered_vectors_need_few_lists():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(200, 32))[r.integers(0, 200, 10_000)] * 3 + r.normal(size=(10_000, 32)) / 2
+    quantiser = ann.Quantiser(x, 100)
+    assert quantiser.probes_for(x, 20, 0.96) <= 15
