@@ -1,6 +1,9 @@
+import math
 import random
 from collections import Counter
+from fractions import Fraction
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayline.llm import mixing
@@ -66,3 +69,45 @@ def test_many_sources(spark):
     # with explicit weights too, small sources included, and tiny weights keep positions distinct
     rows = mixing.mix_sources(df, {f"s{i}": 1e-30 if i == 7 else i + 1 for i in range(1500)}, block_rows=2).collect()
     assert len({r.mix_position for r in rows}) == 6_000 and min(r.mix_position for r in rows) >= 0
+
+
+def brute_slots(weights, blocks):
+    """Slots dealt one by one among all released blocks, the earliest deadline first, to the first source without a block."""
+    total, done, out = sum(map(Fraction, weights.values())), dict.fromkeys(weights, 0), []
+    while True:
+        t = len(out)
+        released = [(math.ceil((done[s] + 1) * total / Fraction(w)), s) for s, w in sorted(weights.items()) if math.floor(done[s] * total / Fraction(w)) <= t]
+        s = min(released)[1]
+        if done[s] == blocks[s]:
+            return out
+        out.append(s)
+        done[s] += 1
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_brute_force(spark, seed):
+    r = random.Random(seed)
+    weights = {f"s{i}": r.choice([0.1, 0.25, 1, 3, 1 / 3, 7.5]) for i in range(r.randint(1, 6))}
+    sizes = {s: r.randint(0, 400) for s in [*weights, "other"]}
+    rows = [(i, s) for i, s in enumerate(x for x, n in sizes.items() for _ in range(n))]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string"), weights, block_rows=7).collect()
+    want = brute_slots(weights, {s: sizes[s] // 7 for s in weights})
+    exact = sorted((x for x in got if x.mix_exact), key=lambda x: x.mix_position)
+    assert [x.source for x in exact] == [s for s in want for _ in range(7)]
+    assert [x.mix_position for x in exact] == list(range(7 * len(want)))
+    assert sorted((x.doc_id, x.source) for x in got) == sorted(rows) and len({x.mix_position for x in got}) == len(rows)
+    # later blocks: in the order of their release, those of unweighted sources last
+    later = [x for x in got if not x.mix_exact]
+    assert all(x.mix_position > y.mix_position for x in later for y in exact[-1:])
+    if sizes["other"] and len(later) > sizes["other"]:
+        assert min(x.mix_position for x in later if x.source == "other") > max(x.mix_position for x in later if x.source != "other")
+
+
+def test_rows_alike(spark, monkeypatch):
+    # null ids, repeated ids and equal rows: the buckets stay small, positions distinct
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(None, "a", f"t{i}") for i in range(300)] + [(1, "a", "same")] * 500 + [(2, None, None)] * 200
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"h": F.lit(1), "part": F.lit("p"), "m": F.create_map(F.lit("k"), F.lit(1))}).repartition(3)
+    out = mixing.mix_sources(df, block_rows=10).collect()
+    assert len({r.mix_position for r in out}) == 1000 and Counter(r.text for r in out) == Counter(t for _, _, t in rows)
+    assert all(n == 10 for n in Counter(r.mix_block for r in out).values())

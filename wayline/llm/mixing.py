@@ -91,27 +91,38 @@ def max_deviation(order: list, weights: dict) -> Fraction:
 
 
 def _ranked(df: DataFrame, n_rows: int, seed: int) -> DataFrame:
-    """df (src, id, ...) with rank: its place from 0 in its source's order of keyed hashes. No task gets a whole source: order buckets are ranked apart and added up."""
+    """df (src, row, ...) with rank: its place from 0 in its source's order of keyed hashes of whole rows.
+
+    No task gets a whole source: order buckets are ranked apart and added up. A bucket is much larger than BUCKET_ROWS only
+    if many rows are alike; those are dealt over parts by their places in the input, so that each part is small again.
+    """
     buckets = max(1, -(-n_rows // BUCKET_ROWS))
-    keyed = df.withColumn("h", F.xxhash64(F.col("id"), F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(buckets)))
-    sizes = keyed.groupBy("src", "bucket").count()
-    before = F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("src", "bucket", before.alias("before"))
-    own = F.row_number().over(Window.partitionBy("src", "bucket").orderBy("h", F.col("id").asc_nulls_first())) - 1
-    return keyed.withColumn("own", own).join(sizes, ["src", "bucket"]).withColumn("rank", F.col("before") + F.col("own")).drop("h", "bucket", "own", "before")
+    plain = [f"row.`{f.name}`" for f in df.schema["row"].dataType if not any(x in f.dataType.simpleString() for x in ("map<", "variant", "interval"))]
+    keyed = df.withColumn("h", F.xxhash64(*map(F.col, plain), F.lit(seed))).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(buckets)))
+    counts = keyed.groupBy("src", "bucket").count()
+    # at most n_rows / (2 * BUCKET_ROWS) buckets, a small part of the slots that the driver deals
+    large = counts.where(F.col("count") > 2 * BUCKET_ROWS).select("src", "bucket", F.expr(f"ceil(count / {BUCKET_ROWS})").alias("parts"))
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("parts")))
+    keyed = keyed.join(F.broadcast(large), ["src", "bucket"], "left").withColumn("part", part).drop("parts")
+    sizes = keyed.groupBy("src", "bucket", "part").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("src").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("src", "bucket", "part", before.alias("before"))
+    own = F.row_number().over(Window.partitionBy("src", "bucket", "part").orderBy("h", F.col("id").asc_nulls_first())) - 1
+    return keyed.withColumn("own", own).join(sizes, ["src", "bucket", "part"]).withColumn("rank", F.col("before") + F.col("own")).drop("h", "bucket", "part", "own", "before")
 
 
 def mix_sources(df: DataFrame, weights: dict | None = None, source_col: str = "source", id_col: str = "doc_id", block_rows: int = 64, seed: int = 7, period: int = PERIOD) -> DataFrame:
     """df with mix_block (slot of the row's block), mix_row (its place in it), mix_position (slot * block_rows + place) and mix_exact.
 
-    Ordering by mix_position gives the mixture. Within a source, order is by a keyed hash of the id. No row is dropped:
+    Ordering by mix_position gives the mixture. Within a source, order is by a keyed hash of the whole row. No row is dropped:
     mix_exact marks slots before the first source runs out of full blocks, up to where every source is less than one
     block off its target; later blocks follow in the order of the slots at which the weights release them, without those
     of sources that are used up, so their slots have gaps. All sources take part, however many. weights: target by source, default the square
     root of each source's row count; sources without a weight (or of weight 0) come last, after all others, with
-    mix_exact false. A null source is a source of its own, named "". Rows that repeat an id are rows of their own, in any
-    order. Null ids come first within equal hashes. Columns of df that have the new names are replaced. An empty table
-    gives no rows. period has no effect: weights aren't rounded. The driver holds a row per source and per exact slot.
+    mix_exact false. A null source is a source of its own, named "". Rows that repeat an id, or a null id, are rows of their
+    own; rows alike in all columns come in any order. Columns of df that have the new names are replaced. An empty table
+    gives no rows. period has no effect: weights aren't rounded. The driver holds a row per source and 16 bytes per
+    exact slot: with very many rows, block_rows should be so large that rows / block_rows fits it.
     """
     new = ["mix_block", "mix_row", "mix_position", "mix_exact"]
     names = [c for c in df.columns if c not in new]
