@@ -155,7 +155,8 @@ def dedup_lines(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", m
     gone = common.stored(repeated_lines(docs, min_words), "cuts")
     names = [c for c in df.columns if c not in ("n_lines", "n_removed")]
     packed = df.select(F.struct(*[df[c] for c in names]).alias("row"), df[id_col].alias("id"), F.md5(df[text_col].cast("binary")).alias("th"))
-    joined = packed.join(gone, packed["id"].eqNullSafe(gone["id"]) & (packed["th"] == gone["th"]), "left").select("row", "cuts")
+    # merged at every size: a list of cuts has no bound
+    joined = packed.join(gone.hint("merge"), packed["id"].eqNullSafe(gone["id"]) & (packed["th"] == gone["th"]), "left").select("row", "cuts")
     text = F.col(f"row.`{text_col}`")
     ended = text.endswith("\n")
     parts = F.split(F.when(ended, text.substr(F.lit(1), F.length(text) - 1)).otherwise(text), "\n", -1)
