@@ -3,12 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation over the counts of
 vote patterns of all documents (at most 3**labellers rows) estimates each labeller's accuracy and coverage with no
 labelled row, and gives each pattern a posterior probability of good. A linear model on hashed words and word shapes is
-then fitted to the posteriors on a bounded sample, and scores every document.
+then fitted to the posteriors on a bounded sample of rows, and scores every document.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,12 @@ from pyspark.sql import types as T
 
 from wayline.llm import common
 
-LABELLERS = ["symbol_tails", "capitals", "echoes", "few_words", "few_pairs", "pipes", "bare_signs", "sentences", "letters"]
+LABELLERS = ["symbol_tails", "capitals", "echoes", "few_words", "few_pairs", "bare_signs", "sentences", "letters"]
 #: Shorter texts say too little: labellers don't vote on them.
 LEAST_WORDS = 8
-#: Documents that the linear model is fitted on: those with the smallest keyed hashes of their ids. It bounds the driver's memory.
-SAMPLE = 4_000
+#: Distinct rows that the linear model is fitted on at most, those with the smallest keyed hashes, and the number of their
+#: non-zero features at most (with six bytes each): what the driver holds of the corpus.
+SAMPLE, SAMPLE_CELLS = 4_000, 4_000_000
 DIMS = 1 << 14
 STEPS = 300
 
@@ -62,7 +64,6 @@ def measures(block: common.Block) -> dict[str, np.ndarray]:
         "again": _share(per(again), n),
         "distinct": _share(per(fresh(h)), np.minimum(n, 400)),
         "pairs": _share(per(fresh(pair)), n),
-        "pipes": _share(per((ends - starts == 1) & (last == 124)), n),
         "bare": _share(per((ends - starts == 1) & ~common.ALNUM[last]), n),
         "stops": _share(per((last == 46) | (last == 33) | (last == 63)), n),
         "letters": _share(chars(_LETTERS), chars(common.NONSPACE) - chars(_DIGITS)),
@@ -79,7 +80,6 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         pick(m["again"] > 0.2, m["again"] < 0.05),
         pick(long & (m["distinct"] < 0.2), m["distinct"] > 0.35),
         pick(m["pairs"] < 0.4, m["pairs"] > 0.7),
-        pick(m["pipes"] > 0.15, m["pipes"] < 0.02),
         pick(m["bare"] > 0.1, m["bare"] < 0.03),
         pick(long & ((m["stops"] < 0.005) | (m["stops"] > 0.6)), (m["stops"] > 0.03) & (m["stops"] < 0.4)),
         pick(m["letters"] < 0.88, m["letters"] > 0.93),
@@ -146,66 +146,101 @@ def _train(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np
     return w
 
 
-def quality_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5, carry: bool = False) -> DataFrame:
-    """One row per row of df: id_col, n_words, votes (by LABELLERS: 1, 0, -1), posterior and score of good, keep.
+@dataclass
+class Model:
+    """What is learnt of a corpus: the posterior of good by vote pattern, and the linear model (None where only one class is there)."""
 
-    keep: the linear score is threshold or more. Where all patterns agree that only one class is there (as in tiny or
-    empty tables) the posterior decides alone. Null and empty texts get all bad votes. Repeated ids and rows are scored
-    row by row. With carry the result has the column row, a struct of all columns of df; else other columns aren't read.
-    The sample's size is SAMPLE; counts of patterns are of all rows.
-    """
+    posterior: dict[str, float]
+    weights: np.ndarray | None
+
+
+def _pattern(votes_of_row: np.ndarray) -> str:
+    return "".join("-0+"[x + 1] for x in votes_of_row)
+
+
+def fit_quality(df: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> Model:
+    """Fit to df: EM to the vote patterns of all rows, the linear model to SAMPLE distinct rows (by id and text)."""
     spark = df.sparkSession
     common.ship(spark)
-    kind = df.schema[id_col].dataType.simpleString()
-    source = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    # the sample is fixed by hashes of the rows, whatever the partitions are
+    source = df.select(F.xxhash64(df[id_col], df[text_col], F.lit(11)).alias("order"), df[text_col].alias("text"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in common.blocks(batch.column(1)):
-                v = votes(measures(block))
-                texts = ["".join("-0+"[x + 1] for x in r) for r in v]
-                yield pa.record_batch([batch.column(0).slice(int(block.rows[0]), len(block)), pa.array(texts)], names=["id", "pattern"])
+                yield pa.record_batch([batch.column(0).slice(int(block.rows[0]), len(block)), pa.array([_pattern(r) for r in votes(measures(block))], pa.string())], names=["order", "pattern"])
 
-    voted = common.stored(source.mapInArrow(vote, f"id {kind}, pattern string"), "votes")
+    voted = common.stored(source.mapInArrow(vote, "order long, pattern string"), "votes")
     seen = sorted((r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().collect())
     patterns = np.array([["-0+".index(c) - 1 for c in p] for p, _ in seen], np.int64).reshape(len(seen), len(LABELLERS))
-    _, _, good = fit_labellers(patterns, np.array([c for _, c in seen], np.float64))
+    counts = np.array([c for _, c in seen], np.float64)
+    _, _, good = fit_labellers(patterns, counts)
     posterior = {p: float(g) for (p, _), g in zip(seen, good, strict=True)}
 
-    # the sample is fixed by its ids' hashes, whatever the partitions are
-    chosen = voted.where("id is not null").select("id", "pattern", F.xxhash64(F.col("id"), F.lit(11)).alias("order")).orderBy("order", "id", "pattern").limit(SAMPLE)
-    picked = [(r["id"], r["pattern"]) for r in chosen.collect()]
-    target = {i: posterior[p] for i, p in picked}
-    weights = None
-    if target and min(target.values()) < 0.5 <= max(target.values()):
-        wanted = spark.createDataFrame([(i,) for i in target], f"id {kind}")
-
-        def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for block in common.blocks(batch.column(1)):
-                    row, column, value = features(block)
-                    cell, back = np.unique(row * DIMS + column, return_inverse=True)
-                    total = np.bincount(back, value, minlength=len(cell)).astype(np.float32)
-                    cuts = np.searchsorted(cell // DIMS, np.arange(len(block) + 1))
-                    c = pa.array([(cell % DIMS)[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                    v = pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
-                    yield pa.record_batch([batch.column(0).slice(int(block.rows[0]), len(block)), c, v], names=["id", "c", "v"])
-
-        sampled = source.join(F.broadcast(wanted), "id", "left_semi").mapInArrow(extract, f"id {kind}, c binary, v binary")
-        rows, columns, values, targets = [], [], [], []
-        for r in sorted(sampled.collect(), key=lambda r: (str(r["id"]), r["c"], r["v"])):
-            columns.append(np.frombuffer(r["c"], np.uint16))
-            values.append(np.frombuffer(r["v"], np.float32))
-            rows.append(np.full(len(columns[-1]), len(targets), np.uint16))
-            targets.append(target[r["id"]])
-        weights = _train(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), np.array(targets))
+    # hashes spread evenly, so about 2 * SAMPLE rows lie below this
+    top = int(min(2**63 - 1, -(2**63) + 2**64 * min(1.0, 2 * SAMPLE / max(counts.sum(), 1))))
+    chosen = [r["order"] for r in voted.where(F.col("order") <= top).select("order").distinct().orderBy("order").limit(SAMPLE).collect()]
+    if len(chosen) < SAMPLE and top < 2**63 - 1:  # many rows are alike
+        chosen = [r["order"] for r in voted.select("order").distinct().orderBy("order").limit(SAMPLE).collect()]
+    if not chosen:
+        return Model(posterior, None)
+
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in common.blocks(batch.column(1)):
+                row, column, value = features(block)
+                cell, back = np.unique(row * DIMS + column, return_inverse=True)
+                total = np.bincount(back, value, minlength=len(cell)).astype(np.float32)
+                cuts = np.searchsorted(cell // DIMS, np.arange(len(block) + 1))
+                c = pa.array([(cell % DIMS)[a:b].astype(np.uint16).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                v = pa.array([total[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+                target = [posterior[_pattern(r)] for r in votes(measures(block))]
+                yield pa.record_batch([batch.column(0).slice(int(block.rows[0]), len(block)), pa.array(np.diff(cuts)), c, v, pa.array(target)], names=["order", "cells", "c", "v", "target"])
+
+    sampled = source.where(F.col("order") <= chosen[-1]).mapInArrow(extract, "order long, cells long, c binary, v binary, target double")
+    sampled = common.stored(sampled.dropDuplicates(["order"]), "sample")
+    sizes = sorted((r["order"], r["cells"]) for r in sampled.select("order", "cells").collect())
+    last = [o for (o, _), n in zip(sizes, np.cumsum([n for _, n in sizes]), strict=True) if n <= SAMPLE_CELLS]
+    if not last:
+        return Model(posterior, None)
+    rows, columns, values, targets = [], [], [], []
+    for r in sorted(sampled.where(F.col("order") <= last[-1]).collect(), key=lambda r: r["order"]):
+        columns.append(np.frombuffer(r["c"], np.uint16))
+        values.append(np.frombuffer(r["v"], np.float32))
+        rows.append(np.full(len(columns[-1]), len(targets), np.uint16))
+        targets.append(r["target"])
+    if not min(targets) < 0.5 <= max(targets):
+        return Model(posterior, None)
+    return Model(posterior, _train(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), np.array(targets)))
+
+
+def quality_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5, carry: bool = False, model: Model | None = None) -> DataFrame:
+    """One row per row of df: id_col, n_words, votes (by LABELLERS: 1, 0, -1), posterior and score of good, keep.
+
+    keep: the linear score is threshold or more. Where all patterns of the sample agree that only one class is there (as in
+    tiny or empty tables) the posterior decides alone. Null and empty texts get all bad votes. Repeated ids and rows are
+    scored row by row. With carry the result has the column row, a struct of all columns of df; else other columns aren't
+    read, and an id column named like a result column takes its place. model: of fit_quality; None: fitted to df itself.
+    A pattern that the model hasn't seen has the posterior of the nearest one seen, in votes that differ, the first of them.
+    The sample's size is SAMPLE; counts of patterns are of all rows.
+    """
+    common.ship(df.sparkSession)
+    kind = df.schema[id_col].dataType.simpleString()
+    model = model or fit_quality(df, text_col, id_col)
+    posterior, weights = model.posterior, model.weights
+
+    def of(pattern: str) -> float:
+        if pattern not in posterior and posterior:
+            near = min(sorted(posterior), key=lambda p: sum(a != b for a, b in zip(p, pattern, strict=True)))
+            return posterior[near]
+        return posterior.get(pattern, 0.0)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in common.blocks(batch.column(1)):
                 m = measures(block)
                 v = votes(m)
-                p = np.array([posterior["".join("-0+"[x + 1] for x in r)] for r in v])
+                p = np.array([of(_pattern(r)) for r in v])
                 s = p
                 if weights is not None:
                     row, column, value = features(block)
@@ -213,16 +248,18 @@ def quality_scores(df: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                     s = np.where(m["words"] > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), 0.0)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(block) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel().astype(np.int32)))
                 own = [c.slice(int(block.rows[0]), len(block)) for c in (batch.column(0), *batch.columns[2:])]
-                yield pa.record_batch([own[0], pa.array(m["words"]), flat, pa.array(p), pa.array(s), pa.array(s >= threshold), *own[1:]], names=[id_col, "n_words", "votes", "posterior", "score", "keep", *["row"] * carry])
+                yield pa.record_batch([own[0], pa.array(m["words"]), flat, pa.array(p), pa.array(s), pa.array(s >= threshold), *own[1:]], names=["_id", *made, *["row"] * carry])
 
-    made = f"`{id_col}` {kind}, n_words long, votes array<int>, posterior double, score double, keep boolean"
+    made = ["n_words", "votes", "posterior", "score", "keep"]
+    schema = f"_id {kind}, n_words long, votes array<int>, posterior double, score double, keep boolean"
     if not carry:
-        return source.mapInArrow(score, made)
+        return common.named(df.select(df[id_col], df[text_col]).mapInArrow(score, schema), id_col, made)
     whole = F.struct(*[df[c] for c in df.columns]).alias("row")
     packed = df.select(df[id_col].alias("id"), df[text_col].alias("text"), whole)
-    return packed.mapInArrow(score, T._parse_datatype_string(made).add("row", packed.schema["row"].dataType))
+    return common.named(packed.mapInArrow(score, T._parse_datatype_string(schema).add("row", packed.schema["row"].dataType)), id_col, [*made, "row"])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """df without the rows that quality_scores rejects; no shuffle, and no join by id."""
-    return quality_scores(df, text_col, id_col, threshold, carry=True).where("keep").select("row.*")
+    scored = quality_scores(df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[id_col].alias("_key"), df[text_col].alias("_text")), "_text", "_key", threshold, carry=True)
+    return scored.where("keep").select("row.row.*")
