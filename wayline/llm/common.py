@@ -12,6 +12,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -59,13 +60,39 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wayline/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that stored has written and that are still there.
+_STORED: dict[str, None] = {}
+
+
 def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: later jobs don't recompute it, and it outlives executors."""
     spark = df.sparkSession
     path = work_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _STORED[path] = None
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_stored_at"] = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that stored has written, which nothing reads any more; others are let be."""
+    for t in tables:
+        path = t.__dict__.get("_stored_at")
+        if path in _STORED:
+            remove(t.sparkSession, path)
+            del _STORED[path]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what is stored inside, at its end, but for the tables put into the list."""
+    before, keep = set(_STORED), []
+    yield keep
+    for path in set(_STORED) - before - {t.__dict__.get("_stored_at") for t in keep}:
+        remove(spark, path)
+        del _STORED[path]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
     before = mark(edges)
     while before[0]:
-        edges = common.stored(_star(_star(edges, True, before[0]), False, before[0]), "edges")
+        old, edges = edges, common.stored(_star(_star(edges, True, before[0]), False, before[0]), "edges")
+        common.drop(old)
         after = mark(edges)
         if after == before:
             break

@@ -103,7 +103,9 @@ def _ranked(suffixes: DataFrame, keys: list[str], total: int, name: str) -> Data
     """suffixes (doc, pos, ms, keys) that share their keys with another, with rank in place of the keys; ranks ascend with the keys."""
     groups = suffixes.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1")
     groups = common.stored(groups.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("rank", F.monotonically_increasing_id()), f"rank-{name}")
-    return common.stored(common.join_groups(suffixes, groups, keys, total, "pos").drop(*keys), f"live-{name}")
+    live = common.stored(common.join_groups(suffixes, groups, keys, total, "pos").drop(*keys), f"live-{name}")
+    common.drop(groups)
+    return live
 
 
 def _runs_of(live: DataFrame, depth: int) -> DataFrame:
@@ -127,7 +129,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         ahead = F.max("rank").over(Window.partitionBy("doc").orderBy("pos").rangeBetween(depth, depth))
         pairs = live.withColumn("r2", ahead).where("r2 is not null").withColumnRenamed("rank", "r1")
         depth *= 2
-        live = _ranked(pairs, ["r1", "r2"], total, str(depth))
+        old, live = live, _ranked(pairs, ["r1", "r2"], total, str(depth))
+        common.drop(old)
     key = ["depth", "m", "r1", "r2"]
     firsts = runs.groupBy(*key).agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("size")).where("last >= first + m").drop("last")
     later = common.join_groups(runs, firsts, key, total, "pos").where("pos >= first + m").select("doc", "pos", (F.col("pos") + F.col("m")).alias("to"))
