@@ -62,5 +62,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with common.scratch(spark) as keep:
+            kept = common.stored(stage(spark, docs, sf_dir), f"stage-{name}")
+            keep.append(kept)
+        common.drop(docs)
+        docs = kept
     return docs
