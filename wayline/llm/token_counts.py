@@ -170,7 +170,9 @@ class PrefixCounter:
             return np.zeros(0, np.int16)
         starts = split_starts(self.classes[codes], codes, bounds)
         ends = np.append(starts[1:], n)
-        hashes = common.span_hashes(codes.view(np.uint8), 4 * starts, 4 * ends)
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        place = np.arange(n + 1) if len(raw) == n else np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF), dtype=np.int64)])
+        hashes = common.span_hashes(raw, place[starts], place[ends])
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_ENTRIES:
             self.reset()
@@ -306,7 +308,7 @@ def prefix_token_counts(df: DataFrame, text_col: str = "text", id_col: str = "do
         c = counter(tokenizer)
         for batch in batches:
             ids = batch.column(0)
-            for block in common.blocks(batch.column(1), 1_000_000):
+            for block in common.blocks(batch.column(1)):
                 lo, hi = int(block.rows[0]), int(block.rows[-1]) + 1
                 texts = [t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()]
                 deltas = c.deltas_of(texts)
