@@ -10,6 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that small collects at most.
+SMALL_ROWS = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df as a table held by the driver, which may be broadcast; fails beyond SMALL_ROWS rows. Runs a job."""
+    rows = df.limit(SMALL_ROWS + 1).collect()
+    if len(rows) > SMALL_ROWS:
+        raise ValueError(f"over {SMALL_ROWS} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def encode(df: DataFrame, weights: np.ndarray, bias: np.ndarray, id_col: str = "vec_id", vec: str = "vec") -> DataFrame:
     """(id_col, z): relu((x - bias) W^T), a matrix product per Arrow batch; weights (features, inputs) go to executors once."""
     shared = df.sparkSession.sparkContext.broadcast((weights, bias))

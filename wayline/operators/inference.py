@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators import ranks
+
 
 def auc(df: DataFrame, group: list[str], score: str = "score", label: str = "label", weight: str | None = None) -> DataFrame:
     """(group..., auc): Mann-Whitney with average ranks, weights allowed; 0.5 where a class is missing. Equal scores are added up first."""
     w = F.col(weight) if weight else F.lit(1.0)
     g = df.groupBy(*group, score).agg(F.sum(w).alias("m"), F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"))
-    below = F.coalesce(F.sum(F.col("m") - F.col("p")).over(Window.partitionBy(*group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    won = g.withColumn("won", F.col("p") * (below + (F.col("m") - F.col("p")) / 2))
+    g = ranks.running(g, score, F.col("m") - F.col("p"), "below", group)
+    won = g.withColumn("won", F.col("p") * (F.coalesce("below", F.lit(0.0)) + (F.col("m") - F.col("p")) / 2))
     t = won.groupBy(*group).agg(F.sum("won").alias("u"), F.sum("p").alias("pos"), F.sum(F.col("m") - F.col("p")).alias("neg"))
     return t.select(*group, F.when((F.col("pos") == 0) | (F.col("neg") == 0), 0.5).otherwise(F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
 def shuffled(df: DataFrame, key: str, value: str, groups: list[str], seed: Column) -> DataFrame:
-    """df (groups..., key, value) with value dealt anew in each group by keyed hashes: ranks of two orders are joined. Groups are bounded (one per replicate)."""
-    a = df.withColumn("rk", F.row_number().over(Window.partitionBy(*groups).orderBy(F.xxhash64(F.col(key), seed), key)))
-    b = df.withColumn("rk", F.row_number().over(Window.partitionBy(*groups).orderBy(key))).select(*groups, "rk", F.col(value).alias("dealt"))
+    """df (groups..., key, value) with value dealt anew in each group by keyed hashes: ranks of two orders are joined."""
+    a = ranks.hash_rank(df, key, seed, "rk", groups)
+    b = ranks.hash_rank(df, key, F.lit(-1), "rk", groups).select(*groups, "rk", F.col(value).alias("dealt"))
     return a.join(b, [*groups, "rk"]).drop("rk", value).withColumnRenamed("dealt", value)
 
 

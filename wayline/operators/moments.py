@@ -19,9 +19,11 @@ def feature_stats(df: DataFrame, vec: str = "vec", ddof: int = 1, eps: float = 0
 
 
 def zscore(df: DataFrame, stats: DataFrame, vec: str = "vec", eps: float = 1e-8, inside: bool = False, *keep: str) -> DataFrame:
-    """(keep..., j, z): (x - mean) / (std + eps), or with inside / sqrt(std^2 + eps). stats has a row per component and is broadcast."""
-    scale = F.sqrt(F.col("std") * F.col("std") + eps) if inside else F.col("std") + eps
-    return exploded(df, vec, *keep).join(F.broadcast(stats.select("j", "mean", "std")), "j").select(*keep, "j", ((F.col("v") - F.col("mean")) / scale).alias("z"))
+    """(keep..., j, z): (x - mean) / (std + eps), or with inside / sqrt(std^2 + eps). stats has a row per component; as one array, no larger than a row's vector, it meets each row."""
+    scale = (lambda s: F.sqrt(s * s + eps)) if inside else (lambda s: s + eps)
+    one = stats.agg(F.array_sort(F.collect_list(F.struct("j", "mean", "std"))).alias("s"))
+    z = F.zip_with(vec, "s", lambda x, s: (x - s["mean"]) / scale(s["std"]))
+    return df.crossJoin(F.broadcast(one)).select(*keep, F.posexplode(z).alias("j", "z"))
 
 
 def checks(df: DataFrame, rules: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from wayline.functions import vectors as v
+from wayline.operators import ranks
 
 
 def game() -> WindowSpec:
@@ -29,20 +30,23 @@ def divergence(df: DataFrame, w: int = 5, metric: str = "cosine") -> DataFrame:
 
 def threshold(df: DataFrame, col: str, share: float) -> DataFrame:
     """(threshold): the exact percentile over all rows, with linear interpolation."""
-    return df.where(F.col(col).isNotNull()).agg(F.expr(f"percentile({col}, {share})").alias("threshold"))
+    return ranks.quantile(df, col, share)
 
 
 def bifurcations(df: DataFrame, share: float = 0.95, distance: int = 5, mode: str = "reference") -> DataFrame:
     """(idx, game_id, move_number, score) of divergences above the percentile, thinned greedily by falling score.
 
     mode "reference" walks over all games at once and takes a candidate only if it is distance or more behind the last one taken (signed, so
-    none before it); "nms" takes, game by game, candidates distance or more from every one taken. The walk needs order; "reference" does it over one list of the few candidates, which is its definition.
+    none before it); "nms" takes, game by game, candidates distance or more from every one taken. "reference" needs a walk over all games: indices taken
+    ascend, so only a candidate behind all that come before it by score can be taken, and the walk is over those few (of n in random order about ln n).
     """
     cut = threshold(df, "divergence", share)
     c = df.join(F.broadcast(cut), F.col("divergence") > F.col("threshold")).select("idx", "game_id", "move_number", F.col("divergence").alias("score"))
     item = F.struct((-F.col("score")).alias("neg"), "idx", "game_id", "move_number", "score")
     taken = "cast(array() as array<struct<neg:double,idx:bigint,game_id:bigint,move_number:int,score:double>>)"
     if mode == "reference":
+        c = ranks.running(c.withColumn("neg", -F.col("score")), "neg", F.col("idx"), "top", ties=["idx"], how="max")
+        c = c.where("top is null or idx > top").drop("neg", "top")
         g = c.agg(F.array_sort(F.collect_list(item)).alias("l"))
         fits = f"size(a) = 0 or x.idx - element_at(a, -1).idx >= {distance}"
     else:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import codes, geometry
+from wayline.operators import codes, geometry, ranks
 from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -184,34 +184,37 @@ def centroids(spark: SparkSession, sf: str) -> DataFrame:
     return g.groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("m"))
 
 
-def _distances(spark: SparkSession, sf: str) -> DataFrame:
-    """Every row against every centroid: a fixed few, broadcast."""
-    return views.traj_vec(spark, sf).select("vec_id", "label", "vec").crossJoin(F.broadcast(centroids(spark, sf))).select("vec_id", "label", "c", v.squared_distance(F.col("vec"), F.col("m")).alias("d2"))
+def _near(spark: SparkSession, sf: str) -> DataFrame:
+    """(vec_id, label, own, nearest, d2): each row's squared distance from its own label's centroid, and its nearest centroid. The centroids, of a checked number, are one array that meets each row: no rows are made and none are shuffled."""
+    k = codes.small(centroids(spark, sf))
+    one = k.agg(F.collect_list(F.struct("c", "m")).alias("k"))
+    x = views.traj_vec(spark, sf).select("vec_id", "label", "vec").crossJoin(F.broadcast(one))
+    x = x.withColumn("d", F.transform("k", lambda s: F.struct(v.squared_distance(F.col("vec"), s["m"]).alias("d2"), s["c"].alias("c"))))
+    own = F.filter("d", lambda s: s["c"] == F.col("label"))[0]["d2"]
+    return x.select("vec_id", "label", own.alias("own"), F.array_min("d").alias("b")).select("vec_id", "label", "own", F.col("b.c").alias("nearest"), F.col("b.d2").alias("d2"))
 
 
 @query(f"SELECT vec_id, arg_min(c, struct_pack(d := d2, c := c)) AS nearest, round(min(d2), 5) AS d2 FROM ({_D}) GROUP BY vec_id")
 def nearest_centroid(spark: SparkSession, sf: str) -> DataFrame:
-    b = _distances(spark, sf).groupBy("vec_id").agg(F.min(F.struct("d2", "c")).alias("b"))
-    return b.select("vec_id", F.col("b.c").alias("nearest"), F.round("b.d2", 5).alias("d2"))
+    return _near(spark, sf).select("vec_id", "nearest", F.round("d2", 5).alias("d2"))
 
 
 @query(f"SELECT c, vec_id, CAST(rk AS INTEGER) AS rk FROM (SELECT c, vec_id, row_number() OVER (PARTITION BY c ORDER BY round(d2, 9), vec_id) AS rk FROM ({_D}) WHERE c = label) WHERE rk <= 5")
 def cluster_prototypes(spark: SparkSession, sf: str) -> DataFrame:
-    own = _distances(spark, sf).where("c = label").withColumn("d", F.round("d2", 9))
+    own = _near(spark, sf).select(F.col("label").alias("c"), "vec_id", F.round("own", 9).alias("d"))
     return codes.first_per_group(own, "c", [F.col("d"), F.col("vec_id")], 5).select("c", "vec_id", "rk")
 
 
 @query(f"SELECT label, count(*) AS n, round(sum(d2), 4) AS inertia FROM ({_D}) WHERE c = label GROUP BY label")
 def kmeans_inertia(spark: SparkSession, sf: str) -> DataFrame:
-    return _distances(spark, sf).where("c = label").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("d2"), 4).alias("inertia"))
+    return _near(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("own"), 4).alias("inertia"))
 
 
 _NEAR = f"SELECT label AS a, arg_min(c, struct_pack(d := d2, c := c)) AS b FROM ({_D}) GROUP BY vec_id, label"
 
 
 def _contingency(spark: SparkSession, sf: str) -> DataFrame:
-    b = _distances(spark, sf).groupBy("vec_id", "label").agg(F.min(F.struct("d2", "c")).alias("b"))
-    return b.groupBy(F.col("label").alias("a"), F.col("b.c").alias("b")).agg(F.count("*").alias("n"))
+    return _near(spark, sf).groupBy(F.col("label").alias("a"), F.col("nearest").alias("b")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT a, b, count(*) AS n FROM ({_NEAR}) GROUP BY a, b")
@@ -224,27 +227,26 @@ def contingency(spark: SparkSession, sf: str) -> DataFrame:
           (SELECT sum(n.n / t * ln(n.n * t / (r.x * c.y))) FROM n JOIN r USING (a) JOIN c USING (b), t) AS mi, (SELECT -sum(x / t * ln(x / t)) FROM r, t) AS ha, (SELECT -sum(y / t * ln(y / t)) FROM c, t) AS hb)
     SELECT round((i - p * q / m) / ((p + q) / 2 - p * q / m), 6) + 0.0 AS ari, round(mi / ((ha + hb) / 2), 6) + 0.0 AS nmi FROM s""")
 def cluster_agreement(spark: SparkSession, sf: str) -> DataFrame:
-    """Adjusted Rand index and normalised mutual information in closed form from the contingency table."""
-    n = _contingency(spark, sf)
-    r, c, t = n.groupBy("a").agg(F.sum("n").alias("x")), n.groupBy("b").agg(F.sum("n").alias("y")), n.agg(F.sum("n").alias("t"))
-    two = lambda k: F.sum(F.col(k).cast("double") * (F.col(k) - 1) / 2)
-    i = n.agg(two("n").alias("i"))
-    ent = lambda k: -F.sum(F.col(k) / F.col("t") * F.ln(F.col(k) / F.col("t")))
-    p = r.crossJoin(F.broadcast(t)).agg(two("x").alias("p"), ent("x").alias("ha"))
-    q = c.crossJoin(F.broadcast(t)).agg(two("y").alias("q"), ent("y").alias("hb"))
-    mi = n.join(F.broadcast(r), "a").join(F.broadcast(c), "b").crossJoin(F.broadcast(t)).agg(F.sum(F.col("n") / F.col("t") * F.ln(F.col("n").cast("double") * F.col("t") / (F.col("x").cast("double") * F.col("y")))).alias("mi"))
-    s = i.crossJoin(p).crossJoin(q).crossJoin(mi).crossJoin(t.select((F.col("t").cast("double") * (F.col("t") - 1) / 2).alias("m")))
+    """Adjusted Rand index and normalised mutual information in closed form from the contingency table, in one aggregate over its few cells."""
+    return agreement(_contingency(spark, sf))
+
+
+def agreement(cells: DataFrame) -> DataFrame:
+    """(ari, nmi) of cells (a, b, n). Sums over rows and columns of the table are sums over its cells."""
+    over = lambda *k: F.sum("n").over(Window.partitionBy(*k)).cast("double")
+    c = cells.select(F.col("n").cast("double").alias("n"), over("a").alias("x"), over("b").alias("y"), over().alias("t"))
+    n, x, y, t = map(F.col, "nxyt")
+    s = c.agg(F.sum(n * (n - 1) / 2).alias("i"), F.sum(n * (x - 1) / 2).alias("p"), F.sum(n * (y - 1) / 2).alias("q"), F.max(t * (t - 1) / 2).alias("m"), F.sum(n / t * F.ln(n * t / (x * y))).alias("mi"), (-F.sum(n / t * F.ln(x / t))).alias("ha"), (-F.sum(n / t * F.ln(y / t))).alias("hb"))
     e = F.col("p") * F.col("q") / F.col("m")
     return s.select(r6((F.col("i") - e) / ((F.col("p") + F.col("q")) / 2 - e)).alias("ari"), r6(F.col("mi") / ((F.col("ha") + F.col("hb")) / 2)).alias("nmi"))
 
 
-# the sample of an O(n^2) operator is its parameter, as where it comes from
-_SAMPLE = f"SELECT vec_id, label, vec FROM ({TRAJ_VEC_SQL}) ORDER BY md5(CAST(vec_id AS VARCHAR)), vec_id LIMIT 500"
-_PD = f"SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(a.vec, b.vec) AS d FROM ({_SAMPLE}) a JOIN ({_SAMPLE}) b ON a.vec_id <> b.vec_id"
+_POINTS = f"SELECT vec_id, label, vec FROM ({TRAJ_VEC_SQL})"
+_PD = f"SELECT a.vec_id AS a, b.vec_id AS b, a.label AS la, b.label AS lb, list_distance(a.vec, b.vec) AS d FROM ({_POINTS}) a JOIN ({_POINTS}) b ON a.vec_id <> b.vec_id"
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
-    """All rows; the SQL takes 500, so it says the same only for tables of up to 500 rows."""
+    """All rows."""
     return views.traj_vec(spark, sf).select("vec_id", "label", "vec")
 
 
@@ -297,7 +299,7 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     return i.agg(r6(F.avg(F.coalesce((F.col("other") - F.col("own")) / F.greatest("own", "other"), F.lit(0.0)))).alias("silhouette"))
 
 
-@query(f"""WITH k AS (SELECT a, b, CASE WHEN a = b THEN 1 ELSE exp(-d * d / 2) END AS w FROM (SELECT a, b, d FROM ({_PD}) UNION ALL SELECT vec_id, vec_id, 0 FROM ({_SAMPLE}))),
+@query(f"""WITH k AS (SELECT a, b, CASE WHEN a = b THEN 1 ELSE exp(-d * d / 2) END AS w FROM (SELECT a, b, d FROM ({_PD}) UNION ALL SELECT vec_id, vec_id, 0 FROM ({_POINTS}))),
     g AS (SELECT a, sum(w) AS q FROM k GROUP BY a), m AS (SELECT k.a, k.b, w / sqrt(x.q * y.q) AS w FROM k JOIN g x ON x.a = k.a JOIN g y ON y.a = k.b)
     SELECT a, round(max(w / s), 6) AS top, round(sum((w / s) ** 2), 6) AS concentration FROM (SELECT *, sum(w) OVER (PARTITION BY a) AS s FROM m) GROUP BY a""")
 def diffusion_operator(spark: SparkSession, sf: str) -> DataFrame:
@@ -337,8 +339,7 @@ def auc_by_feature(spark: SparkSession, sf: str) -> DataFrame:
     """Mann-Whitney from average ranks; equal scores are counted up before they are ranked."""
     x = views.traj_vec(spark, sf).select((F.col("label") < 5).cast("long").alias("pos"), F.posexplode("vec").alias("feature", "s"))
     g = x.groupBy("feature", "s").agg(F.count("*").alias("m"), F.sum("pos").alias("p"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("feature").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    r = g.withColumn("ar", before + (F.col("m") + 1) / 2)
+    r = ranks.running(g, "s", F.col("m"), "before", ["feature"]).withColumn("ar", F.coalesce("before", F.lit(0)) + (F.col("m") + 1) / 2)
     t = r.groupBy("feature").agg(F.sum(F.col("ar") * F.col("p")).alias("sr"), F.sum("p").alias("p"), F.sum("m").alias("n"))
     auc = F.when((F.col("p") == 0) | (F.col("p") == F.col("n")), 0.5).otherwise((F.col("sr") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p").cast("double") * (F.col("n") - F.col("p"))))
     return t.select("feature", r6(auc).alias("auc"))

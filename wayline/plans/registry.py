@@ -23,6 +23,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-from wayline.plans import board_queries, code_queries, model_queries, stats_queries, stream_queries, summary_queries, trajectories  # noqa: E402, F401  (they register their queries)

@@ -77,7 +77,7 @@ def cross_validated_vamp(spark: SparkSession, sf: str) -> DataFrame:
     x = views.traj_state(spark, sf, True).withColumn("fold", F.expr("cast(pmod(xxhash64(game_id), 5) as int)"))
     n = transitions.lagged_pairs(x, 1, "fold").groupBy("fold", "i", "j").agg(F.count("*").alias("n"))
     r, c = n.groupBy("fold", "i").agg(F.sum("n").alias("r")), n.groupBy("fold", "j").agg(F.sum("n").alias("c"))
-    y = n.join(F.broadcast(r), ["fold", "i"]).join(F.broadcast(c), ["fold", "j"])
+    y = n.join(r, ["fold", "i"]).join(c, ["fold", "j"])
     return y.groupBy("fold").agg((F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))) - 1).alias("vamp2"))
 
 

@@ -227,7 +227,7 @@ def macro_drift(spark: SparkSession, sf: str) -> DataFrame:
 def state_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """A value per state looked up for every move; states without one, noise too, get null."""
     q = views.traj_state(spark, sf).where("state <> 4").groupBy("state").agg(F.avg("x").alias("q"))
-    return views.traj_state(spark, sf, True).join(F.broadcast(q), "state", "left").select("game_id", "move_number", r6(F.col("q")).alias("q"))
+    return views.traj_state(spark, sf, True).join(q, "state", "left").select("game_id", "move_number", r6(F.col("q")).alias("q"))
 
 
 @query(f"SELECT g.game_id, g.first_id, g.last_id, count(e.vec_id) AS n_inside FROM (SELECT game_id, min(vec_id) AS first_id, max(vec_id) AS last_id FROM ({TRAJ_VEC_SQL}) GROUP BY game_id) g LEFT JOIN (SELECT vec_id FROM embeddings WHERE label = 3) e ON e.vec_id >= g.first_id AND e.vec_id <= g.last_id GROUP BY ALL")
@@ -266,7 +266,7 @@ def vamp_covariances(spark: SparkSession, sf: str) -> DataFrame:
     n = transitions.lagged_pairs(views.traj_state(spark, sf, True)).groupBy("i", "j").agg(F.count("*").alias("n"))
     r, c = n.groupBy("i").agg(F.sum("n").alias("r")), n.groupBy("j").agg(F.sum("n").alias("c"))
     t = n.agg(F.sum("n").alias("t"))
-    x = n.join(F.broadcast(r), "i").join(F.broadcast(c), "j").crossJoin(F.broadcast(t))
+    x = n.join(r, "i").join(c, "j").crossJoin(F.broadcast(t))
     return x.select("i", "j", r6(F.col("n") / F.col("t") - F.col("r") / F.col("t") * (F.col("c") / F.col("t"))).alias("c0t"))
 
 
@@ -274,7 +274,7 @@ def vamp_covariances(spark: SparkSession, sf: str) -> DataFrame:
 def vamp2_score(spark: SparkSession, sf: str) -> DataFrame:
     n = transitions.lagged_pairs(views.traj_state(spark, sf, True)).groupBy("i", "j").agg(F.count("*").alias("n"))
     r, c = n.groupBy("i").agg(F.sum("n").alias("r")), n.groupBy("j").agg(F.sum("n").alias("c"))
-    x = n.join(F.broadcast(r), "i").join(F.broadcast(c), "j")
+    x = n.join(r, "i").join(c, "j")
     return x.agg(r6(F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))) - 1).alias("vamp2"))
 
 
@@ -285,7 +285,7 @@ def coarse_transition(spark: SparkSession, sf: str) -> DataFrame:
     n = transitions.transition_counts(views.traj_state(spark, sf, True)).withColumn("a", (F.col("i") % 2).cast("int")).withColumn("b", (F.col("j") % 2).cast("int"))
     # occupation-weighted rows of P add up to counts
     g = n.groupBy("a", "b").agg(F.sum("n").alias("n"))
-    return g.join(F.broadcast(g.groupBy("a").agg(F.sum("n").alias("t"))), "a").select("a", "b", r6(F.col("n") / F.col("t")).alias("p"))
+    return g.join(g.groupBy("a").agg(F.sum("n").alias("t")), "a").select("a", "b", r6(F.col("n") / F.col("t")).alias("p"))
 
 
 @query(f"SELECT state, round(-ln(n / sum(n) OVER () + 1e-10), 6) + 0.0 AS potential FROM (SELECT state, count(*) AS n FROM ({TN}) WHERE state >= 0 GROUP BY state)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayline.operators import ranks
+
 #: Event types in alphabetical order are the states 0..4 (fixed values).
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -43,7 +45,7 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game_id, outcome, outcome_code): whether a user's purchases are above the median user's."""
     e = table(spark, sf_dir, "events")
     spent = e.groupBy(F.col("user_id").alias("game_id")).agg(F.sum(F.when(F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("long")).otherwise(0)).alias("cents"))
-    median = spent.agg(F.expr("percentile(cents, 0.5)").alias("mid"))
+    median = ranks.quantile(spent, "cents", 0.5, "mid")
     won = F.col("cents") > F.col("mid")
     return spent.crossJoin(F.broadcast(median)).select("game_id", won.cast("int").alias("outcome"), F.when(won, "B+").otherwise("W+").alias("outcome_code"))
 

@@ -36,4 +36,4 @@ def validate_positions(df: DataFrame, cells: int = 361) -> None:
 
 def with_stats(df: DataFrame, stats: DataFrame | None, key: str = "layer") -> DataFrame:
     """df with a side table's columns; without one, or where it has no row, null."""
-    return df.join(F.broadcast(stats), key, "left") if stats is not None else df
+    return df.join(stats, key, "left") if stats is not None else df
