@@ -117,6 +117,22 @@ def board_labels(stones: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "board_id long, point int, stone int, " + ", ".join(f"{k} {'int' if k in _INTS else 'boolean'}" for k in names))
 
 
+def planes(board: Column, history: Column, mover: Column) -> Column:
+    """18 arrays of 0 and 1: own stones of the board and of up to 7 boards before it (newest first), then the other side's, all seen by the current mover; then whether black, and whether white is to move."""
+    stack = F.concat(F.array(board), history)
+    blank = F.transform(board, lambda x: F.lit(0))
+    seen = lambda t, stone: F.coalesce(F.transform(F.get(stack, F.lit(t)), lambda x: (x == stone).cast("int")), blank)
+    side = lambda stone: F.transform(board, lambda x: (mover == stone).cast("int"))
+    return F.array(*(seen(t, mover) for t in range(8)), *(seen(t, 3 - mover) for t in range(8)), side(1), side(2))
+
+
+def board_of(planes: Column) -> Column:
+    """The board that planes show: planes 0 and 8 are black's and white's, or the other way round where plane 16 is empty."""
+    black = F.get(F.get(planes, F.lit(16)), F.lit(0)) == 1
+    own, other = F.when(black, 1).otherwise(2), F.when(black, 2).otherwise(1)
+    return F.zip_with(F.get(planes, F.lit(0)), F.get(planes, F.lit(8)), lambda a, b: F.when(a == 1, own).when(b == 1, other).otherwise(0))
+
+
 def planes_of(board: np.ndarray, history: list[np.ndarray], mover: int) -> np.ndarray:
     """(18, n, n): own and opposing stones of the current board and up to 7 before it, seen by the current mover, and which side that is."""
     n = board.shape[0]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -40,10 +38,10 @@ def control_summary(spark: SparkSession, sf: str) -> DataFrame:
     return a.groupBy("lang").agg(F.round(F.avg("m"), 4).alias("mean"), (F.round(F.stddev_pop("m"), 4) + 0.0).alias("std"), F.count("*").alias("n"), (F.abs(F.avg("m") - 2500) <= 1000).alias("passed"))
 
 
-@query("""WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events WHERE event_id % 10 = 0 GROUP BY user_id)
+@query("""WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)
     SELECT a.user_id, CAST(len(list_intersect(a.t, b.t)) AS BIGINT) AS shared, len(list_intersect(a.t, b.t)) > 0 AS overlaps FROM u a JOIN u b ON b.user_id = a.user_id + 1""")
 def array_overlap(spark: SparkSession, sf: str) -> DataFrame:
-    u = table(spark, sf, "events").where("event_id % 10 = 0").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
+    u = table(spark, sf, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("t"))
     x = u.alias("a").join(u.alias("b"), F.col("b.user_id") == F.col("a.user_id") + 1)
     return x.select("a.user_id", F.size(F.array_intersect("a.t", "b.t")).cast("long").alias("shared"), F.arrays_overlap("a.t", "b.t").alias("overlaps"))
 
@@ -106,9 +104,8 @@ def hierarchy_report(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT vec_id, label, round(list_sum(vec), 6) + 0.0 AS total FROM ({TRAJ_VEC_SQL})")
 def result_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows through the parquet sink and back, below the session's shared folder (a temporary one where it has none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    path = f"{base.rstrip('/')}/wayline-results"
+    """Rows through the parquet sink and back, in a folder of its own."""
+    path = views.shared_path(spark, "results")
     tables.write_results(views.traj_vec(spark, sf).select("vec_id", "label", "vec"), path)
     back = tables.read_results(spark, path, "vec_id long, label int, vec array<double>")
     return back.select("vec_id", "label", r6(v.total(F.col("vec"))).alias("total"))

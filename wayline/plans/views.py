@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +44,28 @@ def traj_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
 TRAJ_VEC_SQL = "SELECT vec_id // 100 AS game_id, CAST(vec_id % 100 AS INTEGER) AS move_number, CAST(embedding AS DOUBLE[]) AS vec, label, vec_id FROM embeddings"
 
 
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(user_id, filename, value): a game record per user, a move per event; no two stones are neighbours."""
+    x = traj_state(spark, sf_dir).select("game_id", "move_number")
+    p = F.pmod(F.col("move_number") * 2 + F.col("game_id"), F.lit(361))
+    letter = lambda c: F.chr(97 + c)
+    move = F.concat(F.when(F.col("move_number") % 2 == 0, ";B[").otherwise(";W["), letter(p % 19), letter(F.floor(p / 19)), F.lit("]"))
+    moves = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("move_number", move.alias("m")))), lambda s: s["m"]), "")
+    g = x.groupBy(F.col("game_id").alias("user_id")).agg(moves.alias("moves"))
+    head = F.concat(F.lit("(;GM[1]SZ[19]KM[6.5]PB[u"), F.col("user_id").cast("string"), F.lit("]RE[B+R]DT[2024-01-"), F.lpad((F.col("user_id") % 28 + 1).cast("string"), 2, "0"), F.lit("]"))
+    return g.select("user_id", F.concat(F.lit("game-"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("filename"), F.concat(head, "moves", F.lit(")")).alias("value"))
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that driver and executors share; where the session names none, a temporary one, if all run on one machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"file://{tempfile.gettempdir()}"
+    return f"{base.rstrip('/')}/wayline-{name}-{uuid.uuid4().hex}"
+
+
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game_id, outcome, outcome_code): whether a user's purchases are above the median user's."""
     e = table(spark, sf_dir, "events")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,14 +82,35 @@ def parse_record(text: str, board_size: int = 19, first: int = 0, last: int | No
 POSITIONS = "filename string, move_number int, board array<int>, history array<array<int>>, next_row int, next_col int, next_color int, result string, error string"
 
 
-def read_records(spark: SparkSession, folder: str, board_size: int = 19) -> DataFrame:
-    """Positions of all *.sgf files below a folder; a file that can't be parsed gives one row with its error."""
+def write_records(records: DataFrame, folder: str) -> None:
+    """One *.sgf file below folder for each record (filename, value); the last of a name stays."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        for b in batches:
+            for name, text in zip(b["filename"], b["value"], strict=True):
+                with fs.open_output_stream(f"{base}/{name}.sgf") as f:
+                    f.write((text or "").encode())
+            yield b[["filename"]]
+
+    records.select("filename", "value").mapInPandas(run, "filename string").write.format("noop").mode("overwrite").save()
+
+
+def read_records(spark: SparkSession, folder: str, board_size: int = 19, max_games: int | None = None, positions_per_game: int | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+    """Positions of the *.sgf files below a folder: of the first max_games by name, and as positions_of. A file that can't be parsed gives one row with its error."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sgf").text(folder).select(F.input_file_name().alias("filename"), "value")
-    return positions_of(files, board_size)
+    return positions_of(files.orderBy("filename").limit(max_games) if max_games is not None else files, board_size, first, last, positions_per_game)
+
+
+def counters(positions: DataFrame) -> DataFrame:
+    """(games, skipped, positions) of what positions_of gives: records with a position or none to keep, records that couldn't be parsed, and positions."""
+    bad = F.col("error").isNotNull()
+    return positions.agg(F.count_distinct(F.when(~bad, F.col("filename"))).alias("games"), F.count_distinct(F.when(bad, F.col("filename"))).alias("skipped"), F.count("move_number").alias("positions"))
 
 
-def positions_of(records: DataFrame, board_size: int = 19) -> DataFrame:
-    """Positions of records (filename, value)."""
+def positions_of(records: DataFrame, board_size: int = 19, first: int = 0, last: int | None = None, per_game: int | None = None) -> DataFrame:
+    """Positions of records (filename, value) before moves first .. last - 1, of a game with more than per_game of them only those floor(k (n - 1) / (per_game - 1))."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in POSITIONS.split(", ")]
@@ -96,7 +118,9 @@ def positions_of(records: DataFrame, board_size: int = 19) -> DataFrame:
         for b in batches:
             for name, text in zip(b["filename"], b["value"], strict=True):
                 try:
-                    info, rows = parse_record(text or "", board_size)
+                    info, rows = parse_record(text or "", board_size, first, last)
+                    if per_game is not None and len(rows) > per_game:
+                        rows = [rows[k * (len(rows) - 1) // max(per_game - 1, 1)] for k in range(per_game)]
                     made = [none | {"filename": name, **r, "result": info["result"]} for r in rows]
                 except (ValueError, IndexError, TypeError) as e:
                     made = [none | {"filename": name, "error": str(e)}]

@@ -5,15 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.operators import ranks
 
-def read_activations(spark: SparkSession, path: str, layer: str | None = None) -> DataFrame:
-    """activations(layer, sample_id, vec); with a layer only its folder is read."""
+
+def read_activations(spark: SparkSession, path: str, layer: str | None = None, max_chunks: int | None = None) -> DataFrame:
+    """activations (layer, chunk, sample_id, vec); with a layer, and of the first max_chunks chunks, only their folders are read."""
     df = spark.read.parquet(path)
-    return df.where(F.col("layer") == layer) if layer else df
+    df = df.where(F.col("layer") == layer) if layer else df
+    return df.where(F.col("chunk") < max_chunks) if max_chunks is not None else df
+
+
+def write_activations(df: DataFrame, path: str, rows_per_chunk: int = 50_000, max_samples: int | None = None) -> None:
+    """Rows (layer, sample_id, vec) of samples below max_samples, in a folder per layer and chunk of rows_per_chunk samples."""
+    some = df.where(F.col("sample_id") < max_samples) if max_samples is not None else df
+    dealt = some.withColumn("chunk", F.expr(f"sample_id div {rows_per_chunk}"))
+    dealt.repartition("layer", "chunk").write.partitionBy("layer", "chunk").mode("overwrite").parquet(path)
+
+
+def write_metadata(positions: DataFrame, path: str) -> None:
+    """A position table (position_id, game_id, move_number, ...) as parquet, and as JSON an index of its games: first and last position, and how many."""
+    positions.write.mode("overwrite").parquet(f"{path}/positions")
+    index = positions.groupBy("game_id").agg(F.min("position_id").alias("first"), F.max("position_id").alias("last"), F.count("*").alias("n"))
+    index.write.mode("overwrite").json(f"{path}/games")
+
+
+def read_metadata(spark: SparkSession, path: str, game_schema: str = "game_id long, first long, last long, n long") -> tuple[DataFrame, DataFrame]:
+    """(positions, games) of what write_metadata has written."""
+    return spark.read.parquet(f"{path}/positions"), spark.read.schema(game_schema).json(f"{path}/games")
 
 
-def write_activations(df: DataFrame, path: str, rows_per_file: int = 50_000) -> None:
-    df.write.partitionBy("layer").option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)
+def batches(df: DataFrame, order: str, rows: int) -> DataFrame:
+    """df with batch: rows of successive ranks in order, rows of them in each. For use one by one, where("batch = k") reads one."""
+    return ranks.running(df, order, F.lit(1), "_rank").withColumn("batch", F.expr(f"coalesce(_rank, 0) div {rows}")).drop("_rank")
 
 
 def write_results(df: DataFrame, path: str, kind: str = "parquet") -> None:
