@@ -120,11 +120,11 @@ def stats_beside_data(spark: SparkSession, sf: str) -> DataFrame:
 _SIZES = weights.line_sizes(blocks=1, filters=2)
 
 
-@query(f"SELECT part, count(*) AS n, round(sum(((l * 31 + i * 17) % 101 - 50) / 101.0), 6) + 0.0 AS total FROM (VALUES {', '.join(f'({k}, {chr(39)}{name}{chr(39)}, {n})' for k, (name, n) in enumerate(_SIZES))}) t(l, part, size), range(100000) r(i) WHERE i < size GROUP BY part")
+@query(f"SELECT part, count(*) AS n, round(sum(((l * 31 + i * 17) % 101 - 50) / 101.0), 6) + 0.0 AS total FROM (VALUES {', '.join(f'({k}, {chr(39)}{name}{chr(39)}, {n})' for k, (name, n) in enumerate(_SIZES))}) t(l, part, size), range(300000) r(i) WHERE i < size GROUP BY part")
 def weights_file(spark: SparkSession, sf: str) -> DataFrame:
     """A network's weights through a compressed text file: a version line, then a line of numbers per tensor."""
     path = views.shared_path(spark, "weights")
     weights.write(spark, path, [[((k * 31 + i * 17) % 101 - 50) / 101 for i in range(n)] for k, (_, n) in enumerate(_SIZES)])
     parts = weights.read(spark, path, filters=2)
-    rows = [(name, int(x.size), float(round(x.astype("float64").sum(), 6))) for name, x in parts.items()]
+    rows = [(name, int(x.size), float(round(x.sum(), 6))) for name, x in parts.items()]
     return spark.createDataFrame(rows, "part string, n long, total double")

@@ -38,7 +38,7 @@ def parse(text: str, filters: int) -> dict[str, np.ndarray]:
         raise ValueError(f"{len(lines)} tensors, not {len(shapes)}")
     out = {}
     for line, (name, shape) in zip(lines, shapes, strict=True):
-        x = np.array(line.split(), np.float32)
+        x = np.array(line.split(), np.float64)
         if x.size != np.prod(shape):
             raise ValueError(f"{name}: {x.size} numbers, not {np.prod(shape)}")
         out[name] = x.reshape(shape)
