@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import codes, geometry, ranks
+from wayline.operators import causal, codes, geometry, ranks
 from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -147,13 +147,79 @@ def pca_sparsity(spark: SparkSession, sf: str) -> DataFrame:
     return w.agg(r6(F.avg((F.abs("w") / F.col("nrm") < 0.01).cast("int"))).alias("component_sparsity"), r6(F.lit(1 - 16 / FEATURES)).alias("code_sparsity"))
 
 
-@query(f"""WITH z AS (SELECT r.vec_id, r.feature, r.value * w.w AS e FROM ({_R}) r JOIN ({_WT}) w ON w.feature = r.feature AND w.j = 0 WHERE r.rk <= 16)
-    SELECT feature, count(*) AS n, round(avg(-e), 6) + 0.0 AS mean_effect, round(avg(abs(e)), 6) + 0.0 AS size FROM z WHERE e <> 0 GROUP BY feature""")
+# ---------------------------------------------------------------- interventions
+
+OUTPUTS = 8
+_READ = "((j * 13 + p * 29 + j * p) % 37 - 18) / 37.0"
+
+
+def head() -> np.ndarray:
+    """Features x outputs, and the value in the last column: the decoder followed by a fixed read-out."""
+    j, p = np.meshgrid(np.arange(INPUTS), np.arange(OUTPUTS + 1), indexing="ij")
+    return weights() @ (((j * 13 + p * 29 + j * p) % 37 - 18) / 37.0) / 64
+
+
+_H = f"SELECT feature, p, sum(w * {_READ}) / 64 AS d FROM ({_WT}), (SELECT CAST(p AS INTEGER) AS p FROM range({OUTPUTS + 1}) t(p)) GROUP BY feature, p"
+_BASE = f"""a AS MATERIALIZED (SELECT vec_id, feature, value FROM ({_R}) WHERE rk <= 16), h AS MATERIALIZED ({_H}),
+    l AS MATERIALIZED (SELECT vec_id, p, sum(value * d) AS l FROM a JOIN h USING (feature) GROUP BY vec_id, p),
+    b AS MATERIALIZED (SELECT vec_id, p, l, CASE WHEN p < {OUTPUTS} THEN exp(l) / sum(exp(l)) FILTER (p < {OUTPUTS}) OVER (PARTITION BY vec_id) END AS q FROM l)"""
+
+
+def _moved(rows: str) -> str:
+    """By row and feature of rows (vec_id, feature, step): kl, value_change, impact, and changes by output."""
+    return f"""m AS MATERIALIZED (SELECT vec_id, feature, p, q, b.l, b.l + step * d AS l2 FROM ({rows}) JOIN h USING (feature) JOIN b USING (vec_id, p)),
+    s AS MATERIALIZED (SELECT *, CASE WHEN p < {OUTPUTS} THEN exp(l2) / sum(exp(l2)) FILTER (p < {OUTPUTS}) OVER (PARTITION BY vec_id, feature) END AS q2 FROM m),
+    e AS MATERIALIZED (SELECT vec_id, feature, sum(q * (ln(q + 1e-10) - ln(q2 + 1e-10))) FILTER (p < {OUTPUTS}) AS kl, max(abs(tanh(l) - tanh(l2))) FILTER (p = {OUTPUTS}) AS dv, avg(abs(q - q2)) FILTER (p < {OUTPUTS}) AS impact FROM s GROUP BY ALL)"""
+
+
+_ABLATED = "SELECT vec_id, feature, -value AS step FROM a WHERE value <> 0"
+_ROWS = "(SELECT count(*) FROM embeddings)"
+_SPARSE = f"""SELECT feature, CASE WHEN sum(abs(m)) < 1e-10 THEN 0 ELSE {OUTPUTS} * sum(m * m) / (sum(abs(m)) ** 2 + 1e-10) END AS sparsity FROM (SELECT feature, p, sum(q - q2) / {_ROWS} AS m FROM s WHERE p < {OUTPUTS} GROUP BY ALL) GROUP BY feature"""
+
+
+@query(f"""WITH {_BASE}, {_moved(_ABLATED)} SELECT CAST(f AS INTEGER) AS feature, round(coalesce(sum(kl), 0) / {_ROWS}, 6) + 0.0 AS kl, round(coalesce(sum(dv), 0) / {_ROWS}, 6) + 0.0 AS value_change,
+    round((SELECT coalesce(sum(value), 0) FROM a WHERE a.feature = f) / {_ROWS}, 6) + 0.0 AS mean_activation, round((SELECT count(*) FROM a WHERE a.feature = f AND value > 0) / {_ROWS}, 6) + 0.0 AS activation_rate,
+    round(coalesce(max(sparsity), 0), 4) + 0.0 AS sparsity FROM range({FEATURES}) t(f) LEFT JOIN e ON e.feature = f LEFT JOIN ({_SPARSE}) x ON x.feature = f GROUP BY f""")
 def ablation_effects(spark: SparkSession, sf: str) -> DataFrame:
-    """Effect on the first output of setting one code to zero, with a linear read-out: minus its own part."""
-    w = weight_table(spark).where("j = 0").select("feature", "w")
-    e = codes.ranked(encoded(spark, sf), k=16).join(F.broadcast(w), "feature").withColumn("e", F.col("value") * F.col("w")).where("e != 0")
-    return e.groupBy("feature").agg(F.count("*").alias("n"), r6(F.avg(-F.col("e"))).alias("mean_effect"), r6(F.avg(F.abs("e"))).alias("size"))
+    """Each code set to zero: how far the policy moves, the value changes, and how few outputs it reaches."""
+    x = causal.interventions(encoded(spark, sf), head(), 16)
+    return x.select("feature", *(r6(F.col(c)).alias(c) for c in ("kl", "value_change", "mean_activation", "activation_rate")), (F.round(v.effect_sparsity(F.col("effect")), 4) + 0.0).alias("sparsity"))
+
+
+@query(f"""WITH {_BASE}, {_moved("SELECT vec_id, feature, 2.0 - coalesce(value, 0) AS step FROM (SELECT vec_id FROM embeddings) JOIN range(6) t(f) ON true LEFT JOIN (SELECT vec_id AS v2, feature AS f2, value FROM a) x ON x.v2 = vec_id AND x.f2 = f".replace("SELECT vec_id, feature,", "SELECT vec_id, CAST(f AS INTEGER) AS feature,"))},
+    c AS (SELECT feature, p, avg(abs(q - q2)) AS change FROM s WHERE p < {OUTPUTS} GROUP BY ALL)
+    SELECT feature, round(avg(kl), 6) + 0.0 AS kl, round(avg(dv), 6) + 0.0 AS value_change, CAST((SELECT list(p ORDER BY change DESC, p) FROM c WHERE c.feature = e.feature)[1:3] AS INTEGER[]) AS top FROM e GROUP BY feature""")
+def steering_effects(spark: SparkSession, sf: str) -> DataFrame:
+    """The first six codes set to 2 in every row (these six are what is asked): how far policy and value move, and the three outputs that change most."""
+    x = causal.interventions(encoded(spark, sf), head(), 16, np.full(FEATURES, 2.0)).where("feature < 6")
+    order = F.array_sort(F.transform("change", lambda c, i: F.struct((-c).alias("c"), i.alias("i"))))
+    return x.select("feature", r6(F.col("kl")).alias("kl"), r6(F.col("value_change")).alias("value_change"), F.slice(F.transform(order, lambda s: s["i"].cast("int")), 1, 3).alias("top"))
+
+
+@query(f"""WITH {_BASE}, {_moved(_ABLATED)}, c AS (SELECT vec_id, CAST(label < 5 AS INTEGER) AS g FROM embeddings), n AS (SELECT count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0 FROM c),
+    i AS (SELECT feature, sum(impact) FILTER (g = 1) AS s1, sum(impact) FILTER (g = 0) AS s0 FROM e JOIN c USING (vec_id) GROUP BY feature)
+    SELECT CAST(f AS INTEGER) AS feature, n1 AS n_present, n0 AS n_absent, round(coalesce(s1, 0) / n1, 6) + 0.0 AS present, round(coalesce(s0, 0) / n0, 6) + 0.0 AS absent, round(coalesce(s1, 0) / n1 - coalesce(s0, 0) / n0, 6) + 0.0 AS differential
+    FROM range({FEATURES}) t(f) LEFT JOIN i ON i.feature = f, n""")
+def differential_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """Impact of ablation in rows with a concept (label below 5) against rows without."""
+    labels = views.traj_vec(spark, sf).select("vec_id", (F.col("label") < 5).cast("int").alias("concept"))
+    x = causal.differential(encoded(spark, sf).join(labels, "vec_id"), head(), 16, "concept")
+    return x.select("feature", "n_present", "n_absent", *(r6(F.col(c)).alias(c) for c in ("present", "absent", "differential")))
+
+
+@query(f"""WITH {_BASE}, t AS MATERIALIZED (SELECT feature, count(*) AS n, quantile_disc(value, 0.95) AS up FROM a WHERE value > 0 GROUP BY feature ORDER BY n DESC, feature LIMIT 10),
+    {_moved(_ABLATED)}, ab AS (SELECT feature, sum(kl) / {_ROWS} AS ablation FROM e GROUP BY feature), sp AS ({_SPARSE}),
+    {_moved("SELECT r.vec_id, t.feature, t.up - coalesce(a.value, 0) AS step FROM (SELECT vec_id FROM embeddings) r JOIN t ON true LEFT JOIN a ON a.vec_id = r.vec_id AND a.feature = t.feature").replace("m AS", "m2 AS").replace("FROM m)", "FROM m2)").replace("s AS MAT", "s2 AS MAT").replace("FROM s GROUP", "FROM s2 GROUP").replace("e AS MAT", "e2 AS MAT")}, st AS (SELECT feature, avg(kl) AS steering FROM e2 GROUP BY feature)
+    SELECT feature, round(ablation, 6) + 0.0 AS ablation, round(steering, 6) + 0.0 AS steering, round(sparsity, 4) + 0.0 AS sparsity, ablation > 0.001 OR steering > 0.001 AS causal FROM t JOIN ab USING (feature) JOIN st USING (feature) JOIN sp USING (feature)""")
+def causal_screening(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten codes that are active most often (the ten are what is asked), set to 0 and to their 95 % quantile."""
+    z = encoded(spark, sf)
+    high = codes.ranked(z, k=16).where("value > 0").groupBy("feature").agg(F.percentile_approx("value", 0.95, 100_000).alias("up"))
+    steer = np.ones(FEATURES)
+    for r in high.collect():
+        steer[r["feature"]] = r["up"]
+    x = causal.screened(z, head(), 16, steer, 10, 0.001)
+    return x.select("feature", r6(F.col("ablation")).alias("ablation"), r6(F.col("steering")).alias("steering"), (F.round("sparsity", 4) + 0.0).alias("sparsity"), "causal")
 
 
 _LOSS = ", ".join(f"avg((e.v - r.x_{k} / 64) ** 2) AS m_{k}" for k in LEVELS)
