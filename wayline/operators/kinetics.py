@@ -26,6 +26,14 @@ def row_normalise(c: np.ndarray) -> np.ndarray:
     return c / np.maximum(c.sum(axis=1, keepdims=True), 1e-10)
 
 
+def matrix_check(p: np.ndarray) -> dict:
+    """n_states, n_absorbing (rows of zeros), square, and deviation: how far the other rows are from adding up to 1. Rows with negative entries count as off by those."""
+    total = p.sum(axis=1)
+    rows = total > 0
+    off = np.maximum(np.abs(total - 1), np.maximum(-p.min(axis=1), 0)) if p.size else np.zeros(0)
+    return {"n_states": len(p), "n_absorbing": int((~rows).sum()), "square": p.shape[0] == p.shape[1], "deviation": float(off[rows].max(initial=0.0))}
+
+
 def stationary(p: np.ndarray, steps: int = 1000, tol: float = 1e-10) -> np.ndarray:
     """Power iteration from the uniform distribution, normalised at each step; at convergence the iterate before."""
     x = np.full(len(p), 1 / len(p))
@@ -188,7 +196,7 @@ def elbow(k: np.ndarray, score: np.ndarray, method: str = "distance") -> int:
         return int(np.argmax(np.abs((y[-1] - y[0]) * x - (x[-1] - x[0]) * y + x[-1] * y[0] - y[-1] * x[0])))
     g = np.diff(y) / np.diff(x)
     if method == "gradient":
-        low = np.flatnonzero(g < 0.1 * g.max())
+        low = np.flatnonzero(np.abs(g) < 0.1 * np.abs(g).max())
         return int(low[0]) if len(low) else len(k) - 1
     return int(np.argmin(np.diff(g))) + 1
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayline.functions.vectors import r6
 from wayline.operators import boards
+from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import table
 
@@ -107,17 +109,82 @@ def infer_mover(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("board_id", F.when(F.col("n_black") <= F.col("n_white"), 1).otherwise(2).alias("mover"), "n_black", "n_white")
 
 
-@query(f"""WITH b AS (SELECT board_id, list(struct_pack(p := r * 19 + c, s := stone) ORDER BY r, c) AS l FROM ({BOARDS_SQL}) GROUP BY board_id), h AS (SELECT board_id, l, lag(l) OVER (ORDER BY board_id) AS prev FROM b),
-    m AS (SELECT *, CASE WHEN len(list_filter(l, lambda x: x.s = 1)) <= len(list_filter(l, lambda x: x.s = 2)) THEN 1 ELSE 2 END AS mover FROM h)
-    SELECT board_id, CAST(len(list_filter(l, lambda x: x.s = mover)) AS INTEGER) AS plane0, CAST(len(list_filter(l, lambda x: x.s <> mover)) AS INTEGER) AS plane8, CAST(coalesce(len(list_filter(prev, lambda x: x.s = mover)), 0) AS INTEGER) AS plane1, CAST(coalesce(len(list_filter(prev, lambda x: x.s <> mover)), 0) AS INTEGER) AS plane9,
-        CASE WHEN mover = 1 THEN 361 ELSE 0 END AS plane16 FROM m""")
+# boards of ten follow each other in a game
+_PLANES = f"""WITH m AS (SELECT board_id, CASE WHEN count(*) FILTER (stone = 1) <= count(*) FILTER (stone = 2) THEN 1 ELSE 2 END AS mover FROM ({BOARDS_SQL}) GROUP BY board_id),
+    x AS (SELECT m.board_id, CAST(t + CASE WHEN s.stone = m.mover THEN 0 ELSE 8 END AS INTEGER) AS plane, s.r * 19 + s.c AS point FROM m, range(8) h(t), ({BOARDS_SQL}) s WHERE s.board_id = m.board_id - t AND s.board_id // 10 = m.board_id // 10)
+    SELECT board_id, plane, list(CAST(point AS INTEGER) ORDER BY point) AS points FROM x GROUP BY ALL
+    UNION ALL SELECT board_id, 15 + mover, CAST(range(361) AS INTEGER[]) FROM m"""
+
+
+def encoded_boards(spark: SparkSession, sf: str) -> DataFrame:
+    """(board_id, board, planes): each board with up to seven before it in its game of ten, in 18 planes."""
+    x = stones(spark, sf).groupBy("board_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * 19 + F.col("c")).alias("p"), "stone"))).alias("m"))
+    x = x.select("board_id", F.transform(F.sequence(F.lit(0), F.lit(360)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0))).alias("board"))
+    w = Window.partitionBy(F.expr("board_id div 10")).orderBy("board_id")
+    # of the last seven rows those that are the boards just before
+    before = F.collect_list(F.struct("board_id", "board")).over(w.rowsBetween(-7, -1))
+    x = x.withColumn("h", before)
+    history = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda t: F.get(F.filter("h", lambda s: s["board_id"] == F.col("board_id") - t), F.lit(0))["board"])
+    n = lambda k: F.size(F.filter("board", lambda p: p == k))
+    return x.select("board_id", "board", boards.planes(F.col("board"), history, F.when(n(1) <= n(2), 1).otherwise(2)).alias("planes"))
+
+
+@query(_PLANES)
 def encode_planes(spark: SparkSession, sf: str) -> DataFrame:
-    """Stones by plane: the current board and the one before, seen by the current mover. Boards follow by number; in a game the window is partitioned by the game."""
-    b = stones(spark, sf).groupBy("board_id").agg(F.count_if(F.expr("stone = 1")).alias("b"), F.count_if(F.expr("stone = 2")).alias("w"))
-    prev = b.select((F.col("board_id") + 1).alias("board_id"), F.col("b").alias("pb"), F.col("w").alias("pw"))
-    x = b.join(prev, "board_id", "left").withColumn("black", F.col("b") <= F.col("w"))
-    own = lambda p, q: F.when(F.col("black"), F.col(p)).otherwise(F.col(q))
-    return x.select("board_id", own("b", "w").cast("int").alias("plane0"), own("w", "b").cast("int").alias("plane8"), F.coalesce(own("pb", "pw"), F.lit(0)).cast("int").alias("plane1"), F.coalesce(own("pw", "pb"), F.lit(0)).cast("int").alias("plane9"), F.when(F.col("black"), 361).otherwise(0).alias("plane16"))
+    """All 18 planes of every board, as the points that are set."""
+    x = encoded_boards(spark, sf).select("board_id", F.posexplode("planes").alias("plane", "v"))
+    points = F.filter(F.transform("v", lambda b, i: F.when(b == 1, i)), lambda i: i.isNotNull())
+    return x.select("board_id", "plane", points.alias("points")).where(F.size("points") > 0)
+
+
+@query(BOARDS_SQL)
+def board_from_planes(spark: SparkSession, sf: str) -> DataFrame:
+    """Boards read back from their planes, whichever side is to move."""
+    x = encoded_boards(spark, sf).select("board_id", F.posexplode(boards.board_of(F.col("planes"))).alias("p", "stone")).where("stone > 0")
+    return x.select("board_id", F.expr("cast(p div 19 as int)").alias("r"), F.expr("cast(p % 19 as int)").alias("c"), "stone")
+
+
+@query(f"SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, round(avg(CAST(b <= w AS INTEGER)), 6) + 0.0 AS black_to_move FROM (SELECT board_id, count(*) AS n, count(*) FILTER (stone = 1) AS b, count(*) FILTER (stone = 2) AS w FROM ({BOARDS_SQL}) GROUP BY board_id)")
+def stones_per_position(spark: SparkSession, sf: str) -> DataFrame:
+    g = stones(spark, sf).groupBy("board_id").agg(F.count("*").alias("n"), F.count_if(F.expr("stone = 1")).alias("b"), F.count_if(F.expr("stone = 2")).alias("w"))
+    return g.agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.stddev_pop("n"), 6).alias("std"), F.min("n").alias("least"), F.max("n").alias("most"), (F.round(F.avg((F.col("b") <= F.col("w")).cast("int")), 6) + 0.0).alias("black_to_move"))
+
+
+LABELS = ["is_edge", "is_corner", "is_centre", "is_star", "is_black", "is_white", "black_contact", "white_contact", "black_eye", "white_eye", "is_atari", "is_low_liberty", "is_large_group", "black_cutting", "white_cutting", "black_territory", "white_territory"]
+_BUNDLE = f"""WITH RECURSIVE q AS MATERIALIZED ({_GRID}), n AS MATERIALIZED (SELECT a.board_id, a.r * 19 + a.c AS p, a.r, a.c, a.stone, bool_and(b.stone = 1) AS all_b, bool_and(b.stone = 2) AS all_w, bool_or(b.stone = 1) AS any_b, bool_or(b.stone = 2) AS any_w
+        FROM q a JOIN q b ON b.board_id = a.board_id AND {_SIDE} GROUP BY ALL),
+    d AS (SELECT a.board_id, a.r * 19 + a.c AS p, count(*) FILTER (b.stone = 1) AS db, count(*) FILTER (b.stone = 2) AS dw FROM q a JOIN q b ON b.board_id = a.board_id AND abs(a.r - b.r) = 1 AND abs(a.c - b.c) = 1 WHERE a.stone = 0 GROUP BY ALL),
+    g AS MATERIALIZED (SELECT board_id, r * 19 + c AS p, r, c, stone FROM q),
+    e AS MATERIALIZED (SELECT a.board_id, a.p AS p, b.p AS q FROM g a JOIN g b ON b.board_id = a.board_id AND b.stone = a.stone AND (b.p = a.p + 19 OR b.p = a.p - 19 OR (b.p = a.p + 1 AND b.r = a.r) OR (b.p = a.p - 1 AND b.r = a.r))),
+    w AS (SELECT board_id, p, p AS root FROM g WHERE stone > 0 UNION SELECT e.board_id, e.q, w.root FROM w JOIN e ON e.board_id = w.board_id AND e.p = w.p),
+    m AS MATERIALIZED (SELECT board_id, p, min(root) AS root FROM w GROUP BY board_id, p),
+    f AS (SELECT board_id, p, p AS root FROM g WHERE stone = 0 UNION SELECT e.board_id, e.q, f.root FROM f JOIN e ON e.board_id = f.board_id AND e.p = f.p),
+    o AS MATERIALIZED (SELECT board_id, p, min(root) AS root FROM f GROUP BY board_id, p),
+    t AS (SELECT o.board_id, o.root, bool_or(any_b) AS b, bool_or(any_w) AS w FROM o JOIN n USING (board_id, p) GROUP BY ALL),
+    z AS (SELECT board_id, root, count(*) AS size FROM m GROUP BY ALL),
+    l AS (SELECT m.board_id, m.root, count(DISTINCT o.p) AS liberties FROM g JOIN m USING (board_id, p) JOIN n o ON o.board_id = g.board_id AND o.stone = 0 AND abs(o.r - g.r) + abs(o.c - g.c) = 1 GROUP BY ALL),
+    k AS (SELECT o.board_id, o.p, count(DISTINCT m.root) FILTER (g.stone = 1) >= 2 AS cb, count(DISTINCT m.root) FILTER (g.stone = 2) >= 2 AS cw FROM n o JOIN g ON g.board_id = o.board_id AND o.stone = 0 AND g.stone > 0 AND abs(o.r - g.r) + abs(o.c - g.c) = 1 JOIN m ON m.board_id = g.board_id AND m.p = g.p GROUP BY ALL)
+    SELECT n.board_id, CAST(n.p AS INTEGER) AS point, n.r IN (0, 18) OR n.c IN (0, 18) AS is_edge, (n.r < 4 OR n.r > 14) AND (n.c < 4 OR n.c > 14) AS is_corner, abs(n.r - 9) <= 2 AND abs(n.c - 9) <= 2 AS is_centre, n.r IN (3, 9, 15) AND n.c IN (3, 9, 15) AS is_star,
+        n.stone = 1 AS is_black, n.stone = 2 AS is_white, n.stone = 1 AND any_w AS black_contact, n.stone = 2 AND any_b AS white_contact,
+        n.stone = 0 AND all_b AND dw <= CASE WHEN n.r IN (0, 18) OR n.c IN (0, 18) THEN 0 ELSE 1 END AS black_eye, n.stone = 0 AND all_w AND db <= CASE WHEN n.r IN (0, 18) OR n.c IN (0, 18) THEN 0 ELSE 1 END AS white_eye,
+        n.stone > 0 AND coalesce(liberties, 0) = 1 AS is_atari, n.stone > 0 AND coalesce(liberties, 0) < 3 AS is_low_liberty, n.stone > 0 AND size >= 5 AS is_large_group, coalesce(cb, false) AS black_cutting, coalesce(cw, false) AS white_cutting,
+        n.stone = 0 AND t.b AND NOT t.w AS black_territory, n.stone = 0 AND t.w AND NOT t.b AS white_territory
+    FROM n LEFT JOIN d USING (board_id, p) LEFT JOIN m USING (board_id, p) LEFT JOIN z ON z.board_id = m.board_id AND z.root = m.root LEFT JOIN l ON l.board_id = m.board_id AND l.root = m.root
+        LEFT JOIN k ON k.board_id = n.board_id AND k.p = n.p LEFT JOIN o ON o.board_id = n.board_id AND o.p = n.p LEFT JOIN t ON t.board_id = o.board_id AND t.root = o.root"""
+
+
+@query(f"SELECT board_id, point, {', '.join(f'coalesce({x}, false) AS {x}' for x in LABELS)} FROM ({_BUNDLE})")
+def label_bundle(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label of every point of every board, side by side."""
+    g = boards.geometry(F.expr("point div 19"), F.col("point") % 19)
+    return boards.board_labels(stones(spark, sf)).select("board_id", "point", *(g[x].alias(x) if x in g else F.col(x) for x in LABELS))
+
+
+@query(f"SELECT vec_id, CAST(i AS INTEGER) AS point, list(round(vec[c * 16 + i + 1], 6) + 0.0 ORDER BY c) AS channels FROM ({views.TRAJ_VEC_SQL}), range(4) a(c), range(16) b(i) GROUP BY vec_id, i")
+def spatial_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    """(4, 4, 4) maps of channels, each point with its channels: a slice per point, no shuffle."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.transform(F.sequence(F.lit(0), F.lit(3)), lambda c: r6(F.get("vec", c * 16 + i))))
+    return views.traj_vec(spark, sf).select("vec_id", F.posexplode(points).alias("point", "channels"))
 
 
 @query(f"SELECT board_id, CAST(r // 5 * 4 + c // 5 AS INTEGER) AS block, round(count(*) FILTER (stone = 1) / count(*), 6) + 0.0 AS mean_black, max(stone) AS max_stone FROM ({_GRID}) GROUP BY ALL")

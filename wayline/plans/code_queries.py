@@ -107,12 +107,18 @@ def feature_stability(spark: SparkSession, sf: str) -> DataFrame:
 _ABS = f"SELECT vec_id, j AS feature, row_number() OVER (PARTITION BY vec_id ORDER BY abs(vec[j + 1]) DESC, j) AS rk FROM (SELECT *, unnest(range(64)) AS j FROM ({TRAJ_VEC_SQL}))"
 
 
-@query(f"WITH a AS ({_R}), b AS ({_ABS}) SELECT round(avg(coalesce(n, 0) / 16.0), 6) + 0.0 AS nestedness FROM (SELECT DISTINCT vec_id FROM a) LEFT JOIN (SELECT a.vec_id, count(*) AS n FROM a JOIN b ON a.vec_id = b.vec_id AND a.feature = b.feature WHERE a.rk <= 16 AND b.rk <= 32 GROUP BY a.vec_id) USING (vec_id)")
+_NEXT = tuple(zip(LEVELS[:-1], LEVELS[1:], strict=True))
+
+
+@query(f"""WITH a AS ({_R}), b AS ({_ABS}), n AS ({" UNION ALL ".join(f"SELECT CAST({x} AS INTEGER) AS k_low, CAST({y} AS INTEGER) AS k_high, count(*) / {x}.0 / (SELECT count(*) FROM embeddings) AS s FROM a JOIN b ON a.vec_id = b.vec_id AND a.feature = b.feature WHERE a.rk <= {x} AND b.rk <= {y}" for x, y in _NEXT)})
+    SELECT k_low, k_high, round(s, 6) + 0.0 AS nestedness FROM n""")
 def nestedness(spark: SparkSession, sf: str) -> DataFrame:
-    """Share of one ranking's first 16 in another's first 32 (codes against absolute components)."""
-    low = encoded(spark, sf).select("vec_id", F.transform(v.topk(F.col("z"), 16), lambda s: s["feature"]).alias("low"))
-    high = views.traj_vec(spark, sf).select("vec_id", F.transform(v.topk(F.transform("vec", lambda x: F.abs(x)), 32), lambda s: s["feature"]).alias("high"))
-    return low.join(high, "vec_id").agg(r6(F.avg(F.size(F.array_intersect("low", "high")) / 16)).alias("nestedness"))
+    """Between adjacent levels the share of one ranking's first k_low in another's first k_high (codes against absolute components; within one ranking it is 1)."""
+    first = lambda z, k: F.transform(F.slice(z, 1, k), lambda s: s["feature"])
+    low = encoded(spark, sf).select("vec_id", v.topk(F.col("z"), LEVELS[-1]).alias("low"))
+    high = views.traj_vec(spark, sf).select("vec_id", v.topk(F.transform("vec", lambda x: F.abs(x)), LEVELS[-1]).alias("high"))
+    each = F.array(*(F.struct(F.lit(x).alias("k_low"), F.lit(y).alias("k_high"), (F.size(F.array_intersect(first("low", x), first("high", y))) / x).alias("s")) for x, y in _NEXT))
+    return low.join(high, "vec_id").select(F.explode(each).alias("e")).groupBy("e.k_low", "e.k_high").agg(r6(F.avg("e.s")).alias("nestedness"))
 
 
 _REC = f"SELECT vec_id, j, sum(value * w) / 64 AS x FROM ({_R}) JOIN ({_WT}) USING (feature) WHERE rk <= 16 GROUP BY vec_id, j"

@@ -90,13 +90,11 @@ _MU = f"SELECT j, avg(vec[j]) AS m FROM (SELECT *, unnest(range(1, 65)) AS j FRO
 _PAIR = f"SELECT game_id, move_number, vec, nxt FROM (SELECT *, lead(vec) OVER (PARTITION BY game_id ORDER BY move_number) AS nxt FROM ({TRAJ_VEC_SQL})) WHERE nxt IS NOT NULL"
 
 
-@query(f"""WITH a AS (SELECT game_id, move_number, j, vec[j] - m AS x, nxt[j] - m AS y FROM (SELECT *, unnest(range(1, 9)) AS j FROM ({_PAIR})) JOIN ({_MU}) USING (j)),
+@query(f"""WITH a AS (SELECT game_id, move_number, j, vec[j] - m AS x, nxt[j] - m AS y FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({_PAIR})) JOIN ({_MU}) USING (j)),
     c AS (SELECT a.j AS i, b.j, avg(a.x * b.y) AS c FROM a JOIN a b ON a.game_id = b.game_id AND a.move_number = b.move_number GROUP BY a.j, b.j)
     SELECT CAST(p.i - 1 AS INTEGER) AS i, CAST(p.j - 1 AS INTEGER) AS j, round((p.c + q.c) / 2, 6) + 0.0 AS c FROM c p JOIN c q ON p.i = q.j AND p.j = q.i""")
 def lagged_covariance(spark: SparkSession, sf: str) -> DataFrame:
-    """On the first eight components."""
-    x = views.traj_vec(spark, sf).withColumn("vec", F.slice("vec", 1, 8))
-    return gram.lagged_covariance(x).select("i", "j", r6(F.col("c")).alias("c"))
+    return gram.lagged_covariance(views.traj_vec(spark, sf)).select("i", "j", r6(F.col("c")).alias("c"))
 
 
 def _covariances(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray]:
@@ -132,24 +130,6 @@ def cumulative_variance(spark: SparkSession, sf: str) -> DataFrame:
     return s.crossJoin(F.broadcast(first)).select("rank", F.round("share", 6).alias("share"), (F.col("rank") == F.col("first")).alias("reaches"))
 
 
-_LAM = "SELECT rank, CAST(lam AS DOUBLE) AS lam FROM (VALUES (0, 0.95), (1, 0.85), (2, 0.7), (3, 0.5), (4, 0.3)) t(rank, lam)"
-
-
-@query(f"SELECT rank, round(lam - lead(lam) OVER (ORDER BY rank), 6) AS gap, round(CASE WHEN lead(lam) OVER (ORDER BY rank) > 0 THEN lam / lead(lam) OVER (ORDER BY rank) END, 6) AS ratio FROM ({_LAM})")
-def eigen_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    nxt = F.lead("lam").over(Window.orderBy("rank"))
-    x = spark.createDataFrame([(0, 0.95), (1, 0.85), (2, 0.7), (3, 0.5), (4, 0.3)], "rank int, lam double")
-    return x.select("rank", F.round(F.col("lam") - nxt, 6).alias("gap"), F.round(F.when(nxt > 0, F.col("lam") / nxt), 6).alias("ratio"))
-
-
-@query(f"SELECT rank, round(CASE WHEN lam > 0 AND lam < 1 THEN -1 / ln(lam) END, 6) AS timescale FROM ({_LAM})")
-def timescale_of(spark: SparkSession, sf: str) -> DataFrame:
-    x = spark.createDataFrame([(0, 0.95), (1, 0.85), (2, 0.7), (3, 0.5), (4, 0.3)], "rank int, lam double")
-    return x.select("rank", F.round(v.implied_timescale(F.col("lam"), 1), 6).alias("timescale"))
-
-
 @query()
 def elbow_point(spark: SparkSession, sf: str) -> DataFrame:
     """Where VAMP-2 of coarser and coarser states stops to grow."""

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import transitions, windows
+from wayline.operators import intervals, kinetics, transitions, windows
 from wayline.plans import views
+from wayline.plans.board_queries import BOARDS_SQL, stones
 from wayline.plans.registry import query
 from wayline.plans.views import OUTCOMES_SQL, TRAJ_VEC_SQL, table, traj_state_sql
 
@@ -140,16 +141,19 @@ def game_divergence_stats(spark: SparkSession, sf: str) -> DataFrame:
     return _games(spark, sf).select("game_id", "moves", "n_bif", r6(F.col("n_bif") / F.col("moves")).alias("rate"), F.round("mean_div", 6).alias("mean_div"), F.round("max_div", 6).alias("max_div"))
 
 
+_BY_LABEL = f"SELECT game_id, CAST(avg(label) > 4.5 AS INTEGER) AS outcome FROM ({TRAJ_VEC_SQL}) GROUP BY game_id"
+
+
 @query(f"""WITH g AS (SELECT game_id, n_bif, max_div FROM ({_GAMES})), z AS (SELECT game_id, ((n_bif - avg(n_bif) OVER ()) / (stddev_pop(n_bif) OVER () + 1e-8) + (max_div - avg(max_div) OVER ()) / (stddev_pop(max_div) OVER () + 1e-8)) / 2 AS score FROM g)
-    SELECT round(corr(score, game_id % 2), 6) + 0.0 AS corr, count(*) AS n FROM z""")
+    SELECT round(corr(score, outcome), 6) + 0.0 AS corr, count(*) AS n FROM z JOIN ({_BY_LABEL}) USING (game_id)""")
 def bifurcation_outcome_corr(spark: SparkSession, sf: str) -> DataFrame:
-    """Score of a game against an outcome (here the parity of its number); the moments are one row, broadcast."""
+    """Score of a game against its outcome (whether its labels' mean is above 4.5); the moments are one row, broadcast."""
     g = _games(spark, sf)
     m = g.agg(F.avg("n_bif").alias("ma"), F.stddev_pop("n_bif").alias("sa"), F.avg("max_div").alias("mb"), F.stddev_pop("max_div").alias("sb"))
     z = g.crossJoin(F.broadcast(m)).select("game_id", (((F.col("n_bif") - F.col("ma")) / (F.col("sa") + 1e-8) + (F.col("max_div") - F.col("mb")) / (F.col("sb") + 1e-8)) / 2).alias("score"))
-    y = (F.col("game_id") % 2).cast("double")
-    live = (F.stddev_pop("score") > 0) & (F.stddev_pop(y) > 0)
-    return z.agg(r6(F.when(live, F.corr("score", y))).alias("corr"), F.count("*").alias("n"))
+    won = views.traj_vec(spark, sf).groupBy("game_id").agg((F.avg("label") > 4.5).cast("double").alias("outcome"))
+    live = (F.stddev_pop("score") > 0) & (F.stddev_pop("outcome") > 0)
+    return z.join(won, "game_id").agg(r6(F.when(live, F.corr("score", "outcome"))).alias("corr"), F.count("*").alias("n"))
 
 
 @query(f"""SELECT game_id, move_number, list(x ORDER BY m) AS around FROM (SELECT a.game_id, a.move_number, b.x, b.move_number AS m FROM ({TS}) a JOIN ({TS}) b ON a.game_id = b.game_id AND abs(a.move_number - b.move_number) <= 10 WHERE a.state = 2) GROUP BY ALL""")
@@ -171,9 +175,15 @@ def even_subsample(spark: SparkSession, sf: str) -> DataFrame:
     return windows.even_subsample(views.traj_state(spark, sf), 20).select("game_id", "move_number")
 
 
-@query(f"SELECT game_id, move_number, " + ", ".join(f"coalesce(lag(state, {t}) OVER (PARTITION BY game_id ORDER BY move_number), -9) AS h{t}" for t in range(1, 8)) + f" FROM ({TS})")
+_BOARDS = f"SELECT board_id, list(CAST((r * 19 + c) * 3 + stone AS INTEGER) ORDER BY r, c) AS b FROM ({BOARDS_SQL}) GROUP BY board_id"
+
+
+@query(f"SELECT board_id, " + ", ".join(f"lag(b, {t}) OVER (PARTITION BY board_id // 10 ORDER BY board_id) AS h{t}" for t in range(1, 8)) + f" FROM ({_BOARDS})")
 def history_stack(spark: SparkSession, sf: str) -> DataFrame:
-    return views.traj_state(spark, sf).select("game_id", "move_number", *(F.coalesce(F.lag("state", t).over(windows.game()), F.lit(-9)).alias(f"h{t}") for t in range(1, 8)))
+    """The seven boards before each in its game of ten, newest first; a board is its stones as point * 3 + colour."""
+    b = stones(spark, sf).groupBy("board_id").agg(F.sort_array(F.collect_list(((F.col("r") * 19 + F.col("c")) * 3 + F.col("stone")).cast("int"))).alias("b"))
+    w = Window.partitionBy(F.expr("board_id div 10")).orderBy("board_id")
+    return b.select("board_id", *(F.lag("b", t).over(w).alias(f"h{t}") for t in range(1, 8)))
 
 
 @query(f"SELECT game_id, move_number, label FROM (SELECT * FROM ({TRAJ_VEC_SQL}) WHERE game_id = 2) ORDER BY move_number")
@@ -216,11 +226,67 @@ def drift_summary(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("state", "n", r6(F.col("m")).alias("magnitude"), r6(F.when(F.col("n") > 1, F.col("d")).otherwise(0.0)).alias("diffusion"), (F.col("n") >= 10).alias("covered"))
 
 
-@query(f"SELECT CAST(state % 2 AS INTEGER) AS macro, j, round(sum(n * drift) / sum(n), 6) + 0.0 AS drift, CAST(sum(n) AS BIGINT) AS n FROM ({_DRIFT}) GROUP BY macro, j")
+_SOFT = "SELECT CAST(macro AS INTEGER) AS macro, d.*, CASE macro WHEN 0 THEN (state + 1) / (state + 3.0) ELSE 2 / (state + 3.0) END AS m FROM range(2) t(macro), ({}) d"
+
+
+@query(f"SELECT macro, j, round(sum(m * n * drift) / sum(m * n), 6) + 0.0 AS drift, round(sum(m * n), 6) + 0.0 AS weight FROM ({_SOFT.format(_DRIFT)}) GROUP BY macro, j")
 def macro_drift(spark: SparkSession, sf: str) -> DataFrame:
-    """Hard memberships (parity of the state) weighted by counts."""
-    g = _drift(spark, sf).groupBy((F.col("state") % 2).alias("macro"), "j").agg(F.sum(F.col("n") * F.col("drift")).alias("s"), F.sum("n").alias("n"))
-    return g.select(F.col("macro").cast("int").alias("macro"), "j", r6(F.col("s") / F.col("n")).alias("drift"), "n")
+    """Drift of two macrostates with soft memberships, each state's part weighted by its membership and its rows."""
+    s = F.col("state")
+    member = F.array(F.struct(F.lit(0).alias("macro"), ((s + 1) / (s + 3)).alias("m")), F.struct(F.lit(1).alias("macro"), (2 / (s + 3)).alias("m")))
+    d = _drift(spark, sf).withColumn("x", F.explode(member)).withColumn("w", F.col("x.m") * F.col("n"))
+    g = d.groupBy(F.col("x.macro").alias("macro"), "j").agg(F.sum(F.col("w") * F.col("drift")).alias("s"), F.sum("w").alias("w"))
+    return g.select("macro", "j", r6(F.col("s") / F.col("w")).alias("drift"), r6(F.col("w")).alias("weight"))
+
+
+_PI = f"SELECT label AS state, count(*) / sum(count(*)) OVER () AS pi FROM ({TRAJ_VEC_SQL}) WHERE label >= 0 GROUP BY label"
+
+
+@query(f"SELECT state, j, round(drift * pi, 8) + 0.0 AS current, round(-0.5 * ln(pi + 1e-10), 6) + 0.0 AS potential FROM ({_DRIFT}) JOIN ({_PI}) USING (state)")
+def probability_current(spark: SparkSession, sf: str) -> DataFrame:
+    """Drift times occupation by component, and the potential at temperature 0.5."""
+    n = views.traj_vec(spark, sf).where("label >= 0").groupBy(F.col("label").alias("state")).agg(F.count("*").alias("c"))
+    pi = n.crossJoin(F.broadcast(n.agg(F.sum("c").alias("t")))).select("state", (F.col("c") / F.col("t")).alias("pi"))
+    x = _drift(spark, sf).join(pi, "state")
+    return x.select("state", "j", (F.round(F.col("drift") * F.col("pi"), 8) + 0.0).alias("current"), r6(-0.5 * F.ln(F.col("pi") + 1e-10)).alias("potential"))
+
+
+_CONCEPTS = {"high_first": ("vec[1] > 0", "vec[0] > 0"), "early": ("move_number < 33", "move_number < 33"), "even": ("vec_id % 2 = 0", "vec_id % 2 = 0")}
+
+
+@query("SELECT label, count(*) AS n, " + ", ".join(f"round(avg(CAST({q} AS INTEGER)), 6) + 0.0 AS {k}" for k, (q, _) in _CONCEPTS.items()) + f" FROM ({TRAJ_VEC_SQL}) GROUP BY label")
+def cluster_concepts(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each concept holds in each cluster."""
+    return views.traj_vec(spark, sf).groupBy("label").agg(F.count("*").alias("n"), *(r6(F.avg(F.expr(e).cast("int"))).alias(k) for k, (_, e) in _CONCEPTS.items()))
+
+
+@query(f"""WITH p AS (SELECT j, vec[j] AS a, nxt[j] AS b FROM (SELECT *, unnest(range(1, 65)) AS j FROM (SELECT *, lead(vec) OVER (PARTITION BY game_id ORDER BY move_number) AS nxt FROM ({TRAJ_VEC_SQL})) WHERE nxt IS NOT NULL)),
+    r AS (SELECT j, corr(a, b) AS lam FROM p GROUP BY j) SELECT CAST(j - 1 AS INTEGER) AS j, round(lam, 6) + 0.0 AS autocorrelation, round(CASE WHEN lam > 0 AND lam < 1 THEN -1 / ln(lam) END, 4) AS timescale FROM r""")
+def timescale_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Each component's time scale from its correlation with itself one move on; null where that isn't between 0 and 1 (an infinite one)."""
+    x = views.traj_vec(spark, sf).withColumn("nxt", F.lead("vec").over(windows.game())).where("nxt is not null")
+    p = x.select(F.posexplode(F.arrays_zip(F.col("vec").alias("a"), F.col("nxt").alias("b"))).alias("j", "p")).groupBy("j").agg(F.corr("p.a", "p.b").alias("lam"))
+    return p.select("j", r6(F.col("lam")).alias("autocorrelation"), F.round(F.nullif(v.implied_timescale(F.col("lam"), 1), F.lit(float("inf"))), 4).alias("timescale"))
+
+
+@query(f"""WITH x AS (SELECT CAST(j - 1 AS INTEGER) AS j, var_pop(vec[j]) AS lam FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL})) GROUP BY j), r AS (SELECT j, lam, lead(lam) OVER (ORDER BY lam DESC, j) AS nxt, CAST(row_number() OVER (ORDER BY lam DESC, j) AS INTEGER) AS rank FROM x),
+    g AS (SELECT *, lam - nxt AS gap, row_number() OVER (ORDER BY lam - nxt DESC NULLS LAST, rank) AS o FROM r)
+    SELECT rank, j, round(gap, 6) + 0.0 AS gap, round(CASE WHEN nxt > 0 THEN lam / nxt END, 6) AS ratio, o <= 5 AND gap IS NOT NULL AS suggested FROM g""")
+def eigen_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps and ratios of the sorted variances of components, and the five largest gaps, which suggest where to cut; d rows."""
+    x = views.traj_vec(spark, sf).select(F.posexplode("vec").alias("j", "v")).groupBy("j").agg(F.var_pop("v").alias("lam"))
+    w = Window.orderBy(F.desc("lam"), "j")
+    r = x.select("j", "lam", F.lead("lam").over(w).alias("nxt"), F.row_number().over(w).alias("rank")).withColumn("gap", F.col("lam") - F.col("nxt"))
+    o = F.row_number().over(Window.orderBy(F.desc_nulls_last("gap"), "rank"))
+    return r.select("rank", "j", r6(F.col("gap")).alias("gap"), F.round(F.when(F.col("nxt") > 0, F.col("lam") / F.col("nxt")), 6).alias("ratio"), ((o <= 5) & F.col("gap").isNotNull()).alias("suggested"))
+
+
+@query(f"""WITH c AS (SELECT i, j, n FROM ({COUNTS_SQL})), s AS (SELECT i AS state FROM c UNION SELECT j FROM c), r AS (SELECT state, sum(n) AS t FROM s LEFT JOIN c ON c.i = s.state GROUP BY state)
+    SELECT (SELECT count(*) FROM s) AS n_states, (SELECT count(*) FROM r WHERE t IS NULL) AS n_absorbing, (SELECT count(*) FROM s) = (SELECT count(*) FROM r) AS square, round((SELECT max(abs(p - 1)) FROM (SELECT sum(n / t) AS p FROM c JOIN r ON r.state = c.i GROUP BY c.i)), 9) + 0.0 AS deviation""")
+def matrix_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the transition matrix: its states, those that lead nowhere (their rows stay zero), and how far other rows are from adding up to 1."""
+    found = kinetics.matrix_check(kinetics.row_normalise(kinetics.dense(transitions.transition_counts(views.traj_state(spark, sf, True)))[1]))
+    return spark.createDataFrame([(found["n_states"], found["n_absorbing"], found["square"], round(found["deviation"], 9) + 0.0)], "n_states long, n_absorbing long, square boolean, deviation double")
 
 
 @query(f"WITH s AS (SELECT state, avg(x) AS q FROM ({TS}) WHERE state <> 4 GROUP BY state) SELECT t.game_id, t.move_number, round(s.q, 6) + 0.0 AS q FROM ({TN}) t LEFT JOIN s ON s.state = t.state")
@@ -232,9 +298,24 @@ def state_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT g.game_id, g.first_id, g.last_id, count(e.vec_id) AS n_inside FROM (SELECT game_id, min(vec_id) AS first_id, max(vec_id) AS last_id FROM ({TRAJ_VEC_SQL}) GROUP BY game_id) g LEFT JOIN (SELECT vec_id FROM embeddings WHERE label = 3) e ON e.vec_id >= g.first_id AND e.vec_id <= g.last_id GROUP BY ALL")
 def interval_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Events inside of a game's index interval: the game is a function of the index, so an equi-join does."""
+    """Events inside of a game's index interval, by the interval join."""
     x = views.traj_vec(spark, sf)
-    return x.groupBy("game_id").agg(F.min("vec_id").alias("first_id"), F.max("vec_id").alias("last_id"), F.count_if(F.col("label") == 3).alias("n_inside"))
+    games = x.groupBy("game_id").agg(F.min("vec_id").alias("first_id"), (F.max("vec_id") + 1).alias("end_id"))
+    inside = intervals.contained(x.where("label = 3").select("vec_id"), games, "vec_id", "first_id", "end_id", 100)
+    n = inside.groupBy("game_id").agg(F.count("*").alias("n"))
+    return games.join(n, "game_id", "left").select("game_id", "first_id", (F.col("end_id") - 1).alias("last_id"), F.coalesce("n", F.lit(0)).alias("n_inside"))
+
+
+_DAYS = "SELECT user_id, day, day + 1 + user_id % 5 AS until FROM (SELECT user_id, min(CAST(floor(epoch(ts) / 86400) AS BIGINT)) AS day FROM events GROUP BY user_id)"
+
+
+@query(f"SELECT i.user_id, count(*) AS n FROM ({_DAYS}) i JOIN (SELECT CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day FROM events) e ON e.day >= i.day AND e.day < i.until GROUP BY i.user_id")
+def events_in_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    """All events in the first days of each user: intervals of one to five days that overlap."""
+    e = table(spark, sf, "events").select("user_id", F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 86400).alias("day"))
+    days = e.groupBy("user_id").agg(F.min("day").alias("first")).withColumn("until", F.col("first") + 1 + F.col("user_id") % 5)
+    by_day = e.groupBy("day").agg(F.count("*").alias("m"))
+    return intervals.contained(by_day, days, "day", "first", "until", 4).groupBy("user_id").agg(F.sum("m").alias("n"))
 
 
 # ---------------------------------------------------------------- kinetics on k x k tables
