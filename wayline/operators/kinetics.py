@@ -180,6 +180,35 @@ def metastable(p: np.ndarray, k: int) -> np.ndarray:
     return kmeans_rows(x, k)
 
 
+def memberships(p: np.ndarray, k: int) -> np.ndarray:
+    """Soft memberships (states, k), rows of sum 1: the k leading right eigenvectors map the states near to a simplex; its corners are the states farthest apart, and a state's membership is where it lies between them (0 and 1 at most).
+
+    k below 2 or above the number of states raises ValueError; where the corners don't span, memberships are those of metastable.
+    """
+    if not 2 <= k <= len(p):
+        raise ValueError(f"{k} macrostates of {len(p)} states")
+    lam, v = np.linalg.eig(p)
+    x = v[:, np.argsort(-np.abs(lam), kind="stable")[:k]].real
+    x[:, 0] = 1.0
+    corners = [int(np.argmax((x**2).sum(axis=1)))]
+    rest = x - x[corners[0]]
+    for _ in range(k - 1):
+        size = (rest**2).sum(axis=1)
+        corners.append(int(np.argmax(size)))
+        unit = rest[corners[-1]] / max(np.sqrt(size.max()), 1e-300)
+        rest = rest - np.outer(rest @ unit, unit)
+    if abs(np.linalg.det(x[corners])) < 1e-12:
+        return np.eye(k)[metastable(p, k)]
+    m = np.clip(x @ np.linalg.inv(x[corners]), 0, 1)
+    return m / np.maximum(m.sum(axis=1, keepdims=True), 1e-300)
+
+
+def membership_entropy(m: np.ndarray) -> float:
+    """The mean entropy of rows of memberships, with 1e-10 added and rows normalised."""
+    q = (m + 1e-10) / (m + 1e-10).sum(axis=1, keepdims=True)
+    return float(-(q * np.log(q)).sum(axis=1).mean())
+
+
 def coarse(p: np.ndarray, pi: np.ndarray, member: np.ndarray) -> np.ndarray:
     """Macrostate matrix of memberships (states, macrostates)."""
     t = member.T @ (pi[:, None] * p) @ member

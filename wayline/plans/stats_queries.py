@@ -92,9 +92,9 @@ def split_tail(spark: SparkSession, sf: str) -> DataFrame:
 _BUCKET = "CAST('0x' || substr(md5(CAST({} AS VARCHAR) || '{}'), 1, 7) AS BIGINT) % 100"
 
 
-def bucket(col: str, seed: str):
-    """0..99 from an md5, which other engines have too."""
-    return F.conv(F.substring(F.md5(F.concat(F.col(col).cast("string"), F.lit(seed))), 1, 7), 16, 10).cast("long") % 100
+def bucket(col: str, seed: str, n: int = 100):
+    """0 .. n - 1 from an md5, which other engines have too."""
+    return F.conv(F.substring(F.md5(F.concat(F.col(col).cast("string"), F.lit(seed))), 1, 7), 16, 10).cast("long") % n
 
 
 @query(f"SELECT event_id, CASE WHEN {_BUCKET.format('event_id', 's1')} < 10 THEN 'val' ELSE 'train' END AS part FROM events")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import table
 from wayline.streaming import jobs
@@ -35,3 +36,17 @@ def events_sessions(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) AS mean, round(var_pop(value), 4) AS var FROM events GROUP BY event_type")
 def running_moments(spark: SparkSession, sf: str) -> DataFrame:
     return jobs.running_moments(_events(spark, sf)).select("event_type", "n", F.round("mean", 6).alias("mean"), F.round("var", 4).alias("var"))
+
+
+@query("SELECT i, j, count(*) AS n FROM (SELECT event_type AS i, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS j FROM events) WHERE j IS NOT NULL GROUP BY i, j")
+def stream_transition_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Transitions of the events as a stream with keyed state, written by the stream and then counted."""
+    jobs.rocksdb(spark)
+    t = jobs.stream_transitions(jobs.events_stream(spark, sf))
+    return jobs.written(t, views.shared_path(spark, "stream")).groupBy("i", "j").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, {_CENTS} FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2")
+def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of the events as a stream that are final: those that end before the watermark, an hour behind the latest event."""
+    return jobs.written(jobs.tumbling(jobs.events_stream(spark, sf), late="1 hour"), views.shared_path(spark, "stream"))

@@ -10,32 +10,45 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import codes, inference, kinetics, transitions
+from wayline.operators import codes, inference, kinetics, ranks, transitions
 from wayline.plans import code_queries, views
 from wayline.plans.code_queries import LEVELS
 from wayline.plans.registry import query
+from wayline.plans.stats_queries import bucket
 from wayline.plans.views import TRAJ_VEC_SQL, table, traj_state_sql
 from wayline.sources import records, tables
 
-_PCA = "(4, 0.40), (8, 0.55), (16, 0.72), (32, 0.90)"
-_SAE = "(4, 0.42), (8, 0.61), (16, 0.70), (32, 0.93)"
+_ALLV = f"SELECT vec_id, label, j, vec[j + 1] AS v FROM (SELECT *, unnest(range(64)) AS j FROM ({TRAJ_VEC_SQL}))"
+_CUT = " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS k, sum(CASE WHEN rk > {k} THEN v * v ELSE 0 END) AS most, sum(CASE WHEN j >= {k} THEN v * v ELSE 0 END) AS lead_k, count(*) AS n, var_pop(v) AS var FROM r" for k in LEVELS)
 
 
-@query(f"""WITH c AS (SELECT p.k, CAST(s.r2 - p.r2 AS DOUBLE) AS d, CAST(s.r2 AS DOUBLE) AS s FROM (VALUES {_PCA}) p(k, r2) JOIN (VALUES {_SAE}) s(k, r2) USING (k))
-    SELECT round(avg(d), 6) AS mean_gain, round(max(d), 6) AS best_gain, arg_max(k, s) AS best_k, bool_and(d > 0) AS wins_all, count(*) FILTER (d > 0) AS wins FROM c""")
+@query(f"""WITH r AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY abs(v) DESC, j) AS rk FROM ({_ALLV})), c AS (SELECT k, 1 - most / n / (var + 1e-8) AS s, 1 - lead_k / n / (var + 1e-8) AS p FROM ({_CUT}))
+    SELECT round(avg(s - p), 6) AS mean_gain, round(max(s - p), 6) AS best_gain, arg_max(k, s) AS best_k, bool_and(s > p) AS wins_all, count(*) FILTER (s > p) AS wins FROM c""")
 def method_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Two methods' R2 by k, of fixed example values: gains, the best k, and whether one wins throughout."""
-    p = spark.createDataFrame([(4, 0.40), (8, 0.55), (16, 0.72), (32, 0.90)], "k int, p double")
-    s = spark.createDataFrame([(4, 0.42), (8, 0.61), (16, 0.70), (32, 0.93)], "k int, s double")
-    c = p.join(s, "k").withColumn("d", F.round(F.col("s") - F.col("p"), 9))
+    """R2 by k of keeping a vector's k largest components against its k leading ones: gains, the best k, and whether one wins throughout. One pass for all k, ranks in the row."""
+    x = views.traj_vec(spark, sf).select("vec", F.transform(v.topk(F.transform("vec", lambda a: F.abs(a)), 64), lambda s: s["feature"]).alias("order"))
+    square = lambda a: v.total(F.transform(a, lambda b: b * b))
+    left = [(square("vec") - square(F.transform(F.slice("order", 1, k), lambda i: F.get("vec", i))), square(F.slice("vec", k + 1, 64))) for k in LEVELS]
+    s = x.select("vec", *(c.alias(f"{n}{k}") for k, pair in zip(LEVELS, left, strict=True) for n, c in zip("sp", pair, strict=True)))
+    moments = s.agg(F.sum(F.size("vec")).alias("n"), F.sum(v.total(F.col("vec"))).alias("t"), F.sum(square("vec")).alias("q"), *(F.sum(f"{n}{k}").alias(f"{n}{k}") for k in LEVELS for n in "sp"))
+    var = F.col("q") / F.col("n") - F.pow(F.col("t") / F.col("n"), 2)
+    r2 = lambda c: 1 - F.col(c) / F.col("n") / (var + 1e-8)
+    c = moments.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), r2(f"s{k}").alias("s"), r2(f"p{k}").alias("p")) for k in LEVELS))).alias("c")).select("c.*").withColumn("d", F.col("s") - F.col("p"))
     return c.agg(F.round(F.avg("d"), 6).alias("mean_gain"), F.round(F.max("d"), 6).alias("best_gain"), F.max_by("k", "s").alias("best_k"), F.bool_and(F.col("d") > 0).alias("wins_all"), F.count_if(F.col("d") > 0).alias("wins"))
 
 
-@query("""WITH a AS (SELECT lang, source, avg(n_chars) AS m FROM documents GROUP BY ALL) SELECT lang, round(avg(m), 4) AS mean, round(stddev_pop(m), 4) + 0.0 AS std, count(*) AS n, abs(avg(m) - 2500) <= 1000 AS passed FROM a GROUP BY lang""")
+def _auc_sql(pos: str, keys: str, source: str) -> str:
+    """AUC by keys of rows (keys, v) with the condition pos; 0.5 where a class is missing."""
+    return f"""SELECT {keys}, CASE WHEN p = 0 OR p = n THEN 0.5 ELSE (sum(CASE WHEN pos THEN ar ELSE 0 END) - p * (p + 1) / 2) / (p * (n - p)) END AS auc FROM (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY v) + (count(*) OVER (PARTITION BY {keys}, v) - 1) / 2 AS ar,
+        count(*) OVER (PARTITION BY {keys}) AS n, sum(CAST(pos AS INTEGER)) OVER (PARTITION BY {keys}) AS p FROM (SELECT *, {pos} AS pos FROM ({source}))) GROUP BY {keys}, n, p"""
+
+
+@query(f"WITH a AS ({_auc_sql('label < 5', 'j', _ALLV)}) SELECT 'm' || CAST(j % 4 AS VARCHAR) AS method, round(avg(auc), 6) AS mean, round(stddev_pop(auc), 6) + 0.0 AS std, count(*) AS n, abs(avg(auc) - 0.5) <= 0.05 AS passed FROM a GROUP BY j % 4")
 def control_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Mean and deviation of repeats by method, and whether the mean is near its target."""
-    a = table(spark, sf, "documents").groupBy("lang", "source").agg(F.avg("n_chars").alias("m"))
-    return a.groupBy("lang").agg(F.round(F.avg("m"), 4).alias("mean"), (F.round(F.stddev_pop("m"), 4) + 0.0).alias("std"), F.count("*").alias("n"), (F.abs(F.avg("m") - 2500) <= 1000).alias("passed"))
+    """Mean and deviation of the AUC by method (here a quarter of the components each), and whether the mean is near one half."""
+    x = views.traj_vec(spark, sf).select((F.col("label") < 5).cast("int").alias("label"), F.posexplode("vec").alias("j", "score"))
+    a = inference.auc(x, ["j"]).withColumn("method", F.concat(F.lit("m"), (F.col("j") % 4).cast("string")))
+    return a.groupBy("method").agg(F.round(F.avg("auc"), 6).alias("mean"), r6(F.stddev_pop("auc")).alias("std"), F.count("*").alias("n"), (F.abs(F.avg("auc") - 0.5) <= 0.05).alias("passed"))
 
 
 @query("""WITH u AS (SELECT user_id, list_sort(list_distinct(list(event_type))) AS t FROM events GROUP BY user_id)
@@ -46,12 +59,18 @@ def array_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("a.user_id", F.size(F.array_intersect("a.t", "b.t")).cast("long").alias("shared"), F.arrays_overlap("a.t", "b.t").alias("overlaps"))
 
 
-@query("SELECT concept, layer, CAST(coalesce(auc, 0.5) AS DOUBLE) AS auc FROM (VALUES ('a', 'b5', 0.7), ('a', 'b20', 0.8), ('b', 'b5', NULL), ('b', 'b20', 0.6)) t(concept, layer, auc)")
+_CONCEPT = {"low": "label < 5", "even": "label % 2 = 0", "absent": "label > 100"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS concept, 'b' || CAST(j // 16 AS VARCHAR) AS layer, round(max(auc), 6) + 0.0 AS auc FROM ({_auc_sql(e, 'j', _ALLV)}) WHERE j < 48 GROUP BY j // 16 UNION ALL SELECT '{c}', 'b9', 0.5" for c, e in _CONCEPT.items()))
 def auc_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    """A pivot with 0.5 where nothing was measured, read back as rows."""
-    x = spark.createDataFrame([("a", "b5", 0.7), ("a", "b20", 0.8), ("b", "b20", 0.6)], "concept string, layer string, auc double")
-    p = x.groupBy("concept").pivot("layer", ["b5", "b20"]).agg(F.first("auc")).fillna(0.5)
-    return p.unpivot("concept", ["b5", "b20"], "layer", "auc")
+    """The best AUC of a layer's components (16 each) by concept, as a matrix with 0.5 where nothing was measured (layer b9), read back as rows."""
+    concepts = F.array(*(F.struct(F.lit(c).alias("concept"), F.expr(e).cast("int").alias("label")) for c, e in _CONCEPT.items()))
+    x = views.traj_vec(spark, sf).select(concepts.alias("c"), F.posexplode(F.slice("vec", 1, 48)).alias("j", "score")).select(F.explode("c").alias("c"), "j", "score")
+    a = inference.auc(x.select("c.concept", "c.label", "j", "score"), ["concept", "j"]).withColumn("layer", F.concat(F.lit("b"), F.expr("j div 16").cast("string")))
+    layers = ["b0", "b1", "b2", "b9"]
+    p = a.groupBy("concept").pivot("layer", layers).agg(F.max("auc")).fillna(0.5)
+    return p.unpivot("concept", layers, "layer", "auc").withColumn("auc", r6(F.col("auc")))
 
 
 @query(f"SELECT CAST(floor(x / 10) AS INTEGER) AS bin, count(*) AS n FROM ({traj_state_sql()}) GROUP BY bin")
@@ -59,6 +78,19 @@ def value_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return views.traj_state(spark, sf).groupBy(F.floor(F.col("x") / 10).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH x AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || 'l'), vec_id) AS h, count(*) OVER () AS n FROM embeddings)
+    SELECT 'uniform' AS strategy, vec_id FROM x WHERE h <= 40 UNION ALL SELECT DISTINCT 'temporal', vec_id FROM x JOIN range(40) t(k) ON x.i = CASE WHEN n <= 40 THEN k ELSE (k * (n - 1)) // 39 END""")
+def landmark_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """Forty landmarks (the number is the operator's): by hash, and evenly spaced in order."""
+    x = table(spark, sf, "embeddings").select("vec_id")
+    uniform = x.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("l"))), "vec_id").limit(40)
+    n = x.count()
+    wanted = sorted({k * (n - 1) // 39 if n > 40 else k for k in range(min(40, n))})
+    at = F.coalesce("before", F.lit(0))
+    even = ranks.running(x, "vec_id", F.lit(1), "before").where(at.isin(wanted)).select("vec_id")
+    return uniform.select(F.lit("uniform").alias("strategy"), "vec_id").unionByName(even.select(F.lit("temporal").alias("strategy"), "vec_id"))
+
+
 @query()
 def landmarks(spark: SparkSession, sf: str) -> DataFrame:
     """k-means centres' nearest rows, each once: the fixed few centres are broadcast."""
@@ -69,14 +101,18 @@ def landmarks(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("c").agg(F.min(F.struct("d2", "vec_id")).alias("b")).select("b.vec_id").distinct()
 
 
-@query()
+_FOLD = "CAST('0x' || substr(md5(CAST(game_id AS VARCHAR) || 'cv'), 1, 7) AS BIGINT) % 5"
+
+
+@query(f"""WITH n AS (SELECT {_FOLD} AS fold, i, j, count(*) AS n FROM (SELECT game_id, state AS i, lead(state) OVER (PARTITION BY game_id ORDER BY move_number) AS j FROM ({traj_state_sql(True)})) WHERE j IS NOT NULL GROUP BY ALL)
+    SELECT CAST(fold AS INTEGER) AS fold, round(sum(n * n / (r * c)) - 1, 6) + 0.0 AS vamp2 FROM (SELECT *, sum(n) OVER (PARTITION BY fold, i) AS r, sum(n) OVER (PARTITION BY fold, j) AS c FROM n) GROUP BY fold""")
 def cross_validated_vamp(spark: SparkSession, sf: str) -> DataFrame:
     """VAMP-2 of states on held-out games, by fold; folds are whole games, so that lagged pairs stay whole."""
-    x = views.traj_state(spark, sf, True).withColumn("fold", F.expr("cast(pmod(xxhash64(game_id), 5) as int)"))
+    x = views.traj_state(spark, sf, True).withColumn("fold", (bucket("game_id", "cv", 5)).cast("int"))
     n = transitions.lagged_pairs(x, 1, "fold").groupBy("fold", "i", "j").agg(F.count("*").alias("n"))
     r, c = n.groupBy("fold", "i").agg(F.sum("n").alias("r")), n.groupBy("fold", "j").agg(F.sum("n").alias("c"))
     y = n.join(r, ["fold", "i"]).join(c, ["fold", "j"])
-    return y.groupBy("fold").agg((F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))) - 1).alias("vamp2"))
+    return y.groupBy("fold").agg(r6(F.sum(F.col("n").cast("double") * F.col("n") / (F.col("r").cast("double") * F.col("c"))) - 1).alias("vamp2"))
 
 
 @query()
@@ -88,10 +124,10 @@ def column_shuffle_control(spark: SparkSession, sf: str) -> DataFrame:
     return a.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT event_id FROM events ORDER BY md5(CAST(event_id AS VARCHAR) || 'r'), event_id LIMIT 100")
 def reservoir_sample(spark: SparkSession, sf: str) -> DataFrame:
     """A sample of 100 rows in one pass, by the smallest keyed hashes; the size is the operator's parameter."""
-    return table(spark, sf, "events").select("event_id").orderBy(F.xxhash64("event_id", F.lit(6)), "event_id").limit(100)
+    return table(spark, sf, "events").select("event_id").orderBy(F.md5(F.concat(F.col("event_id").cast("string"), F.lit("r"))), "event_id").limit(100)
 
 
 @query(f"WITH r AS ({code_queries._R}), n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT feature, {', '.join(f'count(*) FILTER (rk <= {k}) AS c_{k}' for k in LEVELS)} FROM r GROUP BY feature) SELECT " + ", ".join(f"count(*) FILTER (c_{k} > 0) AS used_{k}, round(max(c_{k}) / any_value(n), 6) AS top_{k}" for k in LEVELS) + " FROM m, n")

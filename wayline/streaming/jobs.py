@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -37,17 +37,44 @@ def running_moments(df: DataFrame) -> DataFrame:
     return df.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
 
 
+class _LastType(StatefulProcessor):
+    """Keeps each user's last event; a row that isn't later than it has come too late and is left out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "at timestamp, event_id long, event_type string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+        x = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        old = self.last.get() if self.last.exists() else None
+        if old is not None:
+            x = x[(x["at"] > old[0]) | ((x["at"] == old[0]) & (x["event_id"] > old[1]))]
+        if len(x):
+            types = ([old[2]] if old is not None else []) + x["event_type"].tolist()
+            end = x.iloc[-1]
+            self.last.update((end["at"].to_pydatetime(), int(end["event_id"]), end["event_type"]))
+            if len(types) > 1:
+                yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "i": types[:-1], "j": types[1:]})
+
+    def close(self) -> None:
+        pass
+
+
 def stream_transitions(df: DataFrame) -> DataFrame:
-    """(user_id, i, j) of successive event types of each user; the state of a user is its last event type."""
+    """(user_id, i, j) of successive event types of each user of a stream (user_id, at, event_id, event_type). The state is a user's last event, so transitions go across batches; events that come behind a later one are left out. Needs the RocksDB state store (rocksdb)."""
+    x = df.select("user_id", "at", "event_id", "event_type")
+    return x.groupBy("user_id").transformWithStateInPandas(_LastType(), "user_id long, i string, j string", "Append", "None")
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        types = ([state.get[0]] if state.exists else []) + rows["event_type"].tolist()
-        state.update((types[-1],))
-        yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "i": types[:-1], "j": types[1:]})
+def rocksdb(spark: SparkSession) -> None:
+    """The state store that keyed state of any kind needs, for the session's streams."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
-    x = df.select("user_id", "ts", "event_id", "event_type")
-    return x.groupBy("user_id").applyInPandasWithState(step, "user_id long, i string, j string", "last string", "append", GroupStateTimeout.NoTimeout)
+
+def written(stream: DataFrame, path: str) -> DataFrame:
+    """Run a stream over what there is into parquet files below path, with its checkpoint beside them, and read them."""
+    q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
 def collected(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
