@@ -117,20 +117,24 @@ def board_labels(stones: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "board_id long, point int, stone int, " + ", ".join(f"{k} {'int' if k in _INTS else 'boolean'}" for k in names))
 
 
-def planes(board: Column, history: Column, mover: Column) -> Column:
-    """18 arrays of 0 and 1: own stones of the board and of up to 7 boards before it (newest first), then the other side's, all seen by the current mover; then whether black, and whether white is to move."""
-    stack = F.concat(F.array(board), history)
-    blank = F.transform(board, lambda x: F.lit(0))
-    seen = lambda t, stone: F.coalesce(F.transform(F.get(stack, F.lit(t)), lambda x: (x == stone).cast("int")), blank)
-    side = lambda stone: F.transform(board, lambda x: (mover == stone).cast("int"))
-    return F.array(*(seen(t, mover) for t in range(8)), *(seen(t, 3 - mover) for t in range(8)), side(1), side(2))
+def points(board: Column, stone: Column | int) -> Column:
+    """The points of a board (an array of 0, 1, 2) that have a stone of a colour, ascending."""
+    return F.filter(F.transform(board, lambda x, i: F.when(x == stone, i)), lambda i: i.isNotNull())
 
 
-def board_of(planes: Column) -> Column:
-    """The board that planes show: planes 0 and 8 are black's and white's, or the other way round where plane 16 is empty."""
-    black = F.get(F.get(planes, F.lit(16)), F.lit(0)) == 1
-    own, other = F.when(black, 1).otherwise(2), F.when(black, 2).otherwise(1)
-    return F.zip_with(F.get(planes, F.lit(0)), F.get(planes, F.lit(8)), lambda a, b: F.when(a == 1, own).when(b == 1, other).otherwise(0))
+def planes(black: list[Column], white: list[Column], mover: Column) -> Column:
+    """18 arrays of the points that are set: own stones of the board and of up to 7 boards before it (newest first), then the other side's, all seen by the current mover; then all points if black, and all if white is to move. A board that isn't there is null and gives none."""
+    none = F.array().cast("array<int>")
+    pick = lambda own, other: [F.coalesce(F.when(mover == 1, a).otherwise(b), none) for a, b in zip(own, other, strict=True)]
+    side = [F.when(mover == s, F.sequence(F.lit(0), F.lit(N * N - 1))).otherwise(none) for s in (1, 2)]
+    return F.array(*pick(black, white), *pick(white, black), *side)
+
+
+def stones_of(planes: Column) -> tuple[Column, Column]:
+    """(black's points, white's points) that planes show: those of planes 0 and 8, or the other way round where plane 16 is empty."""
+    at = lambda k: F.get(planes, F.lit(k))
+    black = F.size(at(16)) > 0
+    return F.when(black, at(0)).otherwise(at(8)), F.when(black, at(8)).otherwise(at(0))
 
 
 def planes_of(board: np.ndarray, history: list[np.ndarray], mover: int) -> np.ndarray:
@@ -143,18 +147,35 @@ def planes_of(board: np.ndarray, history: list[np.ndarray], mover: int) -> np.nd
     return out
 
 
+def _group(board: np.ndarray, r: int, c: int) -> tuple[list[tuple[int, int]], bool]:
+    """The stones connected with the one at (r, c), and whether they have a liberty; the walk ends at the first liberty it meets."""
+    n, stone = board.shape[0], board[r, c]
+    seen, open_ = {(r, c)}, [(r, c)]
+    while open_:
+        y, x = open_.pop()
+        for dy, dx in _ORTH:
+            p = (y + dy, x + dx)
+            if 0 <= p[0] < n and 0 <= p[1] < n and p not in seen:
+                if board[p] == 0:
+                    return list(seen), True
+                if board[p] == stone:
+                    seen.add(p)
+                    open_.append(p)
+    return list(seen), False
+
+
 def play(board: np.ndarray, r: int, c: int, stone: int) -> np.ndarray | None:
-    """The board after a stone and its captures; None for a move on a stone or off the board, or one that leaves its own group without liberty."""
+    """The board after a stone and its captures; None for a move on a stone or off the board, or one that leaves its own group without liberty. Only groups next to the move are looked at."""
     n = board.shape[0]
     if not (0 <= r < n and 0 <= c < n) or board[r, c]:
         return None
     new = board.copy()
     new[r, c] = stone
-    for dead in (3 - stone, stone):
-        labels = label_boards(new[None])
-        gone = (new == dead) & (labels["liberties"][0] == 0)
-        if dead == stone and gone[r, c]:
-            return None
-        if dead != stone:
-            new[gone] = 0
-    return new
+    for dr, dc in _ORTH:
+        y, x = r + dr, c + dc
+        if 0 <= y < n and 0 <= x < n and new[y, x] == 3 - stone:
+            dead, alive = _group(new, y, x)
+            if not alive:
+                for p in dead:
+                    new[p] = 0
+    return new if _group(new, r, c)[1] else None

@@ -55,14 +55,18 @@ def shuffled(p: dict[str, np.ndarray], seed: int = 0) -> dict[str, np.ndarray]:
 
 
 def evaluate(positions: DataFrame, p: dict[str, np.ndarray], tap: int, id_cols: list[str], size: int = 19) -> DataFrame:
-    """(id_cols, value, best, policy, pooled) of positions (id_cols, planes): the value, the best move (the last index is a pass), the policy's logits, and the tapped block's channel means."""
+    """(id_cols, value, best, policy, pooled) of positions (id_cols, planes as arrays of points): the value, the best move (the last index is a pass), the policy's logits, and the tapped block's channel means."""
     shared = positions.sparkSession.sparkContext.broadcast(p)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), 64):
                 part = b.iloc[lo : lo + 64]
-                x = np.array([[np.asarray(q) for q in r] for r in part["planes"]], float).reshape(len(part), -1, size, size)
+                x = np.zeros((len(part), 18, size * size))
+                for i, r in enumerate(part["planes"]):
+                    for k, p in enumerate(r):
+                        x[i, k, np.asarray(p, int)] = 1
+                x = x.reshape(len(part), -1, size, size)
                 policy, value, seen = forward(x, shared.value, (tap,))
                 yield part[id_cols].assign(value=value, best=policy.argmax(axis=1), policy=list(policy), pooled=list(seen[tap].mean(axis=(2, 3))))
 

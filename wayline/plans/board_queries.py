@@ -117,31 +117,30 @@ _PLANES = f"""WITH m AS (SELECT board_id, CASE WHEN count(*) FILTER (stone = 1)
 
 
 def encoded_boards(spark: SparkSession, sf: str) -> DataFrame:
-    """(board_id, board, planes): each board with up to seven before it in its game of ten, in 18 planes."""
-    x = stones(spark, sf).groupBy("board_id").agg(F.map_from_entries(F.collect_list(F.struct((F.col("r") * 19 + F.col("c")).alias("p"), "stone"))).alias("m"))
-    x = x.select("board_id", F.transform(F.sequence(F.lit(0), F.lit(360)), lambda p: F.coalesce(F.element_at("m", p), F.lit(0))).alias("board"))
-    w = Window.partitionBy(F.expr("board_id div 10")).orderBy("board_id")
-    # of the last seven rows those that are the boards just before
-    before = F.collect_list(F.struct("board_id", "board")).over(w.rowsBetween(-7, -1))
-    x = x.withColumn("h", before)
-    history = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda t: F.get(F.filter("h", lambda s: s["board_id"] == F.col("board_id") - t), F.lit(0))["board"])
-    n = lambda k: F.size(F.filter("board", lambda p: p == k))
-    return x.select("board_id", "board", boards.planes(F.col("board"), history, F.when(n(1) <= n(2), 1).otherwise(2)).alias("planes"))
+    """(board_id, planes): each board with up to seven before it in its game of ten, in 18 planes, as arrays of points. One window by game; boards are told by number, so a missing one is missing."""
+    point = (F.col("r") * 19 + F.col("c")).cast("int")
+    of = lambda k: F.sort_array(F.collect_list(F.when(F.col("stone") == k, point)))
+    x = stones(spark, sf).groupBy("board_id").agg(of(1).alias("b"), of(2).alias("w"))
+    game = Window.partitionBy(F.expr("board_id div 10")).orderBy("board_id")
+    before = lambda c, t: F.first(c).over(game.rangeBetween(-t, -t))
+    x = x.select("board_id", *(before(c, t).alias(f"{c}{t}") for t in range(8) for c in "bw"))
+    stack = lambda c: [F.col(f"{c}{t}") for t in range(8)]
+    return x.select("board_id", boards.planes(stack("b"), stack("w"), F.when(F.size("b0") <= F.size("w0"), 1).otherwise(2)).alias("planes"))
 
 
 @query(_PLANES)
 def encode_planes(spark: SparkSession, sf: str) -> DataFrame:
     """All 18 planes of every board, as the points that are set."""
-    x = encoded_boards(spark, sf).select("board_id", F.posexplode("planes").alias("plane", "v"))
-    points = F.filter(F.transform("v", lambda b, i: F.when(b == 1, i)), lambda i: i.isNotNull())
-    return x.select("board_id", "plane", points.alias("points")).where(F.size("points") > 0)
+    return encoded_boards(spark, sf).select("board_id", F.posexplode("planes").alias("plane", "points")).where(F.size("points") > 0)
 
 
 @query(BOARDS_SQL)
 def board_from_planes(spark: SparkSession, sf: str) -> DataFrame:
     """Boards read back from their planes, whichever side is to move."""
-    x = encoded_boards(spark, sf).select("board_id", F.posexplode(boards.board_of(F.col("planes"))).alias("p", "stone")).where("stone > 0")
-    return x.select("board_id", F.expr("cast(p div 19 as int)").alias("r"), F.expr("cast(p % 19 as int)").alias("c"), "stone")
+    black, white = boards.stones_of(F.col("planes"))
+    each = lambda p, k: F.transform(p, lambda i: F.struct(i.alias("p"), F.lit(k).alias("stone")))
+    x = encoded_boards(spark, sf).select("board_id", F.explode(F.concat(each(black, 1), each(white, 2))).alias("s"))
+    return x.select("board_id", F.expr("cast(s.p div 19 as int)").alias("r"), F.expr("cast(s.p % 19 as int)").alias("c"), "s.stone")
 
 
 @query(f"SELECT round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std, min(n) AS least, max(n) AS most, round(avg(CAST(b <= w AS INTEGER)), 6) + 0.0 AS black_to_move FROM (SELECT board_id, count(*) AS n, count(*) FILTER (stone = 1) AS b, count(*) FILTER (stone = 2) AS w FROM ({BOARDS_SQL}) GROUP BY board_id)")

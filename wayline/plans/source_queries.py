@@ -42,7 +42,7 @@ def split_concatenated(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT filename, move_number, r AS next_row, c AS next_col, stone AS next_color, CAST(move_number AS INTEGER) AS stones FROM ({_MOVES}) WHERE move_number BETWEEN 5 AND 14")
 def parse_record_range(spark: SparkSession, sf: str) -> DataFrame:
     """Positions before moves 5 to 14, boards played out from the records' text."""
-    p = records.positions_of(views.records(spark, sf), first=5, last=15)
+    p = records.positions_of(views.records(spark, sf), first=5, last=15, boards_kept=1)
     return p.select("filename", "move_number", "next_row", "next_col", "next_color", F.size(F.filter("board", lambda x: x > 0)).alias("stones"))
 
 
@@ -57,7 +57,7 @@ def record_folder(spark: SparkSession, sf: str) -> DataFrame:
     """Files written and read back: the first 20 by name, those that can't be parsed left out, ten even positions of each (the limits are the operator's)."""
     path = views.shared_path(spark, "records")
     records.write_records(_with_broken(spark, sf), path)
-    p = records.read_records(spark, path, max_games=20, positions_per_game=10).where("error is null")
+    p = records.read_records(spark, path, max_games=20, positions_per_game=10, boards_kept=0).where("error is null")
     return p.select(F.regexp_extract("filename", r"([^/]+)\.sgf$", 1).alias("filename"), "move_number")
 
 
@@ -65,20 +65,24 @@ def record_folder(spark: SparkSession, sf: str) -> DataFrame:
 def position_counters(spark: SparkSession, sf: str) -> DataFrame:
     """A position store made of records: written as parquet, counted from what was written."""
     path = views.shared_path(spark, "positions")
-    records.positions_of(_with_broken(spark, sf)).select("filename", "move_number", "error").write.parquet(path)
+    records.positions_of(_with_broken(spark, sf), boards_kept=0).select("filename", "move_number", "error").write.parquet(path)
     return records.counters(spark.read.parquet(path))
 
 
 @query(f"SELECT filename, move_number, CAST(move_number // 2 AS INTEGER) AS own, CAST(move_number - move_number // 2 AS INTEGER) AS other, CAST(CASE WHEN move_number % 2 = 0 THEN 361 ELSE 0 END AS INTEGER) AS black_to_move FROM ({_MOVES}) ORDER BY filename, move_number LIMIT 300")
 def load_positions(spark: SparkSession, sf: str) -> DataFrame:
     """The first 300 positions in order (the limit is the operator's), encoded in 18 planes of 361 points; the table is checked first, in one aggregate, which fails if shapes or values are wrong."""
-    p = records.positions_of(views.records(spark, sf)).where("error is null")
+    # which positions are the first is told without their boards, so that only the records that have them are encoded
+    x = views.records(spark, sf)
+    first = records.positions_of(x, boards_kept=0).where("error is null").orderBy("filename", "move_number").limit(300).select("filename", "move_number")
+    first = spark.createDataFrame(first.collect(), first.schema)
+    p = records.positions_of(x.join(F.broadcast(first.select("filename").distinct()), "filename", "left_semi")).where("error is null")
     tables.validate_positions(p)
-    p = p.orderBy("filename", "move_number").limit(300)
-    planes = boards.planes(F.col("board"), F.col("history"), F.col("next_color"))
-    x = p.select("filename", "move_number", planes.alias("planes"))
-    total = lambda k: F.aggregate(F.get("planes", F.lit(k)), F.lit(0), lambda a, b: a + b)
-    return x.select("filename", "move_number", total(0).alias("own"), total(8).alias("other"), total(16).alias("black_to_move"))
+    p = p.join(F.broadcast(first), ["filename", "move_number"], "left_semi")
+    stack = [F.col("board"), *(F.get("history", F.lit(t)) for t in range(7))]
+    planes = boards.planes([boards.points(b, 1) for b in stack], [boards.points(b, 2) for b in stack], F.col("next_color"))
+    total = lambda k: F.size(F.get("planes", F.lit(k)))
+    return p.select("filename", "move_number", planes.alias("planes")).select("filename", "move_number", total(0).alias("own"), total(8).alias("other"), total(16).alias("black_to_move"))
 
 
 @query("SELECT batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 512 AS batch FROM events) GROUP BY batch")

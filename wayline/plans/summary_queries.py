@@ -153,7 +153,7 @@ def parse_records(spark: SparkSession, sf: str) -> DataFrame:
     u = table(spark, sf, "events").select("user_id").distinct()
     one = lambda x, m: F.chr(F.lit(97) + x % m)
     value = F.concat(F.lit("(;GM[1]SZ[19]KM[6.5]PB[a]RE[B+R];B["), one(F.col("user_id"), 19), one(F.col("user_id"), 7), F.lit("];W["), one(F.col("user_id") + 5, 19), F.lit("q];B[])"))
-    p = records.positions_of(u.select(F.concat(F.lit("game-"), F.col("user_id").cast("string")).alias("filename"), value.alias("value")))
+    p = records.positions_of(u.select(F.concat(F.lit("game-"), F.col("user_id").cast("string")).alias("filename"), value.alias("value")), boards_kept=0)
     return p.groupBy("filename").agg(F.count("*").alias("n_positions"), F.max("result").alias("result"), F.count_if(F.col("next_row").isNull()).alias("passes"))
 
 

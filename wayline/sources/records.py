@@ -42,8 +42,8 @@ def _point(value: str, size: int) -> tuple[int, int] | None:
     return ord(value[1]) - 97, ord(value[0]) - 97
 
 
-def parse_record(text: str, board_size: int = 19, first: int = 0, last: int | None = None) -> tuple[dict, list[dict]]:
-    """(info, positions) of a record. Positions are snapshots before each move of the main line numbered first .. last - 1; an illegal move ends the game. A board of another size raises ValueError; missing setup stones count as none."""
+def parse_record(text: str, board_size: int = 19, first: int = 0, last: int | None = None, boards_kept: int = 8) -> tuple[dict, list[dict]]:
+    """(info, positions) of a record. Positions are snapshots before each move of the main line numbered first .. last - 1; an illegal move ends the game. A board of another size raises ValueError; missing setup stones count as none. boards_kept: how many boards a position has, its own and those before it; of none it has null."""
     nodes = _nodes(text)
     if not nodes:
         raise ValueError("no record")
@@ -64,11 +64,11 @@ def parse_record(text: str, board_size: int = 19, first: int = 0, last: int | No
             for v in node.get(k, []):
                 p = _point(v, size)
                 if first <= n and (last is None or n < last):
-                    out.append({"move_number": n, "board": board.ravel().tolist(), "history": [h.ravel().tolist() for h in history[:7]], "next_row": p[0] if p else None, "next_col": p[1] if p else None, "next_color": stone})
+                    out.append({"move_number": n, "board": board.ravel().tolist() if boards_kept else None, "history": [h.ravel().tolist() for h in history[: boards_kept - 1]] if boards_kept else None, "next_row": p[0] if p else None, "next_col": p[1] if p else None, "next_color": stone})
                 new = board.copy() if p is None else boards.play(board, *p, stone)
                 if new is None:
                     break
-                history, board, n = [board, *history], new, n + 1
+                history, board, n = [board, *history[:7]], new, n + 1
             else:
                 continue
             break
@@ -97,10 +97,10 @@ def write_records(records: DataFrame, folder: str) -> None:
     records.select("filename", "value").mapInPandas(run, "filename string").write.format("noop").mode("overwrite").save()
 
 
-def read_records(spark: SparkSession, folder: str, board_size: int = 19, max_games: int | None = None, positions_per_game: int | None = None, first: int = 0, last: int | None = None) -> DataFrame:
+def read_records(spark: SparkSession, folder: str, board_size: int = 19, max_games: int | None = None, positions_per_game: int | None = None, first: int = 0, last: int | None = None, boards_kept: int = 8) -> DataFrame:
     """Positions of the *.sgf files below a folder: of the first max_games by name, and as positions_of. A file that can't be parsed gives one row with its error."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.sgf").text(folder).select(F.input_file_name().alias("filename"), "value")
-    return positions_of(files.orderBy("filename").limit(max_games) if max_games is not None else files, board_size, first, last, positions_per_game)
+    return positions_of(files.orderBy("filename").limit(max_games) if max_games is not None else files, board_size, first, last, positions_per_game, boards_kept)
 
 
 def counters(positions: DataFrame) -> DataFrame:
@@ -109,8 +109,8 @@ def counters(positions: DataFrame) -> DataFrame:
     return positions.agg(F.count_distinct(F.when(~bad, F.col("filename"))).alias("games"), F.count_distinct(F.when(bad, F.col("filename"))).alias("skipped"), F.count("move_number").alias("positions"))
 
 
-def positions_of(records: DataFrame, board_size: int = 19, first: int = 0, last: int | None = None, per_game: int | None = None) -> DataFrame:
-    """Positions of records (filename, value) before moves first .. last - 1, of a game with more than per_game of them only those floor(k (n - 1) / (per_game - 1))."""
+def positions_of(records: DataFrame, board_size: int = 19, first: int = 0, last: int | None = None, per_game: int | None = None, boards_kept: int = 8) -> DataFrame:
+    """Positions of records (filename, value) before moves first .. last - 1, of a game with more than per_game of them only those floor(k (n - 1) / (per_game - 1)). boards_kept: as in parse_record; columns that aren't read cost less so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in POSITIONS.split(", ")]
@@ -118,7 +118,7 @@ def positions_of(records: DataFrame, board_size: int = 19, first: int = 0, last:
         for b in batches:
             for name, text in zip(b["filename"], b["value"], strict=True):
                 try:
-                    info, rows = parse_record(text or "", board_size, first, last)
+                    info, rows = parse_record(text or "", board_size, first, last, boards_kept)
                     if per_game is not None and len(rows) > per_game:
                         rows = [rows[k * (len(rows) - 1) // max(per_game - 1, 1)] for k in range(per_game)]
                     made = [none | {"filename": name, **r, "result": info["result"]} for r in rows]
