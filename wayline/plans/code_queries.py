@@ -282,11 +282,11 @@ def kmeans_inertia(spark: SparkSession, sf: str) -> DataFrame:
     return _near(spark, sf).groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum("own"), 4).alias("inertia"))
 
 
-_NEAR = f"SELECT label AS a, arg_min(c, struct_pack(d := d2, c := c)) AS b FROM ({_D}) GROUP BY vec_id, label"
+_NEAR = f"SELECT * FROM (SELECT label AS a, arg_min(c, struct_pack(d := d2, c := c)) AS b FROM ({_D}) GROUP BY vec_id, label) WHERE a >= 0 AND b >= 0"
 
 
 def _contingency(spark: SparkSession, sf: str) -> DataFrame:
-    return _near(spark, sf).groupBy(F.col("label").alias("a"), F.col("nearest").alias("b")).agg(F.count("*").alias("n"))
+    return _near(spark, sf).where("label >= 0 and nearest >= 0").groupBy(F.col("label").alias("a"), F.col("nearest").alias("b")).agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT a, b, count(*) AS n FROM ({_NEAR}) GROUP BY a, b")

@@ -130,12 +130,25 @@ def reservoir_sample(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id").orderBy(F.md5(F.concat(F.col("event_id").cast("string"), F.lit("r"))), "event_id").limit(100)
 
 
-@query(f"WITH r AS ({code_queries._R}), n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT feature, {', '.join(f'count(*) FILTER (rk <= {k}) AS c_{k}' for k in LEVELS)} FROM r GROUP BY feature) SELECT " + ", ".join(f"count(*) FILTER (c_{k} > 0) AS used_{k}, round(max(c_{k}) / any_value(n), 6) AS top_{k}" for k in LEVELS) + " FROM m, n")
+_UP = " AND ".join(f"c_{a} <= c_{b}" for a, b in code_queries._NEXT)
+
+
+@query(f"""WITH r AS MATERIALIZED ({code_queries._R}), n AS (SELECT count(*) AS n FROM embeddings), m AS (SELECT feature, {', '.join(f'count(*) FILTER (rk <= {k}) AS c_{k}' for k in LEVELS)} FROM r GROUP BY feature),
+    u AS (SELECT {', '.join(f'count(*) FILTER (c_{k} > 0) AS used_{k}, round(max(c_{k}) / any_value(n), 6) AS top_{k}' for k in LEVELS)}, round(count(*) FILTER ({_UP} AND c_{LEVELS[-1]} > 0) / greatest(count(*) FILTER (c_{LEVELS[-1]} > 0), 1), 6) AS stable FROM m, n),
+    x AS (SELECT vec_id, j, {code_queries._RAW} FROM r JOIN ({code_queries._WT}) USING (feature) WHERE rk <= {LEVELS[-1]} GROUP BY vec_id, j),
+    e AS (SELECT {', '.join(f'1 - avg((v - x_{k} / 64) ** 2) / (var_pop(v) + 1e-8) AS r_{k}' for k in LEVELS)} FROM (SELECT vec_id, j, vec[j + 1] AS v FROM (SELECT *, unnest(range(64)) AS j FROM ({TRAJ_VEC_SQL}))) y JOIN x USING (vec_id, j))
+    SELECT u.*, {', '.join(f'round(r_{k}, 5) AS r2_{k}' for k in LEVELS)}, round(r_{LEVELS[-1]} - r_{LEVELS[0]}, 5) + 0.0 AS gap FROM u, e""")
 def hierarchy_report(spark: SparkSession, sf: str) -> DataFrame:
-    """How many features each level uses, and how often its most frequent one: one ranked pass for all levels."""
+    """By level: features used, how often the most frequent one is, R2 of the reconstruction; the share of features whose use only grows, and the gap of R2 between the last and the first level. One ranked pass for all levels of each."""
     n = table(spark, sf, "embeddings").agg(F.count("*").alias("n"))
-    m = codes.membership(codes.ranked(code_queries.encoded(spark, sf)), LEVELS).crossJoin(F.broadcast(n))
-    return m.agg(*(c for k in LEVELS for c in (F.count_if(F.col(f"c_{k}") > 0).alias(f"used_{k}"), F.round(F.max(F.col(f"c_{k}") / F.col("n")), 6).alias(f"top_{k}"))))
+    ranked = codes.ranked(code_queries.encoded(spark, sf))
+    m = codes.membership(ranked, LEVELS).crossJoin(F.broadcast(n))
+    last = F.col(f"c_{LEVELS[-1]}") > 0
+    used = m.agg(*(c for k in LEVELS for c in (F.count_if(F.col(f"c_{k}") > 0).alias(f"used_{k}"), F.round(F.max(F.col(f"c_{k}") / F.col("n")), 6).alias(f"top_{k}"))), F.round(F.count_if(F.expr(_UP.lower()) & last) / F.greatest(F.count_if(last), F.lit(1)), 6).alias("stable"))
+    x = codes.decode(codes.ranked(code_queries.encoded(spark, sf), k=LEVELS[-1]), code_queries.weight_table(spark), levels=LEVELS)
+    e = views.traj_vec(spark, sf).select("vec_id", F.posexplode("vec").alias("j", "v")).join(x, ["vec_id", "j"])
+    r2 = e.agg(*((1 - F.avg(F.pow(F.col("v") - F.col(f"x_{k}") / 64, 2)) / (F.var_pop("v") + 1e-8)).alias(f"r_{k}") for k in LEVELS))
+    return used.crossJoin(F.broadcast(r2)).select(*used.columns, *(F.round(f"r_{k}", 5).alias(f"r2_{k}") for k in LEVELS), (F.round(F.col(f"r_{LEVELS[-1]}") - F.col(f"r_{LEVELS[0]}"), 5) + 0.0).alias("gap"))
 
 
 @query(f"SELECT vec_id, label, round(list_sum(vec), 6) + 0.0 AS total FROM ({TRAJ_VEC_SQL})")

@@ -32,8 +32,10 @@ def transition_matrix(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT g.i, g.j, coalesce(n, 0) AS n FROM (SELECT CAST(a AS INTEGER) AS i, CAST(b AS INTEGER) AS j FROM range(5) x(a), range(5) y(b)) g LEFT JOIN ({COUNTS_SQL}) c ON c.i = g.i AND c.j = g.j")
 def transition_dense(spark: SparkSession, sf: str) -> DataFrame:
     counts = transitions.transition_counts(views.traj_state(spark, sf, noise=True))
-    one = lambda c: spark.range(5).select(F.col("id").cast("int").alias(c))
-    return one("i").crossJoin(one("j")).join(F.broadcast(counts), ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0)).alias("n"))
+    # every pair of 0 .. the largest state, from one row
+    states = F.sequence(F.lit(0), F.greatest(F.max("i"), F.max("j")))
+    grid = counts.agg(states.alias("s")).select(F.explode("s").alias("i"), "s").select("i", F.explode("s").alias("j"))
+    return grid.join(counts, ["i", "j"], "left").select("i", "j", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query(f"""WITH p AS (SELECT i, j, outcome_code AS o FROM ({_PAIRS}) JOIN ({OUTCOMES_SQL}) USING (game_id) WHERE i >= 0 AND j >= 0)
@@ -193,6 +195,17 @@ def game_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.expr("vec_id div 100").alias("game_id"), F.expr("cast(vec_id % 100 as int)").alias("move_number"), "label").orderBy("move_number")
 
 
+@query(f"""WITH s AS (SELECT avg(vec[1]) AS m, stddev_samp(vec[1]) AS d FROM ({TRAJ_VEC_SQL})) SELECT vec_id, round((vec[1] - m) / (d + 1e-8), 6) + 0.0 AS z, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || 'e1'), vec_id) AS place
+    FROM ({TRAJ_VEC_SQL}), s WHERE vec_id >= 100 AND vec_id < 300 AND vec_id % 7 IN (0, 3)""")
+def indexed_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Chosen rows of two chunks, normalised by the whole table's moments, in the order of an epoch that a seed fixes. The id range reaches the scan; ranks are of the chosen rows."""
+    x = views.traj_vec(spark, sf).select("vec_id", F.get("vec", F.lit(0)).alias("v"))
+    m = x.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("d"))
+    some = x.where("vec_id >= 100 and vec_id < 300 and vec_id % 7 in (0, 3)").crossJoin(F.broadcast(m))
+    order = Window.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("e1"))), "vec_id")
+    return some.select("vec_id", r6((F.col("v") - F.col("m")) / (F.col("d") + 1e-8)).alias("z"), F.row_number().over(order).cast("long").alias("place"))
+
+
 @query(f"SELECT label, CAST(j - 1 AS INTEGER) AS j, count(*) AS n, round(avg(vec[j]), 6) + 0.0 AS mean FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL})) GROUP BY label, j")
 def cluster_profile(spark: SparkSession, sf: str) -> DataFrame:
     x = views.traj_vec(spark, sf).select("label", F.posexplode("vec").alias("j", "x"))
