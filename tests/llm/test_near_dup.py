@@ -88,3 +88,9 @@ def test_words_of_regular_build(docs):
     b = a.translate(str.maketrans("ab", "ba"))
     rows = [(2 * i + j, " ".join([x[:n], "q", "r", x[:n]])) for i, n in enumerate((64, 1024, 4096)) for j, x in enumerate((a, b))]
     assert all(r.component_id == r.doc_id for r in near_dup.near_duplicates(docs(rows), k=4).collect())
+
+
+def test_percent_is_checked(docs):
+    for percent in (59, 101):
+        with pytest.raises(ValueError):
+            near_dup.near_duplicates(docs([(1, "a")]), percent=percent)

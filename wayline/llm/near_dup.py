@@ -253,10 +253,12 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; a document's set is its distinct k-word shingles, or its whole
     word sequence where shorter. Documents link where 100 * intersection >= percent * union; percent is 60 or more, for
-    which the bands are made. Null and empty texts have an empty set and link with nothing. Rows without id are returned
+    which the bands are made; else ValueError. Null and empty texts have an empty set and link with nothing. Rows without id are returned
     with null component and kept = true, and link with nothing. Rows that repeat an id are one node with all their texts'
     links. Other columns are not read. An empty table gives no rows.
     """
+    if not 60 <= percent <= 100:
+        raise ValueError(f"percent is {percent}, not 60 to 100")
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
