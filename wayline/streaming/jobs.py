@@ -37,32 +37,32 @@ def running_moments(df: DataFrame) -> DataFrame:
     return df.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
 
 
-class _LastType(StatefulProcessor):
-    """Keeps each user's last event; a row that isn't later than it has come too late and is left out."""
+def stream_transitions(df: DataFrame) -> DataFrame:
+    """(user_id, i, j) of successive event types of each user of a stream (user_id, at, event_id, event_type). The state is a user's last event, so transitions go across batches; events that come behind a later one are left out. Needs the RocksDB state store (rocksdb). The processor is a class of this call, so that workers get it whole, without the package."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, event_id long, event_type string")
+    class LastType(StatefulProcessor):
+        """Keeps each user's last event; a row that isn't later than it has come too late and is left out."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-        x = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        old = self.last.get() if self.last.exists() else None
-        if old is not None:
-            x = x[(x["at"] > old[0]) | ((x["at"] == old[0]) & (x["event_id"] > old[1]))]
-        if len(x):
-            types = ([old[2]] if old is not None else []) + x["event_type"].tolist()
-            end = x.iloc[-1]
-            self.last.update((end["at"].to_pydatetime(), int(end["event_id"]), end["event_type"]))
-            if len(types) > 1:
-                yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "i": types[:-1], "j": types[1:]})
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.last = handle.getValueState("last", "at timestamp, event_id long, event_type string")
 
-    def close(self) -> None:
-        pass
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+            x = pd.concat(list(rows)).sort_values(["at", "event_id"])
+            old = self.last.get() if self.last.exists() else None
+            if old is not None:
+                x = x[(x["at"] > old[0]) | ((x["at"] == old[0]) & (x["event_id"] > old[1]))]
+            if len(x):
+                types = ([old[2]] if old is not None else []) + x["event_type"].tolist()
+                end = x.iloc[-1]
+                self.last.update((end["at"].to_pydatetime(), int(end["event_id"]), end["event_type"]))
+                if len(types) > 1:
+                    yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "i": types[:-1], "j": types[1:]})
 
+        def close(self) -> None:
+            pass
 
-def stream_transitions(df: DataFrame) -> DataFrame:
-    """(user_id, i, j) of successive event types of each user of a stream (user_id, at, event_id, event_type). The state is a user's last event, so transitions go across batches; events that come behind a later one are left out. Needs the RocksDB state store (rocksdb)."""
     x = df.select("user_id", "at", "event_id", "event_type")
-    return x.groupBy("user_id").transformWithStateInPandas(_LastType(), "user_id long, i string, j string", "Append", "None")
+    return x.groupBy("user_id").transformWithStateInPandas(LastType(), "user_id long, i string, j string", "Append", "None")
 
 
 def rocksdb(spark: SparkSession) -> None:
