@@ -6,42 +6,30 @@ Text kernels work on UTF-8 bytes of an Arrow batch with numpy: no Python object
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayline import shipping
+
 #: Bytes of text that one numpy step handles; a longer single text is handled alone.
 BLOCK_BYTES = 500_000
 #: Rows of one Arrow batch between JVM and Python: texts can be long, and a batch is held whole on both sides.
 BATCH_ROWS = 500
 
-_SHIPPED: set[str] = set()
-
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, and bound the session's Arrow batches where they have the usual bound."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[2]
-    target = os.path.join(tempfile.mkdtemp(prefix="wayline-"), "wayline_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted((root / "wayline").rglob("*.py")):
-            z.write(p, p.relative_to(root).as_posix())
-    spark.sparkContext.addPyFile(target)
-    _SHIPPED.add(app)
+    shipping.ship(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:
