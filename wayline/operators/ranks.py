@@ -32,6 +32,9 @@ def running(df: DataFrame, col: str, value: Column, name: str, groups: list[str]
     """df with name: the sum (or with how "max" the largest) of value over the rows before, in order of col, then ties, of the same group; null where none is."""
     groups, n = groups or [], df.count()
     fold = F.sum if how == "sum" else F.max
+    if n <= BUCKET_ROWS:  # one bucket, with nothing before it
+        w = Window.partitionBy(*groups).orderBy(col, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn("_v", value).withColumn(name, fold("_v").over(w)).drop("_v")
     x = _bucketed(df.withColumn("_v", value), col, groups, n)
     own = fold("_v").over(Window.partitionBy(*groups, "_b").orderBy(col, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1))
     # groups x buckets rows
