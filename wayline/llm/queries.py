@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, chat, decontam, line_dedup, mixing, near_dup, pii, quality, token_counts, warc
+from wayline.llm import ann, chat, decontam, line_dedup, mixing, near_dup, pii, quality, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A key for tests and these queries; users of replace_pii give their own.
@@ -66,9 +66,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+#: The registered query's shards.
+SHARDS = 16
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law"))
+    out = sharding.slotted(sharding.assigned(docs, SHARDS, ["doc_id"]), ["doc_id", "text_crc32", "size"])
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup)
+    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup, op12_sharding)
 }
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,7 +87,29 @@ _ESCAPED = r"length(regexp_replace({}, '(<\\*)(\|im_start\|>|\|im_end\|>|\|endof
 _TEXT = "coalesce(text, '')"
 _ROLE = "replace(replace(coalesce(role, ''), '%', '%25'), chr(10), '%0A')"
 
+def _key_sql(*columns: str) -> str:
+    return "concat_ws(',', " + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || '=' || CAST({c} AS VARCHAR), '-')" for c in columns) + ")"
+
+
+def _digits_sql(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, {sharding.DIGITS}) AS BIGINT)"
+
+
+def _shard_sql(n: int) -> str:
+    return f"list_min(list_transform(range({n}), lambda s: struct_pack(score := -ln((CAST({_digits_sql("k || ':' || CAST(s AS VARCHAR)")} AS DOUBLE) + 0.5) / {16**sharding.DIGITS}.0) / 1.0, shard := CAST(s AS INTEGER)))).shard"
+
+
+#: CRC-32 by its rule: a table of 256 remainders, then a fold over the bytes.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
+
 ORACLES: dict[str, str] = {
+    "op12_sharding": f"""
+        WITH d AS (SELECT doc_id, CAST(strlen({_TEXT}) + 1 AS BIGINT) AS size, hex(encode({_TEXT})) AS x, {_key_sql('doc_id')} AS k FROM documents),
+        c AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                 lambda r, b: xor(t[1 + CAST(xor(r, b) & 255 AS INTEGER)], r >> 8), CAST(4294967295 AS BIGINT))) AS text_crc32
+              FROM d, (SELECT {_CRC_TABLE} AS t)),
+        s AS (SELECT *, {_shard_sql(SHARDS)} AS shard, {_shard_sql(SHARDS + 1)} AS grown_shard, {_digits_sql(_key_sql('doc_id', 'text_crc32', 'size'))} AS h FROM c)
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, grown_shard FROM s""",
     "op4_chat_formatting": f"""
         WITH rows AS (
             SELECT conv_id, turn, coalesce(role, '') AS r, {_TEXT} AS t, {_ESCAPED.format(_TEXT)} AS tn, {_ESCAPED.format(_ROLE)} AS rn
