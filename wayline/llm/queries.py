@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, chat, decontam, line_dedup, mixing, near_dup, pii, quality, sharding, token_counts, warc
+from wayline.llm import ann, chat, decontam, divergence, line_dedup, mixing, near_dup, pii, quality, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A key for tests and these queries; users of replace_pii give their own.
@@ -66,6 +66,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 #: The registered query's shards.
 SHARDS = 16
 
@@ -79,7 +83,7 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup, op12_sharding)
+    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup, op11_source_divergence, op12_sharding)
 }
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,7 +106,29 @@ def _shard_sql(n: int) -> str:
 #: CRC-32 by its rule: a table of 256 remainders, then a fold over the bytes.
 _CRC_TABLE = "list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END))"
 
+def _share_sql(count: str, total: str) -> str:
+    return f"1 + (1000000000 * CAST({count} + 5 AS HUGEINT)) // ({total})"
+
+
 ORACLES: dict[str, str] = {
+    "op11_source_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        o AS (SELECT k, lang, source, unnest(w) AS t FROM d),
+        kept AS (SELECT lang, t, count(*) AS ln FROM o GROUP BY lang, t HAVING count(DISTINCT k) >= 30),
+        v AS (SELECT lang, count(*) AS v, sum(ln) AS n FROM kept GROUP BY lang),
+        c AS (SELECT o.lang, source, t, count(*) AS c FROM o JOIN kept USING (lang, t) GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY ALL),
+        p AS MATERIALIZED (SELECT g.lang, g.source, kept.t, coalesce(c.c, 0) AS c, CAST({_share_sql('coalesce(c.c, 0)', 'coalesce(n.n, 0) + 5 * v.v')} AS BIGINT) AS p,
+                 CAST({_share_sql('kept.ln', 'v.n + 5 * v.v')} AS BIGINT) AS q
+              FROM g JOIN kept ON kept.lang = g.lang JOIN v ON v.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = kept.t
+                 LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+        f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(abs(a.p - b.p)) AS BIGINT) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+        r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+              FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+              UNION ALL SELECT lang, source, 'term', t, p - q FROM p WHERE c > 0 AND p > q)
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank
+        FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
     "op12_sharding": f"""
         WITH d AS (SELECT doc_id, CAST(strlen({_TEXT}) + 1 AS BIGINT) AS size, hex(encode({_TEXT})) AS x, {_key_sql('doc_id')} AS k FROM documents),
         c AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
