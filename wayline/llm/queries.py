@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayline.llm import ann, chat, decontam, divergence, line_dedup, mixing, near_dup, pii, quality, sharding, token_counts, warc
+from wayline.llm import ann, chat, decontam, divergence, line_dedup, mixing, near_dup, pii, quality, repair, sharding, token_counts, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: A key for tests and these queries; users of replace_pii give their own.
@@ -81,9 +81,18 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    found = repair.audits(repair.damaged(rows))
+    every = rows.select("conv_id").distinct().withColumnRenamed("conv_id", "original")
+    out = every.join(found, F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    numbers = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in repair.NUMBERS]
+    return out.select(F.col("original").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup, op11_source_divergence, op12_sharding)
+    for f in (op1_token_counts, op2_quality_classifier, op3_pii_surrogates, op4_chat_formatting, op5_warc_revisits, op6_decontamination, op7_source_mixing, op8_ann_ivfpq, op9_minhash_near_dup, op10_line_dedup, op11_source_divergence, op12_sharding, op13_conversation_repair)
 }
 
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,7 +119,62 @@ def _share_sql(count: str, total: str) -> str:
     return f"1 + (1000000000 * CAST({count} + 5 AS HUGEINT)) // ({total})"
 
 
+def _crc_sql(x: str, n: str) -> str:
+    """CRC-32 of the n bytes that x holds in hexadecimal digits; t is _CRC_TABLE."""
+    return f"xor(4294967295, list_reduce(list_transform(range({n}), lambda i: CAST('0x' || substr({x}, 2 * i + 1, 2) AS BIGINT)), lambda r, b: xor(t[1 + CAST(xor(r, b) & 255 AS INTEGER)], r >> 8), CAST(4294967295 AS BIGINT)))"
+
+
+def _edit_sql(state: str, edit: str, cost: str, line: str = "''") -> str:
+    return f"struct_pack(c := {state}.c + {cost}, a := {state}.a || '{edit}', t := {state}.t || {line})"
+
+
+def _least_sql(*ways: str) -> str:
+    """The first by cost, then audit; null ways are none."""
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted_sql(rows: str) -> str:
+    """rows (conv_id, i, s0..s3) with insertions: each state holds the best cost, audit and repaired text of the ways to it."""
+    line = lambda role: f"chr(10) || '{role}:'"
+    user = _least_sql("s2", *(_edit_sql(s, "I", "3", line("user")) for s in ("s0", "s1", "s3")))
+    return f"SELECT conv_id, i, s0, s1, s2, {_least_sql('s3', _edit_sql('s2', 'I', '3', line('assistant')))} AS s3 FROM (SELECT conv_id, i, s0, s1, {user} AS s2, s3 FROM ({rows}))"
+
+
+def _consumed_sql() -> str:
+    """The states after row i + 1."""
+    kept = lambda s, initial: f"CASE WHEN initial = '{initial}' AND NOT must THEN {_edit_sql(s, 'K', 'extra', 'line')} END"
+    rerole = lambda s, role: f"CASE WHEN NOT must THEN {_edit_sql(s, 'R', '3 + extra', f"chr(10) || '{role}:' || text")} END"
+    gone = lambda s: _edit_sql(s, "D", "4")
+    to = [
+        [gone("s0")],
+        [gone("s1"), kept("s0", "s")],
+        [gone("s2"), *(f(s, *x) for s in ("s0", "s1", "s3") for f, x in ((kept, ("u",)), (rerole, ("user",))))],
+        [gone("s3"), kept("s2", "a"), rerole("s2", "assistant")],
+    ]
+    states = ", ".join(f"{_least_sql(*w)} AS s{k}" for k, w in enumerate(to))
+    return f"SELECT conv_id, i + 1 AS i, {states} FROM (SELECT b.conv_id, b.i, s0, s1, s2, s3, initial, must, extra, line, text FROM b JOIN s ON s.conv_id IS NOT DISTINCT FROM b.conv_id AND s.i = b.i + 1)"
+
+
+_NO_WAY = "struct_pack(c := 1000000000, a := '', t := '')"
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 ORACLES: dict[str, str] = {
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))) AS x FROM conversations),
+        f AS (SELECT *, {_crc_sql('x', 'length(x) // 2')} % 20 AS f FROM k, (SELECT {_CRC_TABLE} AS t)),
+        d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+              FROM (SELECT *, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy FROM f WHERE f <> 0)),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen, rtrim(text, {_BLANKS}) AS z, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS role_before
+              FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d)),
+        s AS MATERIALIZED (SELECT *, left(role, 1) AS initial, z = '' OR seen > 1 AS must, CASE WHEN right(z, 1) IN ('.', '!', '?') THEN 0 ELSE 3 END AS extra, chr(10) || role || ':' || text AS line FROM o),
+        b AS ({_inserted_sql(f"SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, struct_pack(c := 0, a := '', t := '') AS s0, {_NO_WAY} AS s1, {_NO_WAY} AS s2, {_NO_WAY} AS s3 FROM k")}
+              UNION ALL {_inserted_sql(_consumed_sql())}),
+        e AS (SELECT conv_id, {_least_sql('s0', 's3')} AS e FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS latest FROM b) WHERE latest = 1),
+        n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (z = '') AS blank, count(*) FILTER (z <> '' AND seen > 1) AS duplicate,
+                 count(*) FILTER (NOT must AND extra > 0) AS truncated, count(*) FILTER (role_before IS NOT NULL AND left(role_before, 1) || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM s GROUP BY conv_id)
+        SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               CAST(e.e.c AS BIGINT) AS cost, e.e.a AS audit, sha256(substr(e.e.t, 2)) AS repaired_sha256
+        FROM e LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM e.conv_id""",
     "op11_source_divergence": rf"""
         WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOW.format('text')}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
         o AS (SELECT k, lang, source, unnest(w) AS t FROM d),
@@ -131,8 +195,7 @@ ORACLES: dict[str, str] = {
         FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r) WHERE part = 'pair' OR rank <= 50""",
     "op12_sharding": f"""
         WITH d AS (SELECT doc_id, CAST(strlen({_TEXT}) + 1 AS BIGINT) AS size, hex(encode({_TEXT})) AS x, {_key_sql('doc_id')} AS k FROM documents),
-        c AS (SELECT *, xor(4294967295, list_reduce(list_transform(range(size - 1), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
-                 lambda r, b: xor(t[1 + CAST(xor(r, b) & 255 AS INTEGER)], r >> 8), CAST(4294967295 AS BIGINT))) AS text_crc32
+        c AS (SELECT *, {_crc_sql('x', 'size - 1')} AS text_crc32
               FROM d, (SELECT {_CRC_TABLE} AS t)),
         s AS (SELECT *, {_shard_sql(SHARDS)} AS shard, {_shard_sql(SHARDS + 1)} AS grown_shard, {_digits_sql(_key_sql('doc_id', 'text_crc32', 'size'))} AS h FROM c)
         SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, grown_shard FROM s""",
