@@ -94,3 +94,64 @@ def test_percent_is_checked(docs):
     for percent in (59, 101):
         with pytest.raises(ValueError):
             near_dup.near_duplicates(docs([(1, "a")]), percent=percent)
+
+
+@pytest.mark.parametrize("k", [4, 5])
+def test_blocks_of_few_words(spark, docs, k):
+    # each row alone in its partition, of 0 to k words
+    rows = [(n, " ".join("abcdefg"[:n])) for n in range(k + 1)] + [(20, "a"), (21, "A b"), (22, None)]
+    df = docs(rows).repartition(len(rows), "doc_id")
+    want = brute(rows, k, 80)
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, k=k).collect()} == want
+    for one in ([(1, "a b")], [(1, "a"), (2, "b")], [(1, "a b c")], [(1, None)]):
+        got = near_dup.near_duplicates(docs(one), k=k).collect()
+        assert [r.component_id for r in sorted(got, key=lambda r: r.doc_id)] == [i for i, _ in one]
+
+
+def test_words_that_met_in_an_unkeyed_hash(docs):
+    rows = [(1, "a33m-4jwa-easkbb is here today now"), (2, "7cwjhor_gx-3_-0_ is here today now")]
+    assert all(r.kept for r in near_dup.near_duplicates(docs(rows), k=4).collect())
+
+
+def test_exact_sets_by_bytes():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice(["a", "A", "b", "É", "é", "cc"]) for _ in range(r.randint(0, 9))) for _ in range(80)] + [None, "a b c d", "a b c d e"]
+    for k in (1, 4, 5):
+        sets = near_dup.exact_sets(pa.array(texts), k)
+        plain = [shingles(t, k) for t in texts]
+        assert [len(s) for s in sets] == [len(s) for s in plain]
+        for a in range(len(texts)):
+            for b in range(a):
+                assert len(np.intersect1d(sets[a], sets[b])) == len(plain[a] & plain[b])
+
+
+def test_colliding_words_link_nothing(docs, monkeypatch):
+    # all words of one length share a hash, of equal sets only the digests of whole texts tell them apart: links still go by bytes
+    real = near_dup.common.keyed_hashes
+    monkeypatch.setattr(near_dup.common, "keyed_hashes", lambda words, key: np.array([len(w.as_py()) for w in words], np.uint64) if len(words) > 3 else real(words, key))
+    texts = [" ".join(f"{c}{i:03}" for i in range(40)) + " " + "long" * n for n, c in enumerate("abc")]
+    got = near_dup.near_duplicates(docs(list(enumerate(texts))), k=4).collect()
+    assert all(r.kept for r in got)
+
+
+def test_key_differs_by_call():
+    import pyarrow as pa
+
+    words = pa.array(["a", "b"], pa.large_string())
+    a, b = near_dup.common.keyed_hashes(words, b"1" * 16), near_dup.common.keyed_hashes(words, b"2" * 16)
+    assert len({*a.tolist(), *b.tolist()}) == 4 and near_dup.common.keyed_hashes(words, b"1" * 16).tolist() == a.tolist()
+
+
+def test_id_named_like_a_result_column(docs):
+    df = docs([(1, "a b c d e f"), (2, "a b c d e f")]).withColumnRenamed("doc_id", "kept")
+    out = near_dup.near_duplicates(df, id_col="kept")
+    assert out.columns == ["kept", "n_shingles", "component_id"] and sorted(r.kept for r in out.collect()) == [1, 2]
+
+
+def test_long_texts(docs):
+    base = [f"w{i}" for i in range(150_000)]
+    other = [*base[:140_000], *(f"v{i}" for i in range(10_000))]
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[::-1])), (4, "w1 w2")]
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs(rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 #: Paths that stored has written and that are still there.
 _STORED: dict[str, None] = {}
+#: Paths stored in the innermost scratch of this thread or task.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
 def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
@@ -59,6 +62,8 @@ def stored(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition) if partition else writer).parquet(path)
     _STORED[path] = None
+    if (own := _SCRATCH.get()) is not None:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_stored_at"] = path
     return out
@@ -75,12 +80,21 @@ def drop(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Delete what is stored inside, at its end, but for the tables put into the list."""
-    before, keep = set(_STORED), []
-    yield keep
-    for path in set(_STORED) - before - {t.__dict__.get("_stored_at") for t in keep}:
-        remove(spark, path)
-        del _STORED[path]
+    """Delete what this thread stores inside, at its end, but for the tables put into the list; these belong to the scratch around it, if there is one."""
+    outer, own, keep = _SCRATCH.get(), [], []
+    token = _SCRATCH.set(own)
+    try:
+        yield keep
+    finally:
+        _SCRATCH.reset(token)
+        kept = {t.__dict__.get("_stored_at") for t in keep}
+        for path in own:
+            if path in kept:
+                if outer is not None:
+                    outer.append(path)
+            elif path in _STORED:
+                remove(spark, path)
+                del _STORED[path]
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -221,6 +235,23 @@ def word_hashes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return span_hashes(LOWER[block.data], starts, ends)
 
 
+def word_codes(block: Block, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.LargeStringArray]:
+    """Each word's number among the block's distinct words, A-Z lower-cased and compared by their bytes, and those words."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    inside = np.zeros(len(block.data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    data = LOWER[block.data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]]
+    coded = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def keyed_hashes(words: pa.LargeStringArray, key: bytes) -> np.ndarray:
+    """A 64-bit keyed BLAKE2b digest of each string. Who doesn't know the key can't make two strings meet."""
+    return np.frombuffer(b"".join(hashlib.blake2b(w.as_buffer(), digest_size=8, key=key).digest() for w in words), "<u8")
+
+
 def equal_spans(a: np.ndarray, a_starts: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
     """Whether the bytes of each span of a are those of its span of b."""
     same = a_sizes == b_sizes
@@ -238,8 +269,8 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(first), np.int64)
     rolled = np.zeros(n, np.uint64)
-    for j in range(k):
-        rolled[: n - j] += (h[j:] if j else h) * np.uint64(pow(0xC2B2AE3D27D4EB4F, j + 1, 2**64))
+    for j in range(min(k, n)):
+        rolled[: n - j] += h[j:] * np.uint64(pow(0xC2B2AE3D27D4EB4F, j + 1, 2**64))
     left = np.repeat(first[1:], counts) - np.arange(n)
     keep = left >= k
     short = np.flatnonzero((counts > 0) & (counts < k))

@@ -1,6 +1,6 @@
 """Deletion of repeated runs of lines, by a suffix array over line-ID sequences.
 
-Lines are numbered in (id, text digest, line) order; a line's ID is the 128-bit hash of its bytes. The suffix array is
+Lines are numbered in (id, text digest, line) order; a line's ID is the 128-bit keyed digest of its bytes. The suffix array is
 built by distributed prefix doubling: ranks by the first line, then by 2, 4, 8 ... lines, each from pairs of ranks of the
 step before; ranks ascend in the order of the sorted pairs, so those of depth d are the suffix array's order to depth d.
 Only suffixes that share their first d lines with another stay in play, so later steps are small.
@@ -15,6 +15,8 @@ lies in a maximal run. A later copy that overlaps the first isn't one.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +51,15 @@ def _run_starts(words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarr
     return line[order], m[order]
 
 
+def line_digests(data: bytes, starts: np.ndarray, ends: np.ndarray, key: bytes) -> np.ndarray:
+    """128-bit keyed BLAKE2b digests of the spans, as rows of two numbers."""
+    digests = (hashlib.blake2b(data[a:b], digest_size=16, key=key).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True))
+    return np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+
+
 def _sequences(docs: DataFrame) -> DataFrame:
-    """(id, th, hashes, words) of docs (id, th, text): per line 16 bytes of hash and an int32 of words."""
+    """(id, th, hashes, words) of docs (id, th, text): per line 16 bytes of hash, with a key drawn anew for each call, and an int32 of words."""
+    key = os.urandom(16)
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +72,7 @@ def _sequences(docs: DataFrame) -> DataFrame:
                 starts = np.sort(np.concatenate([bounds[filled], breaks[breaks + 1 < bounds[rows + 1]] + 1]))
                 ends = np.minimum(np.append(starts[1:], len(data)), bounds[np.searchsorted(bounds, starts, "right")])
                 ends = ends - (data[ends - 1] == 10)
-                h = common.span_hashes(data, starts, ends, lanes=2)
+                h = line_digests(data.tobytes(), starts, ends, key)
                 word_starts = common.words(block, common.NONSPACE)[0]
                 words = (np.searchsorted(word_starts, ends) - np.searchsorted(word_starts, starts)).astype(np.int32)
                 first = np.searchsorted(starts, bounds)

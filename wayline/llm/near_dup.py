@@ -10,13 +10,15 @@ group, members are first compared with one pivot. Groups that then still hold se
 bounded size, and each pair of blocks is looked at inside of one task, twice: by packed bits alone, which leaves the
 documents that have a likely partner in another component, and then with the texts of those, which gives back only
 links. A pair that shares several groups is compared in the first. Components thus come out as if all candidate pairs had
-been confirmed: a pair within one component needs no comparison. Words are compared by 64-bit hashes: two different
-shingles of a pair of documents count as one with a probability of about 5e-20.
+been confirmed: a pair within one component needs no comparison. Candidates and classes come from 64-bit hashes whose key is
+drawn anew for each call, so that no text can be made to meet another: two given shingles do with a probability of about
+1e-19. Links between classes are confirmed on the words' own bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +41,37 @@ _ADD = _rng.integers(0, 2**63, PERMUTATIONS, dtype=np.uint64)
 _SEED = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 
 
-def row_sets(block: common.Block, k: int) -> list[np.ndarray]:
-    """Each row's sorted distinct shingle hashes."""
+def row_sets(block: common.Block, k: int, key: bytes) -> list[np.ndarray]:
+    """Each row's sorted distinct shingle hashes, keyed."""
     starts, ends, first = common.words(block, common.NONSPACE)
-    h, at = common.shingle_hashes(common.word_hashes(block, starts, ends), first, k)
+    code, distinct = common.word_codes(block, starts, ends)
+    h, at = common.shingle_hashes(common.keyed_hashes(distinct, key)[code], first, k)
     return [np.unique(h[at[i] : at[i + 1]]) for i in range(len(block))]
 
 
+def exact_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
+    """Each text's sorted distinct shingles, as numbers that two texts share where all words of two shingles have equal bytes. Empty texts have none."""
+    sets = [np.zeros(0, np.int64)] * len(texts)
+    for block in common.blocks(texts, 2**62):  # all in one
+        starts, ends, first = common.words(block, common.NONSPACE)
+        counts = np.diff(first)
+        if not len(starts):
+            continue
+        code, distinct = common.word_codes(block, starts, ends)
+        at = np.flatnonzero(np.repeat(first[1:], counts) - np.arange(len(code)) >= k)
+        shingle = code[at]
+        for j in range(1, k):  # fewer numbers than places, so the products fit 64 bits
+            shingle = pa.array(shingle * len(distinct) + code[at + j]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        bounds = np.searchsorted(at, first)
+        short: dict[tuple[int, ...], int] = {}
+        for i in range(len(block)):
+            if counts[i] >= k:
+                sets[i] = np.unique(shingle[bounds[i] : bounds[i + 1]])
+            elif counts[i]:
+                sets[i] = np.array([-1 - short.setdefault(tuple(code[first[i] : first[i + 1]].tolist()), len(short))])
+    return sets
+
+
 def minima(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, PERMUTATIONS) minima; no set is empty. In steps that fit the cache."""
     out = np.full((len(sets), PERMUTATIONS), np.iinfo(np.uint64).max, np.uint64)
@@ -78,13 +104,13 @@ def signatures(mins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
-def _signed(df: DataFrame, text_col: str, id_col: str, k: int) -> DataFrame:
+def _signed(df: DataFrame, text_col: str, id_col: str, k: int, key: bytes) -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in common.blocks(batch.column(1)):
-                sets = row_sets(block, k)
+                sets = row_sets(block, k, key)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys, bits = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), 4), np.int64)
                 if full:
@@ -113,7 +139,8 @@ def estimate(n_matches: float) -> float:
 def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b, weight), those with 100 * intersection >= percent * union of their full sets.
 
-    A pivot a with many partners is split into groups of bounded weight (shingles), its text sent to each.
+    A pivot a with many partners is split into groups of bounded weight (shingles), its text sent to each. Shingles are
+    compared by their words' bytes.
     """
     wide = pairs.groupBy("a").agg(F.sum("weight").alias("total"), F.count("*").alias("size"))
     salted = common.join_groups(pairs, wide, ["a"], pairs.count(), "b").select("a", "b", F.expr("pmod(xxhash64(b), cast(ceil(total / 200000.0) as bigint))").alias("salt"))
@@ -127,13 +154,18 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int,
             a, salt, b = (batch.column(j).to_pylist() for j in range(3))
             found = []
             for block in common.blocks(batch.column(3)):
-                for i, s in zip(block.rows.tolist(), row_sets(block, k), strict=True):
+                texts = batch.column(3).slice(int(block.rows[0]), len(block))
+                # the pivot of a group that goes on is looked at with this block's texts
+                sets = exact_sets(pa.concat_arrays([*held, texts]), k)
+                own, pivots = sets[: len(held)], held
+                for i, s in zip(block.rows.tolist(), sets[len(held) :], strict=True):
                     if (a[i], salt[i]) != group:
-                        group, held = (a[i], salt[i]), []
+                        group, own, pivots = (a[i], salt[i]), [], []
                     if b[i] is None:
-                        held.append(s)
+                        own.append(s)
+                        pivots.append(batch.column(3).slice(i, 1))
                         continue
-                    for own_set in held:
+                    for own_set in own:
                         small, large = (s, own_set) if len(s) < len(own_set) else (own_set, s)
                         if not len(small):
                             continue
@@ -142,6 +174,7 @@ def _confirmed(spark: SparkSession, pairs: DataFrame, texts: DataFrame, k: int,
                         if 100 * both >= percent * (len(small) + len(large) - both):
                             found.append((a[i], b[i]))
                             break
+                held = pivots
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["u", "v"])
 
@@ -226,7 +259,7 @@ def _linked_within(held: DataFrame, texts: DataFrame, k: int, percent: int, cut:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             part = _Part(group, group[0].column(1)[0].as_py() == group[0].column(2)[0].as_py())
-            sets = [s for batch in group for block in common.blocks(batch.column(len(keys) + len(rest))) for s in row_sets(block, k)]
+            sets = exact_sets(pa.concat_arrays([batch.column(len(keys) + len(rest)) for batch in group]), k)
             sizes = np.array([len(x) for x in sets])
             _, flat = np.unique(np.concatenate(sets), return_inverse=True)
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -255,14 +288,14 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
     word sequence where shorter. Documents link where 100 * intersection >= percent * union; percent is 60 or more, for
     which the bands are made; else ValueError. Null and empty texts have an empty set and link with nothing. Rows without id are returned
     with null component and kept = true, and link with nothing. Rows that repeat an id are one node with all their texts'
-    links. Other columns are not read. An empty table gives no rows.
+    links. Other columns are not read; an id column that is named like a result column takes its place. An empty table gives no rows.
     """
     if not 60 <= percent <= 100:
         raise ValueError(f"percent is {percent}, not 60 to 100")
     spark = df.sparkSession
     common.ship(spark)
     docs = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
-    signed = common.stored(_signed(docs, "text", "id", k), "signatures")
+    signed = common.stored(_signed(docs, "text", "id", k, os.urandom(16)), "signatures")
     usable = signed.where("id is not null and mark is not null")
     bits = [f"b{j}" for j in range(4)]
     classes = common.stored(usable.groupBy("mark").agg(F.min("id").alias("rep"), F.count("*").alias("size"), *(F.any_value(c).alias(c) for c in ("n", "bands", *bits))), "classes")
@@ -301,4 +334,5 @@ def near_duplicates(df: DataFrame, text_col: str = "text", id_col: str = "doc_id
             labels = common.stored(components(links.unionByName(more)), "labels")
     reps = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("mark", "size", F.coalesce("component", "rep").alias("component"))
     out = common.join_groups(signed.select("id", "n", "mark"), reps, ["mark"], total, "id", "left").select("id", "n", F.expr("case when id is null then null else coalesce(component, id) end").alias("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    out = out.select(F.col("id").alias("_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    return common.named(out, id_col, ["n_shingles", "component_id", "kept"])
