@@ -27,19 +27,29 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.where((F.col("n_removed") == 0) | ~blank).withColumn("n_chars", n_chars).select(*DOCUMENT)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Stored documents with _row, a number of each row: ids may be null or repeat."""
+    return common.stored(docs.select(*DOCUMENT).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    docs = docs.select(*DOCUMENT)
-    others = near_dup.near_duplicates(docs, k=5, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*DOCUMENT)
+    """Of each group of near-duplicate rows (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, whatever others share that id; a row without id only if all are."""
+    docs = numbered(docs)
+    near = near_dup.near_duplicates(docs, id_col="_row", k=5, percent=80)
+    members = near.join(near.where("not kept").select("component_id").distinct(), "component_id", "left_semi")
+    members = common.stored(members.select("_row", "component_id").join(docs.select("_row", "doc_id"), "_row"), "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    best = members.groupBy("component_id").agg(first).select(F.col("first._row").alias("_row"))
+    others = members.select("_row").join(best, "_row", "left_anti")
+    return docs.join(others, "_row", "left_anti").select(*DOCUMENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten successive words (or the whole) of a benchmark item go."""
-    docs = docs.select(*DOCUMENT)
+    """Rows with ten successive words (or the whole) of a benchmark item go, and no others, whatever their ids."""
+    docs = numbered(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    hit = decontam.contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*DOCUMENT)
+    hit = decontam.contamination(docs, benchmark, id_col="_row").where("contaminated").select("_row")
+    return docs.join(hit, "_row", "left_anti").select(*DOCUMENT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

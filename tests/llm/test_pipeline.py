@@ -75,3 +75,35 @@ def test_edges_of_every_stage(spark, tmp_path):
             assert docs.columns[:5] == corpus_pipeline.DOCUMENT and len(got) <= len(rows)
         assert (len(got) > 0) == (df is full) and len({r.mix_position for r in got}) == len(got)
         assert 7 not in {r.doc_id for r in got} and all((r.text or "").strip() for r in got)
+
+
+def test_stages_decide_by_row(spark, tmp_path):
+    a, b = ("a benchmark item of more than ten words stands here in full, and then some", "the river runs past the old mill and on to the sea in spring and in summer too")
+    spark.createDataFrame([(1, a)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(None, "1 " + a), (None, b), (5, "2 " + a), (5, b + " too"), (6, "clean as well")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()}
+    assert kept == {(i, t) for i, t in rows if a not in t}
+    # near copies share ids with others, or have none: one row of each group stays
+    rows = [(None, b), (None, b), (None, a), (7, a), (7, b + " x"), (7, "alone in the world"), (3, "alone at sea"), (3, "alone at sea"), (3, b + " y")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    kept = sorted((str(r.doc_id), r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, str(tmp_path)).collect())
+    assert kept == sorted([("3", b + " y"), ("7", a), ("7", "alone in the world"), ("3", "alone at sea")])
+
+
+def test_scratch_leaves_others_alone(spark):
+    from threading import Thread
+
+    common = corpus_pipeline.common
+    with common.scratch(spark):
+        inner = common.stored(spark.range(3), "inner")
+        made = []
+        t = Thread(target=lambda: made.append(common.stored(spark.range(5), "other")))
+        t.start()
+        t.join()
+        with common.scratch(spark) as keep:
+            kept, gone = common.stored(spark.range(7), "kept"), common.stored(spark.range(8), "gone")
+            keep.append(kept)
+        assert gone._stored_at not in common._STORED and kept.count() == 7 and inner.count() == 3
+    assert made[0].count() == 5 and not {kept._stored_at, inner._stored_at} & set(common._STORED)
