@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
-from wayline.operators import boards, geometry, gram, inference, kinetics, moments, transitions, windows
+from wayline.operators import boards, geometry, gram, inference, kinetics, moments, neighbours, transitions, windows
 from wayline.sources import records, tables
 
 
@@ -262,7 +262,7 @@ def test_pairs_of_all_rows(spark, many_points, monkeypatch):
     from wayline.plans import code_queries
 
     sf, x, label = many_points
-    monkeypatch.setattr(geometry, "BLOCK_ROWS", 250)
+    monkeypatch.setattr(neighbours, "LEAST_ROWS", 100)
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     half = d[np.triu_indices(900, 1)]
     got = code_queries.pairwise_distance_stats(spark, sf).first()

@@ -11,10 +11,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayline.operators import density, neighbours
+
 #: Points that quadratic operators (densities, homology) take at most.
 MAX_POINTS = 5_000
-#: Rows of one block of all_pairs, roughly.
-BLOCK_ROWS = 1_024
 
 
 def sample(df: DataFrame, id_col: str, vec: str, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -30,36 +30,6 @@ def distances(x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * x @ x.T, 0))
 
 
-def all_pairs(df: DataFrame, fold: Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """fold of every pair of blocks of df (vec_id, vec, ...): its arguments are rows x, rows y in order of vec_id, their distances, and where ids differ.
-
-    Rows are dealt over blocks by hash and each block meets each, so a task holds two blocks, however many rows there are.
-    """
-    blocks = max(1, -(-df.count() // BLOCK_ROWS))
-
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        x, y = both[~both["second"]], both[both["second"]].sort_values("vec_id", kind="stable")
-        b = np.stack(y["vec"].to_numpy()).astype(float) if len(y) else None
-        out = []
-        for at in range(0, len(x) if len(y) else 0, 256):
-            some = x.iloc[at : at + 256]
-            a = np.stack(some["vec"].to_numpy()).astype(float)
-            norms = (a**2).sum(axis=1)[:, None] + (b**2).sum(axis=1)
-            d = norms - 2 * a @ b.T
-            # products cancel for near points: their differences are taken
-            i, j = np.nonzero(d < 1e-4 * norms)
-            for k in range(0, len(i), 10_000):
-                p, q = i[k : k + 10_000], j[k : k + 10_000]
-                d[p, q] = ((a[p] - b[q]) ** 2).sum(axis=1)
-            out.append(fold(some, y, np.sqrt(d), some["vec_id"].to_numpy()[:, None] != y["vec_id"].to_numpy()))
-        return pd.concat(out) if out else pd.DataFrame({f.split()[0]: [] for f in schema.split(", ")})
-
-    own, every = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.sequence(F.lit(0), F.lit(blocks - 1))
-    meets = F.expr("explode(array(named_struct('second', false, 'bx', own, 'by', other), named_struct('second', true, 'bx', other, 'by', own)))")
-    dealt = df.withColumn("own", own).withColumn("other", F.explode(every)).withColumn("at", meets)
-    return dealt.select(*df.columns, "at.second", "at.bx", "at.by").groupBy("bx", "by").applyInPandas(run, schema)
-
-
 def spanning_tree(d: np.ndarray) -> np.ndarray:
     """(n - 1, 3) of i, j, length, by Prim's method, sorted by length."""
     n = len(d)
@@ -91,70 +61,23 @@ def density_clusters(x: np.ndarray, min_size: int = 10, min_samples: int = 5) ->
 
 
 def density_fit(x: np.ndarray, min_size: int = 10, min_samples: int = 5) -> DensityFit:
-    """Hierarchical density clusters by excess of mass: mutual reachability, spanning tree, condensed tree, stable clusters. Under two points all is noise."""
+    """Hierarchical density clusters by excess of mass: mutual reachability, spanning tree, condensed tree, stable clusters, numbered by their first points. Under two points all is noise."""
     if len(x) < 2:
         return DensityFit(x, np.full(len(x), -1), np.zeros(len(x)), np.zeros(0))
-    d = distances(x)
+    d = np.round(neighbours.distances(x, x), 9)
     n = len(x)
     core = np.sort(d, axis=1)[:, min(min_samples, n - 1)]
     tree = spanning_tree(np.maximum(d, np.maximum(core[:, None], core[None])))
-    # merge tree: nodes n.. with children and height
-    top, kids, height, size = np.arange(2 * n - 1), {}, {}, np.ones(2 * n - 1, int)
-
-    def root(i: int) -> int:
-        while top[i] != i:
-            top[i] = top[top[i]]
-            i = top[i]
-        return i
-
-    for k, (i, j, w) in enumerate(tree):
-        a, b = root(int(i)), root(int(j))
-        node = n + k
-        kids[node], height[node] = (a, b), max(w, 1e-12)
-        size[node] = size[a] + size[b]
-        top[a] = top[b] = node
-
-    def leaves(node: int) -> list[int]:
-        stack, out = [node], []
-        while stack:
-            s = stack.pop()
-            if s < n:
-                out.append(s)
-            else:
-                stack += kids[s]
-        return out
-
-    # walk down; a split with two sides of min_size begins two clusters
-    clusters = [{"node": 2 * n - 2, "birth": 0.0, "gain": 0.0, "kids": []}]
-    stack = [(2 * n - 2, 0)]
-    while stack:
-        node, c = stack.pop()
-        if node < n:
-            continue
-        lam = 1 / height[node]
-        big = [k for k in kids[node] if size[k] >= min_size]
-        if len(big) == 2:
-            clusters[c]["gain"] += (lam - clusters[c]["birth"]) * size[node]
-            for k in big:
-                clusters[c]["kids"].append(len(clusters))
-                clusters.append({"node": k, "birth": lam, "gain": 0.0, "kids": []})
-                stack.append((k, len(clusters) - 1))
-        else:
-            lost = size[node] - sum(size[k] for k in big)
-            clusters[c]["gain"] += (lam - clusters[c]["birth"]) * lost
-            stack += [(k, c) for k in big]
-    best, chosen = {}, {}
-    for c in range(len(clusters) - 1, -1, -1):
-        below = sum(best[k] for k in clusters[c]["kids"])
-        own = clusters[c]["gain"]
-        keep = c > 0 and own >= below
-        best[c] = own if keep else below
-        chosen[c] = [c] if keep else [x for k in clusters[c]["kids"] for x in chosen[k]]
-    label = np.full(n, -1)
-    for k, c in enumerate(sorted(chosen[0])):
-        label[leaves(clusters[c]["node"])] = k
-    reach = np.array([1 / clusters[c]["birth"] if clusters[c]["birth"] > 0 else np.inf for c in sorted(chosen[0])])
-    return DensityFit(x, label, core, reach)
+    c = density.Condenser(min_size)
+    for i, j, w in tree:
+        c.merge(int(i), 1, int(j), 1, w)
+    node = [c.moved(i)[2] for i in range(n)]
+    of_cluster, reach = c.finish()
+    raw = np.array([-1 if x is None else of_cluster[c.cluster(x)] for x in node])
+    # numbered by their first points
+    first = {x: k for k, x in enumerate(dict.fromkeys(raw[raw >= 0].tolist()))}
+    label = np.array([first.get(x, -1) for x in raw.tolist()])
+    return DensityFit(x, label, core, reach[list(first)] if first else np.zeros(0))
 
 
 def _by_batch(df: DataFrame, id_col: str, vec: str, of: Callable[[np.ndarray], np.ndarray], names: list[str], kind: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import causal, codes, geometry, ranks
+from wayline.operators import causal, codes, neighbours, ranks
 from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -220,7 +220,7 @@ def differential_impact(spark: SparkSession, sf: str) -> DataFrame:
 def causal_screening(spark: SparkSession, sf: str) -> DataFrame:
     """The ten codes that are active most often (the ten are what is asked), set to 0 and to their 95 % quantile."""
     z = encoded(spark, sf)
-    high = codes.ranked(z, k=16).where("value > 0").groupBy("feature").agg(F.percentile_approx("value", 0.95, 100_000).alias("up"))
+    high = codes.ranked(z, k=16).where("value > 0").groupBy("feature").agg(F.expr("percentile_disc(0.95) within group (order by value)").alias("up"))
     steer = np.ones(FEATURES)
     for r in high.collect():
         steer[r["feature"]] = r["up"]
@@ -322,14 +322,20 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return views.traj_vec(spark, sf).select("vec_id", "label", "vec")
 
 
+def _over_all(spark: SparkSession, sf: str, fold: neighbours.Fold, schema: str) -> DataFrame:
+    """fold of every pair of blocks, each once: for sums over all pairs of rows."""
+    index = neighbours.build(_points(spark, sf))
+    return neighbours.over_pairs(index, neighbours.near_pairs(index), fold, schema)
+
+
 @query(f"SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS least, round(max(d), 6) AS most FROM ({_PD}) WHERE a < b")
 def pairwise_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
-    def fold(x, y, d, other):
-        v = d[x["vec_id"].to_numpy()[:, None] < y["vec_id"].to_numpy()]
+    def fold(x, y, d, same):
+        v = d[np.triu_indices(len(d), 1)] if same else d.ravel()
         m = v.mean() if len(v) else 0.0
         return pd.DataFrame([(len(v), m, ((v - m) ** 2).sum(), v.min(), v.max())] if len(v) else [], columns=["n", "m", "m2", "least", "most"])
 
-    p = geometry.all_pairs(_points(spark, sf), fold, "n long, m double, m2 double, least double, most double")
+    p = _over_all(spark, sf, fold, "n long, m double, m2 double, least double, most double")
     t = p.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"), F.sum(F.col("m2") + F.col("n") * F.col("m") * F.col("m")).alias("sq"), F.min("least").alias("least"), F.max("most").alias("most"))
     std = F.sqrt(F.greatest(F.col("sq") / F.col("n") - F.col("mean") * F.col("mean"), F.lit(0.0)))
     return t.select("n", F.round("mean", 6).alias("mean"), F.round(F.when(F.col("n") > 0, std), 6).alias("std"), F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
@@ -337,19 +343,8 @@ def pairwise_distance_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT a, b, CAST(rk AS INTEGER) AS rk FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(d, 9), b) AS rk FROM ({_PD})) WHERE rk <= 10")
 def knn_graph(spark: SparkSession, sf: str) -> DataFrame:
-    def fold(x, y, d, other):
-        r = np.where(other, np.round(d, 9), np.inf)
-        k = min(10, r.shape[1]) - 1
-        i, j = np.nonzero(r <= np.partition(r, k, axis=1)[:, k, None])  # of ties, smaller ids come first
-        order = np.lexsort((r[i, j], i))
-        i, j = i[order], j[order]
-        first = np.arange(len(i)) - np.searchsorted(i, i) <= k
-        i, j = i[first], j[first]
-        out = pd.DataFrame({"a": x["vec_id"].to_numpy()[i], "b": y["vec_id"].to_numpy()[j], "r": r[i, j]})
-        return out[np.isfinite(out["r"])]
-
-    best = geometry.all_pairs(_points(spark, sf), fold, "a long, b long, r double")
-    return codes.first_per_group(best, "a", [F.col("r"), F.col("b")], 10).select("a", "b", "rk")
+    """Exactly, by the pivot index: pairs of blocks that are too far apart aren't looked at."""
+    return neighbours.nearest(neighbours.build(_points(spark, sf)), 10)[0].select("a", "b", "rk")
 
 
 _SIL = f"SELECT a, la, lb, sum(d) AS s, count(*) AS n FROM ({_PD}) GROUP BY a, la, lb"
@@ -358,14 +353,17 @@ _SIL = f"SELECT a, la, lb, sum(d) AS s, count(*) AS n FROM ({_PD}) GROUP BY a, l
 @query(f"""WITH s AS ({_SIL}), i AS (SELECT a, max(s / n) FILTER (la = lb) AS own, min(s / n) FILTER (la <> lb) AS other FROM s GROUP BY a)
     SELECT round(avg(CASE WHEN own IS NULL OR other IS NULL THEN 0 ELSE (other - own) / greatest(own, other) END), 6) + 0.0 AS silhouette FROM i""")
 def silhouette(spark: SparkSession, sf: str) -> DataFrame:
-    def fold(x, y, d, other):
+    def one_way(x, y, d, same):
         code, labels = pd.factorize(y["label"])
         each = (code[:, None] == np.arange(len(labels))).astype(float)
-        s, n = (d * other) @ each, other.astype(float) @ each
-        out = pd.DataFrame({"a": np.repeat(x["vec_id"].to_numpy(), len(labels)), "la": np.repeat(x["label"].to_numpy(), len(labels)), "lb": np.tile(np.asarray(labels), len(x)), "s": s.ravel(), "n": n.ravel()})
+        n = np.tile(each.sum(axis=0), (len(x), 1)) - (each if same else 0)
+        out = pd.DataFrame({"a": np.repeat(x["vec_id"].to_numpy(), len(labels)), "la": np.repeat(x["label"].to_numpy(), len(labels)), "lb": np.tile(np.asarray(labels), len(x)), "s": (d @ each).ravel(), "n": n.ravel()})
         return out[out["n"] > 0]
 
-    sums = geometry.all_pairs(_points(spark, sf), fold, "a long, la long, lb long, s double, n double")
+    def fold(x, y, d, same):
+        return one_way(x, y, d, same) if same else pd.concat([one_way(x, y, d, same), one_way(y, x, d.T, same)])
+
+    sums = _over_all(spark, sf, fold, "a long, la long, lb long, s double, n double")
     s = sums.groupBy("a", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("m"))
     i = s.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     return i.agg(r6(F.avg(F.coalesce((F.col("other") - F.col("own")) / F.greatest("own", "other"), F.lit(0.0)))).alias("silhouette"))
@@ -377,16 +375,26 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
 def diffusion_operator(spark: SparkSession, sf: str) -> DataFrame:
     """Gaussian kernel, degrees to the power -1/2, rows normalised; by row, what can be compared. Two passes over the pairs; a row's weight with itself is 1."""
 
-    def degree(x, y, d, other):
-        return pd.DataFrame({"a": x["vec_id"].to_numpy(), "w": (np.exp(-d * d / 2) * other).sum(axis=1)})
-
-    def row(x, y, d, other):
-        w = np.exp(-d * d / 2) * other / np.sqrt(x["q"].to_numpy()[:, None] * y["q"].to_numpy())
-        return pd.DataFrame({"a": x["vec_id"].to_numpy(), "q": x["q"].to_numpy(), "mw": w.max(axis=1), "w2": (w * w).sum(axis=1), "s": w.sum(axis=1)})
-
-    x = _points(spark, sf)
-    g = geometry.all_pairs(x, degree, "a long, w double").groupBy("a").agg((F.sum("w") + 1).alias("q"))
-    m = geometry.all_pairs(x.join(g.withColumnRenamed("a", "vec_id"), "vec_id"), row, "a long, q double, mw double, w2 double, s double")
+    def weights(d, same):
+        w = np.exp(-d * d / 2)
+        if same:
+            np.fill_diagonal(w, 0)
+        return w
+
+    def degree(x, y, d, same):
+        w = weights(d, same)
+        sums = [(x, w.sum(axis=1))] + [(y, w.sum(axis=0))] * (not same)
+        return pd.concat([pd.DataFrame({"a": r["vec_id"].to_numpy(), "w": s}) for r, s in sums])
+
+    def row(x, y, d, same):
+        w = weights(d, same) / np.sqrt(x["q"].to_numpy()[:, None] * y["q"].to_numpy())
+        sides = [(x, w)] + [(y, w.T)] * (not same)
+        return pd.concat([pd.DataFrame({"a": r["vec_id"].to_numpy(), "q": r["q"].to_numpy(), "mw": m.max(axis=1), "w2": (m * m).sum(axis=1), "s": m.sum(axis=1)}) for r, m in sides])
+
+    index = neighbours.build(_points(spark, sf))
+    pairs = neighbours.near_pairs(index)
+    g = neighbours.over_pairs(index, pairs, degree, "a long, w double").groupBy("a").agg((F.sum("w") + 1).alias("q"))
+    m = neighbours.over_pairs(index, pairs, row, "a long, q double, mw double, w2 double, s double", index.rows.join(g.withColumnRenamed("a", "vec_id"), "vec_id"))
     own = 1 / F.col("q")
     t = m.groupBy("a", "q").agg(F.max("mw").alias("mw"), F.sum("w2").alias("w2"), F.sum("s").alias("s"))
     t = t.select("a", F.greatest("mw", own).alias("mw"), (F.col("w2") + own * own).alias("w2"), (F.col("s") + own).alias("s"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import geometry, gram, inference, kinetics, ranks, training, transitions
+from wayline import storage
+from wayline.operators import density, geometry, gram, inference, kinetics, ranks, sketch, training, transitions
 from wayline.plans import trajectories, views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -136,41 +137,39 @@ def lagged_covariance(spark: SparkSession, sf: str) -> DataFrame:
     return gram.lagged_covariance(views.traj_vec(spark, sf)).select("i", "j", r6(F.col("c")).alias("c"))
 
 
-def _covariances(spark: SparkSession, sf: str) -> tuple[np.ndarray, np.ndarray]:
-    x = views.traj_vec(spark, sf)
-    c0 = kinetics.dense(gram.lagged_covariance(x, 0), "c")[1]
-    return c0, kinetics.dense(gram.lagged_covariance(x, 1), "c")[1]
-
-
 @query()
 def tica_spectrum(spark: SparkSession, sf: str) -> DataFrame:
-    lam, _ = kinetics.tica(*_covariances(spark, sf), n=10)
+    s = sketch.spectrum(views.traj_vec(spark, sf), (1,))
+    lam, _ = kinetics.tica(s.by_lag[0], s.by_lag[1], n=10)
     share = np.cumsum(lam**2) / (lam**2).sum()
     return spark.createDataFrame([(i, float(x), float(s)) for i, (x, s) in enumerate(zip(lam, share, strict=True))], "rank int, eigenvalue double, kinetic_share double")
 
 
 @query()
 def tica_projection(spark: SparkSession, sf: str) -> DataFrame:
-    """Rows on the two slowest components: the basis is a literal of d x 2 numbers."""
-    _, u = kinetics.tica(*_covariances(spark, sf), n=2)
-    return views.traj_vec(spark, sf).select("vec_id", *(v.dot(F.col("vec"), F.array(*map(F.lit, map(float, u[:, k])))).alias(f"t{k}") for k in range(2)))
+    """Rows on the two slowest components: a matrix product a batch."""
+    x = views.traj_vec(spark, sf)
+    s = sketch.spectrum(x, (1,))
+    _, u = kinetics.tica(s.by_lag[0], s.by_lag[1], n=2)
+    y = sketch.projected(x.select("vec_id", "vec"), np.zeros(len(s.mean)), s.basis @ u, "t")
+    return y.select("vec_id", *(F.get("t", F.lit(k)).alias(f"t{k}") for k in range(2)))
 
 
 @query()
 def tica_dimensions(spark: SparkSession, sf: str) -> DataFrame:
     """How many components hold given shares of the kinetic variance."""
-    lam, _ = kinetics.tica(*_covariances(spark, sf))
+    s = sketch.spectrum(views.traj_vec(spark, sf), (1,))
+    lam, _ = kinetics.tica(s.by_lag[0], s.by_lag[1])
     share = np.cumsum(lam**2) / (lam**2).sum()
     return spark.createDataFrame([(t, int(np.searchsorted(share, t) + 1)) for t in (0.5, 0.8, 0.95)], "share double, n int")
 
 
 @query()
 def tica_timescales(spark: SparkSession, sf: str) -> DataFrame:
-    """The slowest five time scales by lag; infinite where an eigenvalue isn't between 0 and 1."""
-    x, out = views.traj_vec(spark, sf), []
-    c0 = kinetics.dense(gram.lagged_covariance(x, 0), "c")[1]
+    """The slowest five time scales by lag, all lags from one pass; infinite where an eigenvalue isn't between 0 and 1."""
+    s, out = sketch.spectrum(views.traj_vec(spark, sf), (1, 2, 5)), []
     for lag in (1, 2, 5):
-        lam, _ = kinetics.tica(c0, kinetics.dense(gram.lagged_covariance(x, lag), "c")[1], n=5)
+        lam, _ = kinetics.tica(s.by_lag[0], s.by_lag[lag], n=5)
         out += [(lag, i, float(-lag / np.log(a)) if 0 < a < 1 else float("inf")) for i, a in enumerate(lam)]
     return spark.createDataFrame(out, "lag int, rank int, timescale double")
 
@@ -225,47 +224,54 @@ def kmeans_vamp_search(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "k int, vamp2 double")
 
 
-#: Rows that density clusters and diffusion maps are fitted on at most; every row gets a result.
+#: Rows that diffusion maps are fitted on at most; every row gets a result.
 FIT_POINTS = 2_000
 
 
 @query()
 def density_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    """Fitted on FIT_POINTS rows at most, and every row assigned."""
-    x = views.traj_vec(spark, sf)
-    return geometry.assigned(x, geometry.density_fit(geometry.sample(x, "vec_id", "vec", FIT_POINTS)[1]))
+    """All rows are fitted."""
+    return density.density_clusters(views.traj_vec(spark, sf))
+
+
+@query()
+def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges of the least spanning tree of mutual reachability. Of trees with equal weights ids decide."""
+    return density.spanning_tree(views.traj_vec(spark, sf), 5).select("lo", "hi", F.round("w", 6).alias("w"))
 
 
 @query()
 def density_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Four settings on ten principal components: clusters found and the share of noise among all rows' assignments."""
+    """Four settings on ten principal components of all rows: clusters found and the share of noise. A tree serves all sizes of clusters."""
     df = views.traj_vec(spark, sf)
-    _, x = geometry.sample(df, "vec_id", "vec", FIT_POINTS)
-    mean, comp = x.mean(axis=0), geometry.principal(kinetics.dense(gram.lagged_covariance(df, 0), "c")[1], 10)[1]
-    reduced = df.select("vec_id", F.array(*(v.dot(v.minus(F.col("vec"), F.array(*map(F.lit, map(float, mean)))), F.array(*map(F.lit, map(float, c)))) for c in comp)).alias("vec"))
-    out = None
-    for size, least in ((5, 2), (5, 5), (10, 5), (20, 5)):
-        fit = geometry.density_fit((x - mean) @ comp.T, size, least)
-        part = geometry.assigned(reduced, fit).agg(F.lit(size).alias("min_size"), F.lit(least).alias("min_samples"), F.lit(len(fit.reach)).alias("clusters"), F.avg((F.col("cluster") < 0).cast("int")).alias("noise"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    s = sketch.spectrum(df)
+    comp = geometry.principal(s.by_lag[0], 10)[1] @ s.basis.T
+    reduced = sketch.projected(df.select("vec_id", "vec"), s.mean, comp.T, "y").select("vec_id", F.col("y").alias("vec"))
+    out = []
+    for least, sizes in ((2, (5,)), (5, (5, 10, 20))):
+        with storage.scratch(spark):
+            tree = density.spanning_tree(reduced, least)
+            for size in sizes:
+                labels, n = density.condensed(tree, reduced.select("vec_id"), size)
+                out.append((size, least, n, labels.agg(F.avg((F.col("cluster") < 0).cast("int"))).first()[0]))
+    return spark.createDataFrame(out, "min_size int, min_samples int, clusters int, noise double")
 
 
 @query()
 def pca_baseline(spark: SparkSession, sf: str) -> DataFrame:
-    """By number of components the share of variance, and R2 of the reconstruction around the mean of all numbers; from one covariance aggregate and the means."""
-    df = views.traj_vec(spark, sf)
-    cov = kinetics.dense(gram.lagged_covariance(df, 0), "c")[1]
-    mean = np.array([r["m"] for r in df.select(F.posexplode("vec").alias("j", "x")).groupBy("j").agg(F.avg("x").alias("m")).orderBy("j").collect()])
-    w, _ = geometry.principal(cov, len(cov))
-    around = (w.sum() + ((mean - mean.mean()) ** 2).sum()) / len(w)
-    return spark.createDataFrame([(k, float(w[:k].sum() / w.sum()), float(1 - w[k:].sum() / len(w) / (around + 1e-8))) for k in (4, 8, 16, 32)], "k int, share double, r2 double")
+    """By number of components the share of variance, and R2 of the reconstruction around the mean of all numbers; from the covariance's leading part, the total variance and the means."""
+    s = sketch.spectrum(views.traj_vec(spark, sf))
+    w, _ = geometry.principal(s.by_lag[0], len(s.by_lag[0]))
+    d = len(s.mean)
+    around = (s.variance + ((s.mean - s.mean.mean()) ** 2).sum()) / d
+    return spark.createDataFrame([(k, float(w[:k].sum() / s.variance), float(1 - (s.variance - w[:k].sum()) / d / (around + 1e-8))) for k in (4, 8, 16, 32)], "k int, share double, r2 double")
 
 
 @query()
 def component_sparsity(spark: SparkSession, sf: str) -> DataFrame:
     """The share of near-zero entries in each of ten fitted principal components."""
-    _, comp = geometry.principal(kinetics.dense(gram.lagged_covariance(views.traj_vec(spark, sf), 0), "c")[1], 10)
+    s = sketch.spectrum(views.traj_vec(spark, sf))
+    comp = geometry.principal(s.by_lag[0], 10)[1] @ s.basis.T
     share = (np.abs(comp) / np.linalg.norm(comp, axis=1, keepdims=True) < 0.01).mean(axis=1)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(share)], "component int, sparsity double")
 

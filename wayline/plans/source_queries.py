@@ -11,7 +11,8 @@ from wayline.operators import boards
 from wayline.plans import views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table, traj_state_sql
-from wayline.sources import records, tables, weights
+from wayline.sources import chunks, records, tables, weights
+from wayline.storage import shared_path
 
 _P = "(move_number * 2 + game_id) % 361"
 _NAME = "'game-' || lpad(CAST(game_id AS VARCHAR), 9, '0')"
@@ -55,7 +56,7 @@ def _with_broken(spark: SparkSession, sf: str) -> DataFrame:
     SELECT filename, CAST(m AS INTEGER) AS move_number FROM k""")
 def record_folder(spark: SparkSession, sf: str) -> DataFrame:
     """Files written and read back: the first 20 by name, those that can't be parsed left out, ten even positions of each (the limits are the operator's)."""
-    path = views.shared_path(spark, "records")
+    path = shared_path(spark, "records")
     records.write_records(_with_broken(spark, sf), path)
     p = records.read_records(spark, path, max_games=20, positions_per_game=10, boards_kept=0).where("error is null")
     return p.select(F.regexp_extract("filename", r"([^/]+)\.sgf$", 1).alias("filename"), "move_number")
@@ -64,7 +65,7 @@ def record_folder(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"SELECT count(DISTINCT game_id) FILTER (game_id % 10 <> 0) AS games, count(DISTINCT game_id) FILTER (game_id % 10 = 0) AS skipped, count(*) FILTER (game_id % 10 <> 0) AS positions FROM ({_MOVES})")
 def position_counters(spark: SparkSession, sf: str) -> DataFrame:
     """A position store made of records: written as parquet, counted from what was written."""
-    path = views.shared_path(spark, "positions")
+    path = shared_path(spark, "positions")
     records.positions_of(_with_broken(spark, sf), boards_kept=0).select("filename", "move_number", "error").write.parquet(path)
     return records.counters(spark.read.parquet(path))
 
@@ -85,40 +86,50 @@ def load_positions(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("filename", "move_number", planes.alias("planes")).select("filename", "move_number", total(0).alias("own"), total(8).alias("other"), total(16).alias("black_to_move"))
 
 
-@query("SELECT batch, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM (SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 512 AS batch FROM events) GROUP BY batch")
+@query(f"SELECT (row_number() OVER (ORDER BY vec_id) - 1) // 128 AS batch, vec_id, round(list_sum(vec), 4) + 0.0 AS total FROM ({TRAJ_VEC_SQL})")
 def batch_load(spark: SparkSession, sf: str) -> DataFrame:
-    """Successive batches of 512 rows in id order."""
-    b = tables.batches(table(spark, sf, "events").select("event_id"), "event_id", 512)
-    return b.groupBy("batch").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    """Successive batches of 128 rows of a folder of chunks, whose row numbers tell a row's batch without a pass over the data."""
+    x = views.traj_vec(spark, sf).select(F.lit("all").alias("layer"), F.col("vec_id").alias("sample_id"), "vec")
+    path = shared_path(spark, "batches")
+    chunks.write_chunks(x, path, 100)
+    b = chunks.batches(chunks.read_chunks(spark, path), 128)
+    return b.select("batch", F.col("sample_id").alias("vec_id"), F.round(v.total(F.col("vec").cast("array<double>")), 4).alias("total"))
 
 
-@query(f"SELECT vec_id AS sample_id, CAST(vec_id // 50 AS BIGINT) AS chunk, round(list_sum(vec), 6) + 0.0 AS total FROM ({TRAJ_VEC_SQL}) WHERE label % 2 = 1 AND vec_id // 50 < 3")
+@query(f"SELECT sample_id, (k - 1) // 50 AS chunk, (k - 1) AS row, total FROM (SELECT vec_id AS sample_id, row_number() OVER (ORDER BY vec_id) AS k, round(list_sum(vec), 4) + 0.0 AS total FROM ({TRAJ_VEC_SQL}) WHERE label % 2 = 1) WHERE k <= 150")
 def activation_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Activations of two layers written by chunk; the first three chunks of one layer read back (a prefix is the operator)."""
-    path = views.shared_path(spark, "activations")
+    """Activations of two layers written in chunks of 50 rows; the first three chunks of one layer read back (a prefix is the operator): no other file is opened."""
+    path = shared_path(spark, "activations")
     x = views.traj_vec(spark, sf).select(F.when(F.col("label") % 2 == 1, "odd").otherwise("even").alias("layer"), F.col("vec_id").alias("sample_id"), "vec")
-    tables.write_activations(x, path, rows_per_chunk=50)
-    back = tables.read_activations(spark, path, "odd", max_chunks=3)
-    return back.select("sample_id", F.col("chunk").cast("long").alias("chunk"), r6(v.total(F.col("vec"))).alias("total"))
+    chunks.write_chunks(x, path, 50)
+    back = chunks.read_chunks(spark, path, ["odd"], rows=(0, 150))
+    return back.select("sample_id", F.expr("row div 50").alias("chunk"), "row", (F.round(v.total(F.col("vec").cast("array<double>")), 4) + 0.0).alias("total"))
 
 
 @query(f"SELECT p.event_id AS position_id, p.user_id AS game_id, g.first, g.last, g.n FROM events p JOIN (SELECT user_id, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM events GROUP BY user_id) g USING (user_id)")
 def metadata_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """Positions and their index of games through parquet and JSON."""
-    path = views.shared_path(spark, "metadata")
+    path = shared_path(spark, "metadata")
     tables.write_metadata(table(spark, sf, "events").select(F.col("event_id").alias("position_id"), F.col("user_id").alias("game_id")), path)
     positions, games = tables.read_metadata(spark, path)
     return positions.join(games, "game_id").select("position_id", "game_id", "first", "last", "n")
 
 
-@query(f"""WITH x AS (SELECT vec_id, 'block' || CAST(label % 4 AS VARCHAR) AS layer, vec[1] AS a FROM ({TRAJ_VEC_SQL})), s AS (SELECT layer, avg(a) AS m, stddev_pop(a) AS d FROM x WHERE layer <> 'block3' GROUP BY layer)
-    SELECT vec_id, layer, round(m, 6) + 0.0 AS mean, round(d, 6) + 0.0 AS std FROM x LEFT JOIN s USING (layer)""")
+_BLOCKS = f"SELECT vec_id, 'block' || CAST(label % 4 AS VARCHAR) AS layer, j, vec[j] AS a FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL}))"
+
+
+@query(f"""WITH x AS ({_BLOCKS}), s AS (SELECT layer, j, avg(a) AS m, stddev_pop(a) AS d FROM x WHERE layer <> 'block3' GROUP BY layer, j)
+    SELECT vec_id, layer, CASE WHEN layer = 'block3' THEN NULL ELSE round(sum((a - m) / (d + 1e-8)), 4) + 0.0 END AS z_total, round(max(m), 6) + 0.0 AS most, round(min(d), 6) + 0.0 AS least_std FROM x LEFT JOIN s USING (layer, j) GROUP BY vec_id, layer""")
 def stats_beside_data(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored side table of moments by layer; a layer without any gets null."""
-    x = views.traj_vec(spark, sf).select("vec_id", F.concat(F.lit("block"), (F.col("label") % 4).cast("string")).alias("layer"), F.get("vec", F.lit(0)).alias("a"))
-    path = views.shared_path(spark, "stats")
-    x.where("layer != 'block3'").groupBy("layer").agg(r6(F.avg("a")).alias("mean"), r6(F.stddev_pop("a")).alias("std")).write.parquet(path)
-    return tables.with_stats(x.drop("a"), spark.read.parquet(path)).select("vec_id", "layer", "mean", "std")
+    """A stored side table of all components' moments by layer, arrays of a row each, beside the rows that it normalises; a layer without any gets null."""
+    x = views.traj_vec(spark, sf).select("vec_id", F.concat(F.lit("block"), (F.col("label") % 4).cast("string")).alias("layer"), "vec")
+    path = shared_path(spark, "stats")
+    by = x.where("layer != 'block3'").select("layer", F.posexplode("vec").alias("j", "a")).groupBy("layer", "j").agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("d"))
+    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("j", c))), lambda s: s[c])
+    by.groupBy("layer").agg(part("m").alias("mean"), part("d").alias("std")).write.parquet(path)
+    y = tables.with_stats(x, spark.read.parquet(path))
+    z = F.zip_with(F.zip_with("vec", "mean", lambda a, m: a - m), "std", lambda a, d: a / (d + 1e-8))
+    return y.select("vec_id", "layer", (F.round(v.total(z), 4) + 0.0).alias("z_total"), r6(F.array_max("mean")).alias("most"), r6(F.array_min("std")).alias("least_std"))
 
 
 _SIZES = weights.line_sizes(blocks=1, filters=2)
@@ -127,7 +138,7 @@ _SIZES = weights.line_sizes(blocks=1, filters=2)
 @query(f"SELECT part, count(*) AS n, round(sum(((l * 31 + i * 17) % 101 - 50) / 101.0), 6) + 0.0 AS total FROM (VALUES {', '.join(f'({k}, {chr(39)}{name}{chr(39)}, {n})' for k, (name, n) in enumerate(_SIZES))}) t(l, part, size), range(300000) r(i) WHERE i < size GROUP BY part")
 def weights_file(spark: SparkSession, sf: str) -> DataFrame:
     """A network's weights through a compressed text file: a version line, then a line of numbers per tensor."""
-    path = views.shared_path(spark, "weights")
+    path = shared_path(spark, "weights")
     weights.write(spark, path, [[((k * 31 + i * 17) % 101 - 50) / 101 for i in range(n)] for k, (_, n) in enumerate(_SIZES)])
     parts = weights.read(spark, path, filters=2)
     rows = [(name, int(x.size), float(round(x.sum(), 6))) for name, x in parts.items()]

@@ -62,13 +62,13 @@ def array_overlap(spark: SparkSession, sf: str) -> DataFrame:
 _CONCEPT = {"low": "label < 5", "even": "label % 2 = 0", "absent": "label > 100"}
 
 
-@query(" UNION ALL ".join(f"SELECT '{c}' AS concept, 'b' || CAST(j // 16 AS VARCHAR) AS layer, round(max(auc), 6) + 0.0 AS auc FROM ({_auc_sql(e, 'j', _ALLV)}) WHERE j < 48 GROUP BY j // 16 UNION ALL SELECT '{c}', 'b9', 0.5" for c, e in _CONCEPT.items()))
+@query(" UNION ALL ".join(f"SELECT '{c}' AS concept, 'b' || CAST(j // 16 AS VARCHAR) AS layer, round(max(auc), 6) + 0.0 AS auc FROM ({_auc_sql(e, 'j', _ALLV)}) GROUP BY j // 16 UNION ALL SELECT '{c}', 'b9', 0.5" for c, e in _CONCEPT.items()))
 def auc_matrix(spark: SparkSession, sf: str) -> DataFrame:
     """The best AUC of a layer's components (16 each) by concept, as a matrix with 0.5 where nothing was measured (layer b9), read back as rows."""
     concepts = F.array(*(F.struct(F.lit(c).alias("concept"), F.expr(e).cast("int").alias("label")) for c, e in _CONCEPT.items()))
-    x = views.traj_vec(spark, sf).select(concepts.alias("c"), F.posexplode(F.slice("vec", 1, 48)).alias("j", "score")).select(F.explode("c").alias("c"), "j", "score")
+    x = views.traj_vec(spark, sf).select(concepts.alias("c"), F.posexplode("vec").alias("j", "score")).select(F.explode("c").alias("c"), "j", "score")
     a = inference.auc(x.select("c.concept", "c.label", "j", "score"), ["concept", "j"]).withColumn("layer", F.concat(F.lit("b"), F.expr("j div 16").cast("string")))
-    layers = ["b0", "b1", "b2", "b9"]
+    layers = ["b0", "b1", "b2", "b3", "b9"]
     p = a.groupBy("concept").pivot("layer", layers).agg(F.max("auc")).fillna(0.5)
     return p.unpivot("concept", layers, "layer", "auc").withColumn("auc", r6(F.col("auc")))
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
-from wayline.operators import intervals, kinetics, transitions, windows
+from wayline.operators import intervals, kinetics, ranks, transitions, windows
 from wayline.plans import views
 from wayline.plans.board_queries import BOARDS_SQL, stones
 from wayline.plans.registry import query
 from wayline.plans.views import OUTCOMES_SQL, TRAJ_VEC_SQL, table, traj_state_sql
+from wayline.sources import chunks
+from wayline.storage import shared_path
 
 TS, TN = traj_state_sql(), traj_state_sql(True)
 _PAIRS = f"SELECT game_id, i, j FROM (SELECT game_id, state AS i, lead(state, 1) OVER (PARTITION BY game_id ORDER BY move_number) AS j FROM ({TN})) WHERE j IS NOT NULL"
@@ -195,15 +197,23 @@ def game_trajectory(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.expr("vec_id div 100").alias("game_id"), F.expr("cast(vec_id % 100 as int)").alias("move_number"), "label").orderBy("move_number")
 
 
-@query(f"""WITH s AS (SELECT avg(vec[1]) AS m, stddev_samp(vec[1]) AS d FROM ({TRAJ_VEC_SQL})) SELECT vec_id, round((vec[1] - m) / (d + 1e-8), 6) + 0.0 AS z, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || 'e1'), vec_id) AS place
-    FROM ({TRAJ_VEC_SQL}), s WHERE vec_id >= 100 AND vec_id < 300 AND vec_id % 7 IN (0, 3)""")
+_EPOCH = "CAST('0x' || substr(md5(CAST(vec_id AS VARCHAR) || 'e1'), 1, 13) AS BIGINT)"
+
+
+@query(f"""WITH x AS (SELECT vec_id, j, vec[j] AS v FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL}))), s AS (SELECT j, avg(v) AS m, stddev_samp(v) AS d FROM x GROUP BY j),
+    p AS (SELECT vec_id, row_number() OVER (ORDER BY {_EPOCH}, vec_id) - 1 AS place FROM (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row FROM embeddings) WHERE row >= 100 AND row < 300 AND row % 7 IN (0, 3))
+    SELECT vec_id, place, CAST(j - 1 AS INTEGER) AS feature, round((v - m) / (d + 1e-8), 5) + 0.0 AS z FROM x JOIN s USING (j) JOIN p USING (vec_id)""")
 def indexed_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Chosen rows of two chunks, normalised by the whole table's moments, in the order of an epoch that a seed fixes. The id range reaches the scan; ranks are of the chosen rows."""
-    x = views.traj_vec(spark, sf).select("vec_id", F.get("vec", F.lit(0)).alias("v"))
-    m = x.agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("d"))
-    some = x.where("vec_id >= 100 and vec_id < 300 and vec_id % 7 in (0, 3)").crossJoin(F.broadcast(m))
-    order = Window.orderBy(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("e1"))), "vec_id")
-    return some.select("vec_id", r6((F.col("v") - F.col("m")) / (F.col("d") + 1e-8)).alias("z"), F.row_number().over(order).cast("long").alias("place"))
+    """Chosen rows of a folder of chunks, all features normalised by the whole table's moments, in the order of an epoch that a seed fixes. The range of rows reaches the files; ranks are of the chosen rows, by buckets."""
+    path = shared_path(spark, "scan")
+    chunks.write_chunks(views.traj_vec(spark, sf).select(F.lit("all").alias("layer"), F.col("vec_id").alias("sample_id"), "vec"), path, 100)
+    x = chunks.read_chunks(spark, path)
+    m = x.select(F.posexplode("vec").alias("feature", "v")).groupBy("feature").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("d"))
+    some = chunks.read_chunks(spark, path, rows=(100, 300)).where("row % 7 in (0, 3)").select(F.col("sample_id").alias("vec_id"), "vec")
+    some = some.withColumn("h", F.conv(F.substring(F.md5(F.concat(F.col("vec_id").cast("string"), F.lit("e1"))), 1, 13), 16, 10).cast("long"))
+    placed = ranks.running(some, "h", F.lit(1), "place", ties=["vec_id"]).withColumn("place", F.coalesce("place", F.lit(0)).cast("long"))
+    y = placed.select("vec_id", "place", F.posexplode("vec").alias("feature", "v")).join(m, "feature")
+    return y.select("vec_id", "place", "feature", (F.round((F.col("v") - F.col("m")) / (F.col("d") + 1e-8), 5) + 0.0).alias("z"))
 
 
 @query(f"SELECT label, CAST(j - 1 AS INTEGER) AS j, count(*) AS n, round(avg(vec[j]), 6) + 0.0 AS mean FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL})) GROUP BY label, j")

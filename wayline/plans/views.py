@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayline.operators import ranks
+from wayline.storage import shared_path as shared_path
 
 #: Event types in alphabetical order are the states 0..4 (fixed values).
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
@@ -56,16 +54,6 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("user_id", F.concat(F.lit("game-"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("filename"), F.concat(head, "moves", F.lit(")")).alias("value"))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share; where the session names none, a temporary one, if all run on one machine."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = f"file://{tempfile.gettempdir()}"
-    return f"{base.rstrip('/')}/wayline-{name}-{uuid.uuid4().hex}"
-
-
 def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game_id, outcome, outcome_code): whether a user's purchases are above the median user's."""
     e = table(spark, sf_dir, "events")
