@@ -35,7 +35,8 @@ def numbered(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, whatever others share that id; a row without id only if all are."""
     docs = numbered(docs)
-    near = near_dup.near_duplicates(docs, id_col="_row", k=5, percent=80)
+    # stored, as it is read twice and its plan is a large one
+    near = common.stored(near_dup.near_duplicates(docs, id_col="_row", k=5, percent=80).select("_row", "component_id", "kept"), "near")
     members = near.join(near.where("not kept").select("component_id").distinct(), "component_id", "left_semi")
     members = common.stored(members.select("_row", "component_id").join(docs.select("_row", "doc_id"), "_row"), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
