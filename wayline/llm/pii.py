@@ -20,20 +20,26 @@ from pyspark.sql import functions as F
 
 from wayline.llm import common
 
-# Titles by gender, names by gender and script.
+# Titles by gender.
 _TITLES = {
     "m": ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Г-н", "Господин", "Κύριος"],
     "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Г-жа", "Госпожа", "Κυρία"],
     "n": ["Dr", "Prof", "Mx"],
 }
-_NAMES = {
-    ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Noel", "Oscar", "Paul"],
-    ("f", "latin"): ["Anna", "Berta", "Clara", "Diana", "Emma", "Frida", "Greta", "Helen", "Irene", "Julia", "Karla", "Laura", "Maria", "Nora", "Olga", "Paula"],
-    ("n", "latin"): ["Alex", "Billie", "Charlie", "Dana", "Eden", "Francis", "Gale", "Harper", "Indigo", "Jules", "Kim", "Lee", "Morgan", "Noa", "Ollie", "Robin"],
-    ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Захар", "Иван", "Кирилл", "Лев", "Максим", "Никита", "Олег", "Павел", "Роман", "Сергей"],
-    ("f", "cyrillic"): ["Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Зоя", "Ирина", "Ксения", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья"],
-    ("m", "greek"): ["Αλέξης", "Βασίλης", "Γιώργος", "Δημήτρης", "Ηλίας", "Θωμάς", "Ιάσων", "Κώστας", "Λουκάς", "Μάριος", "Νίκος", "Ορέστης", "Πέτρος", "Σπύρος", "Τάσος", "Φίλιππος"],
-    ("f", "greek"): ["Άννα", "Βάσω", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Ηρώ", "Θάλεια", "Ιωάννα", "Κατερίνα", "Λένα", "Μαρία", "Νίκη", "Όλγα", "Πηνελόπη", "Σοφία"],
+# Beginnings, middles by script, and endings that given names are put together from, by gender and script.
+_GIVEN_MIDDLES = {
+    "latin": ["ra", "le", "ni", "do", "ma", "re", "li", "no", "sa", "ve", "ti", "lo"],
+    "cyrillic": ["ра", "ле", "ни", "до", "ма", "ре", "ли", "но", "са", "ве", "ти", "ло"],
+    "greek": ["ρα", "λε", "νι", "δο", "μα", "ρε", "λι", "νο", "σα", "βε", "τι", "λο"],
+}
+_GIVEN = {
+    ("m", "latin"): (["Al", "Ber", "Cor", "Dar", "Ed", "Far", "Gal", "Hel", "Is", "Jor", "Kel", "Lor", "Mar", "Nor", "Os", "Per"], ["n", "s", "rd", "k", "l", "us"]),
+    ("f", "latin"): (["Al", "Ber", "Cor", "Dar", "El", "Fer", "Gal", "Hel", "Is", "Jor", "Kel", "Lor", "Mar", "Nor", "Ol", "Per"], ["na", "lia", "ra", "ssa", "tta", "ya"]),
+    ("n", "latin"): (["Al", "Ber", "Cor", "Dar", "Ed", "Far", "Gal", "Hel", "Is", "Jor", "Kel", "Lor", "Mar", "Nor", "Os", "Per"], ["ly", "ni", "rey", "sy", "ttie", "bie"]),
+    ("m", "cyrillic"): (["Ал", "Бер", "Вал", "Гер", "Дар", "Ел", "Зах", "Иг", "Кор", "Лав", "Мар", "Ник", "Ол", "Пет", "Род", "Сер"], ["н", "р", "й", "слав", "мир", "к"]),
+    ("f", "cyrillic"): (["Ал", "Бер", "Вал", "Гер", "Дар", "Ел", "Зар", "Ир", "Кор", "Лар", "Мар", "Ник", "Ол", "Пол", "Род", "Сер"], ["на", "ра", "слава", "мира", "лья", "ка"]),
+    ("m", "greek"): (["Αλ", "Βασ", "Γερ", "Δαρ", "Ευ", "Ζαχ", "Ηλ", "Θεο", "Ιο", "Κορ", "Λευ", "Μαρ", "Νικ", "Ορ", "Πετ", "Σερ"], ["νος", "ρης", "λος", "κης", "τος", "ας"]),
+    ("f", "greek"): (["Αλ", "Βασ", "Γερ", "Δαρ", "Ευ", "Ζαχ", "Ηλ", "Θεο", "Ιο", "Κορ", "Λευ", "Μαρ", "Νικ", "Ορ", "Πετ", "Σερ"], ["να", "ρα", "λια", "κη", "τη", "σα"]),
 }
 # Beginnings, middles and endings that surnames are put together from, by script; of the last two endings by gender.
 _SURNAMES = {
@@ -104,8 +110,12 @@ def _by_script(value: Column, make: dict[str, Column]) -> Column:
 
 
 def _given(value: Column, gender: Column, digest: Column, attempt: int) -> Column:
-    """Given names of the same gender and script, one more joined by a hyphen for each draw."""
-    names = lambda g, script: F.concat_ws("-", *(_pick(digest, 7 + 3 * j, _NAMES[g, script][j % 2 :: 2] if attempt else _NAMES[g, script]) for j in range(1 + attempt)))
+    """A given name of the same gender and script, one middle part more for each draw."""
+
+    def names(g: str, script: str) -> Column:
+        first, last = _GIVEN[g, script]
+        return F.concat(_pick(digest, 4, first), *(_pick(digest, 7 + 3 * j, _GIVEN_MIDDLES[script]) for j in range(2 + attempt)), _pick(digest, 29, last))
+
     female = (gender == "f") | ((gender == "n") & value.rlike("[аяαηωάή]$"))
     latin = F.when(gender == "m", names("m", "latin")).when(gender == "f", names("f", "latin")).otherwise(names("n", "latin"))
     return _by_script(value, {"latin": latin, **{s: F.when(female, names("f", s)).otherwise(names("m", s)) for s in ("cyrillic", "greek")}})
@@ -155,7 +165,7 @@ def surrogate(kind: Column, gender: Column, value: Column, attempt: int, key: st
     account = lambda check: F.concat(F.substring(value, 1, 2), check, F.substring(lettered, F.lit(5), F.length(value)))
     iban = F.when(_mod97(value) == 1, account(F.lpad((98 - _mod97(account(F.lit("00")))).cast("string"), 2, "0"))).otherwise(account(F.substring(lettered, 3, 2)))
     shout = lambda name: F.when((F.length(value) > 1) & (F.upper(value) == value), F.upper(name)).otherwise(name)
-    made = {"email": email, "ipv4": _address(value, digest), "secret": secret, "card": card, "phone": phone, "iban": iban, "given": shout(_given(value, gender, digest, min(attempt, 8))), "surname": shout(_surname(value, digest, min(attempt, 4))), "initial": _letterwise(value, digest, _ALPHABETS)}
+    made = {"email": email, "ipv4": _address(value, digest), "secret": secret, "card": card, "phone": phone, "iban": iban, "given": shout(_given(value, gender, digest, min(attempt, 4))), "surname": shout(_surname(value, digest, min(attempt, 4))), "initial": _letterwise(value, digest, _ALPHABETS)}
     out = reduce(lambda c, k: c.when(kind == k, made[k]), made, F.when(F.lit(False), value)).otherwise(digits)
     return F.concat(out, F.lit("-"), F.conv(F.substring(digest, 1, min(15, attempt - DRAWS + 4)), 16, 10)) if attempt >= DRAWS else out
 
