@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from wayline.llm import common
 
-#: Benchmark bytes that one search broadcasts; a larger benchmark is searched in several rounds.
-BENCHMARK_BYTES = 32_000_000
+#: Benchmark bytes that one search takes, about 1,200,000 windows and 200 MB on the driver; a larger benchmark is searched in several rounds.
+BENCHMARK_BYTES = 8_000_000
 
 _INDEX = "ids array<{kind}>, bounds binary, terms binary, firsts binary, words binary, postings binary, block string"
 
@@ -87,7 +87,9 @@ class Vocabulary:
         h = common.span_hashes(data, starts, ends)
         order = np.argsort(h, kind="stable")
         self.data, self.starts, self.sizes, self.hashes = data, starts[order], (ends - starts)[order], h[order]
-        self.number = {words[j]: i for i, j in enumerate(order.tolist())}
+        #: of each word, its place here
+        self.rank = np.empty(len(words), np.int64)
+        self.rank[order] = np.arange(len(words))
 
 
 class Dictionary:
@@ -120,32 +122,36 @@ class Dictionary:
 
 
 class Windows:
-    """The distinct word windows of some benchmark items, and the items of each."""
+    """The distinct word windows of some benchmark items, and the items of each: arrays of numbers, no object per window."""
 
     def __init__(self, items: list[tuple[str, str]], width: int):
         self.names = [i for i, _ in items]
-        number: dict[bytes, int] = {}
-        seen: dict[tuple[int, ...], int] = {}
-        owners: list[set[int]] = []
-        for block in common.blocks(pa.array([t or "" for _, t in items], pa.large_string())):
-            starts, ends, first = common.words(block, common.ALNUM)
-            low = common.LOWER[block.data].tobytes()
-            w = [number.setdefault(low[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            for r, item in enumerate(block.rows.tolist()):
-                own = w[first[r] : first[r + 1]]
-                for at in range(max(1, len(own) - width + 1) if own else 0):
-                    place = seen.setdefault(tuple(own[at : at + width]), len(seen))
-                    if place == len(owners):
-                        owners.append(set())
-                    owners[place].add(item)
-        self.vocabulary = Vocabulary(list(number))
-        ours = np.array([self.vocabulary.number[x] for x in number], np.int64)
-        self.size = np.array([len(r) for r in seen], np.int64)
-        self.terms = np.full((len(seen), width), -1, np.int64)
-        for i, r in enumerate(seen):
-            self.terms[i, : len(r)] = ours[list(r)]
-        self.owner_first = np.concatenate([[0], np.cumsum([len(o) for o in owners])]).astype(np.int64)
-        self.owners = np.array([x for o in owners for x in sorted(o)], np.int64)
+        texts = pa.array([t or "" for _, t in items], pa.large_string())
+        block = next(common.blocks(texts, 2**62), common.Block(np.zeros(0, int), np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+        starts, ends, first = common.words(block, common.ALNUM)
+        code, distinct = common.word_codes(block, starts, ends)
+        self.vocabulary = Vocabulary([w.as_py().encode() for w in distinct])
+        code = self.vocabulary.rank[code]
+        counts = np.diff(first)
+        n = np.where(counts > 0, np.maximum(counts - width + 1, 1), 0)
+        owner = np.repeat(np.arange(len(counts)), n)
+        start = first[owner] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(counts[owner], width)
+        # one number for equal windows: pairs of numbers are numbered, word after word (0 is no word)
+        number = np.zeros(len(owner), np.int64)
+        for j in range(width):
+            at = np.minimum(start + j, max(len(code) - 1, 0))
+            word = np.where(j < size, code[at] + 1, 0)
+            number = pa.array(number * (len(distinct) + 1) + word).dictionary_encode().indices.to_numpy().astype(np.int64)
+        _, lead = np.unique(number, return_index=True)
+        self.size = size[lead]
+        self.terms = np.full((len(lead), width), -1, np.int32)
+        for j in range(width):
+            inside = np.flatnonzero(j < self.size)
+            self.terms[inside, j] = code[start[lead[inside]] + j]
+        pairs = np.unique(number * max(len(counts), 1) + owner)
+        self.owner_first = np.searchsorted(pairs, np.arange(len(lead) + 1) * max(len(counts), 1))
+        self.owners = pairs % max(len(counts), 1)
 
 
 def _gather(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -181,7 +187,7 @@ def phrase_hits(w: Windows, d: Dictionary) -> tuple[np.ndarray, np.ndarray]:
             break
         offset = order[place, step]
         inside = offset < w.size[window]
-        wanted = w.terms[window, np.minimum(offset, w.size[window] - 1)] * end + start + offset
+        wanted = w.terms[window, np.minimum(offset, w.size[window] - 1)].astype(np.int64) * end + start + offset
         at = np.minimum(np.searchsorted(joined, wanted), len(joined) - 1)
         same = ~inside | (joined[at] == wanted)
         window, place, start = window[same], place[same], start[same]
