@@ -2,6 +2,7 @@ import math
 import random
 from collections import Counter
 from fractions import Fraction
+from itertools import islice
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,18 +14,14 @@ def test_pfair_deviation():
     random.seed(0)
     for _ in range(300):
         w = {str(i): random.randint(1, 60) for i in range(random.randint(1, 9))}
-        order = mixing.pfair_period(w)
+        names = sorted(w)
+        order = [names[i] for i in islice(mixing.pfair_slots([w[s] for s in names]), sum(w.values()))]
         assert Counter(order) == Counter(w) and mixing.max_deviation(order, w) < 1
 
 
-def test_whole_weights():
-    assert mixing.whole_weights({"a": 1, "b": 1, "c": 0, "d": None}, 10) == {"a": 5, "b": 5}
-    assert sum(mixing.whole_weights({str(i): i + 1 for i in range(7)}, 100).values()) == 100
-
-
 def test_order(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, None).otherwise(F.concat(F.lit("s"), (F.col("id") % 5).cast("string"))).alias("source"), F.lit(1).alias("mix_row"))
-    out = mixing.mix_sources(df, {"s1": 3, "s2": 1, "": 2}, block_rows=10, period=60).collect()
+    out = mixing.mix_sources(df, {"s1": 3, "s2": 1, "": 2}, block_rows=10).collect()
     assert len(out) == 3000 and len({r.mix_position for r in out}) == 3000
     exact = sorted((r for r in out if r.mix_exact), key=lambda r: r.mix_position)
     assert [r.mix_position for r in exact] == list(range(len(exact))) and exact
@@ -60,7 +57,9 @@ def test_long_mixture_keeps_exact_targets(spark):
     assert len({r.mix_position for r in rows}) == 30_000
 
 
-def test_many_sources(spark):
+@pytest.mark.parametrize("most", [100_000, 10])
+def test_many_sources(spark, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     # 1,500 sources of 4 rows: all of them have a share
     df = spark.range(6_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 1500).cast("string")).alias("source"))
     rows = mixing.mix_sources(df, block_rows=2).collect()
