@@ -275,7 +275,7 @@ def test_controls_and_tests(spark):
     rng = np.random.default_rng(0)
     null = [np.corrcoef(n, rng.permutation(y))[0, 1] for _ in range(4000)]
     r = run(spark, "permutation_pvalue")[0]
-    assert r["observed"] == pytest.approx(seen) and r["n"] == 200 and r["p_value"] == pytest.approx(np.mean(np.abs(null) >= abs(seen)), abs=0.12)
+    assert r["observed"] == pytest.approx(seen) and r["n"] == 1000 and r["p_value"] == pytest.approx(np.mean(np.abs(null) >= abs(seen)), abs=0.12)
     rows = duckdb.execute(f"select n_chars, quality from '{SF}/documents.parquet' join '{SF}/labels.parquet' using (doc_id)").fetchall()
     score, y = np.array(rows, float).T
     boot = [plain_auc(score[k], y[k]) for k in (rng.integers(0, len(y), len(y)) for _ in range(300)) if 0 < y[k].sum() < len(y)]
@@ -303,6 +303,8 @@ def test_elbow_by_gradient():
     # sizes of slopes count: 4, 2, -0.4 and 0.2 of the largest, so the last is the first below a tenth
     assert kinetics.elbow(k, score, "gradient") == 3
     assert kinetics.elbow(k, np.array([0, 1.0, 0.2, 0.1, 0.09]), "gradient") == 3
+    # a straight line has no low gradient: the last but one
+    assert kinetics.elbow(np.arange(2.0, 6.0), np.arange(4.0), "gradient") == 2
 
 
 def test_metastable_is_by_sign(spark, matrix):

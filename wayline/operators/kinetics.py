@@ -216,7 +216,7 @@ def coarse(p: np.ndarray, pi: np.ndarray, member: np.ndarray) -> np.ndarray:
 
 
 def elbow(k: np.ndarray, score: np.ndarray, method: str = "distance") -> int:
-    """Index of saturation of a score over k: farthest from the chord, first gradient below a tenth of the largest, or strongest bend; under 3 points the best score."""
+    """Index of saturation of a score over k: farthest from the chord, first gradient below a tenth of the largest (the last but one, if none is), or strongest bend; under 3 points the best score."""
     if len(k) < 3:
         return int(np.argmax(score))
     x = (k - k.min()) / max(k.max() - k.min(), 1e-12)
@@ -226,7 +226,7 @@ def elbow(k: np.ndarray, score: np.ndarray, method: str = "distance") -> int:
     g = np.diff(y) / np.diff(x)
     if method == "gradient":
         low = np.flatnonzero(np.abs(g) < 0.1 * np.abs(g).max())
-        return int(low[0]) if len(low) else len(k) - 1
+        return int(low[0]) if len(low) else len(k) - 2
     return int(np.argmin(np.diff(g))) + 1
 
 

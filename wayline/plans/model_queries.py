@@ -371,16 +371,18 @@ def linear_probe(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def label_shuffle_control(spark: SparkSession, sf: str) -> DataFrame:
-    """AUC of a component against shuffled labels, five times, and whether all are near one half."""
-    x = views.traj_vec(spark, sf).select("vec_id", (F.col("label") < 5).cast("int").alias("label"), F.get("vec", 0).alias("score"))
-    runs = x.crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run")))
-    a = inference.auc(inference.shuffled(runs, "vec_id", "label", ["run"], F.col("run")), ["run"])
-    return a.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), F.bool_and(F.abs(F.col("auc") - 0.5) <= 0.05).alias("passed"), F.count("*").alias("n"))
+    """AUC of every component against labels shuffled five times, and whether all are near one half."""
+    x = views.traj_vec(spark, sf)
+    runs = x.select("vec_id", (F.col("label") < 5).cast("int").alias("label")).crossJoin(F.broadcast(spark.range(5).withColumnRenamed("id", "run")))
+    dealt = inference.shuffled(runs, "vec_id", "label", ["run"], F.col("run"))
+    y = dealt.join(x.select("vec_id", "vec"), "vec_id").select("run", "label", F.posexplode("vec").alias("j", "score"))
+    a = inference.auc(y, ["run", "j"])
+    return a.agg(F.avg("auc").alias("mean"), F.stddev_pop("auc").alias("std"), (F.abs(F.avg("auc") - 0.5) <= 0.05).alias("passed"), F.count("*").alias("n"))
 
 
 @query()
 def permutation_pvalue(spark: SparkSession, sf: str) -> DataFrame:
-    """Events per user against outcome, 200 permutations of the table of users."""
+    """Events per user against outcome, 1,000 permutations of all users."""
     n = table(spark, sf, "events").groupBy(F.col("user_id").alias("game_id")).agg(F.count("*").cast("double").alias("score"))
     games = n.join(views.outcomes(spark, sf).select("game_id", F.col("outcome").cast("double").alias("outcome")), "game_id")
     return inference.permutation_pvalue(games)
@@ -389,7 +391,7 @@ def permutation_pvalue(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def bootstrap_auc(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    return inference.bootstrap_auc(d.select("doc_id", F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("label")), "doc_id", 50)
+    return inference.bootstrap_auc(d.select("doc_id", F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("label")), "doc_id", 100)
 
 
 @query("""SELECT round((sum(CASE WHEN quality = 1 THEN ar ELSE 0 END) - p * (p + 1) / 2) / (p * (n - p)), 6) AS auc FROM (SELECT quality, rank() OVER (ORDER BY n_chars) + (count(*) OVER (PARTITION BY n_chars) - 1) / 2 AS ar, count(*) OVER () AS n, sum(quality) OVER () AS p FROM documents JOIN labels USING (doc_id)) GROUP BY n, p""")

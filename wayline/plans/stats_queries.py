@@ -171,9 +171,9 @@ def intersect_games(spark: SparkSession, sf: str) -> DataFrame:
     return e.where("event_type = 'purchase'").select(F.col("user_id").alias("id")).intersect(e.where("event_type = 'error'").select("user_id"))
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def except_ids(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf, "orders").select("o_custkey"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT origin, count(*) AS n, CAST(sum(key) AS BIGINT) AS total FROM (SELECT 'customer' AS origin, c_custkey AS key FROM customer UNION ALL SELECT 'supplier', s_suppkey FROM supplier) GROUP BY origin")

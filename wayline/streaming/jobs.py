@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from wayline import storage
+
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -37,32 +39,66 @@ def running_moments(df: DataFrame) -> DataFrame:
     return df.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
 
 
-def stream_transitions(df: DataFrame) -> DataFrame:
-    """(user_id, i, j) of successive event types of each user of a stream (user_id, at, event_id, event_type). The state is a user's last event, so transitions go across batches; events that come behind a later one are left out. Needs the RocksDB state store (rocksdb). The processor is a class of this call, so that workers get it whole, without the package."""
+def stream_transitions(df: DataFrame, late: str = "1 hour", keep_ms: int = 400 * 24 * 3_600_000) -> DataFrame:
+    """(user_id, i, j, late) of a stream (user_id, at, event_id, event_type): successive event types of each user, in the order of event time, and a row with late = 1 for each event that came behind the watermark, which takes part in nothing.
 
-    class LastType(StatefulProcessor):
-        """Keeps each user's last event; a row that isn't later than it has come too late and is left out."""
+    The watermark is late behind the latest event. Events wait in the state until it passes them, woken by an event-time timer
+    at the earliest of them, so events that are out of order within late give the transitions of the ordered table, across
+    batches as well. Events keep_ms or more apart make no transition, and a user whose last event is keep_ms behind the
+    watermark is forgotten: the state holds what waits, and one event of each user that is not forgotten. Needs the RocksDB state store (rocksdb). The processor is a class of
+    this call, so that workers get it whole, without the package.
+    """
 
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.last = handle.getValueState("last", "at timestamp, event_id long, event_type string")
+    class Ordered(StatefulProcessor):
+        """Keeps each user's waiting events, and the last one passed on."""
 
-        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
-            x = pd.concat(list(rows)).sort_values(["at", "event_id"])
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "ms long, event_id long, event_type string")
+            self.waiting = handle.getListState("waiting", "ms long, event_id long, event_type string")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N803
+            mark = timerValues.getCurrentWatermarkInMs()
+            x = pd.concat(list(rows))
+            ms = [int(t.value // 1_000_000) for t in x["at"]]
+            came = sorted(zip(ms, (int(i) for i in x["event_id"]), x["event_type"], strict=True))
+            fresh = [r for r in came if r[0] > mark]
+            if fresh:
+                self.waiting.appendList(fresh)
+                self.handle.registerTimer(fresh[0][0])
+            if len(fresh) < len(came):
+                n = len(came) - len(fresh)
+                yield pd.DataFrame({"user_id": [key[0]] * n, "i": [None] * n, "j": [None] * n, "late": [1] * n})
+
+        def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N803
+            mark = timerValues.getCurrentWatermarkInMs()
+            held = sorted((int(r[0]), int(r[1]), r[2]) for r in self.waiting.get()) if self.waiting.exists() else []
+            ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
             old = self.last.get() if self.last.exists() else None
-            if old is not None:
-                x = x[(x["at"] > old[0]) | ((x["at"] == old[0]) & (x["event_id"] > old[1]))]
-            if len(x):
-                types = ([old[2]] if old is not None else []) + x["event_type"].tolist()
-                end = x.iloc[-1]
-                self.last.update((end["at"].to_pydatetime(), int(end["event_id"]), end["event_type"]))
-                if len(types) > 1:
-                    yield pd.DataFrame({"user_id": [key[0]] * (len(types) - 1), "i": types[:-1], "j": types[1:]})
+            if ready:
+                line = ([old] if old is not None else []) + ready
+                pairs = [(a[2], b[2]) for a, b in zip(line, line[1:], strict=False) if b[0] - int(a[0]) < keep_ms]
+                old = ready[-1]
+                self.last.update(old)
+                if rest:
+                    self.waiting.put(rest)
+                else:
+                    self.waiting.clear()
+                if pairs:
+                    yield pd.DataFrame({"user_id": [key[0]] * len(pairs), "i": [a for a, _ in pairs], "j": [b for _, b in pairs], "late": [0] * len(pairs)})
+            if rest:
+                self.handle.registerTimer(rest[0][0])
+            elif old is not None:
+                if int(old[0]) + keep_ms <= mark:
+                    self.last.clear()
+                else:
+                    self.handle.registerTimer(int(old[0]) + keep_ms)
 
         def close(self) -> None:
             pass
 
-    x = df.select("user_id", "at", "event_id", "event_type")
-    return x.groupBy("user_id").transformWithStateInPandas(LastType(), "user_id long, i string, j string", "Append", "None")
+    x = df.select("user_id", "at", "event_id", "event_type").withWatermark("at", late)
+    return x.groupBy("user_id").transformWithStateInPandas(Ordered(), "user_id long, i string, j string, late int", "Append", "EventTime")
 
 
 def rocksdb(spark: SparkSession) -> None:
@@ -70,6 +106,51 @@ def rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
+def merged_moments(stream: DataFrame, path: str, key: str = "event_type", value: str = "value") -> DataFrame:
+    """Run a stream over what there is into a table of running moments below path, and read it: (key, n, mean, m2), m2 the sum of squared deviations.
+
+    Each batch writes a version of the table under its number, from the latest version before and the batch's own moments. A
+    batch that is run again writes the same version from the same ones, so nothing counts twice. Versions but the last
+    two go.
+    """
+    spark = stream.sparkSession
+
+    def versions() -> list[int]:
+        jvm = spark.sparkContext._jvm
+        base = jvm.org.apache.hadoop.fs.Path(f"{path}/versions")
+        fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(base)] if fs.exists(base) else []
+        return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/versions/{n}/_SUCCESS")))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        x = moments_of(batch, key, value)
+        before = [v for v in versions() if v < number]
+        if before:
+            x = spark.read.schema(x.schema).parquet(f"{path}/versions/{before[-1]}").unionByName(x)
+        merged(x, key).write.mode("overwrite").parquet(f"{path}/versions/{number}")
+        for v in before[:-1]:
+            storage.remove(spark, f"{path}/versions/{v}")
+
+    q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    done = versions()
+    if not done:
+        return moments_of(spark.createDataFrame([], stream.schema), key, value)
+    return spark.read.parquet(f"{path}/versions/{done[-1]}")
+
+
+def moments_of(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, n, mean, m2) of value; nulls don't count."""
+    return df.where(F.col(value).isNotNull()).groupBy(key).agg(F.count(value).alias("n"), F.avg(value).cast("double").alias("mean"), (F.var_pop(value) * F.count(value)).alias("m2"))
+
+
+def merged(parts: DataFrame, key: str) -> DataFrame:
+    """One row of moments a key, of several: deviations of the parts' means from the common one are added."""
+    t = parts.groupBy(key).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("within"), F.collect_list(F.struct("n", "mean")).alias("parts"))
+    between = F.aggregate("parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+    return t.select(key, "n", "mean", (F.col("within") + between).alias("m2"))
+
+
 def written(stream: DataFrame, path: str) -> DataFrame:
     """Run a stream over what there is into parquet files below path, with its checkpoint beside them, and read them."""
     q = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
