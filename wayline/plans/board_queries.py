@@ -34,11 +34,14 @@ _STONES = "WITH RECURSIVE " + _REGION.format(grid=BOARDS_SQL, where="true") + ""
     """.format(grid=_GRID)
 
 
-@query("SELECT CAST(r * 19 + c AS INTEGER) AS point, r = 0 OR c = 0 OR r = 18 OR c = 18 AS is_edge, (r < 4 OR r > 14) AND (c < 4 OR c > 14) AS is_corner, abs(r - 9) <= 2 AND abs(c - 9) <= 2 AS is_centre, r IN (3, 9, 15) AND c IN (3, 9, 15) AS is_star FROM range(19) x(r), range(19) y(c)")
+_PLACES = {"is_edge": "r = 0 OR c = 0 OR r = 18 OR c = 18", "is_corner": "(r < 4 OR r > 14) AND (c < 4 OR c > 14)", "is_centre": "abs(r - 9) <= 2 AND abs(c - 9) <= 2", "is_star": "r IN (3, 9, 15) AND c IN (3, 9, 15)"}
+
+
+@query(f"SELECT board_id, {', '.join(f'count(*) FILTER ({e}) AS {k}' for k, e in _PLACES.items())} FROM ({BOARDS_SQL}) WHERE stone > 0 GROUP BY board_id")
 def board_geometry(spark: SparkSession, sf: str) -> DataFrame:
-    """361 rows, whatever the data."""
-    r, c = F.expr("id div 19"), F.col("id") % 19
-    return spark.range(361).select(F.col("id").cast("int").alias("point"), *(m.alias(k) for k, m in boards.geometry(r, c).items()))
+    """Each board's stones on edges, in corners, in the centre and on star points."""
+    places = boards.geometry(F.col("r"), F.col("c"))
+    return stones(spark, sf).where("stone > 0").groupBy("board_id").agg(*(F.count_if(places[k]).alias(k) for k in _PLACES))
 
 
 @query(f"SELECT stone, count(*) AS n, count(DISTINCT board_id) AS n_boards, CAST(sum(CAST(stone = 1 AS INTEGER)) AS BIGINT) AS black, CAST(sum(CAST(stone = 2 AS INTEGER)) AS BIGINT) AS white FROM ({BOARDS_SQL}) GROUP BY stone")

@@ -62,9 +62,20 @@ def hierarchical_reconstruction(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("vec_id", "j", *((F.round(f"x_{k}", 5) + 0.0).alias(f"x_{k}") for k in LEVELS))
 
 
-@query(f"SELECT feature, j, round(w / sqrt(sum(w * w) OVER (PARTITION BY feature)), 6) + 0.0 AS w FROM ({_WT})")
+#: Decoder rows of the data: each label's mean around the mean of all, by component.
+_MEANS = f"SELECT feature, j, m - avg(m) OVER (PARTITION BY j) AS w FROM (SELECT label AS feature, CAST(j - 1 AS INTEGER) AS j, avg(vec[j]) AS m FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL})) GROUP BY label, j)"
+
+
+def mean_decoder(spark: SparkSession, sf: str) -> DataFrame:
+    """(feature, j, w), labels x components rows."""
+    x = views.traj_vec(spark, sf).select(F.col("label").alias("feature"), F.posexplode("vec").alias("j", "x")).groupBy("feature", "j").agg(F.avg("x").alias("m"))
+    return x.select("feature", "j", (F.col("m") - F.avg("m").over(Window.partitionBy("j"))).alias("w"))
+
+
+@query(f"SELECT feature, j, round(w / sqrt(sum(w * w) OVER (PARTITION BY feature)), 6) + 0.0 AS w FROM ({_MEANS})")
 def decoder_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return weight_table(spark).select("feature", "j", r6(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("feature")))).alias("w"))
+    """A decoder made of the labels' means, its rows scaled to length one."""
+    return mean_decoder(spark, sf).select("feature", "j", r6(F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("feature")))).alias("w"))
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), a AS (SELECT feature, count(*) FILTER (value > 0) AS live FROM ({_R}) WHERE rk <= 16 GROUP BY feature)
@@ -147,10 +158,15 @@ def top_examples(spark: SparkSession, sf: str) -> DataFrame:
     return codes.first_per_group(best, "feature", [F.desc("value"), F.col("vec_id")], 3).select("feature", "game_id", "vec_id", r6(F.col("value")).alias("value"))
 
 
-@query(f"SELECT round(avg(CAST(abs(w) / nrm < 0.01 AS INTEGER)), 6) + 0.0 AS component_sparsity, round(1 - 16 / {FEATURES}.0, 6) + 0.0 AS code_sparsity FROM (SELECT w, sqrt(sum(w * w) OVER (PARTITION BY feature)) AS nrm FROM ({_WT}))")
+@query(f"""SELECT round(avg(CAST(abs(w) / nrm < 0.01 AS INTEGER)), 6) + 0.0 AS component_sparsity, (SELECT round(1 - count(*) / ({FEATURES}.0 * (SELECT count(*) FROM embeddings)), 6) + 0.0 FROM ({_R}) WHERE rk <= 16 AND value > 0) AS code_sparsity
+    FROM (SELECT w, sqrt(sum(w * w) OVER (PARTITION BY feature)) AS nrm FROM ({_MEANS}))""")
 def pca_sparsity(spark: SparkSession, sf: str) -> DataFrame:
-    w = weight_table(spark).withColumn("nrm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("feature"))))
-    return w.agg(r6(F.avg((F.abs("w") / F.col("nrm") < 0.01).cast("int"))).alias("component_sparsity"), r6(F.lit(1 - 16 / FEATURES)).alias("code_sparsity"))
+    """The share of near-zero entries of dense components, the labels' means, beside the share of zeros among all rows' codes of at most 16 features."""
+    w = mean_decoder(spark, sf).withColumn("nrm", F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("feature"))))
+    dense = w.agg(r6(F.avg((F.abs("w") / F.col("nrm") < 0.01).cast("int"))).alias("component_sparsity"))
+    rows = views.traj_vec(spark, sf).agg(F.count("*").alias("n"))
+    sparse = codes.ranked(encoded(spark, sf), k=16).where("value > 0").agg(F.count("*").alias("some")).crossJoin(rows).select(r6(1 - F.col("some") / (F.lit(float(FEATURES)) * F.col("n"))).alias("code_sparsity"))
+    return dense.crossJoin(sparse)
 
 
 # ---------------------------------------------------------------- interventions

@@ -135,11 +135,16 @@ def stats_beside_data(spark: SparkSession, sf: str) -> DataFrame:
 _SIZES = weights.line_sizes(blocks=1, filters=2)
 
 
-@query(f"SELECT part, count(*) AS n, round(sum(((l * 31 + i * 17) % 101 - 50) / 101.0), 6) + 0.0 AS total FROM (VALUES {', '.join(f'({k}, {chr(39)}{name}{chr(39)}, {n})' for k, (name, n) in enumerate(_SIZES))}) t(l, part, size), range(300000) r(i) WHERE i < size GROUP BY part")
+_NUMBERS = f"SELECT list(m ORDER BY label, j) AS m, count(*) AS k FROM (SELECT label, j, round(avg(vec[j]), 6) AS m FROM (SELECT *, unnest(range(1, 65)) AS j FROM ({TRAJ_VEC_SQL})) GROUP BY label, j)"
+
+
+@query(f"SELECT part, count(*) AS n, round(sum(m[1 + (l * 31 + i) % k]), 6) + 0.0 AS total FROM (VALUES {', '.join(f'({k}, {chr(39)}{name}{chr(39)}, {n})' for k, (name, n) in enumerate(_SIZES))}) t(l, part, size), range(300000) r(i), ({_NUMBERS}) WHERE i < size GROUP BY part")
 def weights_file(spark: SparkSession, sf: str) -> DataFrame:
-    """A network's weights through a compressed text file: a version line, then a line of numbers per tensor."""
+    """A network's weights through a compressed text file: a version line, then a line of numbers per tensor. The numbers are the labels' mean vectors, over and over."""
     path = shared_path(spark, "weights")
-    weights.write(spark, path, [[((k * 31 + i * 17) % 101 - 50) / 101 for i in range(n)] for k, (_, n) in enumerate(_SIZES)])
+    means = views.traj_vec(spark, sf).select("label", F.posexplode("vec").alias("j", "x")).groupBy("label", "j").agg(F.round(F.avg("x"), 6).alias("m"))
+    m = [r["m"] for r in means.orderBy("label", "j").collect()]
+    weights.write(spark, path, [[m[(k * 31 + i) % len(m)] for i in range(n)] for k, (_, n) in enumerate(_SIZES)])
     parts = weights.read(spark, path, filters=2)
-    rows = [(name, int(x.size), float(round(x.sum(), 6))) for name, x in parts.items()]
+    rows = [(name, int(x.size), float(round(x.sum(), 6)) + 0.0) for name, x in parts.items()]
     return spark.createDataFrame(rows, "part string, n long, total double")
