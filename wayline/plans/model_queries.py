@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from wayline.functions import vectors as v
 from wayline.functions.vectors import r6
 from wayline import storage
-from wayline.operators import density, geometry, gram, inference, kinetics, ranks, sketch, training, transitions
+from wayline.operators import density, geometry, gram, inference, kinetics, ranks, sketch, spectral, training, transitions
 from wayline.plans import trajectories, views
 from wayline.plans.registry import query
 from wayline.plans.views import TRAJ_VEC_SQL, table
@@ -283,6 +283,12 @@ def diffusion_map(spark: SparkSession, sf: str) -> DataFrame:
     return geometry.extended(x, geometry.diffusion_fit(geometry.sample(x, "vec_id", "vec", FIT_POINTS)[1], 4))
 
 
+@query()
+def diffusion_graph_map(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows are fitted: a sparse kernel over the graph of nearest neighbours, and block Lanczos iteration as joins."""
+    return spectral.diffusion_map(views.traj_vec(spark, sf), 4)[1]
+
+
 def _landmarks(df: DataFrame, strategy: str, n: int) -> np.ndarray:
     """Vectors of n landmarks: by hash, evenly spaced in order, or the rows nearest to k-means centres (each once)."""
     if strategy == "uniform":
