@@ -18,9 +18,9 @@ from wayline import storage
 from wayline.operators import neighbours, ranks, sketch
 
 #: Vectors of a block, and steps at most: the basis has BLOCK * STEPS vectors.
-BLOCK, STEPS = 8, 40
+BLOCK, STEPS = 16, 24
 #: Residual of the last wanted vector at which the iteration ends; values are then off by about its square.
-RESIDUAL = 1e-5
+RESIDUAL = 1e-4
 
 
 def kernel(df: DataFrame, k: int = 12, alpha: float = 0.5, epsilon: float | None = None) -> DataFrame:
