@@ -107,3 +107,18 @@ def test_scratch_leaves_others_alone(spark):
             keep.append(kept)
         assert gone._stored_at not in common._STORED and kept.count() == 7 and inner.count() == 3
     assert made[0].count() == 5 and not {kept._stored_at, inner._stored_at} & set(common._STORED)
+
+
+def test_a_stage_deletes_what_the_one_before_left(spark):
+    common = corpus_pipeline.common
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    first = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    left = tuple(p for p in corpus_pipeline._LEFT.get() if p in common._STORED)
+    assert left
+    kept = common.stored(first, "kept")
+    # docs that are read from what was left keep it; others don't
+    corpus_pipeline.mix(spark, first, SF)
+    assert set(left) <= set(common._STORED)
+    corpus_pipeline._LEFT.set(left)
+    out = corpus_pipeline.mix(spark, kept, SF)
+    assert not set(left) & set(common._STORED) and out.count() == kept.count()

@@ -97,6 +97,27 @@ def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
                 del _STORED[path]
 
 
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that this thread stores inside; they stay, and belong to the scratch around it, if there is one."""
+    outer, own = _SCRATCH.get(), []
+    token = _SCRATCH.set(own)
+    try:
+        yield own
+    finally:
+        _SCRATCH.reset(token)
+        if outer is not None:
+            outer += own
+
+
+def forget(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables by their paths; those that are gone are let be."""
+    for path in paths:
+        if path in _STORED:
+            remove(spark, path)
+            del _STORED[path]
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder."""
     jvm = spark.sparkContext._jvm
