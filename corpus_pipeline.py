@@ -6,19 +6,47 @@ read again as the next stage's docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayline.llm import common, decontam, line_dedup, mixing, near_dup, quality
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+#: What the last stage of this thread has stored on its way, which its result is read from.
+_LEFT: ContextVar[tuple[str, ...]] = ContextVar("left", default=())
+
+
+def stage(f: Stage) -> Stage:
+    """A stage that first deletes what the one before it has stored on its way, as its result is written by then; unless docs are read from that."""
+
+    @wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        left = list(_LEFT.get())
+        names = [p.rsplit("/", 1)[-1] for p in left]
+        if left and not any(n in file for file in docs.inputFiles() for n in names):
+            common.forget(spark, left)
+        with common.recorded() as made:
+            out = f(spark, docs, sf_dir)
+        _LEFT.set(tuple(made))
+        return out
+
+    return run_stage
+
+
+@stage
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.keep_good(docs.select(*DOCUMENT))
 
 
+@stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; so do documents of which nothing is left by that."""
     out = line_dedup.dedup_lines(docs.select(*DOCUMENT))
@@ -32,6 +60,7 @@ def numbered(docs: DataFrame) -> DataFrame:
     return common.stored(docs.select(*DOCUMENT).withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
+@stage
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicate rows (five-word shingles, similarity 0.8 or more) the one with the smallest doc_id stays, whatever others share that id; a row without id only if all are."""
     docs = numbered(docs)
@@ -45,6 +74,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return docs.join(others, "_row", "left_anti").select(*DOCUMENT)
 
 
+@stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with ten successive words (or the whole) of a benchmark item go, and no others, whatever their ids."""
     docs = numbered(docs)
@@ -53,6 +83,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return docs.join(hit, "_row", "left_anti").select(*DOCUMENT)
 
 
+@stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its place in the mixture of the sources, with weights by the square roots of their sizes."""
     return mixing.mix_sources(docs.select(*DOCUMENT))
