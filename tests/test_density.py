@@ -1,6 +1,7 @@
 """Exact neighbours, spanning trees and density clusters of all rows, against plain numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from wayline import storage
@@ -112,3 +113,26 @@ def test_noise_and_few_rows(spark):
     for x in (np.zeros((0, 2)), np.ones((1, 2)), np.arange(8.0)[:, None] ** 3):
         got = density.density_clusters(frame(spark, x), 5, 2).collect()
         assert {r.vec_id: r.cluster for r in got} == {i: -1 for i in range(len(x))}
+
+
+def test_distances_are_held_by_tiles(spark, small, monkeypatch):
+    # whatever the blocks' size, no array of distances is larger than a tile's, and each pair of rows comes once
+    monkeypatch.setattr(neighbours, "TILE_ROWS", 16)
+    monkeypatch.setattr(neighbours, "MERGE_ROWS", 10)
+    monkeypatch.setattr(neighbours, "SPAN_SHARE", 3)
+    x = clustered(4, 300, 4, 0.05, copies=40)
+    index = neighbours.build(frame(spark, x))
+    assert index.sizes.max() > 16 and index.span > 1
+
+    def fold(a, b, d, same):
+        assert d.shape == (len(a), len(b)) and max(d.shape) <= 16
+        i, j = np.triu_indices(len(a), 1) if same else (g.ravel() for g in np.mgrid[: len(a), : len(b)])
+        p, q = a["vec_id"].to_numpy()[i], b["vec_id"].to_numpy()[j]
+        return pd.DataFrame({"p": np.minimum(p, q), "q": np.maximum(p, q)})
+
+    got = [tuple(r) for r in neighbours.over_pairs(index, neighbours.near_pairs(index), fold, "p long, q long").collect()]
+    assert len(got) == 300 * 299 // 2 == len(set(got))
+    assert {(r.a, r.b, r.rk) for r in neighbours.nearest(index, 7)[0].collect()} == plain_near(x, 7)
+    with storage.scratch(spark):
+        edges = density.spanning_tree(frame(spark, x), 3).collect()
+    assert np.allclose(sorted(e.w for e in edges), prim_weights(x, 3), atol=0)

@@ -85,7 +85,7 @@ def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
             if lo == hi:
                 alike[b] = names.setdefault(lo, len(names))
         pairs = neighbours.near_pairs(index, reach, alike)
-        found = neighbours.over_pairs(index, pairs, _outward, "comp long, w double, lo long, hi long, other long", now)
+        found = neighbours.over_pairs(index, pairs, _outward, "comp long, w double, lo long, hi long, other long", now, _least)
         best = found.select("comp", F.struct("w", "lo", "hi", "other").alias("e")).unionByName(listed.select("comp", "e")).groupBy("comp").agg(F.min("e").alias("e"))
         best = storage.stored(best, "best")
         part = best.select("e.lo", "e.hi", "e.w").distinct()
@@ -110,7 +110,11 @@ def _outward(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, same: bool) -> pd.
     for m, own, others, ids, there in [(w, cx, cy, p, q)] if same else [(w, cx, cy, p, q), (w.T, cy, cx, q, p)]:
         i, j = np.nonzero((m == m.min(axis=1, keepdims=True)) & np.isfinite(m))
         parts.append(pd.DataFrame({"comp": own[i], "w": m[i, j], "lo": np.minimum(ids[i], there[j]), "hi": np.maximum(ids[i], there[j]), "other": others[j]}))
-    return pd.concat(parts).sort_values(["w", "lo", "hi"], kind="stable").drop_duplicates("comp")
+    return _least(pd.concat(parts))
+
+
+def _least(found: pd.DataFrame) -> pd.DataFrame:
+    return found.sort_values(["w", "lo", "hi"], kind="stable").drop_duplicates("comp")
 
 
 # ---------------------------------------------------------------- condensed tree

@@ -23,6 +23,12 @@ from wayline.operators import codes
 PIVOTS, PIVOT_ROWS = 24, 1_500
 #: Rows of a block: one part in BLOCK_SHARE of all, between these bounds. Bytes of a block's vectors at most, roughly.
 BLOCK_SHARE, LEAST_ROWS, MOST_ROWS, BLOCK_BYTES = 64, 128, 16_384, 8_000_000
+#: Rows of a side of which distances are held at once: a task's memory doesn't grow with its blocks' square.
+TILE_ROWS = 1_024
+#: Blocks in a row that meet others in one task: one part in SPAN_SHARE of all at most, of so many bytes of vectors.
+SPAN_SHARE, SPAN_BYTES = 16, 16_000_000
+#: Rows that a task's folds may have made since they were last merged.
+MERGE_ROWS = 200_000
 #: Blocks that an index may have: its table of ranges goes to every task.
 MOST_BLOCKS = 200_000
 #: Slack of bounds, for rounding.
@@ -54,11 +60,12 @@ def farthest(x: np.ndarray, n: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    """rows (vec_id, vec, block, and what else there was), stored; ranges (blocks, pivots, 2) of distances from pivots, and each block's number of rows."""
+    """rows (vec_id, vec, block, and what else there was), stored; ranges (blocks, pivots, 2) of distances from pivots, and each block's number of rows. span: how many blocks in a row go to a task together."""
 
     rows: DataFrame
     ranges: np.ndarray
     sizes: np.ndarray
+    span: int = 1
 
     def gaps(self, i: int, of: np.ndarray) -> np.ndarray:
         """Least possible distances between rows of block i and of the blocks of."""
@@ -114,7 +121,8 @@ def build(df: DataFrame) -> Index:
     ranges[:, :, 0], ranges[:, :, 1] = np.inf, -np.inf  # an empty block is far from all
     for r in rows.groupBy("block").agg(F.count("*").alias("n"), *ends).collect():
         sizes[r[0]], ranges[r[0]] = r[1], np.array(r[2:]).reshape(p, 2)
-    return Index(rows.drop("_d"), ranges, sizes)
+    span = min(len(sizes) // SPAN_SHARE, SPAN_BYTES // (8 * max(width or 1, 1) * int(sizes.max(initial=1))))
+    return Index(rows.drop("_d"), ranges, sizes, max(1, span))
 
 
 def near_pairs(index: Index, reach: np.ndarray | None = None, alike: np.ndarray | None = None) -> DataFrame:
@@ -138,23 +146,57 @@ def near_pairs(index: Index, reach: np.ndarray | None = None, alike: np.ndarray
 
 
 Fold = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame]
+Merge = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def over_pairs(index: Index, pairs: DataFrame, fold: Fold, schema: str, rows: DataFrame | None = None) -> DataFrame:
-    """fold(x, y, d, same) of each pair of blocks: their rows in order of vec_id, distances, and whether the two are one block. rows: those of the index with more columns."""
-    rows = index.rows if rows is None else rows
-
-    def run(key: tuple, both: pd.DataFrame) -> pd.DataFrame:
-        i, j = key
-        both = both.sort_values("vec_id", kind="stable")
-        x = both[both["block"] == i].reset_index(drop=True)
-        y = x if i == j else both[both["block"] == j].reset_index(drop=True)
-        a = np.stack(x["vec"].to_numpy()).astype(float)
-        b = a if i == j else np.stack(y["vec"].to_numpy()).astype(float)
-        return fold(x, y, distances(a, b), i == j)
+def over_pairs(index: Index, pairs: DataFrame, fold: Fold, schema: str, rows: DataFrame | None = None, merge: Merge | None = None) -> DataFrame:
+    """fold(x, y, d, same) of each pair of blocks, by tiles of TILE_ROWS rows of either at most: the tiles' rows without vec, each in order of vec_id, their distances, and whether the two are one tile. Each pair of tiles comes once. rows: those of the index with more columns.
 
-    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return rows.join(sides, "block").groupBy("i", "j").applyInPandas(run, schema)
+    merge: makes what several folds have given one, of as few rows as say the same; it may be called on what it gave.
+    A task has the pairs of two runs of index.span blocks, so that a row is sent once for all of these.
+    """
+    rows = index.rows if rows is None else rows
+    tile, most, span = TILE_ROWS, MERGE_ROWS, index.span
+
+    def run(key: tuple, both: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        both = both.sort_values(["block", "vec_id"], kind="stable")
+        block = both["block"].to_numpy()
+        vec = np.stack(both.pop("vec").to_numpy()).astype(float) if len(both) else None
+        made, fresh, held = [], 0, 0
+        for i, j in zip(asked["i"], asked["j"], strict=True):
+            (a, a_end), (b, b_end) = (np.searchsorted(block, [k, k + 1]) for k in (i, j))
+            for lo in range(a, a_end, tile):
+                x = slice(lo, min(lo + tile, a_end))
+                for at in range(lo if i == j else b, b_end, tile):
+                    y = slice(at, min(at + tile, b_end))
+                    part = fold(both.iloc[x].reset_index(drop=True), both.iloc[y].reset_index(drop=True), distances(vec[x], vec[y]), x == y)
+                    made.append(part)
+                    fresh += len(part)
+                    if merge and fresh > most + held:
+                        made = [merge(pd.concat(made))]
+                        fresh, held = 0, len(made[0])
+        if not made:
+            return pd.DataFrame(columns=names)
+        out = pd.concat(made)
+        return merge(out) if merge and len(made) > 1 else out
+
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    runs = F.expr(f"i div {span}"), F.expr(f"j div {span}")
+    sides = pairs.select(runs[0].alias("_p"), runs[1].alias("_q"), F.explode(F.array("i", "j")).alias("block")).distinct()
+    asked = pairs.select("i", "j", runs[0].alias("_i"), runs[1].alias("_j"))
+    return rows.join(sides, "block").groupBy("_p", "_q").cogroup(asked.groupBy("_i", "_j")).applyInPandas(run, schema)
+
+
+def few(k: int) -> Merge:
+    """Of (a, b, r) the k smallest r of each a, ties to the smaller b."""
+
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        a = found["a"].to_numpy()
+        order = np.lexsort((found["b"].to_numpy(), found["r"].to_numpy(), a))
+        a = a[order]
+        return found.iloc[order[np.arange(len(a)) - np.searchsorted(a, a) < k]]
+
+    return merge
 
 
 def _nearest(ids: np.ndarray, others: np.ndarray, r: np.ndarray, k: int) -> pd.DataFrame:
@@ -192,7 +234,7 @@ def nearest(index: Index, k: int) -> tuple[DataFrame, float]:
         enough = int(np.searchsorted(np.cumsum(index.sizes[near]), k + 1 - index.sizes[i])) + 1
         begin |= {(min(i, j), max(i, j)) for j in near[:enough].tolist()}
     seeds = spark.createDataFrame(sorted(begin), "i int, j int")
-    inside = storage.stored(codes.first_per_group(over_pairs(index, seeds, first, schema), "a", [F.col("r"), F.col("b")], k).drop("rk"), "inside")
+    inside = storage.stored(codes.first_per_group(over_pairs(index, seeds, first, schema, merge=few(k)), "a", [F.col("r"), F.col("b")], k).drop("rk"), "inside")
     bound = inside.groupBy(F.col("a").alias("vec_id")).agg(F.when(F.count("*") == k, F.max("r")).alias("bound"))
     rows = storage.stored(index.rows.join(bound, "vec_id", "left").na.fill(float("inf"), ["bound"]), "bounds")
     reach = np.zeros(len(index.sizes))
@@ -207,6 +249,6 @@ def nearest(index: Index, k: int) -> tuple[DataFrame, float]:
         back = np.where(r.T <= y["bound"].to_numpy()[:, None], r.T, np.inf)
         return pd.concat([_nearest(p, q, forth, k), _nearest(q, p, back, k)])
 
-    found = inside.unionByName(over_pairs(index, pairs, across, schema, rows))
+    found = inside.unionByName(over_pairs(index, pairs, across, schema, rows, few(k)))
     share = (pairs.count() + len(begin)) / max(len(full) * (len(full) + 1) / 2, 1)
     return codes.first_per_group(found, "a", [F.col("r"), F.col("b")], k), share

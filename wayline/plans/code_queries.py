@@ -338,10 +338,10 @@ def _points(spark: SparkSession, sf: str) -> DataFrame:
     return views.traj_vec(spark, sf).select("vec_id", "label", "vec")
 
 
-def _over_all(spark: SparkSession, sf: str, fold: neighbours.Fold, schema: str) -> DataFrame:
+def _over_all(spark: SparkSession, sf: str, fold: neighbours.Fold, schema: str, merge: neighbours.Merge | None = None) -> DataFrame:
     """fold of every pair of blocks, each once: for sums over all pairs of rows."""
     index = neighbours.build(_points(spark, sf))
-    return neighbours.over_pairs(index, neighbours.near_pairs(index), fold, schema)
+    return neighbours.over_pairs(index, neighbours.near_pairs(index), fold, schema, merge=merge)
 
 
 @query(f"SELECT count(*) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(min(d), 6) AS least, round(max(d), 6) AS most FROM ({_PD}) WHERE a < b")
@@ -379,7 +379,7 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
     def fold(x, y, d, same):
         return one_way(x, y, d, same) if same else pd.concat([one_way(x, y, d, same), one_way(y, x, d.T, same)])
 
-    sums = _over_all(spark, sf, fold, "a long, la long, lb long, s double, n double")
+    sums = _over_all(spark, sf, fold, "a long, la long, lb long, s double, n double", lambda t: t.groupby(["a", "la", "lb"], as_index=False, dropna=False).sum())
     s = sums.groupBy("a", "la", "lb").agg((F.sum("s") / F.sum("n")).alias("m"))
     i = s.groupBy("a").agg(F.max(F.when(F.col("la") == F.col("lb"), F.col("m"))).alias("own"), F.min(F.when(F.col("la") != F.col("lb"), F.col("m"))).alias("other"))
     return i.agg(r6(F.avg(F.coalesce((F.col("other") - F.col("own")) / F.greatest("own", "other"), F.lit(0.0)))).alias("silhouette"))
@@ -409,8 +409,9 @@ def diffusion_operator(spark: SparkSession, sf: str) -> DataFrame:
 
     index = neighbours.build(_points(spark, sf))
     pairs = neighbours.near_pairs(index)
-    g = neighbours.over_pairs(index, pairs, degree, "a long, w double").groupBy("a").agg((F.sum("w") + 1).alias("q"))
-    m = neighbours.over_pairs(index, pairs, row, "a long, q double, mw double, w2 double, s double", index.rows.join(g.withColumnRenamed("a", "vec_id"), "vec_id"))
+    g = neighbours.over_pairs(index, pairs, degree, "a long, w double", merge=lambda t: t.groupby("a", as_index=False).sum()).groupBy("a").agg((F.sum("w") + 1).alias("q"))
+    most = lambda t: t.groupby("a", as_index=False).agg({"q": "first", "mw": "max", "w2": "sum", "s": "sum"})
+    m = neighbours.over_pairs(index, pairs, row, "a long, q double, mw double, w2 double, s double", index.rows.join(g.withColumnRenamed("a", "vec_id"), "vec_id"), most)
     own = 1 / F.col("q")
     t = m.groupBy("a", "q").agg(F.max("mw").alias("mw"), F.sum("w2").alias("w2"), F.sum("s").alias("s"))
     t = t.select("a", F.greatest("mw", own).alias("mw"), (F.col("w2") + own * own).alias("w2"), (F.col("s") + own).alias("s"))
