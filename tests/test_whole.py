@@ -1,10 +1,12 @@
 """Queries that do their whole job, on tables made for one case."""
 
 import numpy as np
+import pandas as pd
 
 from wayline import storage
 from wayline.operators import spectral
 from wayline.plans import registry
+from wayline.sources import records
 
 
 def test_except_ids_takes_all_orders(spark, tmp_path):
@@ -43,3 +45,16 @@ def test_a_step_of_lanczos_moves_no_basis(spark, monkeypatch):
         finally:
             spark.conf.set("spark.sql.autoBroadcastJoinThreshold", first)
     assert found.steps > 1 and not any({"q", "y"} <= set(t.columns) for t in wrote)
+
+
+def test_many_records_make_one_table():
+    class Source:
+        select = lambda self, *a: self
+        mapInPandas = lambda self, f, schema: f  # noqa: E731, N815
+
+    run = records.positions_of(Source(), boards_kept=0)
+    texts = pd.DataFrame({"filename": [f"g{k}" for k in range(300)], "value": ["(;SZ[19];B[aa];W[bb];B[])"] * 299 + ["none"]})
+    tables = list(run(iter([texts, texts])))
+    assert len(tables) == 1 and len(tables[0]) == 2 * (3 * 299 + 1) and tables[0]["error"].notna().sum() == 2
+    # with boards, a table stays small
+    assert max(map(len, records.positions_of(Source())(iter([texts])))) < 64

@@ -163,7 +163,8 @@ def result_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT 'game-' || CAST(user_id AS VARCHAR) AS filename, count(*) AS n_positions, 'B+R' AS result, count(*) FILTER (k = 2) AS passes FROM (SELECT DISTINCT user_id FROM events), range(3) r(k) GROUP BY user_id")
 def parse_records(spark: SparkSession, sf: str) -> DataFrame:
     """Records made of user ids, parsed to positions: two stones and a pass each."""
-    u = table(spark, sf, "events").select("user_id").distinct()
+    # ids are few bytes, and records much work: a fixed number of parts isn't put together by bytes
+    u = table(spark, sf, "events").select("user_id").distinct().repartition(4 * spark.sparkContext.defaultParallelism, "user_id")
     one = lambda x, m: F.chr(F.lit(97) + x % m)
     value = F.concat(F.lit("(;GM[1]SZ[19]KM[6.5]PB[a]RE[B+R];B["), one(F.col("user_id"), 19), one(F.col("user_id"), 7), F.lit("];W["), one(F.col("user_id") + 5, 19), F.lit("q];B[])"))
     p = records.positions_of(u.select(F.concat(F.lit("game-"), F.col("user_id").cast("string")).alias("filename"), value.alias("value")), boards_kept=0)

@@ -15,6 +15,8 @@ from wayline.operators import boards
 
 _PROPERTY = re.compile(r"([A-Z]{1,2})((?:\s*\[(?:\\.|[^\]\\])*\])+)", re.S)
 _VALUE = re.compile(r"\[((?:\\.|[^\]\\])*)\]", re.S)
+#: Positions of a table that a task hands on: without boards, and with them for each board.
+BATCH_POSITIONS = 4_096
 
 
 def _nodes(text: str) -> list[dict[str, list[str]]]:
@@ -112,19 +114,28 @@ def counters(positions: DataFrame) -> DataFrame:
 def positions_of(records: DataFrame, board_size: int = 19, first: int = 0, last: int | None = None, per_game: int | None = None, boards_kept: int = 8) -> DataFrame:
     """Positions of records (filename, value) before moves first .. last - 1, of a game with more than per_game of them only those floor(k (n - 1) / (per_game - 1)). boards_kept: as in parse_record; columns that aren't read cost less so."""
 
+    most = max(1, BATCH_POSITIONS // (1 + 16 * max(boards_kept, 0)))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split(" ")[0] for c in POSITIONS.split(", ")]
         none = dict.fromkeys(names)
+        table = lambda made: pd.DataFrame(made, columns=names, dtype=object).astype({c: "Int32" for c in ("move_number", "next_row", "next_col", "next_color")})
+        made = []
         for b in batches:
             for name, text in zip(b["filename"], b["value"], strict=True):
                 try:
                     info, rows = parse_record(text or "", board_size, first, last, boards_kept)
                     if per_game is not None and len(rows) > per_game:
                         rows = [rows[k * (len(rows) - 1) // max(per_game - 1, 1)] for k in range(per_game)]
-                    made = [none | {"filename": name, **r, "result": info["result"]} for r in rows]
+                    made += [none | {"filename": name, **r, "result": info["result"]} for r in rows]
                 except (ValueError, IndexError, TypeError) as e:
-                    made = [none | {"filename": name, "error": str(e)}]
-                yield pd.DataFrame(made, columns=names, dtype=object).astype({c: "Int32" for c in ("move_number", "next_row", "next_col", "next_color")})
+                    made.append(none | {"filename": name, "error": str(e)})
+                # a table of many records: one of each record costs more than its parsing
+                if len(made) >= most:
+                    yield table(made)
+                    made = []
+        if made:
+            yield table(made)
 
     return records.select("filename", "value").mapInPandas(run, POSITIONS)
 
