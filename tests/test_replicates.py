@@ -62,3 +62,13 @@ def test_draws_have_no_cap():
     u = np.random.default_rng(0).random(200_000)
     draws = np.searchsorted(cuts, u, "right")
     assert draws.mean() == pytest.approx(1, abs=0.02) and draws.var() == pytest.approx(1, abs=0.03)
+
+
+def test_scores_are_ranked_once_for_all_shuffles(spark, monkeypatch):
+    monkeypatch.setattr(inference.ranks, "BUCKET_ROWS", 50)
+    rng = np.random.default_rng(2)
+    rows = [(j, float(rng.integers(0, 60)), [int(v) for v in rng.integers(0, 2, 3)]) for j in range(2) for _ in range(120)]
+    df = spark.createDataFrame(rows, "j int, score double, labels array<int>")
+    got = {(r.j, r.run): r.auc for r in inference.aucs(df, ["j"], 3).collect()}
+    one = {(r.j, r.run): r.auc for r in inference.auc(df.select("j", "score", F.posexplode("labels").alias("run", "label")), ["j", "run"]).collect()}
+    assert got == one and len(got) == 6

@@ -23,6 +23,17 @@ def auc(df: DataFrame, group: list[str], score: str = "score", label: str = "lab
     return t.select(*group, F.when((F.col("pos") == 0) | (F.col("neg") == 0), 0.5).otherwise(F.col("u") / (F.col("pos") * F.col("neg"))).alias("auc"))
 
 
+def aucs(df: DataFrame, group: list[str], runs: int, score: str = "score", labels: str = "labels") -> DataFrame:
+    """(group..., run, auc) of df (group..., score, labels): as auc, for each of the runs labels in an array. Scores are ranked once, as ranks don't depend on labels."""
+    g = df.groupBy(*group, score).agg(F.count("*").alias("m"), *(F.count_if(F.get(labels, F.lit(k)) == 1).alias(f"p{k}") for k in range(runs)))
+    g = ranks.running(storage.stored(g, "scores"), score, F.col("m"), "below", group)
+    rank = F.coalesce("below", F.lit(0)) + (F.col("m") + 1) / 2
+    t = g.groupBy(*group).agg(F.sum("m").alias("n"), *(F.sum(f"p{k}").alias(f"p{k}") for k in range(runs)), *(F.sum(rank * F.col(f"p{k}")).alias(f"r{k}") for k in range(runs)))
+    each = t.select(*group, "n", F.posexplode(F.array(*(F.struct(F.col(f"p{k}").cast("double").alias("p"), F.col(f"r{k}").alias("r")) for k in range(runs)))).alias("run", "s"))
+    pos, neg = F.col("s.p"), F.col("n") - F.col("s.p")
+    return each.select(*group, "run", F.when((pos == 0) | (neg == 0), 0.5).otherwise((F.col("s.r") - pos * (pos + 1) / 2) / (pos * neg)).alias("auc"))
+
+
 def shuffled(df: DataFrame, key: str, value: str, groups: list[str], seed: Column) -> DataFrame:
     """df (groups..., key, value) with value dealt anew in each group by keyed hashes: ranks of two orders are joined."""
     a = ranks.hash_rank(df, key, seed, "rk", groups)

@@ -30,7 +30,9 @@ def _bucketed(df: DataFrame, col: str, groups: list[str], n: int) -> DataFrame:
 
 def running(df: DataFrame, col: str, value: Column, name: str, groups: list[str] | None = None, ties: list[str] | None = None, how: str = "sum") -> DataFrame:
     """df with name: the sum (or with how "max" the largest) of value over the rows before, in order of col, then ties, of the same group; null where none is."""
-    groups, n = groups or [], df.count()
+    groups = groups or []
+    # rows of the largest group: cuts are by group, and each row is held against all of its group's
+    n = df.groupBy(*groups).count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0] if groups else df.count()
     fold = F.sum if how == "sum" else F.max
     if n <= BUCKET_ROWS:  # one bucket, with nothing before it
         w = Window.partitionBy(*groups).orderBy(col, *(ties or [])).rowsBetween(Window.unboundedPreceding, -1)
