@@ -5,8 +5,10 @@ from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
+from helpers import same_rows
 from pyspark.sql import functions as F
 
+from wayline.plans import registry
 from wayline.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -83,3 +85,34 @@ def test_moments_of_batches_run_again(spark, tmp_path):
     check()
     files(spark, tmp_path / "more", [[]])
     assert jobs.merged_moments(stream(spark, tmp_path / "more"), f"file://{tmp_path}/none").count() == 0
+
+
+def test_users_share_a_state(spark, tmp_path):
+    jobs.rocksdb(spark)
+    rows = [(i, i % 500, i // 50, "abc"[i * i % 7 % 3]) for i in range(6000)]
+    files(spark, tmp_path / "in", [rows[:3000], rows[3000:]])
+    t = jobs.stream_transitions(stream(spark, tmp_path / "in"), "10 minutes", groups=8)
+    q = t.writeStream.format("memory").queryName("shared").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((x.user_id, x.i, x.j) for x in spark.table("shared").collect()) == plain(rows, 119 - 10)
+    # a list of rows, and timers by key and by time, for each group
+    assert 0 < max(s.numRowsTotal for p in q.recentProgress for s in p.stateOperators) <= 3 * 8
+
+
+def test_transitions_of_odd_events_are_those_of_the_sql(spark, duck, tmp_path):
+    at = lambda us: START + timedelta(microseconds=us)
+    hour = 3_600_000_000
+    # two events of one millisecond that come by time, not by number; events of nobody; an event without a type; ids that no double holds
+    rows = [(2, at(100), 1, "a"), (1, at(900), 1, "b"), (3, at(5000), 1, "a"), (4, at(0), None, "x"), (5, at(1), None, "y"), (6, at(0), 2, "a"), (7, at(1), 2, None), (8, at(2), 2, "c"), (12, at(3), 2, None)]
+    rows += [(2**62 + 1, at(7), 2**62, "a"), (2**62, at(7), 2**62, "b"), (9, at(8), 2**62 + 1, "z"), (10, at(2 * hour), 1, "c"), (11, None, 1, "a")]
+    df = spark.createDataFrame([(i, t, u, e, 0.0, "") for i, t, u, e in rows], "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    next((tmp_path / "in").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    own = duck.cursor()
+    own.execute("CREATE SCHEMA odd")
+    own.execute("SET schema = 'odd'")
+    own.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    try:
+        same_rows(registry.QUERIES["stream_transition_counts"](spark, str(tmp_path)), own.execute(registry.ORACLES["stream_transition_counts"]))
+    finally:
+        own.execute("DROP SCHEMA odd CASCADE")

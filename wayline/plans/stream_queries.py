@@ -45,7 +45,7 @@ def stream_transition_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Transitions of the events as a stream with keyed state, written by the stream and then counted: those that the watermark, an hour behind the latest event, has passed."""
     jobs.rocksdb(spark)
     t = jobs.stream_transitions(jobs.events_stream(spark, sf))
-    return jobs.written(t, views.shared_path(spark, "stream")).where("late = 0").groupBy("i", "j").agg(F.count("*").alias("n"))
+    return jobs.written(t, views.shared_path(spark, "stream")).where("late = 0 AND j IS NOT NULL").groupBy("i", "j").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, {_CENTS} FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2")

@@ -39,66 +39,80 @@ def running_moments(df: DataFrame) -> DataFrame:
     return df.groupBy("event_type").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
 
 
-def stream_transitions(df: DataFrame, late: str = "1 hour", keep_ms: int = 400 * 24 * 3_600_000) -> DataFrame:
+def stream_transitions(df: DataFrame, late: str = "1 hour", keep_ms: int = 400 * 24 * 3_600_000, groups: int = 2048) -> DataFrame:
     """(user_id, i, j, late) of a stream (user_id, at, event_id, event_type): successive event types of each user, in the order of event time, and a row with late = 1 for each event that came behind the watermark, which takes part in nothing.
 
     The watermark is late behind the latest event. Events wait in the state until it passes them, woken by an event-time timer
     at the earliest of them, so events that are out of order within late give the transitions of the ordered table, across
     batches as well. Events keep_ms or more apart make no transition, and a user whose last event is keep_ms behind the
-    watermark is forgotten: the state holds what waits, and one event of each user that is not forgotten. Needs the RocksDB state store (rocksdb). The processor is a class of
-    this call, so that workers get it whole, without the package.
+    watermark is forgotten: the state holds what waits, and one event of each user that is not forgotten.
+
+    Users lie in groups by a hash, and a group has one state and one timer: its rows go into the state as arrays and are ordered
+    at once, since a call to the state costs far more than a row. A task holds the rows of one group, and a batch reads and
+    writes all that the groups it wakes hold, so groups should grow with the users of the stream and with its largest batch;
+    its checkpoint fixes their number. Needs the RocksDB state store (rocksdb). The processor is a class of this call, so that
+    workers get it whole, without the package.
     """
+    kinds = {"user_id": "long", "us": "long", "event_id": "long", "event_type": "string"}
 
     class Ordered(StatefulProcessor):
-        """Keeps each user's waiting events, and the last one passed on."""
+        """Keeps the waiting events of a group of users, and the last one passed on of each."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "ms long, event_id long, event_type string")
-            self.waiting = handle.getListState("waiting", "ms long, event_id long, event_type string")
+            self.held = handle.getListState("held", ", ".join(f"{c} array<{t}>" for c, t in kinds.items()))
+
+        def wake(self, ms: int, mark: int) -> None:
+            # a timer that has just expired goes by itself
+            due = [int(t) for t in self.handle.listTimers() if int(t) > mark]
+            if not due or ms < min(due):
+                for t in due:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(ms)
 
         def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N803
-            mark = timerValues.getCurrentWatermarkInMs()
-            x = pd.concat(list(rows))
-            ms = [int(t.value // 1_000_000) for t in x["at"]]
-            came = sorted(zip(ms, (int(i) for i in x["event_id"]), x["event_type"], strict=True))
-            fresh = [r for r in came if r[0] > mark]
-            if fresh:
-                self.waiting.appendList(fresh)
-                self.handle.registerTimer(fresh[0][0])
-            if len(fresh) < len(came):
-                n = len(came) - len(fresh)
-                yield pd.DataFrame({"user_id": [key[0]] * n, "i": [None] * n, "j": [None] * n, "late": [1] * n})
+            mark, first = timerValues.getCurrentWatermarkInMs(), None
+            for x in rows:
+                behind = x["us"] // 1000 <= mark
+                fresh = x[~behind]
+                if len(fresh):
+                    self.held.appendValue(tuple(fresh[c].tolist() for c in kinds))
+                    ms = int(fresh["us"].min()) // 1000
+                    first = ms if first is None else min(first, ms)
+                if behind.any():
+                    yield pd.DataFrame({"user_id": None if key[0] < 0 else x["user_id"][behind], "i": None, "j": None, "late": 1}, index=x.index[behind])
+            if first is not None:
+                self.wake(first, mark)
 
         def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N803
             mark = timerValues.getCurrentWatermarkInMs()
-            held = sorted((int(r[0]), int(r[1]), r[2]) for r in self.waiting.get()) if self.waiting.exists() else []
-            ready, rest = [r for r in held if r[0] <= mark], [r for r in held if r[0] > mark]
-            old = self.last.get() if self.last.exists() else None
-            if ready:
-                line = ([old] if old is not None else []) + ready
-                pairs = [(a[2], b[2]) for a, b in zip(line, line[1:], strict=False) if b[0] - int(a[0]) < keep_ms]
-                old = ready[-1]
-                self.last.update(old)
-                if rest:
-                    self.waiting.put(rest)
-                else:
-                    self.waiting.clear()
-                if pairs:
-                    yield pd.DataFrame({"user_id": [key[0]] * len(pairs), "i": [a for a, _ in pairs], "j": [b for _, b in pairs], "late": [0] * len(pairs)})
-            if rest:
-                self.handle.registerTimer(rest[0][0])
-            elif old is not None:
-                if int(old[0]) + keep_ms <= mark:
-                    self.last.clear()
-                else:
-                    self.handle.registerTimer(int(old[0]) + keep_ms)
+            held = [pd.DataFrame(dict(zip(kinds, r, strict=True))) for r in self.held.get()] if self.held.exists() else []
+            if not held:
+                return
+            x = pd.concat(held).sort_values(list(kinds), ignore_index=True)
+            ms = x["us"] // 1000
+            ready = ms <= mark
+            # a user's first row is the last one passed on, if there is one; the others are new
+            before = (x["user_id"] == x["user_id"].shift()) & ready
+            last = ready & ~before.shift(-1, fill_value=False) & (ms + keep_ms > mark)
+            stays = x[last | ~ready]
+            if len(stays):
+                self.held.put([tuple(stays[c].iloc[k : k + 10_000].tolist() for c in kinds) for k in range(0, len(stays), 10_000)])
+                self.wake(int((ms + last * keep_ms)[stays.index].min()), mark)
+            else:
+                self.held.clear()
+            pair = before & (ms - ms.shift(fill_value=0) < keep_ms)
+            if pair.any():
+                yield pd.DataFrame({"user_id": None if key[0] < 0 else x["user_id"], "i": x["event_type"].shift(), "j": x["event_type"], "late": 0})[pair]
 
         def close(self) -> None:
             pass
 
-    x = df.select("user_id", "at", "event_id", "event_type").withWatermark("at", late)
-    return x.groupBy("user_id").transformWithStateInPandas(Ordered(), "user_id long, i string, j string, late int", "Append", "EventTime")
+    # a null user has a group of its own, as arrays of numbers hold no null
+    group = F.when(F.col("user_id").isNull(), F.lit(-1)).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(groups)).cast("int"))
+    us, last = F.coalesce(F.unix_micros("at"), F.lit(-(2**63))), F.coalesce("event_id", F.lit(2**63 - 1))
+    x = df.withWatermark("at", late).select(group.alias("group"), "at", F.coalesce("user_id", F.lit(0)).alias("user_id"), us.alias("us"), last.alias("event_id"), "event_type")
+    return x.groupBy("group").transformWithStateInPandas(Ordered(), "user_id long, i string, j string, late int", "Append", "EventTime")
 
 
 def rocksdb(spark: SparkSession) -> None:
