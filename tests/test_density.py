@@ -136,3 +136,48 @@ def test_distances_are_held_by_tiles(spark, small, monkeypatch):
     with storage.scratch(spark):
         edges = density.spanning_tree(frame(spark, x), 3).collect()
     assert np.allclose(sorted(e.w for e in edges), prim_weights(x, 3), atol=0)
+
+
+def even(seed, n, width=8):
+    x = np.random.default_rng(seed).normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("moved", [(1.0, 0.0), (1e-3, 500.0), (1e9, 0.0)])
+def test_far_pairs_are_left_out_in_single_precision(moved):
+    # rows in no clusters: once a tile has given limits, few distances are taken; whatever the scale and place of the rows, none is missed
+    x = even(5, 1500) * moved[0] + moved[1]
+    both = pd.DataFrame({"vec_id": np.arange(1500), "block": np.repeat([0, 1], 750), "vec": list(x)})
+    calls = []
+
+    def fold(a, b, d, same):
+        calls.append(same)
+        r = np.round(d, 9)
+        if same:
+            np.fill_diagonal(r, np.inf)
+        p, q = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        return neighbours._nearest(p, q, r, 4) if same else pd.concat([neighbours._nearest(p, q, r, 4), neighbours._nearest(q, p, r.T, 4)])
+
+    within = neighbours.Within(lambda rows, found: neighbours._limits(rows, found, 4), neighbours._both_ways)
+    out = neighbours.folded(both, [(0, 0), (0, 1), (1, 1)], 150, 2_000, fold, neighbours.few(4), within)
+    d = neighbours.distances(x, x)
+    np.fill_diagonal(d, np.inf)
+    got = np.array(out.groupby("a")["r"].apply(sorted).tolist())
+    assert got == pytest.approx(np.sort(np.round(d, 9), axis=1)[:, :4], rel=1e-7, abs=2e-9)
+    assert len(calls) < 55 / 2 or moved[1]
+
+
+def test_told_components_join_without_looking_again(spark, small, monkeypatch):
+    # one component takes nearly all rows: rounds follow neighbour lists, pairs of blocks are looked at for neighbours only
+    x = np.concatenate([even(6, 300), even(7, 20) * 0.01 + 5])
+    calls = []
+    f = neighbours.over_pairs
+    monkeypatch.setattr(neighbours, "over_pairs", lambda *a, **k: calls.append(1) or f(*a, **k))
+    with storage.scratch(spark):
+        edges = density.spanning_tree(frame(spark, x), 3).collect()
+    assert len(calls) == 2 and np.allclose(sorted(e.w for e in edges), prim_weights(x, 3), atol=0)
+    # as by blocks, where many rows ask
+    monkeypatch.setattr(density, "ASKING_BYTES", 0)
+    with storage.scratch(spark):
+        assert {tuple(e) for e in density.spanning_tree(frame(spark, x), 3).collect()} == {tuple(e) for e in edges}
+    assert len(calls) > 4

@@ -7,6 +7,8 @@ spanning trees of equal weights there is.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -18,6 +20,10 @@ from wayline.operators import neighbours, ranks
 
 #: Components that are joined up on the driver at most; more are by joins of tables.
 DRIVER_COMPONENTS = 200_000
+#: One component in so many must be told its least edge by lists, or the others' rows are compared with all.
+TOLD_SHARE = 4
+#: Bytes of vectors of rows that are sent to all tasks for that; more meet the others by blocks.
+ASKING_BYTES = 16_000_000
 #: Edges of the tree that are merged at once, on the driver.
 CHUNK_EDGES = 500_000
 
@@ -53,9 +59,10 @@ def _roots(to: DataFrame) -> DataFrame:
 def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
     """Stored edges (lo, hi, w) of a least spanning tree of mutual reachability of df (vec_id, vec): a row less than df has, if ids are distinct.
 
-    Each round, every component takes its least edge (ties by ids). A row's neighbour list, of more than min_samples rows, tells
+    Each round, components take their least edges (ties by ids). A row's neighbour list, of more than min_samples rows, tells
     its least edge unless all on it are in the row's own component up to a distance within which the component has no other
-    edge; only blocks near to rows of which the list doesn't tell are looked at again, and no pair of blocks of one component.
+    edge. A component takes the edge that its rows' lists tell; the rows of others are compared with all rows only once few
+    components are told, and never those of the largest, which the others join.
     """
     spark = df.sparkSession
     index = neighbours.build(df.select("vec_id", "vec"))
@@ -65,33 +72,36 @@ def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
     told = near.groupBy("a").agg(F.when(F.count("*") == k, F.max("r")).otherwise(float("inf")).alias("told"))
     # what of a row's neighbours isn't on its list is farther than told
     rows = index.rows.join(core.join(told, "a").withColumnRenamed("a", "vec_id"), "vec_id", "left").na.fill(0.0, ["core"]).na.fill(float("inf"), ["told"])
-    rows = storage.stored(rows, "cores")
+    rows = storage.stored(rows.withColumn("far", F.greatest("told", "core")).drop("told"), "cores")
     cores = rows.select("vec_id", "core")
     edges = near.join(cores.withColumnRenamed("vec_id", "a"), "a").join(cores.select(F.col("vec_id").alias("b"), F.col("core").alias("core_b")), "b")
     edges = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), F.greatest("r", "core", "core_b").alias("w")).distinct()
     edges = storage.stored(edges.withColumns({"c_lo": F.col("lo"), "c_hi": F.col("hi")}), "edges")
     labels = rows.select("vec_id", F.col("vec_id").alias("comp"))
+    comps = rows.groupBy(F.col("vec_id").alias("comp")).agg(F.min("far").alias("far"), F.count("*").alias("n"))
     tree, count = None, rows.count()
     while count > 1:
         both = edges.select(F.explode(F.array(F.struct(F.col("c_lo").alias("comp"), F.col("c_hi").alias("other")), F.struct(F.col("c_hi").alias("comp"), F.col("c_lo").alias("other")))).alias("c"), "w", "lo", "hi")
-        least = F.min(F.struct("w", "lo", "hi", "c.other")).alias("e")
-        listed = storage.stored(both.groupBy("c.comp").agg(least), "listed")
-        now = rows.join(labels, "vec_id").join(listed.select("comp", F.col("e.w").alias("most")), "comp", "left").na.fill(float("inf"), ["most"])
-        now = storage.stored(now.withColumn("open", F.greatest("told", "core") <= F.col("most")), "open")
-        reach, alike = np.full(len(index.sizes), -1.0), np.full(len(index.sizes), -1, np.int64)
-        names: dict[int, int] = {}
-        for b, far, lo, hi in now.groupBy("block").agg(F.max(F.when(F.col("open"), F.col("most")).otherwise(-1.0)), F.min("comp"), F.max("comp")).collect():
-            reach[b] = far
-            if lo == hi:
-                alike[b] = names.setdefault(lo, len(names))
-        pairs = neighbours.near_pairs(index, reach, alike)
-        found = neighbours.over_pairs(index, pairs, _outward, "comp long, w double, lo long, hi long, other long", now, _least)
-        best = found.select("comp", F.struct("w", "lo", "hi", "other").alias("e")).unionByName(listed.select("comp", "e")).groupBy("comp").agg(F.min("e").alias("e"))
+        listed = both.groupBy("c.comp").agg(F.min(F.struct("w", "lo", "hi", "c.other")).alias("e"))
+        listed = comps.join(listed, "comp", "left").withColumn("most", F.coalesce("e.w", F.lit(float("inf"))))
+        listed = storage.stored(listed.withColumn("told", F.col("far") > F.col("most")), "listed")
+        ready, largest = listed.agg(F.count_if("told"), F.max_by("comp", F.struct("n", "comp"))).first()
+        best = listed.where("told").select("comp", "e")
+        if ready * TOLD_SHARE < count:
+            sought = listed.where(~F.col("told") & (F.col("comp") != largest))
+            now = rows.join(labels, "vec_id").join(sought.select("comp", "most"), "comp", "left")
+            now = now.withColumn("most", F.when(F.col("far") <= F.col("most"), F.col("most")).otherwise(-1.0)).drop("far")
+            found = _searched(index, storage.stored(now, "open")).select("comp", F.struct("w", "lo", "hi", "other").alias("e"))
+            found = found.unionByName(sought.where("e is not null").select("comp", "e")).join(sought.select("comp"), "comp", "left_semi")
+            best = best.unionByName(found.groupBy("comp").agg(F.min("e").alias("e")))
         best = storage.stored(best, "best")
         part = best.select("e.lo", "e.hi", "e.w").distinct()
         tree = part if tree is None else tree.unionByName(part)
-        roots = storage.stored(_roots(best.select("comp", "e.other")), "joined")
-        count = roots.select("root").distinct().count()
+        to = comps.select("comp").join(best, "comp", "left").select("comp", F.coalesce("e.other", "comp").alias("other"))
+        roots = storage.stored(_roots(storage.stored(to, "pointers")), "joined")
+        comps = comps.join(roots, "comp").groupBy(F.col("root").alias("comp")).agg(F.min("far").alias("far"), F.sum("n").alias("n"))
+        comps = storage.stored(comps, "comps")
+        count = comps.count()
         labels = storage.stored(labels.join(roots, "comp").select("vec_id", F.col("root").alias("comp")), "labels")
         of = lambda c: roots.select(F.col("comp").alias(c), F.col("root").alias(f"to_{c}"))
         edges = edges.join(of("c_lo"), "c_lo").join(of("c_hi"), "c_hi").where("to_c_lo != to_c_hi").select("lo", "hi", "w", F.col("to_c_lo").alias("c_lo"), F.col("to_c_hi").alias("c_hi"))
@@ -101,22 +111,73 @@ def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
     return storage.stored(tree, "tree")
 
 
+def _searched(index: neighbours.Index, now: DataFrame) -> DataFrame:
+    """(comp, w, lo, hi, other): edges out of components, of which the least is the least edge, up to most, at rows of now (vec_id, vec, block, core, comp, most) whose most isn't below 0."""
+    schema = "comp long, w double, lo long, hi long, other long"
+    asking = now.where("most >= 0")
+    n, width = asking.agg(F.count("*"), F.max(F.size("vec"))).first()
+    if n * 8 * max(width or 1, 1) <= ASKING_BYTES:
+        shared = now.sparkSession.sparkContext.broadcast(asking.toPandas().assign(block=0))
+        tile, most = neighbours.TILE_ROWS, neighbours.MERGE_ROWS
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = shared.value
+            for b in batches:
+                if len(own) and (out := neighbours.folded(pd.concat([own, b.assign(block=1, most=-1.0)]), [(0, 1)], tile, most, _outward, _least, _WITHIN)) is not None and len(out):
+                    own = own.assign(most=np.minimum(own["most"], _limits(own, out)))
+                    yield out
+
+        return now.mapInPandas(run, schema)
+    reach, alike = np.full(len(index.sizes), -1.0), np.full(len(index.sizes), -1, np.int64)
+    names: dict[int, int] = {}
+    for b, far, lo, hi in now.groupBy("block").agg(F.max("most"), F.min("comp"), F.max("comp")).collect():
+        reach[b] = far
+        if lo == hi:
+            alike[b] = names.setdefault(lo, len(names))
+    return neighbours.over_pairs(index, neighbours.near_pairs(index, reach, alike), _outward, schema, now, _least, _WITHIN)
+
+
+def _limits(rows: pd.DataFrame, found: pd.DataFrame | None) -> np.ndarray:
+    """Up to which distance each row looks: not at all, up to its most, or to its component's least edge in found."""
+    most = rows["most"].to_numpy()
+    if found is None or not len(found):
+        return most
+    least = found.groupby("comp")["w"].min().reindex(rows["comp"]).to_numpy()
+    return np.where(most < 0, -1.0, np.fmin(most, least))
+
+
+def _edges(x: pd.DataFrame, y: pd.DataFrame, w: np.ndarray) -> list[pd.DataFrame]:
+    """(comp, w, lo, hi, other) for both ends of edges w between rows of x and y."""
+    p, q = x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
+    both = {"w": w, "lo": np.minimum(p, q), "hi": np.maximum(p, q)}
+    c, d = x["comp"].to_numpy(), y["comp"].to_numpy()
+    return [pd.DataFrame({"comp": own, **both, "other": other}) for own, other in ((c, d), (d, c))]
+
+
 def _outward(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
-    """Each component's least edge out of it among two blocks' rows, where one of the two rows is open."""
-    cx, cy, p, q = x["comp"].to_numpy(), y["comp"].to_numpy(), x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
+    """Each component's least edge out of it among two blocks' rows, where one of the two rows asks."""
+    cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
     w = np.maximum(np.round(d, 9), np.maximum(x["core"].to_numpy()[:, None], y["core"].to_numpy()[None]))
-    w[(cx[:, None] == cy[None]) | ~(x["open"].to_numpy()[:, None] | y["open"].to_numpy()[None])] = np.inf
+    w[(cx[:, None] == cy[None]) | ~((x["limit"].to_numpy() >= 0)[:, None] | (y["limit"].to_numpy() >= 0)[None])] = np.inf
     parts = []
-    for m, own, others, ids, there in [(w, cx, cy, p, q)] if same else [(w, cx, cy, p, q), (w.T, cy, cx, q, p)]:
-        i, j = np.nonzero((m == m.min(axis=1, keepdims=True)) & np.isfinite(m))
-        parts.append(pd.DataFrame({"comp": own[i], "w": m[i, j], "lo": np.minimum(ids[i], there[j]), "hi": np.maximum(ids[i], there[j]), "other": others[j]}))
+    for axis in (1,) if same else (1, 0):
+        i, j = np.nonzero((w == w.min(axis=axis, keepdims=True)) & np.isfinite(w))
+        parts.append(_edges(x.iloc[i], y.iloc[j], w[i, j])[1 - axis])
     return _least(pd.concat(parts))
 
 
+def _picked(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+    core = rows["core"].to_numpy()
+    return _least(pd.concat(_edges(rows.iloc[i], rows.iloc[j], np.maximum(r, np.maximum(core[i], core[j])))))
+
+
 def _least(found: pd.DataFrame) -> pd.DataFrame:
     return found.sort_values(["w", "lo", "hi"], kind="stable").drop_duplicates("comp")
 
 
+_WITHIN = neighbours.Within(_limits, _picked, "comp")
+
+
 # ---------------------------------------------------------------- condensed tree
 
 

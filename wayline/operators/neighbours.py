@@ -26,7 +26,9 @@ BLOCK_SHARE, LEAST_ROWS, MOST_ROWS, BLOCK_BYTES = 64, 128, 16_384, 8_000_000
 #: Rows of a side of which distances are held at once: a task's memory doesn't grow with its blocks' square.
 TILE_ROWS = 1_024
 #: Blocks in a row that meet others in one task: one part in SPAN_SHARE of all at most, of so many bytes of vectors.
-SPAN_SHARE, SPAN_BYTES = 16, 16_000_000
+SPAN_SHARE, SPAN_BYTES = 16, 32_000_000
+#: Of a tile's pairs, the share within limits from which all of its distances are taken.
+DENSE = 0.02
 #: Rows that a task's folds may have made since they were last merged.
 MERGE_ROWS = 200_000
 #: Blocks that an index may have: its table of ranges goes to every task.
@@ -149,36 +151,145 @@ Fold = Callable[[pd.DataFrame, pd.DataFrame, np.ndarray, bool], pd.DataFrame]
 Merge = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def over_pairs(index: Index, pairs: DataFrame, fold: Fold, schema: str, rows: DataFrame | None = None, merge: Merge | None = None) -> DataFrame:
+class Close:
+    """Which pairs of rows of vec may be within limits, by products in single precision around the rows' mean. What rounding can do is allowed for, so none is missed."""
+
+    def __init__(self, vec: np.ndarray, tile: int):
+        good = np.isfinite(vec).all(axis=1)
+        d = vec.shape[1]
+        x = vec - (vec[good].mean(axis=0) if good.any() else 0.0)
+        top = np.abs(x[good]).max(initial=0.0)
+        self.scale = 1 / top if top > 1e-300 else 1.0
+        #: of a distance: the rounding to 9 decimals, and that of the mean
+        self.slack = 1e-9 + 2.0**-50 * (d + 1) * np.abs(vec[good]).max(initial=0.0)
+        with np.errstate(all="ignore"):
+            x = (x * self.scale).astype(np.float32)
+            half = (x.astype(float) ** 2).sum(axis=1) * -0.5 * (1 - (d + 16) * 2.0**-22)
+        half, one = half.astype(np.float32)[:, None], np.ones((len(x), 1), np.float32)
+        # a product of a row of each is at least minus half the squared distance
+        self.left, self.right = np.concatenate([x, half, one], axis=1), np.concatenate([x, one, half], axis=1)
+        self.least = np.zeros(len(x), np.float32)
+        self.products, self.within = np.empty(tile**2, np.float32), np.zeros((2, tile**2 + 8), bool)
+
+    def limit(self, limits: np.ndarray) -> None:
+        """Each row's limit; below 0: the row asks for nothing."""
+        with np.errstate(all="ignore"):
+            self.least = np.where(limits < 0, np.inf, ((limits + self.slack) * self.scale) ** 2 * -0.5 * (1 + 1e-6) - 1e-30).astype(np.float32)
+
+    def pairs(self, x: slice, y: slice) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of which the limit of either row is met, each once; None if they are many."""
+        a, b = self.least[x], self.least[y]
+        none = np.zeros(0, np.int64)
+        if np.isposinf(a).all() and np.isposinf(b).all():
+            return none, none
+        if np.isneginf(a).all() or np.isneginf(b).all():
+            return None
+        shape = len(a), len(b)
+        n = len(a) * len(b)
+        p, (m, other) = self.products[:n].reshape(shape), self.within
+        with np.errstate(all="ignore"):
+            np.matmul(self.left[x], self.right[y].T, out=p)
+            np.greater_equal(p, a[:, None], out=m[:n].reshape(shape))
+            np.greater_equal(p, b[None], out=other[:n].reshape(shape))
+        m[:n] |= other[:n]
+        if np.count_nonzero(m[:n]) > DENSE * n + (len(a) if x == y else 0):
+            return None
+        m[n : n + 8] = False
+        words = np.flatnonzero(m[: -(-n // 8) * 8].view(np.uint64))
+        at = (words[:, None] * 8 + np.arange(8)).ravel()
+        i, j = np.divmod(at[m[at]], len(b))
+        if x == y:
+            i, j = i[i < j], j[i < j]
+        return i + x.start, j + y.start
+
+
+def _apart(vec: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of the pairs of rows i and j."""
+    out = np.empty(len(i))
+    for k in range(0, len(i), 4_096):
+        z = vec[i[k : k + 4_096]] - vec[j[k : k + 4_096]]
+        out[k : k + 4_096] = np.sqrt(np.einsum("ij,ij->i", z, z))
+    return out
+
+
+@dataclass
+class Within:
+    """What is asked for within limits. limits(rows, found): a limit for each row, found being what has been found of late (None at first): the limit may fall to what that tells. pick(rows, i, j, r): what the fold gives of pairs of places i and j that are r apart, to 9 decimals. rows have their limits in the column limit; pairs alike in the column unlike don't come."""
+
+    limits: Callable[[pd.DataFrame, pd.DataFrame | None], np.ndarray]
+    pick: Callable[[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray], pd.DataFrame]
+    unlike: str | None = None
+
+
+def folded(both: pd.DataFrame, asked: list[tuple[int, int]], tile: int, most: int, fold: Fold, merge: Merge | None = None, within: Within | None = None) -> pd.DataFrame | None:
+    """What over_pairs gives of the pairs of blocks asked, by tiles of tile rows, merged after most rows; None if that is nothing."""
+    both = both.sort_values(["block", "vec_id"], kind="stable", ignore_index=True)
+    block = both["block"].to_numpy()
+    vec = np.stack(both.pop("vec").to_numpy()).astype(float) if len(both) else None
+    made, fresh, held = [], 0, 0
+    waiting: list[tuple[np.ndarray, np.ndarray]] = []
+    if within and len(both):
+        close = Close(vec, tile)
+        both["limit"] = within.limits(both, None)
+        close.limit(both["limit"].to_numpy())
+        kinds = pd.factorize(both[within.unlike])[0] if within.unlike else None
+
+    def tighten(found: pd.DataFrame) -> None:
+        both["limit"] = np.minimum(both["limit"].to_numpy(), within.limits(both, found))
+        close.limit(both["limit"].to_numpy())
+
+    def settle() -> None:
+        if waiting:
+            i, j = (np.concatenate(z) for z in zip(*waiting, strict=True))
+            waiting.clear()
+            made.append(within.pick(both, i, j, np.round(_apart(vec, i, j), 9)))
+
+    for i, j in asked:
+        (a, a_end), (b, b_end) = (np.searchsorted(block, [k, k + 1]) for k in (i, j))
+        for lo in range(a, a_end, tile):
+            x = slice(lo, min(lo + tile, a_end))
+            for at in range(lo if i == j else b, b_end, tile):
+                y = slice(at, min(at + tile, b_end))
+                if within and (near := close.pairs(x, y)) is not None:
+                    p, q = near
+                    if kinds is not None:
+                        p, q = p[kinds[p] != kinds[q]], q[kinds[p] != kinds[q]]
+                    if not len(p):
+                        continue
+                    waiting.append((p, q))
+                    fresh += 2 * len(p)
+                else:
+                    part = fold(both.iloc[x].reset_index(drop=True), both.iloc[y].reset_index(drop=True), distances(vec[x], vec[y]), x == y)
+                    made.append(part)
+                    fresh += len(part)
+                    if within:
+                        tighten(part)
+                if merge and fresh > most + held:
+                    settle()
+                    made = [merge(pd.concat(made))]
+                    fresh, held = 0, len(made[0])
+                    if within:
+                        tighten(made[0])
+    settle()
+    if not made:
+        return None
+    out = pd.concat(made)
+    return merge(out) if merge and (within or len(made) > 1) else out
+
+
+def over_pairs(index: Index, pairs: DataFrame, fold: Fold, schema: str, rows: DataFrame | None = None, merge: Merge | None = None, within: Within | None = None) -> DataFrame:
     """fold(x, y, d, same) of each pair of blocks, by tiles of TILE_ROWS rows of either at most: the tiles' rows without vec, each in order of vec_id, their distances, and whether the two are one tile. Each pair of tiles comes once. rows: those of the index with more columns.
 
     merge: makes what several folds have given one, of as few rows as say the same; it may be called on what it gave.
+    within: of tiles with few pairs of rows within limits only these are looked at, and no fold is called.
     A task has the pairs of two runs of index.span blocks, so that a row is sent once for all of these.
     """
     rows = index.rows if rows is None else rows
     tile, most, span = TILE_ROWS, MERGE_ROWS, index.span
 
     def run(key: tuple, both: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        both = both.sort_values(["block", "vec_id"], kind="stable")
-        block = both["block"].to_numpy()
-        vec = np.stack(both.pop("vec").to_numpy()).astype(float) if len(both) else None
-        made, fresh, held = [], 0, 0
-        for i, j in zip(asked["i"], asked["j"], strict=True):
-            (a, a_end), (b, b_end) = (np.searchsorted(block, [k, k + 1]) for k in (i, j))
-            for lo in range(a, a_end, tile):
-                x = slice(lo, min(lo + tile, a_end))
-                for at in range(lo if i == j else b, b_end, tile):
-                    y = slice(at, min(at + tile, b_end))
-                    part = fold(both.iloc[x].reset_index(drop=True), both.iloc[y].reset_index(drop=True), distances(vec[x], vec[y]), x == y)
-                    made.append(part)
-                    fresh += len(part)
-                    if merge and fresh > most + held:
-                        made = [merge(pd.concat(made))]
-                        fresh, held = 0, len(made[0])
-        if not made:
-            return pd.DataFrame(columns=names)
-        out = pd.concat(made)
-        return merge(out) if merge and len(made) > 1 else out
+        out = folded(both, list(zip(asked["i"], asked["j"], strict=True)), tile, most, fold, merge, within)
+        return pd.DataFrame(columns=names) if out is None else out
 
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     runs = F.expr(f"i div {span}"), F.expr(f"j div {span}")
@@ -212,29 +323,57 @@ def _nearest(ids: np.ndarray, others: np.ndarray, r: np.ndarray, k: int) -> pd.D
     return pd.DataFrame({"a": ids[i], "b": others[j], "r": r[i, j]})
 
 
+def places(ids: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where some, which are among ids, stand there."""
+    order = np.argsort(ids, kind="stable")
+    return order[np.searchsorted(ids, some, sorter=order)]
+
+
+def _limits(rows: pd.DataFrame, found: pd.DataFrame | None, k: int) -> np.ndarray:
+    """Each row's k-th distance in found (a, b, r), or its bound."""
+    if found is None:
+        return rows["bound"].to_numpy() if "bound" in rows else np.full(len(rows), np.inf)
+    a, r = found["a"].to_numpy(), found["r"].to_numpy()
+    order = np.lexsort((r, a))
+    a, r = a[order], r[order]
+    last = np.flatnonzero(np.arange(len(a)) - np.searchsorted(a, a) == k - 1)
+    out = np.full(len(rows), np.inf)
+    out[places(rows["vec_id"].to_numpy(), a[last])] = r[last]
+    return out
+
+
+def _both_ways(rows: pd.DataFrame, i: np.ndarray, j: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+    """(a, b, r) of pairs within a's limit."""
+    ids, limit = rows["vec_id"].to_numpy(), rows["limit"].to_numpy()
+    forth, back = r <= limit[i], r <= limit[j]
+    return pd.DataFrame({"a": ids[np.concatenate([i[forth], j[back]])], "b": ids[np.concatenate([j[forth], i[back]])], "r": np.concatenate([r[forth], r[back]])})
+
+
 def nearest(index: Index, k: int) -> tuple[DataFrame, float]:
     """((a, b, r, rk): each row's k nearest others, exactly, r their distance to 9 decimals, ties to the smaller vec_id; the share of pairs of blocks that were compared)."""
     spark = index.rows.sparkSession
     schema = "a long, b long, r double"
 
-    def first(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
+    def fold(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
         r = np.round(d, 9)
         p, q = x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
         if same:
             np.fill_diagonal(r, np.inf)
-            return _nearest(p, q, r, k)
-        return pd.concat([_nearest(p, q, r, k), _nearest(q, p, r.T, k)])
+        forth = _nearest(p, q, np.where(r <= x["limit"].to_numpy()[:, None], r, np.inf), k)
+        return forth if same else pd.concat([forth, _nearest(q, p, np.where(r.T <= y["limit"].to_numpy()[:, None], r.T, np.inf), k)])
 
-    # a row's bound is its k-th distance in its own block; a block of few rows is looked at with others that must be near, too
+    within = Within(lambda rows, found: _limits(rows, found, k), _both_ways)
+
+    # a row's bound is its k-th distance in its own run of blocks; a block of few rows is looked at with others that must be near, too
     full = np.flatnonzero(index.sizes)
-    begin = {(int(i), int(i)) for i in full}
+    begin = {(int(i), int(j)) for i in full for j in full[(full >= i) & (full // index.span == i // index.span)]}
     for i in full[index.sizes[full] <= k].tolist():
         near = full[np.argsort((index.ranges[full, :, 1] + index.ranges[i, :, 1]).min(axis=1), kind="stable")]
         near = near[near != i]
         enough = int(np.searchsorted(np.cumsum(index.sizes[near]), k + 1 - index.sizes[i])) + 1
         begin |= {(min(i, j), max(i, j)) for j in near[:enough].tolist()}
     seeds = spark.createDataFrame(sorted(begin), "i int, j int")
-    inside = storage.stored(codes.first_per_group(over_pairs(index, seeds, first, schema, merge=few(k)), "a", [F.col("r"), F.col("b")], k).drop("rk"), "inside")
+    inside = storage.stored(codes.first_per_group(over_pairs(index, seeds, fold, schema, merge=few(k), within=within), "a", [F.col("r"), F.col("b")], k).drop("rk"), "inside")
     bound = inside.groupBy(F.col("a").alias("vec_id")).agg(F.when(F.count("*") == k, F.max("r")).alias("bound"))
     rows = storage.stored(index.rows.join(bound, "vec_id", "left").na.fill(float("inf"), ["bound"]), "bounds")
     reach = np.zeros(len(index.sizes))
@@ -242,13 +381,6 @@ def nearest(index: Index, k: int) -> tuple[DataFrame, float]:
         reach[b] = m
     pairs = storage.stored(near_pairs(index, reach).join(seeds, ["i", "j"], "left_anti"), "pairs")
 
-    def across(x: pd.DataFrame, y: pd.DataFrame, d: np.ndarray, same: bool) -> pd.DataFrame:
-        r = np.round(d, 9)
-        p, q = x["vec_id"].to_numpy(), y["vec_id"].to_numpy()
-        forth = np.where(r <= x["bound"].to_numpy()[:, None], r, np.inf)
-        back = np.where(r.T <= y["bound"].to_numpy()[:, None], r.T, np.inf)
-        return pd.concat([_nearest(p, q, forth, k), _nearest(q, p, back, k)])
-
-    found = inside.unionByName(over_pairs(index, pairs, across, schema, rows, few(k)))
+    found = inside.unionByName(over_pairs(index, pairs, fold, schema, rows, few(k), within))
     share = (pairs.count() + len(begin)) / max(len(full) * (len(full) + 1) / 2, 1)
     return codes.first_per_group(found, "a", [F.col("r"), F.col("b")], k), share
