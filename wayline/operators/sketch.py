@@ -23,8 +23,8 @@ DIRECTIONS, RANK = 48, 256
 MOST_CELLS = 4_000_000
 
 
-def products(df: DataFrame, left: str, rights: list[str], width: int) -> dict[str, tuple[np.ndarray, int]]:
-    """By name of rights (arrays of width numbers, null where a row has none): the sum of outer products left x right over rows, and their number. A task adds its rows up; then the rows of the sums meet."""
+def products(df: DataFrame, left: str, rights: list[str], width: int, less: np.ndarray | None = None) -> dict[str, tuple[np.ndarray, int]]:
+    """By name of rights (arrays of width numbers, null where a row has none): the sum of outer products left x right over rows, and their number. less: rights without the product of left and this matrix. A task adds its rows up; then the rows of the sums meet."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, np.ndarray] = {}
@@ -33,7 +33,8 @@ def products(df: DataFrame, left: str, rights: list[str], width: int) -> dict[st
             for name in rights:
                 own = b[b[name].notna()]
                 if len(own):
-                    part = np.stack(own[left].to_numpy()).astype(float).T @ np.stack(own[name].to_numpy()).astype(float)
+                    x, y = np.stack(own[left].to_numpy()).astype(float), np.stack(own[name].to_numpy()).astype(float)
+                    part = x.T @ (y if less is None else y - x @ less)
                     total[name] = part if name not in total else total[name] + part
                     count[name] += len(own)
         for name, m in total.items():
