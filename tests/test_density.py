@@ -3,9 +3,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from helpers import SF
 
 from wayline import storage
 from wayline.operators import density, geometry, neighbours
+from wayline.plans import registry
 
 
 def frame(spark, x, ids=None):
@@ -181,3 +183,15 @@ def test_told_components_join_without_looking_again(spark, small, monkeypatch):
     with storage.scratch(spark):
         assert {tuple(e) for e in density.spanning_tree(frame(spark, x), 3).collect()} == {tuple(e) for e in edges}
     assert len(calls) > 4
+
+
+def test_a_sweep_looks_for_neighbours_once(spark, monkeypatch):
+    calls = []
+    f = neighbours.nearest
+    monkeypatch.setattr(neighbours, "nearest", lambda *a: calls.append(a[1]) or f(*a))
+    assert len(registry.QUERIES["density_sweep"](spark, SF).collect()) == 4 and calls == [12]
+    # longer lists give the same tree
+    x = clustered(2, 200, 5, 0.05, 20)
+    with storage.scratch(spark):
+        edges = [{tuple(e) for e in density.spanning_tree(frame(spark, x), 2, known).collect()} for known in (None, density.lists(frame(spark, x), 5))]
+    assert edges[0] == edges[1]

@@ -8,6 +8,7 @@ spanning trees of equal weights there is.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -56,8 +57,23 @@ def _roots(to: DataFrame) -> DataFrame:
             return now
 
 
-def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
-    """Stored edges (lo, hi, w) of a least spanning tree of mutual reachability of df (vec_id, vec): a row less than df has, if ids are distinct.
+@dataclass
+class Lists:
+    """The index of rows, and their neighbour lists (a, b, r, rk) of k rows, stored."""
+
+    index: neighbours.Index
+    near: DataFrame
+    k: int
+
+
+def lists(df: DataFrame, min_samples: int) -> Lists:
+    """Neighbour lists of df (vec_id, vec), for trees of at most min_samples."""
+    index, k = neighbours.build(df.select("vec_id", "vec")), 2 * min_samples + 2
+    return Lists(index, storage.stored(neighbours.nearest(index, k)[0], "near"), k)
+
+
+def spanning_tree(df: DataFrame, min_samples: int, known: Lists | None = None) -> DataFrame:
+    """Stored edges (lo, hi, w) of a least spanning tree of mutual reachability of df (vec_id, vec): a row less than df has, if ids are distinct. known: lists of df, of more than min_samples rows.
 
     Each round, components take their least edges (ties by ids). A row's neighbour list, of more than min_samples rows, tells
     its least edge unless all on it are in the row's own component up to a distance within which the component has no other
@@ -65,9 +81,8 @@ def spanning_tree(df: DataFrame, min_samples: int) -> DataFrame:
     components are told, and never those of the largest, which the others join.
     """
     spark = df.sparkSession
-    index = neighbours.build(df.select("vec_id", "vec"))
-    k = 2 * min_samples + 2
-    near = storage.stored(neighbours.nearest(index, k)[0], "near")
+    known = known or lists(df, min_samples)
+    index, near, k = known.index, known.near, known.k
     core = near.where(F.col("rk") <= min_samples).groupBy("a").agg(F.max("r").alias("core"))
     told = near.groupBy("a").agg(F.when(F.count("*") == k, F.max("r")).otherwise(float("inf")).alias("told"))
     # what of a row's neighbours isn't on its list is farther than told

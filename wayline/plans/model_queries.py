@@ -242,18 +242,20 @@ def spanning_tree(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def density_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    """Four settings on ten principal components of all rows: clusters found and the share of noise. A tree serves all sizes of clusters."""
+    """Four settings on ten principal components of all rows: clusters found and the share of noise. A tree serves all sizes of clusters, and neighbour lists both trees."""
     df = views.traj_vec(spark, sf)
     s = sketch.spectrum(df)
     comp = geometry.principal(s.by_lag[0], 10)[1] @ s.basis.T
     reduced = sketch.projected(df.select("vec_id", "vec"), s.mean, comp.T, "y").select("vec_id", F.col("y").alias("vec"))
     out = []
-    for least, sizes in ((2, (5,)), (5, (5, 10, 20))):
-        with storage.scratch(spark):
-            tree = density.spanning_tree(reduced, least)
-            for size in sizes:
-                labels, n = density.condensed(tree, reduced.select("vec_id"), size)
-                out.append((size, least, n, labels.agg(F.avg((F.col("cluster") < 0).cast("int"))).first()[0]))
+    with storage.scratch(spark):
+        known = density.lists(reduced, 5)
+        for least, sizes in ((2, (5,)), (5, (5, 10, 20))):
+            with storage.scratch(spark):
+                tree = density.spanning_tree(reduced, least, known)
+                for size in sizes:
+                    labels, n = density.condensed(tree, reduced.select("vec_id"), size)
+                    out.append((size, least, n, labels.agg(F.avg((F.col("cluster") < 0).cast("int"))).first()[0]))
     return spark.createDataFrame(out, "min_size int, min_samples int, clusters int, noise double")
 
 
