@@ -195,3 +195,12 @@ def test_a_sweep_looks_for_neighbours_once(spark, monkeypatch):
     with storage.scratch(spark):
         edges = [{tuple(e) for e in density.spanning_tree(frame(spark, x), 2, known).collect()} for known in (None, density.lists(frame(spark, x), 5))]
     assert edges[0] == edges[1]
+
+
+def test_clusters_of_even_rows_take_no_more_searches(spark, small, monkeypatch):
+    x = np.concatenate([even(8, 200), even(9, 40) * 0.02 + 2])
+    calls = []
+    f = neighbours.over_pairs
+    monkeypatch.setattr(neighbours, "over_pairs", lambda *a, **k: calls.append(1) or f(*a, **k))
+    got = {r.vec_id: r.cluster for r in density.density_clusters(frame(spark, x), 10, 4).collect()}
+    assert got == dict(enumerate(geometry.density_clusters(x, 10, 4).tolist())) and len(calls) == 2
